@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import token_files, url_filter
+from rheolake.llm import decontaminate, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_token_files": token_files.op4_token_files,
         "op6_url_filter": url_filter.op6_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL}
