@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, token_files, url_filter
+from rheolake.llm import decontaminate, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_token_files": token_files.op4_token_files,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
