@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, simhash, token_files, url_filter
+from rheolake.llm import decontaminate, line_dedup, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": token_files.op4_token_files,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_simhash": simhash.op8_simhash,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL}
+    return {
+        "op2_decontaminate": decontaminate.SQL,
+        "op6_url_filter": url_filter.SQL,
+        "op10_line_dedup": line_dedup.SQL,
+    }
