@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +33,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast value (of a size that its maker bounds); tasks call the result to get it, whatever its class."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import table
+from rheolake.llm.common import share, table
 
 WIDTH = 10
 SHARD_WORDS = 3_000_000
@@ -275,13 +275,12 @@ def find_leaks(
 
 
 def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, clean: bool, first: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(phrases)
+    shared = share(rows.sparkSession, phrases)
     schema = f"{shown}, leak_text string, {LEAK_SCHEMA}"
     names = [x.strip().split(" ")[0].strip("`") for x in schema.split(", ")][: n_keep + 1]
 
-    def flush(batches: list[pa.RecordBatch], texts: list[str | None], words: list[list[bytes]]) -> pa.RecordBatch:
+    def flush(book: Phrases, batches: list[pa.RecordBatch], texts: list[str | None], words: list[list[bytes]]) -> pa.RecordBatch:
         table_ = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        book = shared.value
         found = find_in_shard(words, book)
         counts = [len(w) for w in words]
         n_hit, items, spans, clean_texts = [], [], [], []
@@ -321,6 +320,7 @@ def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, cle
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared()
         held: list[pa.RecordBatch] = []
         texts: list[str | None] = []
         words: list[list[bytes]] = []
@@ -335,10 +335,10 @@ def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, cle
                 words += split
                 n += sum(map(len, split))
                 if n >= shard_words:
-                    yield flush(held, texts, words)
+                    yield flush(book, held, texts, words)
                     held, texts, words, n = [], [], [], 0
         if held:
-            yield flush(held, texts, words)
+            yield flush(book, held, texts, words)
 
     return rows.mapInArrow(scan, schema)
 

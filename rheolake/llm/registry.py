@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, line_dedup, simhash, token_files, url_filter
+from rheolake.llm import decontaminate, langid, line_dedup, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_token_files": token_files.op4_token_files,
+        "op5_language_id": langid.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_simhash": simhash.op8_simhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
