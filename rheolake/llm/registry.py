@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, langid, line_dedup, simhash, token_files, url_filter
+from rheolake.llm import decontaminate, langid, line_dedup, pii, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": token_files.op4_token_files,
         "op5_language_id": langid.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_pii": pii.op7_pii,
         "op8_simhash": simhash.op8_simhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
