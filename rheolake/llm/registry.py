@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, langid, line_dedup, pii, simhash, token_files, url_filter
+from rheolake.llm import decontaminate, langid, line_dedup, pii, quality, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_pii": pii.op7_pii,
         "op8_simhash": simhash.op8_simhash,
+        "op9_quality": quality.op9_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
         "op6_url_filter": url_filter.SQL,
+        "op9_quality": quality.op9_quality,
         "op10_line_dedup": line_dedup.SQL,
     }
