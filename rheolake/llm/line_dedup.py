@@ -118,14 +118,29 @@ def candidates(docs: DataFrame, units: DataFrame) -> DataFrame:
 def near_pairs(texts: DataFrame) -> DataFrame:
     """(later, earlier): verified pairs within one edited word, from each later unit to the earliest of each variant it has."""
     n = F.size("words")
-    variant = lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", 1, i - 1), F.slice("words", i + 1, n)))
-    itself = F.struct(F.lit(0).alias("i"), n.alias("left"), F.xxhash64(F.concat_ws(" ", "words")).alias("key"))
-    fewer = F.when(n >= NEAR_WORDS, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), (n - 1).alias("left"), variant(i).alias("key"))))
-    rows = texts.select("h1", "h2", F.explode(F.concat(F.array(itself), fewer)).alias("v")).select("h1", "h2", "v.*")
+    at_place = lambda i, place: F.xxhash64(F.element_at("words", i), place)
+    # Running hashes (exclusive or of hashed words and places) of the words up to i, at their places and one place before;
+    # so a variant's hash takes three look-ups, however long the unit is.
+    start = F.struct(F.array(F.lit(0).cast("long")).alias("own"), F.array(F.lit(0).cast("long")).alias("moved"))
+    hashed = F.aggregate(
+        F.sequence(F.lit(1), n),
+        start,
+        lambda s, i: F.struct(
+            F.array_append(s["own"], F.element_at(s["own"], -1).bitwiseXOR(at_place(i, i))).alias("own"),
+            F.array_append(s["moved"], F.element_at(s["moved"], -1).bitwiseXOR(at_place(i, i - 1))).alias("moved"),
+        ),
+    )
+    running = texts.select("h1", "h2", n.alias("n"), F.explode(F.array(hashed)).alias("s")).select("h1", "h2", "n", "s.own", "s.moved")
+    n = F.col("n")
+    variant = lambda i: F.get("own", i - 1).bitwiseXOR(F.get("moved", n)).bitwiseXOR(F.get("moved", i))
+    itself = F.struct(F.lit(0).alias("i"), n.alias("left"), F.get("own", n).alias("key"))
+    fewer = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), (n - 1).alias("left"), variant(i).alias("key")))
+    every = running.select("h1", "h2", F.explode(F.concat(F.array(itself), fewer)).alias("v")).select("h1", "h2", "v.*")
+    rows = materialize(every, "variants")
     met = rows.groupBy("key", "left").agg(F.count("*").alias("c")).where("c > 1").select("key", "left")
     unit = F.struct("at", "h1", "h2")
     shared = rows.join(met, ["key", "left"], "left_semi").join(texts.select("h1", "h2", "at"), ["h1", "h2"]).select("key", "left", "i", unit.alias("unit"))
-    shared = materialize(shared, "variants")
+    shared = materialize(shared, "shared-variants")
     least = shared.groupBy("key", "left", "i").agg(F.min("unit").alias("earliest"))
     replaced = shared.where("i > 0").join(least.where("i > 0"), ["key", "left", "i"]).select("unit", "earliest")
     # a unit that equals a variant (i = 0) against the earliest unit that has this variant, and the other way round
