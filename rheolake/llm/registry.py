@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, langid, line_dedup, pii, quality, sentencepieces, simhash, token_files, url_filter
+from rheolake.llm import decontaminate, hnsw, langid, line_dedup, pii, quality, sentencepieces, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepieces": sentencepieces.op1_sentencepieces,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_hnsw": hnsw.op3_hnsw,
         "op4_token_files": token_files.op4_token_files,
         "op5_language_id": langid.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
