@@ -1,19 +1,63 @@
-"""A corpus in, token pieces out: the stages of the documents' pipeline."""
+"""A corpus in, token pieces out: the stages of the documents' pipeline.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; run() writes every stage's
+result to the shared folder and reads it back as the next one's docs, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rheolake.llm import decontaminate, line_dedup, quality, sentencepieces, simhash
 from rheolake.llm.common import shared_path, table
 
-STAGES: list = []
+#: Near-duplicate stage: five-word shingles; fingerprints that agree in 58 of 64 bits (a similarity over 0.9) link.
+SHINGLE, RADIUS = 5, 6
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=tuple(docs.columns)).where("accepted").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that match an earlier one; a document whose every line was one goes."""
+    found = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
+    return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest id."""
+    return simhash.drop_near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the spans that occur in the benchmark; a document of which no word is left goes."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces, the N best segmentations, and the proof that decoding gives the text again."""
+    return sentencepieces.encode_documents(docs, keep=tuple(docs.columns))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash", near_duplicate_stage),
+    ("decontaminate", decontamination_stage),
+    ("sentencepieces", encoding_stage),
+]
 
-#: A trained classifier and an approximate fingerprint stand in the chain, so SQL cannot express its rows.
+#: A trained classifier and XXH64 fingerprints stand in the chain, so SQL cannot express its rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage is written as Parquet and read back as the next one's docs."""
+    """Apply the stages to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")

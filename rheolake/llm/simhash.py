@@ -240,6 +240,18 @@ def near_duplicates(
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
+    """docs without those whose component has a smaller doc_id.
+
+    Rows without an id stay, and rows of one id stay or go together.  Up to ``broadcast_ids`` ids to drop are
+    broadcast; more are joined by shuffling.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    return docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -81,3 +81,11 @@ def test_documents(spark):
     got = sorted((str(r.doc_id), r.fp % (1 << 64), r.component_id) for r in s.near_duplicates(docs).collect())
     assert got == want
     assert s.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(5, "a b c d e f"), (3, "A b c d e f"), (9, "a b c d e f"), (7, "something else altogether"), (None, "a b c d e f"), (8, None), (6, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, gone_id long")
+    for bound in (0, 10):
+        left = s.drop_near_duplicates(docs.select("doc_id", "text"), bound, shingle=5)
+        assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "6", "7", "None"]
