@@ -1 +1 @@
-"""functions of rheolake."""
+"""Column functions: signal, axes, vectors, text."""

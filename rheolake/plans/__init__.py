@@ -1 +1 @@
-"""plans of rheolake."""
+"""Plans: the registered queries."""

@@ -1 +1 @@
-"""sources of rheolake."""
+"""Sources: case tables, phantoms, adapters of plain tables."""
