@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 
@@ -39,3 +41,11 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast value (of a size that its maker bounds); tasks call the result to get it, whatever its class."""
     box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(box.value)
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """The object that this Python worker made for key, kept between the tasks it runs one after another."""
+    kept = sys.modules.setdefault("rheolake_worker_objects", types.ModuleType("rheolake_worker_objects")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -12,24 +12,27 @@ looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import shared_path, table
+from rheolake.llm.common import per_worker, shared_path, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids one Python worker remembers; the memory is emptied when it is full.
-MEMO_WORDS = 300_000
+#: Words and parts of words that one Python worker remembers at most, twice over: a full memory becomes the old one.
+MEMO = 400_000
 FILE_SCHEMA = "doc_id long, in_file long, n_tokens long, ids array<int>"
 WRITE_OPTIONS = {
-    "compression": "zstd",
+    "compression": "none",  # run-length encoded ids hardly shrink further
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
@@ -37,7 +40,11 @@ WRITE_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
 }
 #: Python's split() also cuts at these, which the vocabulary's own pattern takes for symbols.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
+#: Words of these characters are lower-cased and cut alike here and in the library (its pattern on plain letters).
+PLAIN = re.compile("[!-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN_LINES = re.compile(PLAIN.pattern.replace("[", "[\n"))
+PART = re.compile("\n|'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -46,56 +53,123 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """A dictionary of two generations; what is used again outlives the older one."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that neither generation has; all others are in ``now`` afterwards."""
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > self.size:
+            self.old, self.now, new = self.now, {}, keys
+        again = {k for k in new if k in self.old}
+        self.now.update((k, self.old[k]) for k in again)
+        return list(new.difference(again))
+
+    def learn(self, keys: list[str], values: list[bytes]) -> None:
+        self.now.update(zip(keys, values, strict=True))
+
+    def find(self, key: str) -> bytes:
+        found = self.now.get(key)
+        return self.old[key] if found is None else found
+
+
 class WordEncoder:
     """The library's ids of a text, word by word.
 
-    The vocabulary drops white space and no token spans it, so the ids of a text are those of its words.  Words not
-    seen before go to the library in one call; its ``word_ids`` say which ids belong to which word.
+    The vocabulary drops white space and no token spans it, so the ids of a text are those of its words, and those of a
+    plain word are the ones of its parts (runs of letters, single digits, runs of symbols).  What is not remembered
+    goes to the library, many at once: in a line of parts the tokens that end a word tell them apart; odd words are
+    told apart by the library's ``word_ids``.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo: int = MEMO):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo_words = memo_words
-        self.memo: dict[str, bytes] = {}
+        self.memory = Memory(memo)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
+    def ask(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for k in range(0, len(words), 50_000):
             part = words[k : k + 50_000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            at = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
-            self.memo.update((w, raw[at[i] : at[i + 1]]) for i, w in enumerate(part))
+            out += _cut(np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(1, len(part) + 1)))
+        return out
+
+    def ask_parts(self, parts: list[str]) -> list[bytes]:
+        lines = [" ".join(parts[k : k + 200]) for k in range(0, len(parts), 200)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.array([i for x in found for i in x.ids], "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return _cut(ids, stops) if len(stops) == len(parts) else self.ask(parts)
+
+    def learn(self, words: list[str]) -> None:
+        joined = "\n".join(words)
+        if "<|" in joined or not PLAIN_LINES.fullmatch(joined):
+            odd = [w for w in words if "<|" in w or not PLAIN.fullmatch(w)]
+            self.memory.learn(odd, self.ask(odd))
+            words = list(set(words).difference(odd))
+            joined = "\n".join(words)
+        parts = PART.findall(joined.lower() + "\n")
+        new = self.memory.missing(set(parts).difference("\n"))
+        self.memory.learn(new, self.ask_parts(new))
+        now = self.memory.now
+        now["\n"] = b"\n"
+        ids = list(map(now.__getitem__, parts))
+        del now["\n"]
+        at = 0
+        for word in words:
+            stop = ids.index(b"\n", at)
+            now[word] = ids[at] if stop == at + 1 else b"".join(ids[at:stop])
+            at = stop + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif ODD_SPACE.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-            else:
-                words = text.split()
-                new = set(words).difference(self.memo)
-                if new:
-                    if len(self.memo) + len(new) > self.memo_words:
-                        self.memo.clear()
-                        new = set(words)
-                    self.learn(list(new))
-                out.append(b"".join(map(self.memo.__getitem__, words)))
+        for k in range(0, len(texts), 64):
+            part = [t or "" for t in texts[k : k + 64]]
+            split = [[] if has_odd_space(t) else t.split() for t in part]
+            get = self.memory.now.get
+            found = [list(map(get, words)) for words in split]
+            gaps = [[] if all(ids) else list(compress(range(len(ids)), map(not_, ids))) for ids in found]  # ids are never empty
+            unknown = {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}
+            if new := self.memory.missing(unknown):
+                self.learn(new)
+            get = self.memory.find
+            for text, words, ids, gap in zip(part, split, found, gaps, strict=True):
+                for i in gap:
+                    ids[i] = get(words[i])
+                if not words and has_odd_space(text):
+                    ids = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+                out.append(b"".join(ids))
         return out
 
 
+def has_odd_space(text: str) -> bool:
+    return any(c in text for c in ODD_SPACES)
+
+
+def _cut(ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    raw, at = ids.tobytes(), [0, *(stops * 4).tolist()]
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Encode docs(doc_id, text) and write them to path, in ascending order over all files."""
     where = vocabulary_path(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, before = WordEncoder(where), np.array([end_id], "<u4").tobytes(), 0
+        encoder = per_worker(("tokens", where), lambda: WordEncoder(where))
+        end, before = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
             counts = np.array([len(x) // 4 for x in ids], np.int64)
@@ -110,10 +184,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
             before += int(ends[-1]) if len(ends) else 0
 
     (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        .repartitionByRange("doc_id", "text_hash")
-        .sortWithinPartitions("doc_id", "text_hash")
-        .select("doc_id", "text")
+        docs.select("doc_id", "text")
+        .repartitionByRange("doc_id")  # the sample of the bounds reads the ids only
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(encode, FILE_SCHEMA)
         .write.options(**WRITE_OPTIONS)
         .orc(path)

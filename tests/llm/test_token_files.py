@@ -6,7 +6,7 @@ import pytest
 from rheolake.llm import token_files as tf
 from rheolake.llm.common import shared_path
 
-ODD = ["", "  \n ", "It's 12a b", "Ünïcode é İ ΑΣ", "x<|endoftext|>y <|startoftext|>", "a\x1cb c", "nb\u00a0sp\u2003em\u3000q", "日本語 text", "e\u0301 \u0301x", "don't won't", "🙂🙂 ok"]
+ODD = ["", "  \n ", "It's 12a b", "Ünïcode é İ ΑΣ", "x<|endoftext|>y <|startoftext|>", "a\x1cb c", "nb\u00a0sp\u2003em\u3000q", "日本語 text", "e\u0301 \u0301x", "don't won't I'LL x's't \"'s ..'d a'1", "ß É÷x Àé² ½ a_b x<|y", "ÀÉ.é,«ñ»¿Qué?", "🙂🙂 ok"]
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def plain():
 
 
 def test_word_by_word_is_the_library(plain):
-    encoder = tf.WordEncoder(tf.vocabulary_path(tf.VOCABULARY), memo_words=5)
+    encoder = tf.WordEncoder(tf.vocabulary_path(tf.VOCABULARY), memo=5)
     texts = ODD + [" ".join(ODD), " ".join(f"w{i} " for i in range(200))]
     for text, raw in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
