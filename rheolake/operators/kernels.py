@@ -124,7 +124,11 @@ def is_simple(around: np.ndarray) -> bool:
 
 
 def thin(ijk: np.ndarray) -> np.ndarray:
-    """The one-voxel-wide skeleton of a set of voxels: simple border voxels go, side by side, ends of lines stay."""
+    """The one-voxel-wide skeleton of a set of voxels: simple border voxels go, side by side, ends of lines stay.
+
+    Each side's border is taken in eight classes of even and odd places: voxels of a class do not touch each other, so
+    they go all at once and no line is eaten from its end.
+    """
     lo = ijk.min(0) - 1
     box = np.zeros(ijk.max(0) - lo + 2, bool)
     box[tuple((ijk - lo).T)] = True
@@ -133,7 +137,7 @@ def thin(ijk: np.ndarray) -> np.ndarray:
         changed = False
         for s in FACES:
             border = np.argwhere(box & ~np.roll(box, [-x for x in s], (0, 1, 2)))
-            for i, j, k in border[np.lexsort(border.T)]:
+            for i, j, k in border[np.argsort((border % 2) @ (4, 2, 1), kind="stable")]:
                 around = box[i - 1 : i + 2, j - 1 : j + 2, k - 1 : k + 2]
                 if around.sum() > 2 and is_simple(around):
                     box[i, j, k] = False

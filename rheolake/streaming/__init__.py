@@ -1 +1 @@
-"""streaming of rheolake."""
+"""Cases that arrive while a job runs."""
