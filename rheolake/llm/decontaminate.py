@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rheolake.llm.common import share, table
 
 WIDTH = 10
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 2_000_000
 #: Bytes of benchmark text whose phrases are shipped to the tasks at once.
 BLOCK_BYTES = 16 << 20
 #: Every how many text positions the suffix array keeps its value.
@@ -186,20 +186,23 @@ class Phrases:
         self.shortest = min((len(w) for w in owners), default=0)
 
 
-def find_in_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
-    """Per document of the shard: merged spans of hit words, and the numbers of the items found."""
+def number_words(words: list[bytes], phrases: Phrases) -> np.ndarray:
+    """Numbers of words in the benchmark's vocabulary, 0 for others."""
+    return np.fromiter(map(phrases.vocabulary.get, words, repeat(0)), np.int32, len(words))
+
+
+def find_in_shard(texts: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """Per document of the shard (numbered words): merged spans of hit words, and the numbers of the items found."""
     nothing: list[tuple[list[tuple[int, int]], list[int]]] = [([], []) for _ in texts]
     if not phrases.shortest:
         return nothing
     pieces, doc_no, word_no = [], [], []
-    number = phrases.vocabulary.get
-    for doc, words in enumerate(texts):
-        ids = np.fromiter(map(number, words, repeat(0)), np.int64, len(words))
+    for doc, ids in enumerate(texts):
         edge = np.diff((ids > 0).view(np.int8), prepend=0, append=0)
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = end - begin >= phrases.shortest
         for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-            pieces += [ids[b:e], np.zeros(1, np.int64)]
+            pieces += [ids[b:e].astype(np.int64), np.zeros(1, np.int64)]
             doc_no += [doc]
             word_no += [(b, e)]
     if not pieces:
@@ -279,7 +282,7 @@ def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, cle
     schema = f"{shown}, leak_text string, {LEAK_SCHEMA}"
     names = [x.strip().split(" ")[0].strip("`") for x in schema.split(", ")][: n_keep + 1]
 
-    def flush(book: Phrases, batches: list[pa.RecordBatch], texts: list[str | None], words: list[list[bytes]]) -> pa.RecordBatch:
+    def flush(book: Phrases, batches: list[pa.RecordBatch], texts: list[str | None], words: list[np.ndarray]) -> pa.RecordBatch:
         table_ = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
         found = find_in_shard(words, book)
         counts = [len(w) for w in words]
@@ -292,7 +295,7 @@ def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, cle
             clean_texts.append(left if clean else None)
         again = [i for i, t in enumerate(clean_texts) if t is not None]
         while again:
-            more = find_in_shard([words_of(clean_texts[i]) for i in again], book)
+            more = find_in_shard([number_words(words_of(clean_texts[i]), book) for i in again], book)
             again = [i for i, (runs, _) in zip(again, more, strict=True) if runs]
             for i, runs in zip(again, (r for r, _ in more if r), strict=True):
                 clean_texts[i] = cut_out(clean_texts[i], runs)[0]
@@ -323,13 +326,13 @@ def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, cle
         book = shared()
         held: list[pa.RecordBatch] = []
         texts: list[str | None] = []
-        words: list[list[bytes]] = []
+        words: list[np.ndarray] = []
         n = 0
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 own = batch.column(n_keep).to_pylist()
-                split = [words_of(t) for t in own]
+                split = [number_words(words_of(t), book) for t in own]
                 held.append(batch)
                 texts += own
                 words += split

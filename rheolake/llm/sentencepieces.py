@@ -34,7 +34,7 @@ MARK = "▁"
 #: Words of at most so many characters are solved many at once.
 SHORT = 24
 #: Words that a task remembers, and words whose N best it remembers.
-MEMO_WORDS, MEMO_BEST = 400_000, 100_000
+MEMO_WORDS, MEMO_BEST = 200_000, 20_000
 #: Pieces with such scores are there for symbols only; they do not count for the worst score.
 NEVER = -1e8
 UNKNOWN_LOSS = 10.0
