@@ -256,7 +256,7 @@ def nearest_neighbours(
             for at in range(0, len(ask), 512):
                 yield _answers(graph, base, ids, ask[at : at + 512], owners[at : at + 512], k, breadth)
 
-    found = together.repartition("dim", "shard").mapInArrow(work, "query_id long, vec_id long, score double")
+    found = together.repartition(sum(shards.values()), "dim", "shard").mapInArrow(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
