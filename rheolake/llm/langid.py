@@ -170,9 +170,11 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.select("doc_id", "lang").join(top, "lang", "left_semi").withColumn("place", F.row_number().over(order))
-    chosen = ranked.where(F.col("place") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
+    chosen = rows.select("doc_id", "lang", (F.hash("doc_id") % 64).alias("salt")).join(top, "lang", "left_semi")
+    for key in (("lang", "salt"), ("lang",)):  # a hot language is cut in many tasks first
+        order = Window.partitionBy(*key).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    chosen = chosen.select("doc_id", "lang").distinct()
     return rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"))
 
 
