@@ -118,3 +118,24 @@ def nearest_path_labels(mask: DataFrame, samples: DataFrame, spacing=(1.0, 1.0,
     near = keyed.join(spread, ["case_id", "bx", "by", "bz"]).groupBy(*key).agg(least).where(F.col("best.d2") <= (rings * size) ** 2)
     rest = voxels.join(near.select(*key), key, "left_anti").join(samples, "case_id").groupBy(*key).agg(least)
     return near.unionByName(rest).select(*key, (F.col("best.path_id") + 1).alias("label"))
+
+
+def pick_edge_or_node(nodes: DataFrame, edges: DataFrame, queries: DataFrame, favour: float = 0.7) -> DataFrame:
+    """queries(case_id, query_id, px, py, pz): the nearest node, or the nearest edge if that is nearer than favour times it."""
+    from rheolake.functions.vectors import dot, minus, vec
+
+    gap = minus(vec("p"), vec(""))
+    near = nodes.join(queries, "case_id").groupBy("case_id", "query_id").agg(F.min(F.struct(F.sqrt(dot(gap, gap)).alias("d"), "node_id")).alias("n"))
+    end = lambda c, p: nodes.select("case_id", F.col("node_id").alias(c), *[F.col(x).alias(f"{p}{x}") for x in "xyz"])
+    lines = edges.join(end("src", "a"), ["case_id", "src"]).join(end("dst", "b"), ["case_id", "dst"]).join(queries, "case_id")
+    along = minus(vec("b"), vec("a"))
+    size = dot(along, along)
+    alpha = F.when(size > 1e-24, F.least(F.greatest(dot(minus(vec("p"), vec("a")), along) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    off = tuple(F.col(f"p{c}") - F.col(f"a{c}") - F.col("alpha") * (F.col(f"b{c}") - F.col(f"a{c}")) for c in "xyz")
+    edge = lines.withColumn("alpha", alpha).groupBy("case_id", "query_id").agg(F.min(F.struct(F.sqrt(dot(off, off)).alias("d"), "src", "dst")).alias("e"))
+    both = near.join(edge, ["case_id", "query_id"], "full")
+    is_edge = F.coalesce(F.col("e.d") < favour * F.col("n.d"), F.col("n.d").isNull())
+    return both.select(
+        "case_id", "query_id", F.when(is_edge, "edge").otherwise("node").alias("picked"), F.when(~is_edge, F.col("n.node_id")).alias("node_id"),
+        F.when(is_edge, F.col("e.src")).alias("src"), F.when(is_edge, F.col("e.dst")).alias("dst"),
+    )

@@ -48,3 +48,12 @@ def sample_seeds(mask: DataFrame, ratio: float = 0.02, seed: int = 0, least: int
     wanted = F.least(F.col("size"), F.greatest(F.lit(least).cast("long"), F.rint(F.col("size") * ratio).cast("long")))
     ranked = mask.select("case_id", "i", "j", "k").withColumn("line_id", F.row_number().over(order) - 1)
     return ranked.join(sizes, "case_id").where(F.col("line_id") < wanted).drop("size")
+
+
+def plane_seeds(cut: DataFrame, ratio: float = 0.02, seed: int = 0, least: int = 50) -> DataFrame:
+    """Centres of some cut voxels of each plane, to start streamlines from: max(least, ceil(n ratio)) of the smallest hashes."""
+    whole = Window.partitionBy("case_id", "plane_index")
+    order = whole.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "plane_index", "i", "j", "k")), "i", "j", "k")
+    ranked = cut.withColumns({"n": F.count("*").over(whole), "line_id": F.row_number().over(order) - 1})
+    chosen = ranked.where(F.col("line_id") < F.greatest(F.lit(least).cast("long"), F.ceil(F.col("n") * ratio)))
+    return chosen.select("case_id", "plane_index", "line_id", *[(F.col(c) + 0.5).alias(p) for c, p in zip("ijk", "xyz", strict=True)])

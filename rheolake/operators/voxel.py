@@ -179,3 +179,18 @@ def probe(volume: DataFrame, points: DataFrame, fields: list[str], origin=(0.0,
     at = {c: F.floor((F.col(p) - o) / s).cast("int") for c, p, o, s in zip("ijk", "xyz", origin, spacing, strict=True)}
     found = points.withColumns(at).join(volume.select(*KEY, *fields), list(KEY), "left")
     return found.withColumns({f: F.coalesce(f, F.lit(0.0)) for f in fields}).drop("i", "j", "k")
+
+
+def content(volume: DataFrame, name: str) -> DataFrame:
+    """One scalar view: flow_x, flow_y, flow_z, magnitude, speed, angiogram (magnitude times speed), wss or tke."""
+    from rheolake.functions.signal import speed
+
+    fast = speed(F.col("vx"), F.col("vy"), F.col("vz"))
+    views = {"flow_x": "vx", "flow_y": "vy", "flow_z": "vz", "magnitude": "mag", "wss": "wss", "tke": "tke"}
+    value = F.col(views[name]) if name in views else {"speed": fast, "angiogram": F.col("mag") * fast}[name]
+    return volume.select(*[c for c in (*KEY, "t") if c in volume.columns], value.alias("value"))
+
+
+def keep_labels(seg: DataFrame, labels: list[int] | None = None) -> DataFrame:
+    """seg with some labels only; without a list it stays as it is."""
+    return seg if not labels else seg.where(F.col("label").isin(labels))

@@ -297,13 +297,13 @@ def direction_text(spark, d):
     return rows.select("o_orderkey", vectors.direction_text(vectors.vec("v")).alias("direction"))
 
 
-@query("""SELECT event_id, CAST(user_id AS INT) AS n, CASE WHEN event_type = 'view' THEN NULL ELSE CAST(user_id AS INT) END AS plane,
+@query("""SELECT event_id, CAST(user_id AS INT) AS n, CASE WHEN event_type = 'view' THEN -1 ELSE CAST(user_id AS INT) END AS plane,
   len(list_filter(string_split(replace(props, ';', ','), ','), lambda t: regexp_full_match(trim(t), '[+-]?[0-9]+'))) AS ints FROM events""")
 def indexed_keys(spark, d):
     rows = src.read(spark, d, "events").select("event_id", "user_id", "event_type", "props")
     key = F.concat(F.when(F.col("event_type") == "view", "smooth_path_").otherwise("plane_"), F.col("user_id"))
     both = F.coalesce(text.indexed_key(key, "plane"), text.indexed_key(key, "smooth_path"))
-    return rows.select("event_id", both.alias("n"), text.indexed_key(key, "plane").alias("plane"), F.size(text.int_list(F.col("props"))).cast("long").alias("ints"))
+    return rows.select("event_id", both.alias("n"), F.coalesce(text.indexed_key(key, "plane"), F.lit(-1)).alias("plane"), F.size(text.int_list(F.col("props"))).cast("long").alias("ints"))
 
 
 # ---------------------------------------------------------------------------------------------------------------- graph
@@ -457,11 +457,11 @@ def nearest_path(spark, d):
 
 @query(f"""WITH {L_SQL}, {_ASK}, g AS (SELECT c.path_id, c.seq, query_id, sqrt((px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2) AS distance FROM cums c JOIN ask USING (case_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, path_id, seq) AS rn FROM g)
-SELECT query_id, CASE WHEN distance <= 0.1 THEN 'plane' WHEN distance <= 0.2 THEN 'path' END AS picked, CASE WHEN distance <= 0.2 THEN path_id END AS path_id FROM r WHERE rn = 1""")
+SELECT query_id, CASE WHEN distance <= 0.1 THEN 'plane' WHEN distance <= 0.2 THEN 'path' END AS picked, CASE WHEN distance <= 0.2 THEN path_id ELSE -1 END AS path_id FROM r WHERE rn = 1""")
 def pick_nearest(spark, d):
     near = polyline.nearest_vertex(src.paths(spark, d), _queries(spark, d, False))
     picked = F.when(F.col("distance") <= 0.1, "plane").when(F.col("distance") <= 0.2, "path")
-    return near.select("query_id", picked.alias("picked"), F.when(picked.isNotNull(), F.col("path_id")).alias("path_id"))
+    return near.select("query_id", picked.alias("picked"), F.when(picked.isNotNull(), F.col("path_id")).otherwise(-1).alias("path_id"))
 
 
 _PLANES = "JOIN units u ON u.path_id = at_d.path_id AND u.segment = at_d.seq"
@@ -619,6 +619,50 @@ def plane_edits(spark, d):
     return rounded(edit.replace_planes(table).select("case_id", "plane_index", "nx", "ny", "nz", "label"), "nx", "ny", "nz")
 
 
+# ------------------------------------------------------------------------------------------------------- views and picks
+
+
+@query(f"WITH {C_SQL} SELECT o_orderkey AS case_id, 0 AS i, 0 AS j, 0 AS k, {s6('sqrt(re0 * re0 + im0 * im0) * sqrt(re0 * re0 + re1 * re1 + im1 * im1)')} AS value FROM sig")
+def content_angiogram(spark, d):
+    rows = src.signals(spark, d)
+    volume = rows.select(F.col("o_orderkey").alias("case_id"), *[F.lit(0).alias(c) for c in "ijk"], signal.magnitude(F.col("re0"), F.col("im0")).alias("mag"), F.col("re0").alias("vx"), F.col("re1").alias("vy"), F.col("im1").alias("vz"))
+    return rounded(voxel.content(volume, "angiogram"), "value")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 3)")
+def label_filter(spark, d):
+    return voxel.keep_labels(src.read(spark, d, "embeddings").select("vec_id", "label"), [1, 3])
+
+
+@query(f"""WITH {L_SQL}, {_ASK}, g AS (SELECT c.path_id, c.seq, c.cum, query_id, sqrt((px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2) AS distance FROM cums c JOIN ask USING (case_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, path_id, seq) AS rn FROM g)
+SELECT query_id AS plane_index, path_id, path_id + 1 AS label, {s6('cum')} AS distance FROM r WHERE rn = 1""")
+def reproject_planes(spark, d):
+    saved = _queries(spark, d, False).select("case_id", F.col("query_id").alias("plane_index"), *[F.col(f"p{c}").alias(f"c{c}") for c in "xyz"], F.lit(0).alias("path_id"))
+    return rounded(polyline.reproject_planes(saved, src.paths(spark, d)).select("plane_index", "path_id", "label", "distance"), "distance")
+
+
+@query(f"""WITH {L_SQL}, {_ASK}, n AS (SELECT query_id, path_id * 21 + seq AS node_id, sqrt((px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2) AS dn FROM pts JOIN ask USING (case_id)),
+bn AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dn, node_id) = 1),
+al AS (SELECT *, least(greatest(((px - x) * (qx - x) + (py - y) * (qy - y) + (pz - z) * (qz - z)) / ((qx - x) ** 2 + (qy - y) ** 2 + (qz - z) ** 2), 0.0), 1.0) AS alpha FROM segs JOIN ask USING (case_id) WHERE qx IS NOT NULL),
+e AS (SELECT query_id, path_id * 21 + seq AS src, sqrt((px - x - alpha * (qx - x)) ** 2 + (py - y - alpha * (qy - y)) ** 2 + (pz - z - alpha * (qz - z)) ** 2) AS de FROM al),
+be AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY de, src) = 1)
+SELECT query_id, CASE WHEN de < 0.7 * dn THEN 'edge' ELSE 'node' END AS picked, CASE WHEN de < 0.7 * dn THEN -1 ELSE node_id END AS node_id, CASE WHEN de < 0.7 * dn THEN src ELSE -1 END AS src FROM bn JOIN be USING (query_id)""")
+def pick_edge(spark, d):
+    points = src.paths(spark, d).withColumn("node_id", F.col("path_id") * 21 + F.col("seq"))
+    edges = points.where("seq < 20").select("case_id", F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
+    found = graph.pick_edge_or_node(points.select("case_id", "node_id", "x", "y", "z"), edges, _queries(spark, d, False))
+    return found.select("query_id", "picked", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("node_id", "src")])
+
+
+@query(f"""WITH {V_SQL}, r AS (SELECT case_id, i, j, k, count(*) OVER (PARTITION BY case_id) AS n, row_number() OVER (PARTITION BY case_id ORDER BY md5('3|0|' || i || '|' || j || '|' || k), i, j, k) - 1 AS line_id FROM mask WHERE k = 1)
+SELECT case_id, CAST(line_id AS INT) AS line_id, i + 0.5 AS x, j + 0.5 AS y, k + 0.5 AS z FROM r WHERE line_id < greatest(2, ceil(n * 0.5))""")
+def plane_seeds(spark, d):
+    head = src.volume_meta(spark, d).select("case_id", F.lit(0).alias("plane_index"), *[F.lit(v).alias(f"c{c}") for c, v in zip("xyz", (2.0, 2.0, 1.5), strict=True)], F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    cut = planes.cut_voxels(head, src.masks(spark, d).drop("voxel"))
+    return surface.plane_seeds(cut, 0.5, 3, 2).drop("plane_index")
+
+
 # ------------------------------------------------------------------------------------------- iterative kernels, rows only
 
 
