@@ -88,3 +88,26 @@ def test_options():
     assert config.planes.distance == 7 and not config.skeleton.gaussian
     with pytest.raises(ValueError):
         cli.config_of(cli.parser().parse_args(["in", "--output", "out", "--distance", "0"]))
+
+
+def test_places_of_saved_planes(spark, tmp_path):
+    (tmp_path / "c1").mkdir()
+    (tmp_path / "planes.json").write_text("{}")
+    assert sinks.find_positions(spark, str(tmp_path), "c1").endswith("/planes.json")
+    (tmp_path / "c1/planes.json").write_text("{}")
+    assert sinks.find_positions(spark, str(tmp_path), "c1").endswith("c1/planes.json")
+    (tmp_path / "c1/plane_positions.json").write_text("{}")
+    assert sinks.find_positions(spark, str(tmp_path), "c1").endswith("c1/plane_positions.json")
+    assert sinks.find_positions(spark, str(tmp_path / "planes.json"), "c1") == str(tmp_path / "planes.json")
+    assert sinks.find_positions(spark, str(tmp_path / "none"), "c1") == str(tmp_path / "none")
+
+
+def test_snapshot_report_and_frames(spark, tmp_path):
+    runs = spark.createDataFrame([("a", "ok", 2.0, None), ("b", "ok", 4.0, None), ("c", "error", 9.0, "x")], "case_id string, status string, seconds double, error string")
+    sinks.save_tables({"runs": runs}, str(tmp_path / "s"))
+    assert sinks.load_tables(spark, str(tmp_path / "s"), ["runs"])["runs"].count() == 3
+    sinks.write_report(runs, str(tmp_path / "r"))
+    timing = spark.read.json(str(tmp_path / "r/timing")).first()
+    assert (timing.ok, timing.failed, timing["mean"], round(timing.std, 6)) == (2, 1, 3.0, 1.414214)
+    frames = sinks.frame_times(spark.range(7).withColumnRenamed("id", "frame"), 2, 3).orderBy("frame")
+    assert [r.t for r in frames.collect()] == [0, 0, 1, 1, 2, 2, 0]
