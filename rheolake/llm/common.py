@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of an Arrow batch of whole texts on its way to Python.
+ARROW_BATCH = "8m"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands whole texts to Python in small batches from now on, so long texts cannot pile up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return df
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder that driver and executors share.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import share, table
+from rheolake.llm.common import bound_batches, share, table
 
 WIDTH = 10
 SHARD_WORDS = 2_000_000
@@ -269,18 +269,18 @@ def find_leaks(
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     kept = [docs.schema[c] for c in keep]
     shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = docs.select(*keep, F.col("text").alias("leak_text"))
+    rows = bound_batches(docs).select(*keep, F.col("text").alias("leak_text"))
     for block in range(blocks):
         chosen = items.where(part == block) if blocks > 1 else items
         phrases = Phrases([(r["item"], r["text"]) for r in chosen.collect()], width)
-        rows = _scan(rows, phrases, shown, len(keep), shard_words, clean, block == 0)
+        rows = _scan(rows, phrases, shown, list(keep), shard_words, clean, block == 0)
     return rows.drop("leak_text")
 
 
-def _scan(rows, phrases: Phrases, shown: str, n_keep: int, shard_words: int, clean: bool, first: bool) -> DataFrame:
+def _scan(rows: DataFrame, phrases: Phrases, shown: str, keep: list[str], shard_words: int, clean: bool, first: bool) -> DataFrame:
     shared = share(rows.sparkSession, phrases)
     schema = f"{shown}, leak_text string, {LEAK_SCHEMA}"
-    names = [x.strip().split(" ")[0].strip("`") for x in schema.split(", ")][: n_keep + 1]
+    names, n_keep = [*keep, "leak_text"], len(keep)
 
     def flush(book: Phrases, batches: list[pa.RecordBatch], texts: list[str | None], words: list[np.ndarray]) -> pa.RecordBatch:
         table_ = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

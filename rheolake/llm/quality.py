@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import share, table
+from rheolake.llm.common import bound_batches, share, table
 
 MAX_LABELLED = 20_000
 MAX_POOL = 10_000
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     pool = docs.where("doc_id IS NOT NULL").select("doc_id", F.lit(-1).alias("label")).orderBy(order, "doc_id").limit(max_pool)
     # both lists are bounded by parameters, so they are broadcast
     chosen = taught.unionByName(pool).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "lang", "source", "n_chars")
+    rows = bound_batches(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "lang", "source", "n_chars")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ("doc_id",)
     shared = share(docs.sparkSession, model)
     kept = [docs.schema[c] for c in keep]
     n = len(kept)
-    rows = docs.select(*keep, *(F.col(c).alias(f"view_{c}") for c in ("text", "lang", "source", "n_chars")))
+    rows = bound_batches(docs).select(*keep, *(F.col(c).alias(f"view_{c}") for c in ("text", "lang", "source", "n_chars")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", content_score double, metadata_score double, quality_score double, accepted boolean"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

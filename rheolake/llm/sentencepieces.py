@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import table
+from rheolake.llm.common import bound_batches, table
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
@@ -329,7 +329,7 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n: in
                     [*keep, "ids", "score", "n_best", "ids_crc32", "round_trip"],
                 )
 
-    return docs.select(*keep, F.col("text").alias("piece_text")).mapInArrow(run, schema)
+    return bound_batches(docs).select(*keep, F.col("text").alias("piece_text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
@@ -344,7 +344,7 @@ def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), mo
             texts = [pieces.decode(ids or []) for ids in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], [*keep, "text"])
 
-    return encoded.select(*keep, F.col("ids").alias("piece_ids")).mapInArrow(run, schema)
+    return bound_batches(encoded).select(*keep, F.col("ids").alias("piece_ids")).mapInArrow(run, schema)
 
 
 def op1_sentencepieces(spark, sf_dir: str) -> DataFrame:

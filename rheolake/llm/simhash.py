@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import materialize, table
+from rheolake.llm.common import bound_batches, materialize, table
 from rheolake.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS, AGREE = 3, 42, 3, 2
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 fps = fingerprint_texts(batch.column(1).to_pylist(), shingle, seed)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------------------------------------------- bit-sliced links

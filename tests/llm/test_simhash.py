@@ -52,7 +52,7 @@ def test_near_lanes(radius):
         fps[i] = fps[i - 75] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, i % 11, replace=False)))
     planes = s.bit_planes(fps)
     rows, blocks = np.repeat(np.arange(150), 3), np.tile(np.arange(3), 150)
-    which, lanes = s.near_lanes(fps[rows], blocks, planes, radius) if radius else s.near_lanes(fps[rows], blocks, planes, 0)
+    which, lanes = s.near_lanes(fps[rows], blocks, planes, radius)
     got = {(int(rows[w]), int(blocks[w]) * 64 + k) for w, x in zip(which, lanes, strict=True) for k in range(64) if int(x) >> k & 1}
     got = {(i, j) for i, j in got if j < 150}
     assert got == {(i, j) for i in range(150) for j in range(150) if int(fps[i] ^ fps[j]).bit_count() <= radius}
