@@ -9,8 +9,12 @@ from rheolake.llm.common import materialize
 
 
 def _attach_least(edges: DataFrame) -> DataFrame:
-    """edges(u, v) with least: the smallest of u and its neighbours.  Hot hubs are pre-aggregated, then skew-joined."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    """edges(u, v) with least: the smallest of u and its neighbours.
+
+    The minimum is combined in every task before it is shuffled.  It is written, so that both sides of the join come from
+    plain shuffles and Spark can split a hub's edges among tasks at run time.
+    """
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
     return edges.join(least, "u").withColumn("least", F.least("u", "least"))
 
 
@@ -25,6 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _attach_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = materialize(large, "edges")
         star = _attach_least(large)
         small = star.select("u", F.col("least").alias("v")).unionByName(
             star.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
