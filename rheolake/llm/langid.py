@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import share, table
+from rheolake.llm.common import bound_batches, share, table
 
 #: Bounds of the labelled sample: documents per language, characters taken from one of them, characters per language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 400, 2_000, 60_000
@@ -170,7 +170,7 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    chosen = rows.select("doc_id", "lang", (F.hash("doc_id") % 64).alias("salt")).join(top, "lang", "left_semi")
+    chosen = rows.select("doc_id", "lang", (F.hash("doc_id") % 8).alias("salt")).join(top, "lang", "left_semi")
     for key in (("lang", "salt"), ("lang",)):  # a hot language is cut in many tasks first
         order = Window.partitionBy(*key).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
@@ -224,7 +224,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, lang_pred string, score double")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(apply, "doc_id long, lang_pred string, score double")
 
 
 def is_held_out(doc_id):
