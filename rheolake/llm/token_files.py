@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 from operator import not_
 
 import numpy as np
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import per_worker, shared_path, table
+from rheolake.llm.common import bound_batches, per_worker, shared_path, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words and parts of words that one Python worker remembers at most, twice over: a full memory becomes the old one.
-MEMO = 400_000
+MEMO = 550_000
 FILE_SCHEMA = "doc_id long, in_file long, n_tokens long, ids array<int>"
 WRITE_OPTIONS = {
     "compression": "none",  # run-length encoded ids hardly shrink further
@@ -83,8 +83,8 @@ class WordEncoder:
 
     The vocabulary drops white space and no token spans it, so the ids of a text are those of its words, and those of a
     plain word are the ones of its parts (runs of letters, single digits, runs of symbols).  What is not remembered
-    goes to the library, many at once: in a line of parts the tokens that end a word tell them apart; odd words are
-    told apart by the library's ``word_ids``.
+    goes to the library: plain letters to its model, other parts many in a line, where the tokens that end a word tell
+    them apart; odd words are told apart by the library's ``word_ids``.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -93,6 +93,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = Memory(memo)
+        self.tokenize = self.tokenizer.model.tokenize
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -106,11 +107,20 @@ class WordEncoder:
         return out
 
     def ask_parts(self, parts: list[str]) -> list[bytes]:
-        lines = [" ".join(parts[k : k + 200]) for k in range(0, len(parts), 200)]
-        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.array([i for x in found for i in x.ids], "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        return _cut(ids, stops) if len(stops) == len(parts) else self.ask(parts)
+        """ASCII letters need no normalizing and are byte-level symbols as they are: they go to the model itself."""
+        plain = [p for p in parts if p.isascii() and p.isalpha()]
+        rest = list(set(parts).difference(plain))
+        known: dict[str, bytes] = {}
+        if plain:
+            found = [[t.id for t in self.tokenize(p)] for p in plain]
+            ids = np.array(list(chain.from_iterable(found)), "<u4")
+            known.update(zip(plain, _cut(ids, np.cumsum([len(x) for x in found])), strict=True))
+        if rest:
+            lines = [" ".join(rest[k : k + 200]) for k in range(0, len(rest), 200)]
+            ids = np.array([i for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            known.update(zip(rest, _cut(ids, stops) if len(stops) == len(rest) else self.ask(rest), strict=True))
+        return [known[p] for p in parts]
 
     def learn(self, words: list[str]) -> None:
         joined = "\n".join(words)
@@ -184,7 +194,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
             before += int(ends[-1]) if len(ends) else 0
 
     (
-        docs.select("doc_id", "text")
+        bound_batches(docs)
+        .select("doc_id", "text")
         .repartitionByRange("doc_id")  # the sample of the bounds reads the ids only
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(encode, FILE_SCHEMA)
