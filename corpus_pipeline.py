@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from rheolake.llm import decontaminate, line_dedup, quality, sentencepieces, simhash
 from rheolake.llm.common import shared_path, table
 
-#: Near-duplicate stage: five-word shingles; fingerprints that agree in 58 of 64 bits (a similarity over 0.9) link.
-SHINGLE, RADIUS = 5, 6
+#: Near-duplicate stage: five-word shingles; texts whose sets of them have a Jaccard similarity of LEAST link.  Groups of
+#: fingerprints that agree in 58 of 64 bits are candidates besides those of min-hashes.
+SHINGLE, RADIUS, LEAST = 5, 6, (4, 5)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id."""
-    return simhash.drop_near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
+    return simhash.drop_near_duplicates(docs, least=LEAST, shingle=SHINGLE, radius=RADIUS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

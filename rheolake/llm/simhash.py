@@ -10,6 +10,9 @@ distances exceed the radius.  What leaves a task is a star per group found, not
 Equal fingerprints are one node from the start, so copies cost nothing; a bucket of over ``chunk`` fingerprints is
 dealt out as pairs of chunks to many tasks.
 
+``near_copies`` holds to a similarity instead: of pairs that share min-hashes of their shingles in a row, or a group of
+linked fingerprints, those stay whose sets of shingles have the Jaccard similarity asked for, counted exactly.
+
 Defined cases: a null text, or one without words, has fingerprint zero and links like any other; fewer words than a
 shingle are one shingle; null document ids take part but never name a component, unless it has no other; repeated rows
 and ties fall into one component; an empty table gives an empty result; other columns are not looked at.
@@ -17,7 +20,7 @@ and ties fall into one component; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +33,10 @@ from rheolake.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS, AGREE = 3, 42, 3, 2
 CHUNK = 1024
+#: Keys of three min-hashes each; a pair of similarity 0.8 shares none of them in one of 100,000 cases.
+BANDS, BAND_ROWS = 16, 3
+#: Shingles of a text hashed at once.
+SLAB_SHINGLES = 1 << 14
 #: Rows of sorted buckets that a task looks at together.
 SLAB_ROWS = 200_000
 #: (query, block) comparisons held in arrays at once.
@@ -55,8 +62,8 @@ def shingle_digests(text: str | None, size: int, seed: int) -> list[bytes]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist() if size > 1 else starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
-def fingerprint_texts(texts: list[str | None], size: int, seed: int) -> np.ndarray:
-    """Fingerprints as unsigned numbers."""
+def fingerprint_texts(texts: list[str | None], size: int, seed: int, seen: Callable[[list[bytes]], None] | None = None) -> np.ndarray:
+    """Fingerprints as unsigned numbers; each text's digests are shown to ``seen``."""
     out, todo, held = np.zeros(len(texts), np.uint64), [], 0
     digests: list[list[bytes]] = []
 
@@ -79,6 +86,8 @@ def fingerprint_texts(texts: list[str | None], size: int, seed: int) -> np.ndarr
 
     for i, text in enumerate(texts):
         found = shingle_digests(text, size, seed)
+        if seen:
+            seen(found)
         if found:
             todo.append(i)
             digests.append(found)
@@ -240,13 +249,115 @@ def near_duplicates(
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(digests: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(digests), np.uint64))
+
+
+def band_keys(found: np.ndarray, seed: int) -> list[int]:
+    """A key per band of min-hashes of a set, as signed longs; none for an empty set."""
+    import xxhash
+
+    if not len(found):
+        return []
+    odd, flip = np.random.default_rng(seed).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1)).astype(np.uint64)
+    odd = odd << np.uint64(1) | np.uint64(1)
+    slabs = (found[k : k + SLAB_SHINGLES] for k in range(0, len(found), SLAB_SHINGLES))
+    least = np.min([((slab ^ flip) * odd).min(axis=1) for slab in slabs], axis=0).reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed) for band in least], np.uint64).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """doc_id, text_hash, fp, and of the set of shingles: a hash (node), the size n and the keys of the bands."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch, nodes, sizes, keys = whole.slice(k, 1000), [], [], []
+
+                def seen(digests: list[bytes], nodes=nodes, sizes=sizes, keys=keys) -> None:
+                    found = shingle_set(digests)
+                    nodes.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
+                    sizes.append(len(found))
+                    keys.append(band_keys(found, seed))
+
+                fps = fingerprint_texts(batch.column(2).to_pylist(), shingle, seed, seen)
+                columns = [pa.array(fps.view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "fp", "node", "n", "bands"])
+
+    rows = bound_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(compute, "doc_id long, text_hash long, fp long, node long, n long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """node and its set of shingles, for the wanted (node, text_hash)."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 100):
+                batch = whole.slice(k, 100)
+                sets = [shingle_set(shingle_digests(text, shingle, seed)).view(np.int64) for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["node"])
+    return bound_batches(rows.select("node", "text")).mapInArrow(compute, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets have at least this Jaccard similarity, a fraction of whole numbers."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return both.where(least[1] * common >= least[0] * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
+
+
+def near_copies(
+    docs: DataFrame, least: tuple[int, int], shingle: int = SHINGLE, radius: int = RADIUS, agree: int = AGREE, seed: int = SEED, chunk: int = CHUNK
+) -> DataFrame:
+    """doc_id and component_id over links of at least the Jaccard similarity ``least``, a fraction like (4, 5).
+
+    Candidates share a bucket: a band, or a component of fingerprints within ``radius``.  First each is held against the
+    first of its bucket, then against all in its bucket that are not yet of its component; so a large group of copies
+    makes few pairs, and every two of a bucket that matter are compared.
+    """
+    rows = materialize(sketches(docs, shingle, seed), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")], F.min("text_hash").alias("text_hash"))
+    nodes = materialize(nodes, "nodes")
+    groups = connected_components(links(nodes.select("fp").distinct(), radius, agree, chunk)).withColumnsRenamed({"node": "fp", "root": "key"})
+    # buckets of equal fingerprints count as well as those of linked ones
+    linked = nodes.where("n > 0").join(groups, "fp", "left").select(F.lit(-1).alias("no"), F.coalesce("key", "fp").alias("key"), "node", "n")
+    every = nodes.select(F.posexplode("bands").alias("no", "key"), "node", "n").unionByName(linked)
+    shared = every.groupBy("no", "key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head")).where("c > 1").drop("c")
+    members = materialize(every.join(shared, ["no", "key"]), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    sets = materialize(shingle_sets(docs, wanted, shingle, seed), "sets")
+    # sets of too different sizes cannot be that similar
+    sizes = lambda a, b: least[1] * F.least(a, b) >= least[0] * F.greatest(a, b)
+    stars = members.where((F.col("node") > F.col("head.node")) & sizes(F.col("n"), F.col("head.n")))
+    near = materialize(similar(stars.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), sets, least), "near")
+    named = members.join(connected_components(near), "node", "left").select("no", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("no", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("no", "key")
+    open_rows = materialize(named.join(mixed, ["no", "key"], "left_semi"), "open")
+    other = open_rows.withColumnsRenamed({"node": "v", "n": "v_n", "root": "v_root"})
+    rest = open_rows.join(other, ["no", "key"]).where((F.col("root") < F.col("v_root")) & sizes(F.col("n"), F.col("v_n")))
+    more = materialize(similar(rest.select(F.col("node").alias("u"), "v").distinct(), sets, least), "near")
+    roots = connected_components(near.unionByName(more))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = materialize(rooted.join(names, "root").select("node", "component_id"), "classes")
+    return rows.join(classes, "node").select("doc_id", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
     """docs without those whose component has a smaller doc_id.
 
-    Rows without an id stay, and rows of one id stay or go together.  Up to ``broadcast_ids`` ids to drop are
+    Components are those of near_copies where ``least`` is given, else of near_duplicates.  Rows without an id stay, and
+    rows of one id stay or go together.  Up to ``broadcast_ids`` ids to drop are
     broadcast; more are joined by shuffling.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    find = near_copies if "least" in options else near_duplicates
+    found = find(docs.select("doc_id", "text"), **options)
     gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
     return docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")

@@ -89,3 +89,49 @@ def test_one_of_each_group_stays(spark):
     for bound in (0, 10):
         left = s.drop_near_duplicates(docs.select("doc_id", "text"), bound, shingle=5)
         assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "6", "7", "None"]
+
+
+def jaccard(a, b, size=5):
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_copies_of_similarity_08(spark):
+    """Planted copies of all similarities around the bound, chains and a hub, against all pairs compared."""
+    rng = random.Random(8)
+    texts = ["", "one two", "One  two", "one two three"]
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 1, 3])):
+            base = list(base) if k % 2 else texts[-1].split()
+            for i in rng.sample(range(len(base)), rng.randrange(1, 2 + len(base) // 40)):
+                base[i] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(base))
+    hub = [f"h{i}" for i in range(200)]
+    texts += [" ".join(hub[:i] + ["x"] + hub[i + 1 :]) for i in range(0, 200, 5)]
+    ids = list(range(len(texts)))
+    root = list(ids)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i in ids:
+        for j in range(i):
+            if texts[i].lower().split() == texts[j].lower().split() or jaccard(texts[i], texts[j]) >= 0.8:
+                far += (brute_fp(texts[i], 5) ^ brute_fp(texts[j], 5)).bit_count() > 6
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert far > 20
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in s.near_copies(docs, (4, 5), shingle=5, radius=6).collect()}
+    assert got == {i: find(i) for i in ids}
+    left = s.drop_near_duplicates(docs, least=(4, 5), shingle=5, radius=6)
+    assert sorted(r.doc_id for r in left.collect()) == sorted({find(i) for i in ids})
+    assert s.near_copies(docs.limit(0), (4, 5)).count() == 0
