@@ -7,8 +7,8 @@ and the smallest wins.  Automata are completed into flat transition tables ("no
 one), so numpy advances thousands of text blocks by one character at once.
 
 Texts are read whole, in blocks of ``BLOCK`` characters; phrases end with their block.  Characters are lower-cased;
-those that are not among the ``ALPHABET`` commonest letters of the sample are one symbol, and runs of other characters
-than letters are one space.
+letters that are not among the ``ALPHABET`` commonest of the sample are spelled as the hexadecimal digits of their code
+point, each digit a symbol, and runs of other characters than letters are one space.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; labelled rows without text or letters do
 not teach; ties between languages go to the first by name; without any labelled text every text is ``und``; repeated
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rheolake.llm.common import bound_batches, share, table
 
-#: Bounds of the labelled sample: documents per language, characters taken from one of them, characters per language.
+#: Bounds of the labelled sample: documents per language, characters taken from one of them, symbols per language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 400, 2_000, 60_000
 #: Languages at most, the most frequent first; with the sample's bound this bounds the model.
 MAX_LANGUAGES = 200
@@ -83,11 +83,11 @@ def parser_table(text: np.ndarray, symbols: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Numbers of characters: 0 the space, 1 other letters, then the given letters."""
+    """Numbers of characters: 0 the space, 1 other letters, then the given letters; other letters may be spelled in digits."""
 
-    def __init__(self, letters: list[str]):
-        self.letters = letters
-        self.symbols = len(letters) + 2
+    def __init__(self, letters: list[str], spell: bool = False):
+        self.letters, self.spell = letters, spell
+        self.symbols = len(letters) + 2 + 16 * spell
         self.low = np.zeros(1 << 16, np.uint8)
         for c in range(1 << 16):
             if chr(c).isalpha():
@@ -103,7 +103,14 @@ class Alphabet:
             codes[far] = [chr(c).isalpha() for c in raw[far].tolist()]
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
-        return codes[keep]
+        codes, raw = codes[keep], raw[keep]
+        if not self.spell or not (codes == 1).any():
+            return codes
+        count = np.where(codes == 1, np.where(raw > 0xFFFF, 6, 4), 1)
+        at = np.repeat(np.arange(len(codes)), count)
+        place = np.repeat(np.cumsum(count), count) - 1 - np.arange(len(at))
+        digits = raw[at] >> (4 * place) & 15
+        return np.where(codes[at] == 1, digits + len(self.letters) + 2, codes[at]).astype(np.uint8)
 
     def is_letter(self, codes: np.ndarray) -> bool:
         return bool((codes > 0).any())
@@ -118,7 +125,7 @@ class Model:
     """Parser tables by language."""
 
     def __init__(self, letters: list[str], tables: dict[str, bytes], sizes: dict[str, int]):
-        self.alphabet = Alphabet(letters)
+        self.alphabet = Alphabet(letters, spell=True)
         self.names = sorted(tables)
         self.tables = [np.frombuffer(tables[n], np.int32) for n in self.names]
         self.logs = np.log2([max(2, sizes[n]) for n in self.names])
@@ -192,7 +199,7 @@ def fit(docs: DataFrame) -> Model:
         def build(pdf):
             import pandas as pd
 
-            alphabet = Alphabet(letters)
+            alphabet = Alphabet(letters, spell=True)
             pieces, size = [], 0
             for text in pdf.sort_values("doc_id")["text"]:
                 codes = alphabet.encode(text)

@@ -74,3 +74,18 @@ def test_automaton_size():
     ways = li.suffix_automaton(np.array([0, 1, 0, 0, 1]), 2)
     assert len(ways) <= 10
     assert ways[0, 0] > 0 and ways[0, 1] > 0
+
+
+def test_scripts_beyond_the_alphabet(spark):
+    """Seven scripts, one word length: rare ones are told apart by their letters."""
+    rng = random.Random(6)
+    first = {"latin": 0x61, "cyrillic": 0x430, "greek": 0x3B1, "thai": 0xE01, "chinese": 0x4E00, "korean": 0xAC00, "math": 0x1D4D0}
+    size = {"latin": 26, "cyrillic": 32, "chinese": 800, "korean": 800}
+    rows = []
+    for lang, at in first.items():
+        words = ["".join(chr(at + rng.randrange(size.get(lang, 16))) for _ in range(4)) for _ in range(60)]
+        for k in range(160 if lang in ("latin", "cyrillic") else 25):
+            rows.append((len(rows), " ".join(rng.choices(words, k=30)), lang if k % 5 else None, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
+    got = {r.doc_id: r.lang_pred for r in li.predict(docs, li.fit(docs)).collect()}
+    assert [got[r[0]] for r in rows] == [r[3] for r in rows]
