@@ -28,6 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
         "op6_url_filter": url_filter.SQL,
-        "op9_quality": quality.op9_quality,
         "op10_line_dedup": line_dedup.SQL,
     }
