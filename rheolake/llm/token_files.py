@@ -178,7 +178,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     where = vocabulary_path(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(("tokens", where), lambda: WordEncoder(where))
+        encoder = per_worker("tokens", where, lambda: WordEncoder(where))
         end, before = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
