@@ -19,27 +19,26 @@ def brute_phrases(text, sample):
     return n
 
 
-def test_phrases_are_longest_matches(monkeypatch):
+@pytest.mark.parametrize("block", [1, 3, 50, 4096])
+def test_phrases_are_longest_matches_of_whole_texts(monkeypatch, block):
     rng = random.Random(4)
-    monkeypatch.setattr(li, "BLOCK", 50)
+    monkeypatch.setattr(li, "BLOCK", block)
     monkeypatch.setattr(li, "LANES", 7)
-    alphabet = li.Alphabet(list("abc"))
     samples = {k: "".join(rng.choices("ab c"[: 2 + i], k=60 + i)) for i, k in enumerate(("x", "y", "z"))}
-    tables = {k: li.parser_table(alphabet.encode(t), alphabet.symbols).tobytes() for k, t in samples.items()}
-    model = li.Model(list("abc"), tables, {k: 60 for k in tables})
-    texts = ["".join(rng.choices("abcé", k=rng.randrange(1, 170))) for _ in range(40)]
-    codes = [alphabet.encode(t) for t in texts]
+    samples["z"] += "abcabcabd" * 9  # long phrases that cross many blocks
+    model = li.Model({k: [t] for k, t in samples.items()})
+    texts = ["".join(rng.choices("abcé", k=rng.randrange(1, 170))) for _ in range(40)] + ["abcabcabd" * 15, "é", "a" * 400]
+    codes = [model.alphabet.encode(t) for t in texts]
     got = model.phrases(codes)
     for i, c in enumerate(codes):
         for j, name in enumerate(model.names):
-            sample = alphabet.encode(samples[name]).tolist()
-            assert got[i, j] == sum(brute_phrases(c[k : k + 50].tolist(), sample) for k in range(0, len(c), 50))
+            assert got[i, j] == brute_phrases(c.tolist(), model.alphabet.encode(samples[name]).tolist())
 
 
 def test_alphabet():
-    alphabet = li.Alphabet(["a", "é"])
-    assert alphabet.encode("Aé, \n a1b😀𝒳!").tolist() == [2, 3, 0, 2, 0, 1, 0, 1, 0]
-    assert not alphabet.is_letter(alphabet.encode("12 _ …"))
+    alphabet = li.Alphabet(["a", "é", "𝒳"])
+    assert alphabet.encode("Aé, \n a1b😀𝒳!𝒴").tolist() == [2, 3, 0, 2, 0, 1, 0, 4, 0, 1]
+    assert not li.has_letter(alphabet.encode("12 _ …"))
 
 
 @pytest.fixture(scope="module")
@@ -71,9 +70,18 @@ def test_nothing_to_learn_or_to_say(docs):
 
 
 def test_automaton_size():
-    ways = li.suffix_automaton(np.array([0, 1, 0, 0, 1]), 2)
+    ways = li.suffix_automaton([0, 1, 0, 0, 1])
     assert len(ways) <= 10
-    assert ways[0, 0] > 0 and ways[0, 1] > 0
+    assert ways[0][0] > 0 and ways[0][1] > 0
+
+
+def test_parser_has_the_automatons_ways():
+    rng = random.Random(3)
+    text = [rng.randrange(9) for _ in range(500)]
+    ways, parser = li.suffix_automaton(text), li.Parser(text, 9)
+    for state in range(1, len(ways)):
+        to, starts = parser.step(np.full(9, state, np.int32), np.arange(9, dtype=np.int32))
+        assert [None if s else int(t) for t, s in zip(to, starts, strict=True)] == [ways[state].get(c) for c in range(9)]
 
 
 def test_scripts_beyond_the_alphabet(spark):
@@ -89,3 +97,31 @@ def test_scripts_beyond_the_alphabet(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
     got = {r.doc_id: r.lang_pred for r in li.predict(docs, li.fit(docs)).collect()}
     assert [got[r[0]] for r in rows] == [r[3] for r in rows]
+
+
+def test_three_hundred_languages(spark):
+    rng = random.Random(8)
+    names = [f"l{i:03d}" for i in range(300)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(12)] for n in names}
+    rows = [(k * 300 + i, " ".join(rng.choices(words[n], k=15)), n) for i, n in enumerate(names) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = li.fit(docs)
+    assert sorted(texts) == names
+    got = {r.doc_id: r.lang_pred for r in li.predict(docs, texts).collect()}
+    assert [got[r[0]] for r in rows] == [r[2] for r in rows]
+
+
+def test_ties_repeats_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_DOCS", 5)
+    monkeypatch.setattr(li, "SAMPLE_CHARS", 100)
+    monkeypatch.setattr(li, "SAMPLE_DOC_CHARS", 40)
+    same = [(7, "one text for both", "b"), (7, "one text for both", "a")] + [(7, "one text for both", "a")] * 50
+    long = [(8, "wx yz " * 50, "long"), (9, "wx yz " * 40, "long"), (None, "qqq", "nobody")]
+    many = [(100 + i, f"{'kl mn op'} {i}", "many") for i in range(90)]
+    docs = spark.createDataFrame(same + long + many, "doc_id long, text string, lang string").repartition(5)
+    texts = li.fit(docs)
+    assert texts["a"] == texts["b"] == ["one text for both"]
+    assert texts["long"] == ["wx yz " * 40]  # the shortest, whole
+    assert len(texts["many"]) == 5 and "nobody" not in texts
+    got = {(r.doc_id, r.lang_pred) for r in li.predict(docs, texts).collect()}
+    assert (7, "a") in got and (7, "b") not in got and (8, "long") in got
