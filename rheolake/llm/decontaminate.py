@@ -8,11 +8,15 @@ occurrences are located by walking to sampled suffix positions.  Overlapping occ
 
 A word outside the vocabulary ends every match, so only runs of vocabulary words at least as long as the shortest
 phrase enter the index; nothing that could match is left out.  The pass is narrow: documents are not shuffled.  The
-phrases go to every task as long as they are within ``BLOCK_BYTES``; a larger benchmark is searched block by block.
-
-Defined cases: a null text has no words and stays null; a null item text gives no phrase; a null item id still marks
-words but is not listed; repeated rows are answered alike; an empty benchmark hits nothing; an empty table gives an
-empty result; further columns pass through untouched only where they are asked for with ``keep``.
+phrases go to every task as long as they are within ``BLOCK_BYTES``; a larger benchmark is cut into blocks (an item over
+``PIECE_WORDS`` words into overlapping pieces first), of which a task has one in memory at a time.  Spans of all blocks
+are merged before anything is cut out, and cut texts are searched again over all blocks until nothing is found, so the
+size of a block changes no result.
+
+Defined cases: a null text has no words and stays null; texts of any length are searched whole; a null item text gives
+no phrase; a null item id still marks words but is not listed; repeated rows are answered alike; an empty benchmark hits
+nothing; an empty table gives an empty result; further columns pass through untouched where they are asked for with
+``keep``, whatever their names; only a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -20,17 +24,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from rheolake.llm.common import bound_batches, share, table
+from rheolake.llm.common import bound_batches, packed, share, table, unpacked
 
 WIDTH = 10
-SHARD_WORDS = 2_000_000
+#: Bytes of text per index.
+SHARD_BYTES = 12 << 20
+#: Words of a piece of a long benchmark item.
+PIECE_WORDS = 100_000
 #: Bytes of benchmark text whose phrases are shipped to the tasks at once.
 BLOCK_BYTES = 16 << 20
 #: Every how many text positions the suffix array keeps its value.
@@ -182,7 +190,7 @@ class Phrases:
             chosen = [w for w in owners if len(w) == size]
             lists = [[number[x] for x in owners[w]] for w in chosen]
             first = np.r_[0, np.cumsum([len(x) for x in lists])]
-            self.groups.append((np.array(chosen, np.int64), first, np.array(sum(lists, []), np.int64)))
+            self.groups.append((np.array(chosen, np.int64), first, np.fromiter(chain.from_iterable(lists), np.int64)))
         self.shortest = min((len(w) for w in owners), default=0)
 
 
@@ -249,103 +257,105 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
 # -------------------------------------------------------------------------------------------------------------- operator
 
 
-def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    keep: tuple[str, ...] = ("doc_id",),
-    width: int = WIDTH,
-    shard_words: int = SHARD_WORDS,
-    block_bytes: int = BLOCK_BYTES,
-    clean: bool = False,
-) -> DataFrame:
-    """The kept columns and n_words, n_hit, item_ids, spans (merged, in UTF-8 bytes) of each document.
+RESULTS = ("n_words", "n_hit", "item_ids", "spans")
 
-    clean: clean_text is the text without its spans, searched again until nothing is found; else, and where nothing
-    was found, it is null.
-    """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
+
+def benchmark_pieces(benchmark: DataFrame, width: int = WIDTH, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """item and text; long texts in pieces that overlap, so that each window of width words lies in one of them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                starts = range(0, max(1, len(words) - width + 1), piece_words)
+                parts = [b" ".join(words[k : k + piece_words + width - 1]).decode() for k in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], ["item", "text"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(cut, "item string, text string")
+
+
+def _scan(
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], clean: bool, width: int = WIDTH, shard_bytes: int = SHARD_BYTES,
+    block_bytes: int = BLOCK_BYTES, piece_words: int = PIECE_WORDS,
+) -> DataFrame:
+    """row (the kept columns) and the results, with clean_text."""
+    items = benchmark_pieces(benchmark, width, piece_words)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    kept = [docs.schema[c] for c in keep]
-    shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = bound_batches(docs).select(*keep, F.col("text").alias("leak_text"))
-    for block in range(blocks):
+    books = []
+    for block in range(blocks):  # the driver has one block's phrases at a time
         chosen = items.where(part == block) if blocks > 1 else items
-        phrases = Phrases([(r["item"], r["text"]) for r in chosen.collect()], width)
-        rows = _scan(rows, phrases, shown, list(keep), shard_words, clean, block == 0)
-    return rows.drop("leak_text")
-
-
-def _scan(rows: DataFrame, phrases: Phrases, shown: str, keep: list[str], shard_words: int, clean: bool, first: bool) -> DataFrame:
-    shared = share(rows.sparkSession, phrases)
-    schema = f"{shown}, leak_text string, {LEAK_SCHEMA}"
-    names, n_keep = [*keep, "leak_text"], len(keep)
-
-    def flush(book: Phrases, batches: list[pa.RecordBatch], texts: list[str | None], words: list[np.ndarray]) -> pa.RecordBatch:
-        table_ = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        found = find_in_shard(words, book)
-        counts = [len(w) for w in words]
-        n_hit, items, spans, clean_texts = [], [], [], []
-        for text, (runs, numbers) in zip(texts, found, strict=True):
-            n_hit.append(sum(e - b for b, e in runs))
-            items.append([book.item_ids[i] for i in numbers])
-            left, places = cut_out(text, runs) if runs else (None, [])
-            spans.append(places)
-            clean_texts.append(left if clean else None)
-        again = [i for i, t in enumerate(clean_texts) if t is not None]
-        while again:
-            more = find_in_shard([number_words(words_of(clean_texts[i]), book) for i in again], book)
-            again = [i for i, (runs, _) in zip(again, more, strict=True) if runs]
-            for i, runs in zip(again, (r for r, _ in more if r), strict=True):
-                clean_texts[i] = cut_out(clean_texts[i], runs)[0]
-        if not first:  # what earlier blocks of the benchmark found comes on top
-            old = {k: table_.column(k).to_pylist() for k in ("n_hit", "item_ids", "spans")}
-            for i, text in enumerate(texts):
-                if old["n_hit"][i]:
-                    places = _merge([(s["start"], s["stop"]) for s in old["spans"][i]] + spans[i])
-                    raw = (text or "").encode().translate(_FOLD)
-                    spans[i], items[i] = places, sorted({*old["item_ids"][i], *items[i]})
-                    n_hit[i] = sum(len(raw[b:e].split()) for b, e in places)
-                    if clean:
-                        clean_texts[i] = _without(text, places)
-        pair = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+        books.append(share(docs.sparkSession, Phrases([(r["item"], r["text"]) for r in chosen.collect()], width)))
+    rows = bound_batches(docs).select(packed(keep).alias("row"), F.col("text").alias("text"))
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(LEAK_SCHEMA)])
+    pair = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+
+    def search(texts: list[str | None], todo: list[int], blocks_: Iterator[Phrases]):
+        """Words of each, merged spans of hit words, and the items found, over all blocks."""
+        count, runs, names = [0] * len(todo), [[] for _ in todo], [set() for _ in todo]
+        for book in blocks_:
+            words = [number_words(words_of(texts[i]), book) for i in todo]
+            count = [len(w) for w in words]
+            for k, (spans, numbers) in enumerate(find_in_shard(words, book)):
+                runs[k] += spans
+                names[k].update(book.item_ids[i] for i in numbers)
+        return count, [_merge(r) if len(r) > 1 else r for r in runs], names
+
+    def flush(batches: list[pa.RecordBatch], load) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        texts = whole.column(1).to_pylist()
+        count, runs, names = search(texts, list(range(len(texts))), load())
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        cleaned: list[str | None] = [None] * len(texts)
+        todo = [i for i, r in enumerate(runs) if r]
+        for i in todo:
+            left, spans[i] = cut_out(texts[i], runs[i])
+            cleaned[i] = left if clean else None
+        while clean and todo:
+            _, more, _ = search(cleaned, todo, load())
+            for i, again in zip(todo, more, strict=True):
+                if again:
+                    cleaned[i] = cut_out(cleaned[i], again)[0]
+            todo = [i for i, again in zip(todo, more, strict=True) if again]
         return pa.RecordBatch.from_arrays(
-            [table_.column(i) for i in range(n_keep + 1)]
-            + [
-                pa.array(counts, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(items, pa.list_(pa.string())),
+            [
+                whole.column(0),
+                pa.array(count, pa.int64()),
+                pa.array([sum(e - b for b, e in r) for r in runs], pa.int64()),
+                pa.array([sorted(x) for x in names], pa.list_(pa.string())),
                 pa.array([[{"start": b, "stop": e} for b, e in x] for x in spans], pa.list_(pair)),
-                pa.array(clean_texts, pa.string()),
+                pa.array(cleaned, pa.string()),
             ],
-            [*names, "n_words", "n_hit", "item_ids", "spans", "clean_text"],
+            ["row", *RESULTS, "clean_text"],
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared()
+        only = [books[0]()] if len(books) == 1 else None
+        load = lambda: iter(only) if only else (book() for book in books)
         held: list[pa.RecordBatch] = []
-        texts: list[str | None] = []
-        words: list[np.ndarray] = []
-        n = 0
+        size = 0
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                own = batch.column(n_keep).to_pylist()
-                split = [number_words(words_of(t), book) for t in own]
-                held.append(batch)
-                texts += own
-                words += split
-                n += sum(map(len, split))
-                if n >= shard_words:
-                    yield flush(book, held, texts, words)
-                    held, texts, words, n = [], [], [], 0
+                held.append(whole.slice(k, 500))
+                size += held[-1].column(1).nbytes
+                if size >= shard_bytes:
+                    yield flush(held, load)
+                    held, size = [], 0
         if held:
-            yield flush(book, held, texts, words)
+            yield flush(held, load)
 
     return rows.mapInArrow(scan, schema)
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: bool = False, **sizes) -> DataFrame:
+    """The kept columns and n_words, n_hit, item_ids, spans (merged, in UTF-8 bytes) of each document.
+
+    clean: also clean_text, the text without its spans, searched again until nothing is found; null where nothing was.
+    """
+    return unpacked(_scan(docs, benchmark, keep, clean, **sizes), "row", keep, (*RESULTS, "clean_text") if clean else RESULTS)
+
+
 def _merge(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for b, e in sorted(places):
@@ -356,24 +366,16 @@ def _merge(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _without(text: str, places: list[tuple[int, int]]) -> str:
-    raw, kept, at = text.encode(), [], 0
-    for b, e in places:
-        kept.append(raw[at:b])
-        at = e
-    return b"".join([*kept, raw[at:]]).decode()
-
-
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
     """docs with the spans cut out of text; a document of which no word is left goes.  n_chars, if there, follows."""
     columns = docs.columns
-    found = find_leaks(docs, benchmark, keep=tuple(columns), clean=True, **options)
+    found = _scan(docs, benchmark, tuple(columns), True, **sizes)
     has_word = F.col("clean_text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-    changes = {"text": F.coalesce("clean_text", "text")}
+    new = {"text": F.col("clean_text")}
     if "n_chars" in columns:
-        length = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
-        changes["n_chars"] = F.coalesce(length, "n_chars")
-    return found.where(F.col("clean_text").isNull() | has_word).withColumns(changes).select(*columns)
+        new["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
+    own = {c: F.col("row").getField(c) for c in columns}
+    return found.where(F.col("clean_text").isNull() | has_word).select(*(F.coalesce(new[c], own[c]).alias(c) if c in new else own[c].alias(c) for c in columns))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-The unit is a line; a line of over ``LONG_BYTES`` bytes is taken in pieces of ``PIECE_WORDS`` words.  Units are compared
-after trimming, word by word (words lie between single spaces).  Two units of at least ``NEAR_WORDS`` words match within
-one edited word (replaced, inserted or deleted); shorter ones only if equal; units of fewer than ``MIN_CHARS``
-characters never match.  A unit goes if it matches one that comes earlier, by (doc_id, text hash, place in the
-text), whether that one stays or not; so the earliest of all stays.
+The unit is a line, whatever its length.  Lines are compared after trimming, word by word (words lie between single
+spaces).  Two lines of at least ``NEAR_WORDS`` words match within one edited word (replaced, inserted or deleted), which
+is nine words in ten; shorter ones only if equal.  Blank lines never match; ``min_chars`` can spare other short ones.  A
+line goes if it matches one that comes earlier, by (doc_id, text hash, place in the text), whether that one stays or
+not; so the earliest of all stays.
 
 1. Equal units become one, with the first place of all (pre-aggregated, so a very common line costs nothing).
 2. One edit leaves the first or the second half of a unit as it is.  Units that share no half with another one cannot
@@ -16,8 +16,9 @@ text), whether that one stays or not; so the earliest of all stays.
 5. The kept places go back to their documents, whose texts are put together again without the other units.
 
 Defined cases: a null text stays null and an empty one stays empty; null document ids come first; rows equal in id and
-text are one document, so they do not remove each other's lines; a text of which nothing is left becomes empty; other
-columns pass through; an empty table gives an empty result.
+text are one document, so they do not remove each other's lines; a text of which nothing is left becomes empty; texts and
+lines of any length are compared whole; other columns pass through whatever their names, and only ones named n_units or
+n_dropped give way to the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,28 +26,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import materialize, table
+from rheolake.llm.common import materialize, packed, table
 
-MIN_CHARS = 16
+#: Lines with fewer characters never match; 1: all but blank lines take part.
+MIN_CHARS = 1
 NEAR_WORDS = 10
-LONG_BYTES = 8192
-PIECE_WORDS = 256
+#: Words hashed by one running sum at least; a long line is cut into as many runs as a run has words.
+RUN_WORDS = 64
 #: So many candidate units (24 bytes each) at most are broadcast; more are joined by shuffling the documents.
 BROADCAST_UNITS = 500_000
 _PLACE = ("doc_id", "text_hash", "no")
 
 
 def units_of(text: Column) -> Column:
-    """The units of a text; put together they are the text and one line end."""
-    piece = r"[^\S\n]*+(?:\S++\s*+){1,%d}+|\s++" % PIECE_WORDS
-    return F.flatten(
-        F.transform(
-            F.split(text, "\n", -1),
-            lambda line: F.when(F.octet_length(line) <= LONG_BYTES, F.array(F.concat(line, F.lit("\n")))).otherwise(
-                F.regexp_extract_all(F.concat(line, F.lit("\n")), F.lit(piece), F.lit(0))
-            ),
-        )
-    )
+    """The lines of a text, each with its end; put together they are the text and one line end."""
+    return F.transform(F.split(text, "\n", -1), lambda line: F.concat(line, F.lit("\n")))
 
 
 def compared(unit: Column) -> Column:
@@ -77,10 +71,10 @@ def _half_keys(norm: Column, n: Column) -> Column:
     return F.when(n > NEAR_WORDS, F.array(*own, *other)).when(n == NEAR_WORDS, F.array(*own))
 
 
-def first_places(docs: DataFrame) -> DataFrame:
+def first_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per distinct unit that can match: its hashes, words, halves and first place."""
     units = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(units_of(F.col("text"))).alias("no", "unit"))
-    norms = units.select(*_PLACE, compared(F.col("unit")).alias("norm")).where(F.length("norm") >= MIN_CHARS)
+    norms = units.select(*_PLACE, compared(F.col("unit")).alias("norm")).where(F.length("norm") >= max(1, min_chars))
     sized = norms.select(*_PLACE, "norm", words_in(F.col("norm")).alias("n"))
     keyed = sized.select(
         *_PLACE, F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), "n", _half_keys(F.col("norm"), F.col("n")).alias("halves")
@@ -120,17 +114,29 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     n = F.size("words")
     at_place = lambda i, place: F.xxhash64(F.element_at("words", i), place)
     # Running hashes (exclusive or of hashed words and places) of the words up to i, at their places and one place before;
-    # so a variant's hash takes three look-ups, however long the unit is.
+    # so a variant's hash takes three look-ups, however long the unit is.  They are made run by run and then joined, as
+    # growing one array word by word would copy it each time.
     start = F.struct(F.array(F.lit(0).cast("long")).alias("own"), F.array(F.lit(0).cast("long")).alias("moved"))
-    hashed = F.aggregate(
-        F.sequence(F.lit(1), n),
-        start,
-        lambda s, i: F.struct(
-            F.array_append(s["own"], F.element_at(s["own"], -1).bitwiseXOR(at_place(i, i))).alias("own"),
-            F.array_append(s["moved"], F.element_at(s["moved"], -1).bitwiseXOR(at_place(i, i - 1))).alias("moved"),
-        ),
+    xor = lambda a, b: a.bitwiseXOR(b)
+    step = lambda s, own, moved: F.struct(
+        F.array_append(s["own"], xor(F.element_at(s["own"], -1), own)).alias("own"), F.array_append(s["moved"], xor(F.element_at(s["moved"], -1), moved)).alias("moved")
+    )
+    run = F.greatest(F.lit(RUN_WORDS), F.ceil(F.sqrt(n))).cast("int")
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / run).cast("int")),
+        lambda b: F.aggregate(F.sequence(b * run + 1, F.least((b + 1) * run, n)), start, lambda s, i: step(s, at_place(i, i), at_place(i, i - 1))),
     )
-    running = texts.select("h1", "h2", n.alias("n"), F.explode(F.array(hashed)).alias("s")).select("h1", "h2", "n", "s.own", "s.moved")
+    once = lambda df, column, name: df.select(*[c for c in df.columns if c != "words"], F.explode(F.array(column)).alias(name))
+    hashed = once(texts.select("h1", "h2", n.alias("n"), "words"), runs, "runs")
+    last = lambda x, side: F.element_at(x[side], -1)
+    hashed = once(hashed, F.aggregate("runs", start, lambda s, x: step(s, last(x, "own"), last(x, "moved"))), "before")
+
+    def joined(side: str) -> Column:
+        parts = F.zip_with("runs", F.slice(F.col("before")[side], 1, F.size("runs")), lambda x, o: F.transform(F.slice(x[side], 2, F.size(x[side]) - 1), lambda v: xor(v, o)))
+        return F.concat(F.array(F.lit(0).cast("long")), F.flatten(parts))
+
+    whole = once(hashed, F.struct(joined("own").alias("own"), joined("moved").alias("moved")), "s")
+    running = whole.select("h1", "h2", "n", "s.own", "s.moved")
     n = F.col("n")
     variant = lambda i: F.get("own", i - 1).bitwiseXOR(F.get("moved", n)).bitwiseXOR(F.get("moved", i))
     itself = F.struct(F.lit(0).alias("i"), n.alias("left"), F.get("own", n).alias("key"))
@@ -168,43 +174,58 @@ def within_one_word(a: Column, b: Column) -> Column:
     return same_length | ((F.size(long) == n + 1) & (rest(long, p + 1) == rest(short, p)))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text without the lines that match an earlier one, and n_units, n_dropped as further columns.
-
-    n_chars, if there, follows the new text.
-    """
+def _deduped(docs: DataFrame, min_chars: int) -> DataFrame:
+    """row (all columns of docs), n_units, n_dropped, and the new text."""
     places = docs.select("doc_id", "text")
-    units = first_places(places)
+    units = first_places(places, min_chars)
     later = near_pairs(candidates(places, units)).select("later.h1", "later.h2").distinct()
     kept = (
         units.join(later, ["h1", "h2"], "left_anti").select("at.*")
         .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("no")).alias("kept"))
         .withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
     )
-    columns = docs.columns
-    rows = docs.withColumn("line_hash", F.xxhash64("text"))
-    joined = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("line_hash") == F.col("k_hash")), "left")
+    rows = docs.select(packed(docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    joined = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left")
     flags = _aligned(F.coalesce("kept", F.array().cast("array<int>")), lambda no: no, lambda no: F.lit(True), "boolean")
     listed = F.zip_with(
         units_of(F.col("text")),
         flags,
-        lambda unit, kept: F.struct(unit.alias("unit"), ((F.length(compared(unit)) < MIN_CHARS) | F.coalesce(kept, F.lit(False))).alias("stays")),
+        lambda unit, kept: F.struct(unit.alias("unit"), ((F.length(compared(unit)) < max(1, min_chars)) | F.coalesce(kept, F.lit(False))).alias("stays")),
     )
-    parts = joined.withColumn("line_units", listed)
-    left = F.filter("line_units", lambda u: u["stays"])
+    parts = joined.select("row", "text", listed.alias("units"))
+    left = F.filter("units", lambda u: u["stays"])
     text = F.regexp_replace(F.array_join(F.transform(left, lambda u: u["unit"]), ""), r"\n\z", "")
-    unchanged = F.size(left) == F.size("line_units")
-    changes = {
-        "n_units": F.when(F.col("text").isNull(), 0).otherwise(F.size("line_units")).cast("long"),
-        "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(F.size("line_units") - F.size(left)).cast("long"),
-        "line_text": F.when(unchanged | F.col("text").isNull(), F.col("text")).otherwise(text),
-    }
-    new = parts.withColumns(changes)
-    out = [F.col("line_text").alias("text") if c == "text" else F.col(c) for c in columns]
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        out[columns.index("n_chars")] = F.when(F.col("n_dropped") > 0, F.length("line_text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
-    return new.select(*out, "n_units", "n_dropped")
+    unchanged = F.size(left) == F.size("units")
+    return parts.select(
+        "row",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("units")).cast("long").alias("n_units"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("units") - F.size(left)).cast("long").alias("n_dropped"),
+        F.when(unchanged | F.col("text").isNull(), F.col("text")).otherwise(text).alias("line_text"),
+    )
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs with the new text; n_chars, if there, follows it."""
+    new = {"text": F.col("line_text")}
+    if "n_chars" in docs.columns:
+        length = F.length("line_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, length).otherwise(F.col("row").getField("n_chars"))
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with text without the lines that match an earlier one, and n_units, n_dropped as further columns.
+
+    n_chars, if there, follows the new text.
+    """
+    kept = [c for c, name in zip(_columns(docs), docs.columns, strict=True) if name.lower() not in ("n_units", "n_dropped")]
+    return _deduped(docs, min_chars).select(*kept, "n_units", "n_dropped")
+
+
+def drop_repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the new texts; a document of which every line that is not blank matched an earlier one goes."""
+    emptied = (F.col("n_dropped") > 0) & ~F.col("line_text").rlike(r"\S")
+    return _deduped(docs, min_chars).where(~F.coalesce(emptied, F.lit(False))).select(*_columns(docs))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -212,16 +233,10 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_dropped", F.md5("text").alias("text_md5"))
 
 
-_PIECES = rf"[^\S\n]*(?:\S+\s*){{1,{PIECE_WORDS}}}|\s+"
 SQL = rf"""
-WITH lines AS (
-  SELECT doc_id, CASE WHEN strlen(line) <= {LONG_BYTES} THEN [line || chr(10)]
-    ELSE regexp_extract_all(line || chr(10), '{_PIECES}') END AS pieces, ln
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
-        FROM documents)),
-units AS (
-  SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY ln, pn) AS no
-  FROM (SELECT doc_id, ln, unnest(pieces) AS unit, generate_subscripts(pieces, 1) AS pn FROM lines)),
+WITH units AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) || chr(10) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS no
+  FROM documents),
 norms AS (SELECT doc_id, no, unit, trim(unit, chr(32) || chr(9) || chr(13) || chr(10)) AS norm FROM units),
 firsts AS (
   SELECT norm, string_split(norm, ' ') AS words, len(string_split(norm, ' ')) AS n, min((doc_id, no)) AS spot

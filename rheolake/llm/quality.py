@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
 Two views of a document: its content (byte frequencies and how much its words repeat, over the whole text) and its
-metadata (language, source, length).  Each view has a logistic classifier.  In every round both score a pool of
+page's metadata (language, source, length, and the layout: how many lines, how long, how often repeated, how they end).  Each view has a logistic classifier.  In every round both score a pool of
 unlabelled documents, and what one is sure of becomes labelled for the other.  On labelled documents kept apart each
 view is calibrated (Platt), and a logistic combination of the calibrated views scores all documents.
 
@@ -11,7 +11,9 @@ scoring is one narrow pass over all documents.
 Defined cases: null or empty texts have no bytes or words and are scored like others; null metadata is a value of its
 own; rows with null ids are scored but teach nothing; labels other than 0 and 1 and ids labelled both ways teach
 nothing; without labels of both kinds every score is the share of good labels (1 without any), and all are kept;
-repeated rows are scored alike; an empty table gives an empty result; further columns are not looked at.
+repeated rows are scored alike, and of rows of one id one teaches (the one of the smallest text hash); texts of any length
+are measured whole; an empty table gives an empty result; kept columns pass whatever their names, and only one with the
+name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rheolake.llm.common import bound_batches, share, table
+from rheolake.llm.common import bound_batches, packed, share, table, unpacked
 
 MAX_LABELLED = 20_000
 MAX_POOL = 10_000
@@ -36,7 +39,12 @@ SURE = 0.97
 RIDGE = 1.0
 THRESHOLD = 0.5
 _LANGS, _SOURCES = 16, 64
-_EXTRA = 6
+_EXTRA = 5
+_LAYOUT = 6
+RESULTS = ("content_score", "metadata_score", "quality_score", "accepted")
+
+
+VIEWED = ("text", "lang", "source", "n_chars")
 
 
 def content_features(texts: list[str | None]) -> np.ndarray:
@@ -51,7 +59,6 @@ def content_features(texts: list[str | None]) -> np.ndarray:
         if not words:
             continue
         counts = Counter(words)
-        lines = raw.split(b"\n")
         n = len(words)
         out[i, 256:] = (
             np.log1p(n),
@@ -59,19 +66,31 @@ def content_features(texts: list[str | None]) -> np.ndarray:
             np.sqrt(max(counts.values()) / n),
             np.sqrt(sum(map(bytes.__eq__, words, words[1:])) / n),
             np.log1p(len(raw) / n),
-            len(set(lines)) / len(lines),
         )
     return out
 
 
-def metadata_features(langs: list, sources: list, sizes: list) -> np.ndarray:
-    out = np.zeros((len(langs), _LANGS + _SOURCES + 3), np.float32)
+def metadata_features(langs: list, sources: list, sizes: list, texts: list[str | None]) -> np.ndarray:
+    """Language and source as places of a hashed list; length, its square, whether it is missing; the layout of the lines."""
+    base = _LANGS + _SOURCES
+    out = np.zeros((len(langs), base + 3 + _LAYOUT), np.float32)
     rows = np.arange(len(langs))
     place = lambda xs, n: np.array([zlib.crc32(repr(x).encode()) % n for x in xs], np.int64)
     out[rows, place(langs, _LANGS)] = 1
     out[rows, _LANGS + place(sources, _SOURCES)] = 1
     size = np.log1p(np.array([max(x or 0, 0) for x in sizes], np.float64))
-    out[:, -3], out[:, -2], out[:, -1] = size, size**2, [x is None for x in sizes]
+    out[:, base], out[:, base + 1], out[:, base + 2] = size, size**2, [x is None for x in sizes]
+    for i, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        out[i, base + 3 :] = (
+            np.log1p(len(lines)),
+            np.log1p(length.mean()),
+            np.log1p(length.std()),
+            len(set(lines)) / len(lines),
+            np.mean(length < 30),
+            sum(x.endswith((".", "!", "?")) for x in lines) / len(lines),
+        )
     return out
 
 
@@ -160,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     pool = docs.where("doc_id IS NOT NULL").select("doc_id", F.lit(-1).alias("label")).orderBy(order, "doc_id").limit(max_pool)
     # both lists are bounded by parameters, so they are broadcast
     chosen = taught.unionByName(pool).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = bound_batches(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "lang", "source", "n_chars")
+    rows = bound_batches(docs).select("doc_id", *VIEWED).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by(F.struct(*VIEWED), F.xxhash64("text")).alias("d")).select("doc_id", "label", "d.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -181,31 +201,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
 
 def views_of(columns: dict) -> list[np.ndarray]:
-    return [content_features(columns["text"]), metadata_features(columns["lang"], columns["source"], columns["n_chars"])]
+    return [content_features(columns["text"]), metadata_features(*(columns[c] for c in ("lang", "source", "n_chars", "text")))]
 
 
-def score(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns of every row and content_score, metadata_score, quality_score, accepted."""
+def judge(docs: DataFrame, model: CoTrained, keep: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
+    """row (the kept columns) and the results of every row."""
     shared = share(docs.sparkSession, model)
-    kept = [docs.schema[c] for c in keep]
-    n = len(kept)
-    rows = bound_batches(docs).select(*keep, *(F.col(c).alias(f"view_{c}") for c in ("text", "lang", "source", "n_chars")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", content_score double, metadata_score double, quality_score double, accepted boolean"
+    rows = bound_batches(docs).select(packed(keep).alias("row"), *VIEWED)
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("content_score double, metadata_score double, quality_score double, accepted boolean")])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared()
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                text, lang, source, size = (batch.column(n + i).to_pylist() for i in range(4))
-                found = own.score(views_of({"text": text, "lang": lang, "source": source, "n_chars": size}))
+                found = own.score(views_of({c: batch.column(i + 1).to_pylist() for i, c in enumerate(VIEWED)}))
                 accepted = (found[2] >= threshold) | (own.combination is None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(n)] + [pa.array(x, pa.float64()) for x in found] + [pa.array(accepted, pa.bool_())],
-                    [*keep, "content_score", "metadata_score", "quality_score", "accepted"],
-                )
+                columns = [batch.column(0), *(pa.array(x, pa.float64()) for x in found), pa.array(accepted, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *RESULTS])
+
+    return rows.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+    """The kept columns of every row and content_score, metadata_score, quality_score, accepted."""
+    return unpacked(judge(docs, model, keep, threshold), "row", keep, RESULTS)
+
 
-    return rows.mapInArrow(judge, schema)
+def accepted(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model accepts."""
+    columns = docs.columns
+    return unpacked(judge(docs, model, tuple(columns), threshold).where("accepted"), "row", columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

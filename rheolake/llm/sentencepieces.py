@@ -11,7 +11,9 @@ Characters outside the vocabulary cost ten less than the worst piece and become
 equal scores the longer last piece wins, and the earlier word changes first.
 
 Defined cases: a null or empty text has no pieces, score 0 and one segmentation; null ids pass; repeated rows are
-answered alike; kept columns pass through, others are not looked at; an empty table gives an empty result.
+answered alike; texts of any length are encoded whole (a text without blanks is one long word a line, which takes
+longer); kept columns pass through whatever their names, and only one with the name of a result gives way to it; others
+are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rheolake.llm.common import bound_batches, table
+from rheolake.llm.common import bound_batches, packed, table, unpacked
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 MARK = "▁"
 #: Words of at most so many characters are solved many at once.
 SHORT = 24
-#: Words that a task remembers, and words whose N best it remembers.
-MEMO_WORDS, MEMO_BEST = 200_000, 20_000
+#: Characters of the words that a task remembers, and of those whose N best it remembers.
+MEMO_CHARS, MEMO_BEST_CHARS = 2_000_000, 200_000
 #: Pieces with such scores are there for symbols only; they do not count for the worst score.
 NEVER = -1e8
 UNKNOWN_LOSS = 10.0
@@ -113,6 +116,7 @@ class Pieces:
         spans = any(MARK in t.lstrip(MARK) or "\n" in t for t in self.texts)
         self.words = re.compile("(?s).+" if spans else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.forget()
+        self.best_chars = 0
         self.best_of: dict[str, list[tuple[float, list[int]]]] = {}
 
     # ------------------------------------------------------------------------------------------------- one word's lattice
@@ -158,18 +162,25 @@ class Pieces:
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         found = self.best_of.get(word)
         if found is None or len(found) < n:
-            if len(self.best_of) >= MEMO_BEST:
-                self.best_of.clear()
-            found = self.best_of[word] = self.search(word, n)
+            found = self.search(word, n)
+            self.remember(word, found)
         return found[:n]
 
+    def remember(self, word: str, found: list[tuple[float, list[int]]]) -> None:
+        self.best_chars += len(word)
+        if self.best_chars > MEMO_BEST_CHARS:
+            self.best_of.clear()
+            self.best_chars = len(word)
+        self.best_of[word] = found
+
     # ------------------------------------------------------------------------------------------------ many words at once
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.solved = [np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], n: int = 2) -> None:
         """Solve words: best score, the runner-up's loss (infinite without one), pieces, and where their ids lie."""
         by_size: dict[int, list[str]] = {}
         for w in words:
@@ -179,7 +190,7 @@ class Pieces:
         for size, group in by_size.items():
             for k in range(0, len(group), 4096):
                 part = group[k : k + 4096]
-                got = self._solve(part, size) if size <= SHORT else self._solve_long(part)
+                got = self._solve(part, size) if size <= SHORT else self._solve_long(part, max(n, 2))
                 order += part
                 for into, x in zip((score, loss, count, ids), got, strict=True):
                     into.append(x)
@@ -189,8 +200,8 @@ class Pieces:
         new = [np.concatenate(score), np.concatenate(loss), counts, at + np.cumsum(counts) - counts, np.concatenate(ids)]
         self.solved = [np.concatenate([a, b]) for a, b in zip(self.solved, new, strict=True)]
 
-    def _solve_long(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        best = [self.search(w, 2) for w in words]
+    def _solve_long(self, words: list[str], n: int) -> tuple[np.ndarray, ...]:
+        best = [self.n_best(w, n) for w in words]
         ids = [b[0][1] for b in best]
         return (
             np.array([b[0][0] for b in best]),
@@ -262,11 +273,12 @@ class Pieces:
         """Per text: ids, score, and up to n segmentations as (score, changes to the first: from, to, ids)."""
         split = [self.words.findall(self.normalize(t or "")) for t in texts]
         new = set().union(*split).difference(self.number)
-        if len(self.number) + len(new) > MEMO_WORDS:
+        if self.chars + sum(map(len, new)) > MEMO_CHARS:
             self.forget()
             new = set().union(*split)
         if new:
-            self.learn(list(new))
+            self.chars += sum(map(len, new))
+            self.learn(list(new), n)
         scores, losses, counts, places, flat = self.solved
         return [self._text(words, n, scores, losses, counts, places, flat) for words in split]
 
@@ -299,11 +311,14 @@ class Pieces:
 # -------------------------------------------------------------------------------------------------------------- operators
 
 
+RESULTS = ("ids", "score", "n_best", "ids_crc32", "round_trip")
+
+
 def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n: int = N_BEST, model: str = MODEL) -> DataFrame:
     """The kept columns and ids, score, n_best, the ids' crc32 and whether decoding gives the text again."""
     where = model_path(model)
-    kept = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + ENCODED
+    rows = bound_batches(docs).select(packed(keep).alias("row"), F.col("text").alias("text"))
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(ENCODED)])
     change = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
     ways = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
 
@@ -312,39 +327,37 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n: in
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
                 batch = whole.slice(k, 200)
-                texts = batch.column(len(kept)).to_pylist()
+                texts = batch.column(1).to_pylist()
                 found = pieces.encode(texts, n)
                 ends = np.cumsum([len(ids) for ids, _, _ in found])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate([ids for ids, _, _ in found]).astype(np.int32)))
                 best = [[{"score": s, "changes": [{"start": a, "stop": b, "ids": x} for a, b, x in cs]} for s, cs in w] for _, _, w in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(len(kept))]
-                    + [
-                        lists,
-                        pa.array([s for _, s, _ in found], pa.float64()),
-                        pa.array(best, ways),
-                        pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids, _, _ in found], pa.int64()),
-                        pa.array([pieces.decode(ids.tolist()) == (t or "") for (ids, _, _), t in zip(found, texts, strict=True)]),
-                    ],
-                    [*keep, "ids", "score", "n_best", "ids_crc32", "round_trip"],
-                )
+                columns = [
+                    batch.column(0),
+                    lists,
+                    pa.array([s for _, s, _ in found], pa.float64()),
+                    pa.array(best, ways),
+                    pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids, _, _ in found], pa.int64()),
+                    pa.array([pieces.decode(ids.tolist()) == (t or "") for (ids, _, _), t in zip(found, texts, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *RESULTS])
 
-    return bound_batches(docs).select(*keep, F.col("text").alias("piece_text")).mapInArrow(run, schema)
+    return unpacked(rows.mapInArrow(run, schema), "row", keep, RESULTS)
 
 
 def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
     """The kept columns and the text of ids."""
     where = model_path(model)
-    kept = [encoded.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string"
+    rows = bound_batches(encoded).select(packed(keep).alias("row"), "ids")
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("text string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(where)
         for batch in batches:
-            texts = [pieces.decode(ids or []) for ids in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], [*keep, "text"])
+            texts = [pieces.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return bound_batches(encoded).select(*keep, F.col("ids").alias("piece_ids")).mapInArrow(run, schema)
+    return unpacked(rows.mapInArrow(run, schema), "row", keep, ("text",))
 
 
 def op1_sentencepieces(spark, sf_dir: str) -> DataFrame:

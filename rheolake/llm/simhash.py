@@ -15,7 +15,8 @@ linked fingerprints, those stay whose sets of shingles have the Jaccard similari
 
 Defined cases: a null text, or one without words, has fingerprint zero and links like any other; fewer words than a
 shingle are one shingle; null document ids take part but never name a component, unless it has no other; repeated rows
-and ties fall into one component; an empty table gives an empty result; other columns are not looked at.
+and ties fall into one component; texts of any length are hashed whole; an empty table gives an empty result; other
+columns are not looked at, and drop_near_duplicates passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import bound_batches, materialize, table
+from rheolake.llm.common import bound_batches, fresh, materialize, table
 from rheolake.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS, AGREE = 3, 42, 3, 2
@@ -358,9 +359,10 @@ def drop_near_duplicates(docs: DataFrame, broadcast_ids: int = 1_000_000, **opti
     """
     find = near_copies if "least" in options else near_duplicates
     found = find(docs.select("doc_id", "text"), **options)
-    gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    name = fresh(docs)("gone_id")
+    gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    return docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(side, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ that number plus the totals of the files before, which needs no pass over the id
 
 Defined cases: a null text is empty and a document without ids still gets the end id; null document ids come first;
 repeated document ids lie next to each other in the order of their text hash; other columns of the input are not
-looked at; an empty table gives an empty result.
+looked at; texts of any length are encoded whole; an empty table gives an empty result.  Rows equal in id and text are
+alike, so they may be split among files.
 """
 
 from __future__ import annotations
@@ -174,7 +175,12 @@ def _cut(ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
-    """Encode docs(doc_id, text) and write them to path, in ascending order over all files."""
+    """Encode docs(doc_id, text) and write them to path, in ascending order over all files.
+
+    The way words are cut here is that of ``VOCABULARY`` alone, so others are refused.
+    """
+    if vocabulary != VOCABULARY:
+        raise ValueError(f"only {VOCABULARY} is cut into words like this, not {vocabulary}")
     where = vocabulary_path(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +201,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
     (
         bound_batches(docs)
-        .select("doc_id", "text")
-        .repartitionByRange("doc_id")  # the sample of the bounds reads the ids only
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        .select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+        .repartitionByRange("doc_id", "h", "row")  # a repeated or null id, and even a repeated row, is split
+        .sortWithinPartitions("doc_id", "h", "row")
         .mapInArrow(encode, FILE_SCHEMA)
-        .write.options(**WRITE_OPTIONS)
+        .write.options(**WRITE_OPTIONS, maxRecordsPerFile=0)  # one file a task, whatever the session says
         .orc(path)
     )
 
@@ -210,9 +216,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ids in the files before it.  Reads the counts only."""
+    """One row per file: ids in the files before it, by the number of the task that wrote it.  Reads the counts only."""
     totals = read_token_files(spark, path).groupBy("file_name").agg(F.sum("n_tokens").alias("total"))
-    earlier = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("long")).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("file_name", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
 
 

@@ -58,7 +58,7 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_hit int").repartition(3)
     items_df = spark.createDataFrame(items, "item_id string, text string")
     want = brute(texts, items)
-    for options in ({}, {"shard_words": 100}, {"block_bytes": 150}):
+    for options in ({}, {"shard_bytes": 600}, {"block_bytes": 150}, {"block_bytes": 150, "piece_words": 4}):
         got = {r.doc_id: (r.n_words, r.n_hit, sorted(r.item_ids)) for r in d.find_leaks(docs, items_df, **options).collect()}
         assert [got[i] for i in range(len(texts))] == want, options
 
@@ -83,3 +83,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in d.find_leaks(docs, none).collect()] == [0]
     assert d.find_leaks(docs.limit(0), none).count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    phrase = "a b c d e f g h i j"
+    filler = [(f"f{i}", " ".join(f"{i}x{k}" for k in range(12))) for i in range(40)]
+    items = spark.createDataFrame([("1", phrase), ("2", "tail of two joined phrases that meet after a cut only"), *filler], "item_id string, text string")
+    rows = [(1, f"a b c d e {phrase} f g h i j tail words"), (2, f"tail of two joined {phrase} phrases that meet after a cut only end"), (3, "0x0 " + filler[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_bytes in (60, 300, 1000, 1 << 20):
+        got = {r.doc_id: " ".join(r.text.split()) for r in d.remove_leaks(docs, items, block_bytes=block_bytes).collect()}
+        assert got == {1: "tail words", 2: "end", 3: "0x0"}, block_bytes
+
+
+def test_clashing_columns(spark):
+    names = ["n_words", "n_hit", "item_ids", "spans", "clean_text", "leak_text", "row", "a.b"]
+    docs = spark.createDataFrame([(1, "a b c", *["x"] * 8), (2, "z a b c", *["x"] * 8)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([("1", "a b c")], "item_id string, text string")
+    got = d.remove_leaks(docs, items)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "z ", *["x"] * 8)]
+    assert d.find_leaks(docs, items, keep=tuple(docs.columns)).columns == ["doc_id", "text", *names[4:], *names[:4]]

@@ -1,18 +1,10 @@
 import random
-import re
 
 from rheolake.llm import line_dedup as ld
 
 
 def units(text):
-    out = []
-    for line in text.split("\n"):
-        line += "\n"
-        if len(line.encode()) - 1 <= ld.LONG_BYTES:
-            out.append(line)
-        else:
-            out += re.findall(r"[^\S\n]*(?:\S+\s*){1,%d}|\s+" % ld.PIECE_WORDS, line)
-    return out
+    return [line + "\n" for line in text.split("\n")]
 
 
 def near(a, b):
@@ -72,7 +64,8 @@ def test_against_brute_force(spark):
     texts = sample()
     docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, line_hash string")
     docs = docs.unionByName(docs.where("doc_id in (7, 20)")).repartition(3)
-    got = ld.dedup_lines(docs.select("doc_id", "text", "n_chars")).collect()
+    got = ld.dedup_lines(docs).collect()
+    assert all(r.line_hash == "x" for r in got)
     want = brute(list(enumerate(texts)))
     assert len(got) == len(texts) + 2
     for r in got:
@@ -104,3 +97,28 @@ def test_word_distance(spark):
         return sum(x != y for x, y in zip(a, b, strict=True)) <= 1 if len(a) == len(b) else any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
     assert all(r.r == true(r.a, r.b) for r in got)
+
+
+def test_long_lines_are_whole_units(spark):
+    rng = random.Random(4)
+    long = [str(rng.randrange(10**6)) for _ in range(9_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:4000] + ["x"] + long[4000:])), (3, " ".join(long[:-2])), (4, " ".join(long[1:])), (5, " ".join(long[:70])), (6, " ".join(long[:64] + long[65:70]))]
+    got = {r.doc_id: r.n_dropped for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}
+
+
+def test_short_lines_and_emptied_documents(spark):
+    docs = spark.createDataFrame([(1, "Les.\nan own line"), (2, "Les.\n\nLes."), (3, "Les.\nnew"), (4, ""), (5, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in ld.drop_repeated(docs).collect()} == {1: "Les.\nan own line", 3: "new", 4: "", 5: None}
+    spared = ld.dedup_lines(docs, min_chars=16).collect()
+    assert all(r.n_dropped == 0 for r in spared)
+
+
+def test_clashing_columns(spark):
+    names = ["n_units", "n_dropped", "line_hash", "kept", "k_id", "row", "units", "line_text", "text_hash", "a.b"]
+    docs = spark.createDataFrame([(1, "same", *["x"] * 10), (2, "same", *["x"] * 10)], ["doc_id", "text", *names])
+    got = ld.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names[2:], "n_units", "n_dropped"]
+    assert sorted((r.doc_id, r.text, r.kept, r.n_dropped) for r in got.collect()) == [(1, "same", "x", 0), (2, "", "x", 1)]
+    left = ld.drop_repeated(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "same", *["x"] * 10)]

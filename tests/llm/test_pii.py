@@ -40,7 +40,7 @@ def text_net(value, tag):
     return a + b
 
 
-def number_net(x, size, tag):
+def number_net(x, size, tag, valid=lambda x: True):
     a = int((size - 1) ** 0.5) + 1
     b = -(-size // a)
     while True:
@@ -51,7 +51,7 @@ def number_net(x, size, tag):
             else:
                 right = (right + int(digest(tag, k, left)[:15], 16)) % b
         x = left * b + right
-        if x < size:
+        if x < size and valid(x):
             return x
 
 
@@ -76,6 +76,13 @@ def day(y, m, d):
     return found if 1900 <= found.year <= 2099 else None
 
 
+def day_any(y, m, d):
+    try:
+        return dt.date(int(y), int(m), int(d))
+    except ValueError:
+        return None
+
+
 def twin(m):
     """(kind, pseudonym) or (None, match)."""
     kind = next(k for k, p in pii.KINDS.items() if re.fullmatch(p.replace("}+@", "}@"), m, re.ASCII))
@@ -85,13 +92,13 @@ def twin(m):
         return kind, text_net(local, kind) + "@" + domain
     if kind == "iban":
         code = m.replace(" ", "")
-        if not 15 <= len(code) <= 34 or mod97(code) != 1:
+        if not 15 <= len(code) <= 34 or mod97(code) != 1 or not "02" <= code[2:4] <= "98":
             return None, m
         body = text_net(code[4:], kind)
         return kind, laid(m, code[:2] + f"{98 - mod97(code[:2] + '00' + body):02d}" + body, "[ ]")
     if kind == "ip":
         parts = [int(x) for x in m.split(".")]
-        if max(parts) > 255:
+        if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
             return None, m
         x = number_net(int.from_bytes(bytes(parts)), 1 << 32, kind)
         return kind, ".".join(str(b) for b in x.to_bytes(4))
@@ -109,17 +116,18 @@ def twin(m):
         return kind, f"{area + (area > 665):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
     if kind == "date":
         a, b, c = re.split("[-/.]", m)
-        sep, us = re.sub(r"\d", "", m)[0], False
-        found = day(a, b, c) if len(a) == 4 else day(c, b, a)
-        if found is None and len(a) != 4 and sep == "/":
-            found, us = day(c, a, b), True
+        sep = re.sub(r"\d", "", m)[0]
+        form = "ymd" if len(a) == 4 else "mdy" if sep == "/" and not day_any(c, b, a) else "dmy"
+        part = dict(zip(form, (a, b, c), strict=True))
+        found = day(part["y"], part["m"], part["d"])
         if found is None:
             return None, m
-        t = dt.date(1900, 1, 1) + dt.timedelta(number_net((found - dt.date(1900, 1, 1)).days, 73049, kind))
-        two = lambda n, old: str(n) if len(old) == 1 else f"{n:02d}"
-        if len(a) == 4:
-            return kind, sep.join([f"{t.year}", two(t.month, b), two(t.day, c)])
-        return kind, sep.join([two(t.month, a), two(t.day, b), f"{t.year}"] if us else [two(t.day, a), two(t.month, b), f"{t.year}"])
+        months, low = 9 if len(part["m"]) == 1 else 12, 13 if form == "mdy" else 1
+        days = 9 if len(part["d"]) == 1 else 19 if form == "mdy" else 31
+        split = lambda x: (1900 + x // (months * days), x // days % months + 1, x % days + low)
+        x = number_net(((found.year - 1900) * months + found.month - 1) * days + found.day - low, 200 * months * days, kind, lambda x: bool(day_any(*split(x))))
+        new = {k: str(v).zfill(len(part[k])) for k, v in zip("ymd", split(x), strict=True)}
+        return kind, sep.join(new[k] for k in form)
     if not 8 <= len(d) <= 15:
         return None, m
     cut = max(len(d) - 10, 0)
@@ -130,7 +138,7 @@ VALUES = [
     "a@b.co", "Jane.Doe-7+x@mail2.example.com", "4041894974608795", "4041-8949 7460-8795", "4041894974608796", "79927398713", "6304000000000000000",
     "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "DE89370400440532013000", "1.2.3.4", "255.255.255.255", "256.1.1.1", "1.2.3.4.5",
     "078-05-1120", "666-05-1120", "899-99-9999", "001-01-0001", "900-01-0001", "2024-02-29", "2023-02-29", "1899-12-31", "2099/12/31", "1900.1.1", "31.12.1999",
-    "5/7/2020", "12/31/2020", "31/12/2020", "99/99/2020", "+1 (499) 555-6503", "+49 30 1234567", "(212) 555-0199", "212-555-0199", "212.555.0199", "+12", "12345678",
+    "5/7/2020", "05/7/2020", "5/07/2020", "1/31/2020", "01.2.3.4", "01.02.2003", "1.2.2003", "2020-1-2", "2020/01/2", "12/31/2020", "31/12/2020", "99/99/2020", "+1 (499) 555-6503", "+49 30 1234567", "(212) 555-0199", "212-555-0199", "212.555.0199", "+12", "12345678",
 ]
 
 
@@ -148,14 +156,58 @@ def test_values_against_twin(spark):
     assert kinds == {*pii.KINDS, None}
 
 
-def test_pseudonyms_are_distinct_and_valid(spark):
-    ips = [f"10.0.{i // 256}.{i % 256}" for i in range(400)]
-    days = [(dt.date(1990, 1, 1) + dt.timedelta(i)).isoformat() for i in range(400)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(ips + days)], "doc_id long, text string")
-    texts = [r.text for r in pii.pseudonymize(df).collect()]
-    assert len(set(texts)) == 800
-    again = pii.pseudonymize(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string"))
-    assert again.where("size(pii) <> 1").count() == 0
+def written(sep, order, pads):
+    """Dates of some years as written in one layout."""
+    day, last, out = dt.date(1996, 1, 1), dt.date(2000, 12, 31), set()
+    while day <= last:
+        part = {"y": str(day.year), "m": f"{day.month:02d}" if pads[0] else str(day.month), "d": f"{day.day:02d}" if pads[1] else str(day.day)}
+        out.add(sep.join(part[k] for k in order))
+        day += dt.timedelta(1)
+    return out
+
+
+def test_pseudonyms_are_distinct_reversible_and_of_the_same_format(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    values = {x for sep in "-/." for order in ("ymd", "dmy", "mdy") if order != "mdy" or sep == "/" for pads in ((0, 0), (0, 1), (1, 0), (1, 1)) for x in written(sep, order, pads)}
+    values |= {f"10.0.{i // 256}.{i % 256}" for i in range(600)} | {f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}" for _ in range(300)}
+    for _ in range(300):
+        body = digits(15)
+        number = body + next(c for c in "0123456789" if luhn_ok(body + c))
+        values |= {number, "-".join(number[i : i + 4] for i in range(0, 16, 4))}
+        code = "GB00WEST" + digits(14)
+        values |= {f"GB{98 - mod97(code):02d}" + code[4:], f"+{digits(2)} {digits(3)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}"}
+        values |= {f"{rng.choice('abAB')}{digits(1)}.{rng.choice('xyZ')}@example.com", f"{rng.choice('abcdefgh')}@b.co"}
+    rows = list(enumerate(sorted(values)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/pii-{rng.random()}"
+    pii.pseudonymize(df, KEY).write.parquet(path)
+    made = spark.read.parquet(path)
+    got = {r.doc_id: (r.text, list(r.pii)) for r in made.collect()}
+    assert len({t for t, _ in got.values()}) == len(values)
+    shape = lambda x: re.sub("[0-9]", "0", x)
+    for i, x in rows:
+        kinds = got[i][1]
+        assert len(kinds) == 1, x
+        assert kinds[0] in ("ip", "iban", "email") or shape(x) == shape(got[i][0])
+    again = pii.pseudonymize(made.select("doc_id", "text"), KEY, back=True)
+    assert {r.doc_id: (r.text, list(r.pii)) for r in again.collect()} == {i: (x, got[i][1]) for i, x in rows}
+
+
+def test_key_is_not_in_the_plan(spark, capsys):
+    df = pii.pseudonymize(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"), "verysecret")
+    df.explain("extended")
+    assert "verysecret" not in capsys.readouterr().out
+    assert df.first().text != "a@b.co"
+
+
+def test_clashing_columns(spark):
+    names = "pii, pii_text, pii_found, pii_made, pii_new, row, text_, secret, found, made, changed, new, `a.b`"
+    df = spark.createDataFrame([(1, "a@b.co", *["kept"] * 13)], f"doc_id long, text string, {names.replace(',', ' string,')} string")
+    got = pii.pseudonymize(df, KEY)
+    assert got.columns == [c for c in df.columns if c != "pii"] + ["pii"]
+    row = got.first()
+    assert list(row)[2:-1] == ["kept"] * 12 and row.pii == ["email"]
 
 
 def test_whole_texts_and_edges(spark):
@@ -178,6 +230,6 @@ def test_whole_texts_and_edges(spark):
 def test_number_network_is_a_permutation(spark, size):
     from pyspark.sql import functions as F
 
-    got = [r[0] for r in spark.range(size).select(F.expr(pii.feistel_number("id", size, "t", KEY))).collect()]
+    got = [r[0] for r in spark.range(size).select(F.expr(pii.feistel_number("id", size, "t", pii._literal(KEY)))).collect()]
     assert sorted(got) == list(range(size))
     assert got == [number_net(x, size, "t") for x in range(size)]
