@@ -2,15 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; run() writes every stage's
 result to the shared folder and reads it back as the next one's docs, so a lost executor repeats one stage at most.
+
+Defined cases: rows with a null doc_id take part in every stage (they teach nothing, come first among lines, and are never
+dropped as near-duplicates); null and empty texts are judged like others, and texts without words are copies of each other;
+repeated rows keep their lines, and rows of one id go or stay together as near-duplicates; texts of any length are taken
+whole; ties go to the smaller id or the earlier line; further columns pass through whatever their names (the last
+stage's results take the place of columns of their names); empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rheolake.llm import decontaminate, line_dedup, quality, sentencepieces, simhash
-from rheolake.llm.common import shared_path, table
+from rheolake.llm.common import discard, shared_path, table
 
 #: Near-duplicate stage: five-word shingles; texts whose sets of them have a Jaccard similarity of LEAST link.  Groups of
 #: fingerprints that agree in 58 of 64 bits are candidates besides those of min-hashes.
@@ -19,15 +24,12 @@ SHINGLE, RADIUS, LEAST = 5, 6, (4, 5)
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).where("accepted").select(*docs.columns)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier one; a document whose every line was one goes."""
-    found = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
-    return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    return line_dedup.drop_repeated(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +62,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
