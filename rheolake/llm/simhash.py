@@ -36,6 +36,8 @@ SHINGLE, SEED, RADIUS, AGREE = 3, 42, 3, 2
 CHUNK = 1024
 #: Keys of three min-hashes each; a pair of similarity 0.8 shares none of them in one of 100,000 cases.
 BANDS, BAND_ROWS = 16, 3
+#: Shingles of a bucket's sets that a task compares with each other (or with as many others) at once.
+CHUNK_SHINGLES = 1 << 20
 #: Shingles of a text hashed at once.
 SLAB_SHINGLES = 1 << 14
 #: Rows of sorted buckets that a task looks at together.
@@ -313,14 +315,91 @@ def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
     return both.where(least[1] * common >= least[0] * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
 
 
+def set_links(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of sets of at least this similarity that join all those of different roots that can be joined by such pairs.
+
+    side: only sets of different sides are compared.  Two sets that similar share one of any few elements of the one, so
+    those that are rarest here name the candidates; the largest group of one root needs no search of its own.
+    """
+    size = np.array([len(x) for x in sets])
+    stop = np.cumsum(size)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
+    members = owner[np.argsort(element, kind="stable")]
+    first = np.cumsum(count) - count
+    label = np.unique(root, return_inverse=True)[1]
+    largest = np.bincount(label).argmax()
+    found: list[tuple[int, int]] = []
+    for u in np.flatnonzero(label != largest).tolist():
+        own = element[stop[u] - size[u] : stop[u]]
+        rare = own[np.argsort(count[own], kind="stable")][: size[u] - (least[0] * size[u] + least[1] - 1) // least[1] + 1]
+        near = members[np.repeat(first[rare] - np.cumsum(count[rare]) + count[rare], count[rare]) + np.arange(count[rare].sum())]
+        near = np.unique(near)
+        near = near[(label[near] != label[u]) & (least[1] * np.minimum(size[near], size[u]) >= least[0] * np.maximum(size[near], size[u]))]
+        if side is not None:
+            near = near[side[near] != side[u]]
+        for v in near.tolist():
+            if label[v] != label[u]:
+                common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                if least[1] * common >= least[0] * (size[u] + size[v] - common):
+                    found.append((u, v))
+                    label[label == label[v]] = label[u]
+    return found
+
+
+def bucket_links(rows: DataFrame, sets: DataFrame, least: tuple[int, int], chunk: int = CHUNK_SHINGLES) -> DataFrame:
+    """Edges (u, v) of at least the similarity between rows(no, key, node, n, root) of a bucket that join different roots.
+
+    Buckets are compared inside tasks, so no pairs are made; one of over ``chunk`` shingles is dealt out as pairs of chunks.
+    """
+    parts = F.ceil(F.sum("n") / chunk).cast("int")
+    sized = rows.groupBy("no", "key").agg(parts.alias("parts"))
+    dealt = (
+        rows.join(sized, ["no", "key"])
+        .withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        .select("no", "key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("no", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "root", "own")
+    )
+    bucket = ["no", "key", "a", "b"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            whole = pa.concat_tables(held).combine_chunks()
+            lists = whole["shingles"].combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            node, own, a, b = (whole[c].to_numpy() for c in ("node", "own", "a", "b"))
+            pairs = set_links([flat[i:j] for i, j in zip(at, at[1:], strict=False)], whole["root"].to_numpy(), own if a[0] != b[0] else None, least)
+            if pairs:
+                u, v = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                part = pa.Table.from_batches([batch.slice(i, j - i)])
+                if held and tuple(keys[i]) != last:
+                    yield from settle()
+                    held = []
+                held.append(part)
+                last = tuple(keys[i])
+        if held:
+            yield from settle()
+
+    ready = dealt.join(sets, "node").select(*bucket, "node", "root", "own", "shingles")
+    return bound_batches(ready.repartition(*bucket).sortWithinPartitions(*bucket)).mapInArrow(compare, "u long, v long")
+
+
 def near_copies(
     docs: DataFrame, least: tuple[int, int], shingle: int = SHINGLE, radius: int = RADIUS, agree: int = AGREE, seed: int = SEED, chunk: int = CHUNK
 ) -> DataFrame:
     """doc_id and component_id over links of at least the Jaccard similarity ``least``, a fraction like (4, 5).
 
     Candidates share a bucket: a band, or a component of fingerprints within ``radius``.  First each is held against the
-    first of its bucket, then against all in its bucket that are not yet of its component; so a large group of copies
-    makes few pairs, and every two of a bucket that matter are compared.
+    first of its bucket; then buckets that hold several components still are compared inside tasks.  So no pairs of a
+    bucket become rows, and every two of a bucket that matter are compared.
     """
     rows = materialize(sketches(docs, shingle, seed), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")], F.min("text_hash").alias("text_hash"))
@@ -334,15 +413,13 @@ def near_copies(
     wanted = members.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
     sets = materialize(shingle_sets(docs, wanted, shingle, seed), "sets")
     # sets of too different sizes cannot be that similar
-    sizes = lambda a, b: least[1] * F.least(a, b) >= least[0] * F.greatest(a, b)
-    stars = members.where((F.col("node") > F.col("head.node")) & sizes(F.col("n"), F.col("head.n")))
+    fits = least[1] * F.least("n", "head.n") >= least[0] * F.greatest("n", "head.n")
+    stars = members.where((F.col("node") > F.col("head.node")) & fits)
     near = materialize(similar(stars.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), sets, least), "near")
     named = members.join(connected_components(near), "node", "left").select("no", "key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("no", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("no", "key")
-    open_rows = materialize(named.join(mixed, ["no", "key"], "left_semi"), "open")
-    other = open_rows.withColumnsRenamed({"node": "v", "n": "v_n", "root": "v_root"})
-    rest = open_rows.join(other, ["no", "key"]).where((F.col("root") < F.col("v_root")) & sizes(F.col("n"), F.col("v_n")))
-    more = materialize(similar(rest.select(F.col("node").alias("u"), "v").distinct(), sets, least), "near")
+    open_rows = named.join(mixed, ["no", "key"], "left_semi")
+    more = materialize(bucket_links(open_rows, sets, least), "near")
     roots = connected_components(near.unionByName(more))
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

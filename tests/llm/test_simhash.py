@@ -135,3 +135,61 @@ def test_copies_of_similarity_08(spark):
     left = s.drop_near_duplicates(docs, least=(4, 5), shingle=5, radius=6)
     assert sorted(r.doc_id for r in left.collect()) == sorted({find(i) for i in ids})
     assert s.near_copies(docs.limit(0), (4, 5)).count() == 0
+
+
+def test_set_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        base = rng.choice(10_000, 60, replace=False)
+        sets = []
+        for _ in range(25):
+            own = base.copy()
+            at = rng.choice(60, rng.integers(0, 14), replace=False)
+            own[at] = rng.integers(10_000, 10**6, len(at))
+            sets.append(np.unique(own[: rng.integers(45, 61)]))
+        root = rng.integers(0, 22, 25)
+        jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+        def joined(pairs, root=root):
+            label = root.copy()
+            for u, v in pairs:
+                label[label == label[v]] = label[u]
+            return [label.tolist().index(x) for x in label]
+
+        every = [(u, v) for u in range(25) for v in range(25) if jaccard(sets[u], sets[v]) >= 0.8]
+        got = s.set_links(sets, root, None, (4, 5))
+        assert all(jaccard(sets[u], sets[v]) >= 0.8 for u, v in got)
+        assert joined(got) == joined(every)
+        side = rng.integers(0, 2, 25)
+        assert joined(s.set_links(sets, root, side, (4, 5))) == joined([(u, v) for u, v in every if side[u] != side[v]])
+
+
+def test_near_copies_in_one_large_bucket(spark, monkeypatch):
+    """A group whose texts are chained, not all alike: components of all pairs, whatever the chunks."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for k in range(rng.randrange(6)):
+            own[rng.randrange(70)] = f"x{i}-{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    label = list(range(60))
+    for u in range(60):
+        for v in range(u):
+            if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]):
+                a, b = sorted((label[u], label[v]))
+                label = [a if x == b else x for x in label]
+    assert 3 < len(set(label)) < 50
+    for chunk in (1 << 20, 500):
+        monkeypatch.setattr(s.bucket_links, "__defaults__", (chunk,))
+        got = {r.doc_id: r.component_id for r in s.near_copies(docs, (4, 5), 5, 6).collect()}
+        assert [got[i] for i in range(60)] == label
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "y")], ["doc_id", "text", "gone_id", "a.b"])
+    got = s.drop_near_duplicates(docs, least=(4, 5), shingle=5)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", "x", "y")]
