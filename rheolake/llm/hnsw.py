@@ -3,15 +3,17 @@
 Equal vectors are one node (its smallest ids answer for it).  Vectors of one length are dealt to shards of bounded size
 by hash; each shard is built in a task as a hierarchy of graphs, stored as flat arrays: vectors, and per layer one
 row of neighbour numbers per node.  Points are added in blocks: a block searches the graph so far in step, then links to
-the found neighbours by the diversity rule, and back.  Queries search every shard; the best of all shards are merged by
-exact double-precision inner products and ties go to smaller ids.
+the found neighbours by the diversity rule, and back.  Queries search every shard, in blocks of bounded size that are
+tasks of their own; a task reads its shard's vectors, builds the graph and answers queries as they stream in.  The best of
+all shards are merged by exact double-precision inner products and ties go to smaller ids.
 
 To make the largest inner product a nearest neighbour, a coordinate is added in the index that gives all vectors of a
 shard the same length; queries get a zero there.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part; candidates are vectors of
 the query's length; null ids take no part; of a repeated row every copy but the query's own id is a candidate once per id;
-equal query rows are one query; fewer candidates than asked for are all returned; empty tables give an empty result; other columns are not looked at.
+equal query rows are one query; fewer candidates than asked for are all returned; vectors of any length are taken whole;
+empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rheolake.llm.common import materialize, table
+from rheolake.llm.common import bound_batches, materialize, table
 
 NEAREST = 20
-#: Distinct vectors per shard, about; a small table still gets this many shards, of ``LEAST_ROWS`` at least; neighbours per node (twice that in the lowest layer); breadth of searches.
-SHARD_ROWS, SHARDS, LEAST_ROWS = 8_192, 16, 256
+#: Distinct vectors per shard and queries per task, about; neighbours per node (twice that in the lowest layer); breadth of searches.
+SHARD_ROWS, QUERY_ROWS = 8_192, 20_000
 LINKS, BUILD_BREADTH, QUERY_BREADTH = 16, 96, 128
 BLOCK = 128
 SEED = 7
@@ -213,50 +215,55 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(
-    rows: DataFrame, queries: DataFrame, k: int = NEAREST, shard_rows: int = SHARD_ROWS, breadth: int = QUERY_BREADTH
+    rows: DataFrame, queries: DataFrame, k: int = NEAREST, shard_rows: int = SHARD_ROWS, breadth: int = QUERY_BREADTH, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries(vec_id, embedding) its k nearest rows(vec_id, embedding).
 
-    Each shard is one task's work and so are its searches; queries are copied to shards in blocks, as a stated query set
-    against all rows.
+    A task has one shard and one block of queries: a stated query set against all rows, in blocks.
     """
     spark = rows.sparkSession
     points = valid_vectors(rows).select("vec_id", "v", F.xxhash64(F.transform("v", lambda x: x + 0.0)).alias("h"))
     # The k + 1 smallest ids of each vector are all that any query can need of it.
-    members = _smallest_ids(points, k + 1)
-    members = materialize(members, "members")
-    sizes = members.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row per vector length
-    shards = {r["dim"]: max(-(-r["n"] // shard_rows), min(SHARDS, -(-r["n"] // LEAST_ROWS))) for r in sizes}
-    if not shards:
+    members = materialize(_smallest_ids(points, k + 1), "members")
+    asked = valid_vectors(queries).select(F.size("v").alias("dim"), F.col("vec_id").alias("query_id"), "v").distinct()
+    sizes = {r["dim"]: r["n"] for r in members.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per vector length
+    wanted = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect() if r["dim"] in sizes}
+    if not wanted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    count = F.coalesce(*[F.when(F.col("dim") == d, n) for d, n in shards.items()])
-    nodes = members.select("dim", F.pmod(F.col("h"), count).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
-    asked = valid_vectors(queries).select(F.size("v").alias("dim"), F.col("vec_id").alias("query_id"), "v").where(F.col("dim").isin(list(shards))).distinct()
-    copies = asked.select("dim", F.explode(F.sequence(F.lit(0), count - 1)).alias("shard"), "query_id", "v", F.lit(None).cast("array<bigint>").alias("ids"))
-    together = nodes.unionByName(copies)
+    shards, blocks = {d: -(-sizes[d] // shard_rows) for d in wanted}, {d: -(-n // query_rows) for d, n in wanted.items()}
+    of = lambda counts: F.coalesce(*[F.when(F.col("dim") == d, n) for d, n in counts.items()])
+    among = lambda df: df.where(F.col("dim").isin(list(wanted)))
+    every = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
+    nodes = among(members).select("dim", F.pmod("h", of(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
+    block = F.pmod(F.xxhash64("query_id", "v"), of(blocks)).cast("int").alias("block")
+    copies = among(asked).select("dim", every(shards).alias("shard"), block, "query_id", "v", F.lit(None).cast("array<bigint>").alias("ids"))
+    key = ["dim", "shard", "block"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        here, base, ids, graph = None, [], [], None
         for batch in batches:
-            held.append(batch)
-        if not held:
-            return
-        whole = pa.Table.from_batches(held).combine_chunks()
-        key = np.stack([whole["dim"].to_numpy(), whole["shard"].to_numpy()], 1)
-        for dim, shard in np.unique(key, axis=0):
-            part = whole.filter(pa.array((key == (dim, shard)).all(1)))
-            is_query = part["query_id"].is_valid().to_numpy(zero_copy_only=False)
-            flat = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), int(dim))
-            base, ask = flat[~is_query], flat[is_query]
-            if not len(base) or not len(ask):
-                continue
-            ids = part["ids"].filter(pa.array(~is_query)).to_pylist()
-            owners = part["query_id"].filter(pa.array(is_query)).to_numpy()
-            graph = build(base)
-            for at in range(0, len(ask), 512):
-                yield _answers(graph, base, ids, ask[at : at + 512], owners[at : at + 512], k, breadth)
-
-    found = together.repartition(sum(shards.values()), "dim", "shard").mapInArrow(work, "query_id long, vec_id long, score double")
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            is_query = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (is_query[1:] != is_query[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if tuple(keys[i]) != here:  # its vectors come before its queries
+                    here, base, ids, graph = tuple(keys[i]), [], [], None
+                part = batch.slice(i, j - i)
+                flat = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(j - i, int(keys[i][0]))
+                if not is_query[i]:
+                    base.append(flat)
+                    ids += part.column(5).to_pylist()
+                elif base:
+                    if graph is None:
+                        base = [np.concatenate(base)]
+                        graph = build(base[0])
+                    owners = part.column(3).to_numpy()
+                    for at in range(0, len(flat), 512):
+                        yield _answers(graph, base[0], ids, flat[at : at + 512], owners[at : at + 512], k, breadth)
+
+    together = nodes.unionByName(copies).repartition(sum(shards[d] * blocks[d] for d in wanted), *key)
+    sorted_ = together.sortWithinPartitions(*key, F.col("query_id").isNotNull())
+    found = bound_batches(sorted_).mapInArrow(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

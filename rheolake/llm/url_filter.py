@@ -1,16 +1,18 @@
 """URL filtering: host/path rules first, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
-A vocabulary term counts where it stands between boundaries: neither neighbour may be an ASCII letter or digit.  One
-strict term, or ``soft_min`` distinct soft terms, block a url.  All work is one narrow pass over (id, url).
+A vocabulary term counts where it stands between boundaries: neither neighbour may be an ASCII letter or digit.  Terms
+have weights, and a url whose distinct terms weigh ``LIMIT`` together is blocked: a strict term weighs that alone, a soft
+one half of it, so one strict or two distinct soft terms do.  Another vocabulary can be read from a table of terms and
+weights (``read_vocabulary``).  All work is one narrow pass over (id, url).
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, so no rule fits it; its verdict is the
-vocabulary's over what text there is (null: allow).  Equal rows get equal verdicts, an empty table gives an empty
-result, and other columns of the input are not looked at.
+vocabulary's over what text there is (null: allow).  Equal rows get equal verdicts, urls of any length are read whole, an
+empty table gives an empty result, and other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,11 @@ SOFT_TERMS = (
     "adult", "bet", "betting", "bonus", "casino", "cheap", "click", "dating", "escort", "free", "jackpot", "loan",
     "nude", "pills", "poker", "ref", "sex", "slots", "track", "viagra", "win",
 )
-SOFT_MIN = 2
-SCHEMA = "host string, path string, rule string, verdict string, n_strict int, n_soft int"
+LIMIT = 1.0
+WEIGHTS = {**dict.fromkeys(SOFT_TERMS, LIMIT / 2), **dict.fromkeys(STRICT_TERMS, LIMIT)}
+#: Terms of a vocabulary table at most; they go to every task.
+MAX_TERMS = 200_000
+SCHEMA = "host string, path string, rule string, verdict string, n_terms int, weight double"
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -74,28 +79,35 @@ class RuleBook:
                 return found
 
 
-def term_counter(strict: Sequence[str], soft: Sequence[str]):
-    """A function from lower-cased text to (strict hits, distinct soft terms)."""
+def read_vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+    """terms(term, weight) as a dictionary: A-Z lower-cased, the largest weight of equal terms, no empty ones."""
+    rows = terms.where("term <> '' AND weight > 0").limit(max_terms + 1).collect()
+    if len(rows) > max_terms:
+        raise ValueError(f"more than {max_terms} terms")
+    found: dict[str, float] = {}
+    for r in rows:
+        term = ascii_lower(r["term"])
+        found[term] = max(found.get(term, 0.0), float(r["weight"]))
+    return found
+
+
+def term_counter(weights: Mapping[str, float]):
+    """A function from lower-cased text to (distinct terms found, their weight)."""
     import ahocorasick
 
     words = ahocorasick.Automaton()
-    for kind, terms in ((1, soft), (0, strict)):
-        for term in terms:
-            words.add_word(term, (kind, term))
+    for term in weights:
+        words.add_word(term, term)
     words.make_automaton()
     inner = set("abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def count(text: str) -> tuple[int, int]:
-        hard, mild, n = 0, set(), len(text)
-        for end, (kind, term) in words.iter(text):
+    def count(text: str) -> tuple[int, float]:
+        found, n = set(), len(text)
+        for end, term in words.iter(text):
             start = end - len(term)
-            if (start >= 0 and text[start] in inner) or (end + 1 < n and text[end + 1] in inner):
-                continue
-            if kind:
-                mild.add(term)
-            else:
-                hard += 1
-        return hard, len(mild)
+            if not ((start >= 0 and text[start] in inner) or (end + 1 < n and text[end + 1] in inner)):
+                found.add(term)
+        return len(found), sum(weights[t] for t in sorted(found))
 
     return count
 
@@ -105,30 +117,29 @@ def url_verdicts(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS,
-    soft_min: int = SOFT_MIN,
+    weights: Mapping[str, float] = WEIGHTS,
+    limit: float = LIMIT,
 ) -> DataFrame:
-    """One row per input row: id, url, host, path, rule, verdict, n_strict, n_soft."""
+    """One row per input row: id, url, host, path, rule, verdict, n_terms, weight."""
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     id_type = rows.schema[0].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, count = RuleBook(rules), term_counter(strict, soft)
+        book, count = RuleBook(rules), term_counter(weights)
         for batch in batches:
             out: list[tuple] = []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule, verdict = book.find(host, path)
-                hard, mild = count(ascii_lower(url)) if url else (0, 0)
+                n_terms, weight = count(ascii_lower(url)) if url and weights else (0, 0.0)
                 if verdict is None:
-                    verdict = "block" if hard or mild >= soft_min else "allow"
-                out.append((host, path, rule, verdict, hard, mild))
+                    verdict = "block" if weight >= limit else "allow"
+                out.append((host, path, rule, verdict, n_terms, weight))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)]
-                + [pa.array(c, pa.int32() if i > 3 else pa.string()) for i, c in enumerate(columns)],
-                [id_col, "url", "host", "path", "rule", "verdict", "n_strict", "n_soft"],
+                + [pa.array(c, (pa.string(), pa.int32(), pa.float64())[max(0, i - 3)]) for i, c in enumerate(columns)],
+                [id_col, "url", "host", "path", "rule", "verdict", "n_terms", "weight"],
             )
 
     return rows.mapInArrow(judge, f"`{id_col}` {id_type}, url string, {SCHEMA}")
@@ -164,7 +175,7 @@ fit AS (
     row_number() OVER (PARTITION BY rid ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS rn
   FROM keyed JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule,
-  coalesce(rverdict, CASE WHEN {hits(STRICT_TERMS)} >= 1 OR {hits(SOFT_TERMS)} >= {SOFT_MIN}
+  coalesce(rverdict, CASE WHEN {hits(STRICT_TERMS)} >= 1 OR {hits(SOFT_TERMS)} >= 2
     THEN 'block' ELSE 'allow' END) AS verdict
 FROM keyed LEFT JOIN (SELECT * FROM fit WHERE rn = 1) USING (rid)
 """

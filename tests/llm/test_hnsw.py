@@ -35,7 +35,7 @@ def test_small_and_odd_rows(spark):
     df = table(spark, rows).repartition(3)
     for k in (3, 20, 500):
         got = {}
-        for r in hnsw.nearest_neighbours(df, df, k).collect():
+        for r in hnsw.nearest_neighbours(df, df, k, shard_rows=50, query_rows=30).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
         want = brute(rows, rows, k)
         assert set(got) == {q for q, w in want.items() if w}
@@ -65,7 +65,7 @@ def test_recall(spark, kind):
     v = v.astype(np.float32).astype(np.float64)
     df = table(spark, list(enumerate(v.tolist())))
     got = {}
-    for r in hnsw.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect():
+    for r in hnsw.nearest_neighbours(df, df.where("vec_id % 20 = 0"), shard_rows=1_500, query_rows=90).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     product = v[::20] @ v.T
     right = 0
@@ -75,3 +75,16 @@ def test_recall(spark, kind):
         right += sum(row[x] >= least for x in got[q])
     assert len(got) == 200 and all(len(x) == 20 for x in got.values())
     assert right / (200 * 20) > 0.95
+
+
+def test_recall_in_a_shard_of_real_size():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(hnsw.SHARD_ROWS, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph = hnsw.build(v)
+    near = graph.nearest(np.c_[v[:200], np.zeros(200)].astype(np.float32), hnsw.QUERY_BREADTH)
+    product = v[:200] @ v.T
+    want = np.argsort(-product, axis=1)[:, :21]
+    exact = np.take_along_axis(product, near, 1)
+    got = np.take_along_axis(near, np.argsort(-exact, axis=1)[:, :21], 1)
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(got, want, strict=True)]) > 0.9

@@ -61,3 +61,32 @@ def test_edge_rows(spark, tables):
         plain = q.fit(docs, none)
         assert all(r.accepted and r.quality_score == 1 for r in q.score(odd, plain).collect())
     assert all(r.accepted for r in q.score(odd, q.fit(docs.limit(0), labels)).collect())
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    names = ["accepted", "view_text", "quality_score", "row", "a.b"]
+    rows = [(i % 40, "good words in a text." if i % 2 else "### !!! ###", "en", "s", 9, *["x"] * 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = q.fit(docs, labels)
+    left = q.accepted(docs, model)
+    assert left.columns == docs.columns and {r.accepted for r in left.collect()} == {"x"} and left.count() == 200
+    assert q.score(docs, model, keep=tuple(docs.columns)).columns == ["doc_id", "text", "lang", "source", "n_chars", "view_text", "row", "a.b", *q.RESULTS]
+
+
+def test_scores_are_those_of_plain_formulas(spark):
+    """The whole chain against formulas written out again: features, logistic fits, calibration, combination."""
+    rows = [(i, ("good words in a text. " * (1 + i % 5)) if i % 3 else "### !!! ###\n" * (1 + i % 4), ("en", None)[i % 2], f"s{i % 4}", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 120, 2)], "doc_id long, quality int")
+    model = q.fit(docs, labels)
+    got = {r.doc_id: r for r in q.score(docs, model).collect()}
+    for r in rows:
+        logits = []
+        for view, calibration, x in zip(model.views, model.calibrations, q.views_of({"text": [r[1]], "lang": [r[2]], "source": [r[3]], "n_chars": [r[4]]}), strict=True):
+            raw = sum(w * (float(v) - m) / s for w, v, m, s in zip(view.weights, x[0], view.mean, view.scale, strict=False)) + view.weights[-1]
+            logits.append((raw - calibration.mean[0]) / calibration.scale[0] * calibration.weights[0] + calibration.weights[1])
+        both = sum(w * (z - m) / s for w, z, m, s in zip(model.combination.weights, logits, model.combination.mean, model.combination.scale, strict=False)) + model.combination.weights[-1]
+        for found, want in zip((got[r[0]].content_score, got[r[0]].metadata_score, got[r[0]].quality_score), (*logits, both), strict=True):
+            assert abs(found - 1 / (1 + np.exp(-np.clip(want, -40, 40)))) < 1e-6
+    assert all(got[i].accepted == (i % 3 > 0) for i in range(120))

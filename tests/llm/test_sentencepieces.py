@@ -124,3 +124,12 @@ def test_tables(spark, pieces):
     assert all(back[i] == (t or "").replace(sp.MARK, " ") for i, t, _ in rows)
     assert sp.encode_documents(docs.limit(0)).count() == 0
     assert list(itertools.chain(*[r.ids for r in got if r.doc_id == 0])) == []
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", *["x"] * 6)], ["doc_id", "text", "ids", "score", "n_best", "piece_text", "row", "a.b"])
+    got = sp.encode_documents(docs, keep=tuple(docs.columns))
+    assert got.columns == ["doc_id", "text", "piece_text", "row", "a.b", *sp.RESULTS]
+    assert got.first().round_trip
+    back = sp.decode_documents(got, keep=("doc_id", "text", "piece_text")).first()
+    assert tuple(back) == (1, "x", "some text")

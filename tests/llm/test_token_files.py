@@ -45,3 +45,53 @@ def test_empty(spark):
     path = shared_path(spark, "t")
     tf.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path)
     assert tf.token_digests(spark, path).count() == 0
+
+
+def test_files_in_order_of_tasks_and_repeated_ids_split(spark, plain):
+    import os
+
+    rows = [(7, "same words here")] * 400 + [(None, f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = shared_path(spark, "t")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tf.write_token_files(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = path.removeprefix("file://")
+    names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+    assert len(names) > 2 and max(tf.read_token_files(spark, path).groupBy("file_name").count().toPandas()["count"]) < 700
+    for n in os.listdir(folder):
+        if n.startswith(".") and n.endswith(".crc"):
+            os.remove(f"{folder}/{n}")
+    for n, new in zip(names, range(99_999, 99_999 + len(names)), strict=True):  # six digits sort before five by name
+        os.rename(f"{folder}/{n}", f"{folder}/part-{new}-{n.split('-', 2)[2]}")
+    got = tf.token_digests(spark, path).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == [None] * 400 + [7] * 400
+    with pytest.raises(ValueError):
+        tf.write_token_files(docs, path, "other.json")
+
+
+def test_lookup_skips_rows_it_does_not_need(spark):
+    docs = spark.range(20_000).selectExpr("id * 2 AS doc_id", "'some text' AS text").coalesce(1)
+    path = shared_path(spark, "t")
+    tf.write_token_files(docs, path)
+
+    def scanned(doc_id):
+        df = tf.lookup(spark, path, [doc_id])
+        found = df.count(), df._jdf.queryExecution().executedPlan()
+        df = tf.lookup(spark, path, [doc_id])
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head() if not plan.getClass().getSimpleName().startswith("Adaptive") else plan.executedPlan().collectLeaves().head()
+        return found[0], len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    there, missing = scanned(10_000), scanned(10_001)
+    assert there[:2] == (1, 1) and 0 < there[2] <= 2_000
+    assert missing[:2] == (0, 0) and missing[2] <= 2_000

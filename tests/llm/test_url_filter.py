@@ -1,6 +1,6 @@
 import pytest
 
-from rheolake.llm.url_filter import RuleBook, RULES, split_url, term_counter, url_verdicts
+from rheolake.llm.url_filter import RuleBook, RULES, read_vocabulary, split_url, term_counter, url_verdicts
 
 
 @pytest.mark.parametrize(
@@ -29,11 +29,22 @@ def test_rules_longest_wins():
 
 
 def test_terms_need_boundaries_and_distinct_soft_hits():
-    count = term_counter(["xxx"], ["bet", "win"])
-    assert count("bet/bet/bet") == (0, 1)
-    assert count("a-bet_win.") == (0, 2)
+    count = term_counter({"xxx": 1.0, "bet": 0.5, "win": 0.5})
+    assert count("bet/bet/bet") == (1, 0.5)
+    assert count("a-bet_win.") == (2, 1.0)
     assert count("alphabet winner xxxx") == (0, 0)
-    assert count("éxxxé") == (1, 0)
+    assert count("éxxxé") == (1, 1.0)
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = [("Bad", 0.3), ("bad", 0.7), ("sad", 0.4), ("", 9.0), (None, 1.0), ("free", 0.0)] + [(f"term{i}", 0.01) for i in range(3_000)]
+    weights = read_vocabulary(spark.createDataFrame(rows, "term string, weight double"))
+    assert len(weights) == 3_002 and weights["bad"] == 0.7
+    pages = spark.createDataFrame([(1, "http://a.org/bad/sad"), (2, "http://a.org/bad/free"), (3, "http://a.org/sad?term7")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_verdicts(pages, weights=weights).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    assert {r.verdict for r in url_verdicts(pages, weights={}).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        read_vocabulary(spark.createDataFrame(rows, "term string, weight double"), max_terms=100)
 
 
 def test_edge_rows(spark):
