@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from rheolake.config import EngineConfig, PlaneParams, SkeletonParams, StreamlineParams, WallParams
 
@@ -14,10 +15,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--steps", default="planes,metrics,qc", help="comma-separated step names")
     p.add_argument("--spacing", type=float, nargs=3, default=(1.0, 1.0, 1.0))
     p.add_argument("--rr", type=float, default=1000.0)
-    p.add_argument("--centre-only", action="store_true")
+    p.add_argument("--by-distance", action="store_true", help="evenly spaced planes instead of one in the middle of each path")
     p.add_argument("--distance", type=float, default=5.0)
     p.add_argument("--start", type=float, default=5.0)
-    p.add_argument("--end", type=float, default=5.0)
+    p.add_argument("--end", type=float, default=0.0)
     p.add_argument("--remove-small", action="store_true")
     p.add_argument("--min-volume", type=float, default=50.0)
     p.add_argument("--no-closing", action="store_true")
@@ -41,7 +42,7 @@ def config_of(a: argparse.Namespace) -> EngineConfig:
         spacing=tuple(a.spacing),
         rr=a.rr,
         skeleton=SkeletonParams(a.remove_small, a.min_volume, not a.no_closing, a.opening, not a.no_gaussian, a.sigma),
-        planes=PlaneParams(a.centre_only, a.distance, a.start, a.end),
+        planes=PlaneParams(not a.by_distance, a.distance, a.start, a.end),
         streamlines=StreamlineParams(a.seed_ratio, a.least_seeds, a.seed, a.max_steps, a.least_speed),
         wall=WallParams(a.viscosity, a.inward, not a.linear, not a.slip),
     )
@@ -50,14 +51,24 @@ def config_of(a: argparse.Namespace) -> EngineConfig:
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
+    from pyspark.sql import functions as F
+
     from rheolake.engine import Engine
+    from rheolake.sinks import write_report
+    from rheolake.sources.cases import case_status
 
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("rheolake").getOrCreate()
     read = lambda name: spark.read.parquet(f"{a.cases}/{name}")
-    engine = Engine(read("seg"), read("flow"), read("meta"), config_of(a))
+    began = time.time()
+    status = case_status(read("seg"), read("flow"), read("meta"))
+    good = status.where("status = 'ok'").select("case_id")
+    engine = Engine(*(read(name).join(good, "case_id", "left_semi") for name in ("seg", "flow", "meta")), config_of(a))
     for name in a.steps.split(","):
         engine.step(name.strip()).write.mode("overwrite").parquet(f"{a.output}/{name.strip()}")
+    # all cases run together, so each has an equal share of the job's seconds
+    share = (time.time() - began) / max(1, good.count())
+    write_report(status.withColumn("seconds", F.when(F.col("status") == "ok", share)), f"{a.output}/report")
 
 
 if __name__ == "__main__":

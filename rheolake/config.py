@@ -21,10 +21,10 @@ class SkeletonParams:
 
 @dataclass(frozen=True)
 class PlaneParams:
-    centre_only: bool = False
-    distance: float = 20.0
+    centre_only: bool = True
+    distance: float = 5.0
     start: float = 5.0
-    end: float = 5.0
+    end: float = 0.0
     interpolation: int = 10
     window: int = 150
     order: int = 2

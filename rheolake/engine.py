@@ -12,9 +12,10 @@ from rheolake.operators import graph, kernels, planes, polyline, surface, voxel
 from rheolake.storage import materialize
 
 
-def lattice_number(i: str, j: str, k: str, side: int = 100_000):
+def lattice_number(i, j, k, side: int = 100_000):
     """One number per place of a lattice of up to side places each way."""
-    return F.col(i).cast("long") + side * (F.col(j).cast("long") + side * F.col(k).cast("long"))
+    i, j, k = (F.col(c) if isinstance(c, str) else c for c in (i, j, k))
+    return i.cast("long") + side * (j.cast("long") + side * k.cast("long"))
 
 
 class Engine:
@@ -134,17 +135,15 @@ class Engine:
 
     @cached_property
     def wall(self) -> DataFrame:
-        """Wall shear stress at the smoothed surface's corners, by time."""
+        """Wall shear stress at the smoothed surface's corners, by time: each time's own mask, and its surface's own normals."""
         p, s = self.config.wall, self.config.spacing
-        normals = voxel.vertex_normals(voxel.boundary_faces(self.mask))
-        vid = lattice_number("vi", "vj", "vk")
-        corners = normals.withColumn("vid", vid).withColumns({c: F.col(f"v{n}") * w for c, n, w in zip("xyz", "ijk", s, strict=True)})
-        links = graph.lattice_edges(corners.withColumnsRenamed({"vi": "i", "vj": "j", "vk": "k"}), F.col("vid"))
-        smooth = kernels.smooth_surface(corners, links, p.smoothing).join(corners.select("case_id", "vid", "nx", "ny", "nz"), ["case_id", "vid"])
         keyed = lambda df: df.withColumn("case_id", F.struct("case_id", "t"))
-        at = smooth.join(self.flow.select("case_id", "t").distinct(), "case_id")
-        found = surface.wall_shear_stress(keyed(at).drop("t"), keyed(self.flow).drop("t"), p.viscosity, p.inward, p.parabolic, p.no_slip, s)
-        return found.select("case_id.case_id", "case_id.t", "vid", "wss")
+        mask = keyed(self.seg.where("label > 0")).select("case_id", "i", "j", "k").distinct()
+        loops = self._kept(voxel.face_loops(voxel.boundary_faces(mask), lattice_number, s))
+        smooth = self._kept(kernels.smooth_surface(voxel.loop_vertices(loops), voxel.loop_edges(loops), p.smoothing))
+        at = smooth.join(voxel.loop_normals(loops, smooth), ["case_id", "vid"])
+        found = surface.wall_shear_stress(at, keyed(self.flow).drop("t"), p.viscosity, p.inward, p.parabolic, p.no_slip, s)
+        return self._kept(found.join(smooth, ["case_id", "vid"]).select("case_id.case_id", "case_id.t", "vid", "x", "y", "z", "wss"))
 
     @cached_property
     def tke_peak(self) -> DataFrame:
@@ -152,18 +151,29 @@ class Engine:
 
     @cached_property
     def seeds(self) -> DataFrame:
+        """Voxels' centres, chosen anew at each time."""
         p = self.config.streamlines
-        found = surface.sample_seeds(self.mask, p.ratio, p.seed, p.least_seeds)
-        return found.select("case_id", "line_id", *[(F.col(c) + 0.5).alias(q) for c, q in zip("ijk", "xyz", strict=True)])
+        times = self.mask.drop("voxel").join(self.flow.select("case_id", "t").distinct(), "case_id")
+        found = surface.sample_seeds(times, p.ratio, p.seed, p.least_seeds)
+        return found.select("case_id", "t", "line_id", *[(F.col(c) + 0.5).alias(q) for c, q in zip("ijk", "xyz", strict=True)])
 
     @cached_property
     def streamlines(self) -> DataFrame:
         p = self.config.streamlines
-        return kernels.streamlines(self.flow, self.seeds, max_steps=p.max_steps, least_speed=p.least_speed)
+        return kernels.streamlines(self.flow, self.seeds, self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
+
+    @cached_property
+    def plane_streamlines(self) -> DataFrame:
+        """Lines from voxels that planes cut; line_id counts through the planes of a case."""
+        p, heads = self.config.streamlines, self.planes.select("case_id", "plane_index", *[f"{n}{c}" for n in "cn" for c in "xyz"])
+        cut = planes.cut_voxels(heads, self.mask.drop("voxel"), self.config.spacing)
+        found = surface.plane_seeds(cut, p.ratio, p.seed, p.least_seeds)
+        number = (F.col("plane_index").cast("long") * 1_000_000 + F.col("line_id")).alias("line_id")
+        return kernels.streamlines(self.flow, found.select("case_id", number, "x", "y", "z"), self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
 
     # ------------------------------------------------------------------------------------------------------------- views
 
-    STEPS = ("mask", "prepared", "skeleton", "edges", "raw_paths", "path_info", "forks", "branches", "paths", "planes", "series", "metrics", "qc", "wall", "tke_peak", "seeds", "streamlines")
+    STEPS = ("mask", "prepared", "skeleton", "edges", "raw_paths", "path_info", "forks", "branches", "paths", "planes", "series", "metrics", "qc", "wall", "tke_peak", "seeds", "streamlines", "plane_streamlines")
 
     def step(self, name: str) -> DataFrame:
         if name not in self.STEPS:

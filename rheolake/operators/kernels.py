@@ -123,33 +123,52 @@ def is_simple(around: np.ndarray) -> bool:
     return _pieces(_IN18 - inside, _NEAR6, _FACE_PLACES) == 1
 
 
-def thin(ijk: np.ndarray) -> np.ndarray:
+_BITS = 1 << np.arange(27, dtype=np.int64)
+
+
+def thin(ijk: np.ndarray, known: dict[int, bool] | None = None) -> np.ndarray:
     """The one-voxel-wide skeleton of a set of voxels: simple border voxels go, side by side, ends of lines stay.
 
     Each side's border is taken in eight classes of even and odd places: voxels of a class do not touch each other, so
-    they go all at once and no line is eaten from its end.
+    they go all at once and no line is eaten from its end.  known: whether the centre of a 3x3x3 block, read as 27 bits,
+    may go; it is filled on the way.
     """
+    known = {} if known is None else known
     lo = ijk.min(0) - 1
     box = np.zeros(ijk.max(0) - lo + 2, bool)
     box[tuple((ijk - lo).T)] = True
+    flat = box.reshape(-1)
+    around = np.array([(i * box.shape[1] + j) * box.shape[2] + k for i, j, k in _PLACES])
+
+    def may_go(code: int) -> bool:
+        block = (code & _BITS) > 0
+        return bool(block.sum() > 2) and is_simple(block)
+
     changed = True
     while changed:
         changed = False
         for s in FACES:
-            border = np.argwhere(box & ~np.roll(box, [-x for x in s], (0, 1, 2)))
-            for i, j, k in border[np.argsort((border % 2) @ (4, 2, 1), kind="stable")]:
-                around = box[i - 1 : i + 2, j - 1 : j + 2, k - 1 : k + 2]
-                if around.sum() > 2 and is_simple(around):
-                    box[i, j, k] = False
-                    changed = True
+            border = np.flatnonzero(box & ~np.roll(box, [-x for x in s], (0, 1, 2)))
+            kind = (np.stack(np.unravel_index(border, box.shape), 1) % 2) @ (4, 2, 1)
+            for own in range(8):
+                cells = border[kind == own]
+                if not len(cells):
+                    continue
+                codes = (flat[cells[:, None] + around] @ _BITS).tolist()
+                for code in set(codes).difference(known):
+                    known[code] = may_go(code)
+                gone = cells[[known[c] for c in codes]]
+                flat[gone] = False
+                changed |= len(gone) > 0
     return np.argwhere(box) + lo
 
 
 def skeletonize(components: DataFrame) -> DataFrame:
     """components(case_id, i, j, k, component): the skeleton's voxels."""
+    known: dict[int, bool] = {}  # each task fills a copy of its own
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = thin(pdf[["i", "j", "k"]].to_numpy(np.int64))
+        kept = thin(pdf[["i", "j", "k"]].to_numpy(np.int64), known)
         out = pd.DataFrame(kept.astype(np.int32), columns=["i", "j", "k"])
         return out.assign(case_id=pdf["case_id"].iloc[0], component=pdf["component"].iloc[0])[["case_id", "i", "j", "k", "component"]]
 
@@ -306,12 +325,15 @@ def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, rel
     return rows.groupBy("case_id").cogroup(_anew(edges.select("case_id", "src", "dst")).groupBy("case_id")).applyInPandas(run, rows.schema)
 
 
-def streamlines(flow: DataFrame, seeds: DataFrame, step: float = 0.5, max_steps: int = 2000, least_speed: float = 0.01) -> DataFrame:
-    """Lines of the flow(case_id, t, i, j, k, vx, vy, vz) through seeds(case_id, line_id, x, y, z), in voxel units.
+def streamlines(flow: DataFrame, seeds: DataFrame, spacing=(1.0, 1.0, 1.0), step: float = 0.5, max_steps: int = 2000, least_speed: float = 0.01) -> DataFrame:
+    """Lines of the flow(case_id, t, i, j, k, vx, vy, vz in cm/s) through seeds(case_id [, t], line_id, x, y, z), in voxel units.
 
-    Fourth-order steps of equal length, both ways from the seed (seq counts from it, negative upstream), until the flow is
-    slower than least_speed, the line leaves the mask, or the steps run out.  A task has one case and time.
+    Fourth-order steps of equal length in space (``step`` times the least spacing), both ways from the seed (seq counts from
+    it, negative upstream), until the flow is slower than least_speed (m/s, like speed), the line leaves the mask, or the
+    steps run out.  A task has one case and time.
     """
+    cell_size = np.array(spacing, float)
+    step = step * cell_size.min()
 
     def run(key, field: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         columns = ["case_id", "t", "line_id", "seq", "x", "y", "z", "speed"]
@@ -326,12 +348,12 @@ def streamlines(flow: DataFrame, seeds: DataFrame, step: float = 0.5, max_steps:
             cell = np.floor(p).astype(np.int64) - lo
             inside = ((cell >= 0) & (cell < box.shape[:3])).all(1)
             out = np.zeros((len(p), 3))
-            out[inside] = box[tuple(cell[inside].T)]
+            out[inside] = box[tuple(cell[inside].T)] / 100.0
             return out
 
         def unit(p: np.ndarray, way: float) -> np.ndarray:
             v = at(p)
-            return way * v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+            return way * v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12) / cell_size
 
         start = pdf[["x", "y", "z"]].to_numpy(float)
         speed = np.linalg.norm(at(start), axis=1)
@@ -357,6 +379,7 @@ def streamlines(flow: DataFrame, seeds: DataFrame, step: float = 0.5, max_steps:
         return out.sort_values(["line_id", "seq"])[columns]
 
     kinds = {f.name: f.dataType.simpleString() for f in flow.schema}
-    every = seeds.join(flow.select("case_id", "t").distinct(), "case_id").select("case_id", "t", "line_id", "x", "y", "z")
+    at_times = seeds if "t" in seeds.columns else seeds.join(flow.select("case_id", "t").distinct(), "case_id")
+    every = at_times.select("case_id", "t", "line_id", "x", "y", "z")
     schema = f"case_id {kinds['case_id']}, t {kinds['t']}, line_id {dict(seeds.dtypes)['line_id']}, seq int, x double, y double, z double, speed double"
     return flow.groupBy("case_id", "t").cogroup(_anew(every).groupBy("case_id", "t")).applyInPandas(run, schema)

@@ -56,19 +56,27 @@ def cut_area(normal: tuple[Column, Column, Column], offset: Column, sides: tuple
     return out
 
 
+#: Voxels along a side of the cubes that planes are held against first.
+CUBE = 16
+
+
 def cut_voxels(planes: DataFrame, mask: DataFrame, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> DataFrame:
     """Voxels that planes cut, with the area of each: planes(case_id, plane_index, cx..cz, nx..nz), mask(case_id, i, j, k).
 
-    Planes of a case meet its voxels; those off the plane are filtered in the join, before anything is shuffled on.
+    Planes of a case meet the cubes that its voxels lie in, and the voxels of those cubes only that they reach.
     """
     n = unit_or_x(vec("n"))
     flat = planes.select("case_id", "plane_index", "cx", "cy", "cz", *[v.alias(f"n{c}") for v, c in zip(n, "xyz", strict=True)])
+    place = ["case_id", "bi", "bj", "bk"]
+    placed = mask.withColumns({f"b{c}": F.floor(F.col(c) / CUBE).cast("int") for c in "ijk"})
+    middle = [(F.col(f"b{c}") + 0.5) * CUBE * s + o for c, s, o in zip("ijk", spacing, origin, strict=True)]
+    gap = F.abs(dot(vec("n"), (F.col("cx") - middle[0], F.col("cy") - middle[1], F.col("cz") - middle[2])))
+    reach = sum(F.abs(F.col(f"n{c}")) * s for c, s in zip("xyz", spacing, strict=True))
+    hit = placed.select(*place).distinct().join(flat, "case_id").where(gap <= reach * (CUBE / 2 + 1))
     low = [F.col(c) * s + o for c, s, o in zip("ijk", spacing, origin, strict=True)]
     offset = dot(vec("n"), (F.col("cx") - low[0], F.col("cy") - low[1], F.col("cz") - low[2]))
-    rows = mask.join(flat, "case_id").withColumn("offset", offset)
-    reach = sum(F.abs(F.col(f"n{c}")) * s for c, s in zip("xyz", spacing, strict=True))
-    near = rows.where(F.abs("offset") <= reach)
-    return near.withColumn("area", cut_area(vec("n"), F.col("offset"), spacing)).where("area > 0").drop("offset")
+    near = placed.join(hit, place).withColumn("offset", offset).where(F.abs("offset") <= reach)
+    return near.withColumn("area", cut_area(vec("n"), F.col("offset"), spacing)).where("area > 0").drop("offset", "bi", "bj", "bk")
 
 
 def flow_samples(cut: DataFrame, flow: DataFrame, branch: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:

@@ -42,12 +42,17 @@ def wall_shear_stress(
 
 
 def sample_seeds(mask: DataFrame, ratio: float = 0.02, seed: int = 0, least: int = 50) -> DataFrame:
-    """A portable random choice of voxels: of K, min(K, max(least, round(K ratio))) of the smallest keyed hashes."""
-    order = Window.partitionBy("case_id").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "i", "j", "k")), "i", "j", "k")
-    sizes = mask.groupBy("case_id").agg(F.count("*").alias("size"))
+    """A portable random choice of voxels: of K, min(K, max(least, round(K ratio))) of the smallest keyed hashes.
+
+    A mask(case_id, i, j, k, t) gets a choice of its own at each time, with the seed moved on by t.
+    """
+    whole = ["case_id", "t"] if "t" in mask.columns else ["case_id"]
+    moved = F.lit(seed) + F.col("t") if "t" in mask.columns else F.lit(seed)
+    order = Window.partitionBy(*whole).orderBy(F.md5(F.concat_ws("|", moved, "i", "j", "k")), "i", "j", "k")
+    sizes = mask.groupBy(*whole).agg(F.count("*").alias("size"))
     wanted = F.least(F.col("size"), F.greatest(F.lit(least).cast("long"), F.rint(F.col("size") * ratio).cast("long")))
-    ranked = mask.select("case_id", "i", "j", "k").withColumn("line_id", F.row_number().over(order) - 1)
-    return ranked.join(sizes, "case_id").where(F.col("line_id") < wanted).drop("size")
+    ranked = mask.select(*whole, "i", "j", "k").withColumn("line_id", F.row_number().over(order) - 1)
+    return ranked.join(sizes, whole).where(F.col("line_id") < wanted).drop("size")
 
 
 def plane_seeds(cut: DataFrame, ratio: float = 0.02, seed: int = 0, least: int = 50) -> DataFrame:

@@ -121,6 +121,50 @@ def vertex_normals(faces: DataFrame, inward: bool = True) -> DataFrame:
     return total.withColumns({f"n{c}": F.when(length > 0, turn * F.col(f"n{c}") / length).otherwise(0.0) for c in "xyz"})
 
 
+def face_loops(faces: DataFrame, number, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Each face with its four corners (vid, x, y, z) in turn, and outward: 1 or -1 if that turn is seen from outside or not.
+
+    number: the vertex id of lattice place (i, j, k).
+    """
+    ahead = F.when(F.col("side") > 0, 1).otherwise(0)
+
+    def corner(a: int, b: int):
+        i = F.col("i") + F.when(F.col("axis") == 0, ahead).otherwise(a)
+        j = F.col("j") + F.when(F.col("axis") == 1, ahead).when(F.col("axis") == 0, a).otherwise(b)
+        k = F.col("k") + F.when(F.col("axis") == 2, ahead).otherwise(b)
+        at = [(p * s).cast("double").alias(c) for p, s, c in zip((i, j, k), spacing, "xyz", strict=True)]
+        return F.struct(number(i.cast("long"), j.cast("long"), k.cast("long")).alias("vid"), *at)
+
+    outward = F.col("side") * F.when(F.col("axis") == 1, -1).otherwise(1)
+    loop = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+    return faces.select("case_id", F.struct("i", "j", "k", "axis", "side").alias("face"), loop.alias("loop"), outward.alias("outward"))
+
+
+def loop_vertices(loops: DataFrame) -> DataFrame:
+    return loops.select("case_id", F.explode("loop").alias("v")).select("case_id", "v.*").distinct()
+
+
+def loop_edges(loops: DataFrame) -> DataFrame:
+    """The sides of faces, as edges between vertices."""
+    at = lambda n: F.col("loop")[n % 4]["vid"]
+    sides = F.array(*[F.struct(F.least(at(n), at(n + 1)).alias("src"), F.greatest(at(n), at(n + 1)).alias("dst")) for n in range(4)])
+    return loops.select("case_id", F.explode(sides).alias("e")).select("case_id", "e.*").distinct()
+
+
+def loop_normals(loops: DataFrame, vertices: DataFrame, inward: bool = True) -> DataFrame:
+    """Unit normals at vertices(case_id, vid, x, y, z): the sum of those of the faces around, by area; a zero sum stays zero."""
+    corners = loops.select("case_id", "face", "outward", F.posexplode(F.transform("loop", lambda v: v["vid"])).alias("n", "vid"))
+    placed = corners.join(vertices.select("case_id", "vid", F.struct("x", "y", "z").alias("p")), ["case_id", "vid"])
+    faces = placed.groupBy("case_id", "face", "outward").agg(F.map_from_entries(F.collect_list(F.struct("n", "p"))).alias("p"))
+    d, e = ([F.col("p")[b][c] - F.col("p")[a][c] for c in "xyz"] for a, b in ((0, 2), (1, 3)))
+    cross = (d[1] * e[2] - d[2] * e[1], d[2] * e[0] - d[0] * e[2], d[0] * e[1] - d[1] * e[0])
+    flat = faces.select("case_id", "face", *[(F.col("outward") * v).alias(f"n{c}") for v, c in zip(cross, "xyz", strict=True)])
+    total = corners.join(flat, ["case_id", "face"]).groupBy("case_id", "vid").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in "xyz"])
+    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    turn = -1.0 if inward else 1.0
+    return total.withColumns({f"n{c}": F.when(length > 1e-12, turn * F.col(f"n{c}") / length).otherwise(0.0) for c in "xyz"})
+
+
 def slice_at(volume: DataFrame, axis: str, at: int) -> DataFrame:
     """Axial (k), coronal (j) or sagittal (i) slice, as rows and columns of the other two."""
     rest = [c for c in "ijk" if c != axis]

@@ -373,14 +373,13 @@ def fork_context(spark, d):
     return rows.select("case_id", "node", F.array_contains("incoming", F.lit(42).cast("long")).alias("is_incoming"), F.size("incoming").cast("long").alias("n_in"), F.size("outgoing").cast("long").alias("n_out"))
 
 
-@query(f"""WITH {V_SQL}, {L_SQL}, s AS (SELECT CAST(path_id // 10 AS BIGINT) AS case_id, path_id % 10 AS path_id, seq, x * 4 AS x, y * 4 AS y, z * 4 AS z FROM pts),
+@query(f"""WITH {V_SQL}, {L_SQL}, s AS (SELECT path_id AS case_id, seq // 7 AS path_id, seq % 7 AS seq, x * 4 AS x, y * 4 AS y, z * 4 AS z FROM pts),
 d AS (SELECT v.case_id, v.i, v.j, v.k, path_id, row_number() OVER (PARTITION BY v.case_id, v.i, v.j, v.k
-  ORDER BY (x - i) * (x - i) + (y - j) * (y - j) + (z - k) * (z - k), path_id, seq) AS rn FROM mask v JOIN s ON s.case_id = v.case_id WHERE v.case_id < 20)
+  ORDER BY (x - i) * (x - i) + (y - j) * (y - j) + (z - k) * (z - k), path_id, seq) AS rn FROM mask v JOIN s ON s.case_id = v.case_id)
 SELECT case_id, i, j, k, path_id + 1 AS label FROM d WHERE rn = 1""")
 def branch_labels(spark, d):
-    at = {"case_id": F.floor(F.col("path_id") / 10), "path_id": F.col("path_id") % 10} | {c: F.col(c) * 4 for c in "xyz"}
-    samples = src.paths(spark, d).withColumns(at)
-    return graph.nearest_path_labels(src.masks(spark, d).where("case_id < 20"), samples, bucket=1, rings=1)
+    at = {"case_id": F.col("path_id"), "path_id": F.floor(F.col("seq") / 7).cast("int"), "seq": F.col("seq") % 7} | {c: F.col(c) * 4 for c in "xyz"}
+    return graph.nearest_path_labels(src.masks(spark, d), src.paths(spark, d).withColumns(at), bucket=1, rings=1)
 
 
 # ------------------------------------------------------------------------------------------------------------ polylines
@@ -430,12 +429,12 @@ def path_interp(spark, d):
 
 
 def _queries(spark, d, own: bool) -> DataFrame:
-    rows = src.read(spark, d, "embeddings").where("vec_id % 5 = 0")
+    rows = src.read(spark, d, "embeddings")
     at = [F.get("embedding", n).cast("double").alias(f"p{c}") for n, c in zip((61, 62, 63), "xyz", strict=True)]
     return rows.select((F.col("vec_id") % 10).alias("case_id"), *([F.col("vec_id").alias("path_id")] if own else []), F.col("vec_id").alias("query_id"), *at)
 
 
-_ASK = "ask AS (SELECT vec_id % 10 AS case_id, vec_id AS query_id, CAST(embedding[62] AS DOUBLE) AS px, CAST(embedding[63] AS DOUBLE) AS py, CAST(embedding[64] AS DOUBLE) AS pz FROM embeddings WHERE vec_id % 5 = 0)"
+_ASK = "ask AS (SELECT vec_id % 10 AS case_id, vec_id AS query_id, CAST(embedding[62] AS DOUBLE) AS px, CAST(embedding[63] AS DOUBLE) AS py, CAST(embedding[64] AS DOUBLE) AS pz FROM embeddings)"
 
 
 @query(f"""WITH {L_SQL}, {_ASK}, al AS (SELECT *, least(greatest(((px - x) * (qx - x) + (py - y) * (qy - y) + (pz - z) * (qz - z))
@@ -535,7 +534,7 @@ def path_consistency(spark, d):
     return rounded(planes.path_consistency(_metrics(spark, d)), "mean", "ic")
 
 
-_NET = "net AS (SELECT path_id, start_node % 25 AS s, end_node % 25 AS e, CAST(path_id % 5 AS BIGINT) AS case_id FROM ends WHERE path_id < 50)"
+_NET = "net AS (SELECT path_id, start_node AS s, end_node AS e, path_id % 5 AS case_id FROM ends)"
 
 
 @query(f"""WITH {M_SQL}, {_PATH_IC}, {G_SQL}, {_NET},
@@ -545,7 +544,7 @@ fl AS (SELECT io.case_id, io.node, coalesce(sum(CASE WHEN ends THEN mean END), 0
   FROM io JOIN f USING (case_id, node) LEFT JOIN pic USING (case_id, path_id) GROUP BY ALL)
 SELECT case_id, node, {s6('fi')} AS flow_in, {s6('fo')} AS flow_out, {s6('CASE WHEN fi + fo <= 1e-12 THEN 1.0 ELSE least(greatest(1 - 2 * abs(fi - fo) / (fi + fo), 0.0), 1.0) END')} AS ic FROM fl""")
 def fork_consistency(spark, d):
-    net = src.path_ends(spark, d).where("path_id < 50").select((F.col("path_id") % 5).alias("case_id"), "path_id", (F.col("start_node") % 25).alias("start_node"), (F.col("end_node") % 25).alias("end_node"))
+    net = src.path_ends(spark, d).withColumn("case_id", F.col("path_id") % 5)
     found = planes.fork_consistency(graph.forks(net), planes.path_consistency(_metrics(spark, d)))
     return rounded(found, "flow_in", "flow_out", "ic")
 
@@ -678,12 +677,38 @@ def trace_paths(spark, d):
     return kernels.trace_paths(src.node_edges(spark, d))
 
 
-@query()
+#: Published weights of seven points and a cubic: inside, at the second and at the third place; in 42nds.
+_INSIDE, _SECOND, _THIRD = (-4, 6, 12, 14, 12, 6, -4), (8, 19, 16, 6, -4, -7, 4), (-4, 16, 19, 12, 2, -4, 1)
+
+
+def _weights() -> str:
+    rows = [(0, 0, 42), (20, 20, 42)] + [(r, r - 3 + m, w) for r in range(3, 18) for m, w in enumerate(_INSIDE)]
+    rows += [(r, m, w) for r, ws in ((1, _SECOND), (2, _THIRD)) for m, w in enumerate(ws)] + [(20 - r, 20 - m, w) for r, ws in ((1, _SECOND), (2, _THIRD)) for m, w in enumerate(ws)]
+    return "weights(seq, other, w) AS (VALUES " + ", ".join(f"({a}, {b}, {w} / 42.0)" for a, b, w in rows) + ")"
+
+
+@query(f"""WITH {L_SQL}, {_weights()} SELECT case_id, path_id, CAST(weights.seq AS INT) AS seq, {s6('sum(w * x)')} AS x, {s6('sum(w * y)')} AS y, {s6('sum(w * z)')} AS z
+  FROM pts JOIN weights ON pts.seq = weights.other GROUP BY case_id, path_id, weights.seq""")
 def savgol_smooth(spark, d):
     return rounded(kernels.smooth_paths(src.paths(spark, d), 7, 3), "x", "y", "z")
 
 
-@query()
+def _mirrored(place: str, lo: str, hi: str) -> str:
+    """A place outside lo to hi, mirrored at the border (the border's own cell counts twice)."""
+    n, t = f"({hi} - {lo} + 1)", f"({place} - {lo})"
+    for outside, inside in (("{t} < 0", "-{t} - 1"), ("{t} >= {n}", "2 * {n} - 1 - {t}"), ("{t} < 0", "-{t} - 1")):
+        t = f"(CASE WHEN {outside.format(t=t, n=n)} THEN {inside.format(t=t, n=n)} ELSE {t} END)"
+    return f"{t} + {lo}"
+
+
+@query(f"""{_CC}, parts AS (SELECT case_id, component, i, j, k FROM comp JOIN mask USING (case_id, voxel)),
+b AS (SELECT case_id, component, min(i) AS li, max(i) AS hi, min(j) AS lj, max(j) AS hj, min(k) AS lk, max(k) AS hk FROM parts GROUP BY ALL),
+raw(d, w) AS (VALUES (-2, exp(-8.0)), (-1, exp(-2.0)), (0, 1.0), (1, exp(-2.0)), (2, exp(-8.0))), taps AS (SELECT d, w / (1 + 2 * exp(-2.0) + 2 * exp(-8.0)) AS w FROM raw),
+cells AS (SELECT b.*, x.g AS ci, y.g AS cj, z.g AS ck FROM b, range(4) AS x(g), range(4) AS y(g), range(4) AS z(g) WHERE x.g BETWEEN li AND hi AND y.g BETWEEN lj AND hj AND z.g BETWEEN lk AND hk),
+near AS (SELECT case_id, component, ci, cj, ck, p.w * q.w * r.w AS w, {_mirrored('(ci + p.d)', 'li', 'hi')} AS i, {_mirrored('(cj + q.d)', 'lj', 'hj')} AS j, {_mirrored('(ck + r.d)', 'lk', 'hk')} AS k
+  FROM cells, taps AS p, taps AS q, taps AS r)
+SELECT case_id, CAST(ci AS INT) AS i, CAST(cj AS INT) AS j, CAST(ck AS INT) AS k FROM near JOIN parts USING (case_id, component, i, j, k)
+  GROUP BY case_id, component, ci, cj, ck HAVING sum(w) > 0.5""")
 def gaussian_mask(spark, d):
     return kernels.gaussian_mask(_components(spark, d))
 
@@ -695,11 +720,8 @@ def skeletonize(spark, d):
 
 @query()
 def laplace_smooth(spark, d):
-    corners = voxel.face_corners(voxel.boundary_faces(src.masks(spark, d))).select("case_id", "vi", "vj", "vk").distinct()
-    vid = (F.col("vi") * 5 + F.col("vj")) * 5 + F.col("vk")
-    vertices = corners.select("case_id", vid.alias("vid"), F.col("vi").alias("i"), F.col("vj").alias("j"), F.col("vk").alias("k"), *[F.col(f"v{c}").cast("double").alias(p) for c, p in zip("ijk", "xyz", strict=True)])
-    links = graph.lattice_edges(vertices, F.col("vid"))
-    return rounded(kernels.smooth_surface(vertices, links, 50), "x", "y", "z")
+    loops = voxel.face_loops(voxel.boundary_faces(src.masks(spark, d)), lambda i, j, k: (i * 5 + j) * 5 + k)
+    return rounded(kernels.smooth_surface(voxel.loop_vertices(loops), voxel.loop_edges(loops), 50), "x", "y", "z")
 
 
 @query()
@@ -711,18 +733,51 @@ def cut_region(spark, d):
 
 @query()
 def rk4_streamlines(spark, d):
-    flow = src.masks(spark, d).select("case_id", F.lit(0).alias("t"), "i", "j", "k", F.lit(1.0).alias("vx"), (F.col("j") * 0.25).alias("vy"), F.lit(0.0).alias("vz"))
+    flow = src.masks(spark, d).select("case_id", F.lit(0).alias("t"), "i", "j", "k", F.lit(100.0).alias("vx"), (F.col("j") * 25.0).alias("vy"), F.lit(0.0).alias("vz"))
     seeds = surface.sample_seeds(src.masks(spark, d), 0.1, 0, 3).select("case_id", "line_id", *[(F.col(c) + 0.5).alias(p) for c, p in zip("ijk", "xyz", strict=True)])
     return rounded(kernels.streamlines(flow, seeds, max_steps=50), "x", "y", "z", "speed")
 
 
-@query()
+@query(f"""WITH {L_SQL}, sums AS (SELECT path_id, sum((qx - x) + 0.2 * (qy - y)) AS score, sum(sqrt(1.04) * sqrt((qx - x) ** 2 + (qy - y) ** 2 + (qz - z) ** 2)) AS scale
+  FROM segs WHERE qx IS NOT NULL GROUP BY path_id)
+SELECT path_id, CAST(CASE WHEN score < 0 THEN 20 - seq ELSE seq END AS INT) AS seq, {s6('x')} AS x, score < 0 AS reversed, {s6('score / scale')} AS confidence FROM pts JOIN sums USING (path_id)""")
 def orient_paths(spark, d):
     flow = src.paths(spark, d).select("case_id", "path_id", "seq", F.lit(1.0).alias("vx"), F.lit(0.2).alias("vy"), F.lit(0.0).alias("vz"))
     return rounded(polyline.orient_by_flow(src.paths(spark, d), flow).select("path_id", "seq", "x", "reversed", "confidence"), "x", "confidence")
 
 
-@query()
+@query(f"""WITH {L_SQL}, want AS (SELECT path_id, 0 AS target_id, 0.5 * max(cum) AS distance FROM cums GROUP BY path_id), {_AT}, {_TAN},
+c AS (SELECT at_d.path_id % 10 AS case_id, at_d.path_id, CASE WHEN at_d.path_id % 3 = 0 THEN dz / l WHEN at_d.path_id % 2 = 1 THEN -1.0 ELSE 1.0 END AS cos FROM at_d {_PLANES})
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY path_id) - 1 AS INT) AS plane_index, CAST(CASE WHEN cos < 0 THEN -1 ELSE 1 END AS INT) AS forward_sign,
+  CASE WHEN abs(cos) >= 0.1 THEN 'flow_tangent' ELSE 'geometry_fallback' END AS forward_sign_source, {s6('cos')} AS normal_tangent_cos FROM c""")
 def plane_forward_sign(spark, d):
+    along = F.col("path_id") % 3 == 0
+    turn = F.when(F.col("path_id") % 2 == 1, -1.0).otherwise(1.0)
     heads = polyline.centre_planes(src.paths(spark, d))
+    heads = heads.withColumns({f"n{c}": F.when(along, F.lit(1.0 if c == "z" else 0.0)).otherwise(turn * F.col(f"n{c}")) for c in "xyz"})
     return rounded(planes.forward_signs(heads, src.paths(spark, d)).select("case_id", "plane_index", "forward_sign", "forward_sign_source", "normal_tangent_cos"), "normal_tangent_cos")
+
+
+@query(f"""WITH {V_SQL}, {_STEPS}, kept AS (SELECT case_id, i + di AS i, j + dj AS j, k + dk AS k FROM mask, cross_steps),
+core AS (SELECT case_id, i, j, k FROM kept GROUP BY ALL HAVING count(*) = 7)
+SELECT DISTINCT case_id, CAST(i + di AS INT) AS i, CAST(j + dj AS INT) AS j, CAST(k + dk AS INT) AS k FROM core, cross_steps
+  WHERE i + di BETWEEN 0 AND 3 AND j + dj BETWEEN 0 AND 3 AND k + dk BETWEEN 0 AND 3""")
+def binary_open(spark, d):
+    return voxel.open_mask(src.masks(spark, d), _whole(spark, d))
+
+
+@query(f"""WITH {V_SQL}, {L_SQL}, spots AS (SELECT path_id AS case_id, seq, CAST(floor(x * 4) AS INT) AS i, CAST(floor(y * 4) AS INT) AS j, CAST(floor(z * 4) AS INT) AS k FROM pts)
+SELECT case_id, seq, coalesce(val, 0.0) AS val FROM spots LEFT JOIN vox USING (case_id, i, j, k)""")
+def probe(spark, d):
+    points = src.paths(spark, d).select(F.col("path_id").alias("case_id"), "seq", *[(F.col(c) * 4).alias(c) for c in "xyz"])
+    return voxel.probe(src.volumes(spark, d), points, ["val"]).select("case_id", "seq", "val")
+
+
+@query(f"""WITH {M_SQL}, {_PATH_IC} SELECT case_id, plane_index, {s6('coalesce(ic, 1.0)')} AS path_ic FROM heads LEFT JOIN pic USING (case_id, path_id)""")
+def attach_consistency(spark, d):
+    rows = _metrics(spark, d)
+    path_ic = planes.path_consistency(rows)
+    net = src.path_ends(spark, d).withColumn("case_id", F.col("path_id") % 5)
+    forks = graph.forks(net)
+    found = planes.attach_consistency(rows, path_ic, forks, planes.fork_consistency(forks, path_ic))
+    return rounded(found.select("case_id", "plane_index", "path_ic"), "path_ic")

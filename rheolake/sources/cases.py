@@ -61,3 +61,32 @@ def flow_from_signal(raw: DataFrame, meta: DataFrame, seg: DataFrame, pad: int =
     most = turned.groupBy("case_id").agg(F.max("mag").alias("most"))
     out = turned.join(most, "case_id").withColumn("mag", F.when(F.col("most") > 0, F.col("mag") / F.col("most")).otherwise(0.0)).drop("most")
     return out.withColumn("tke", signal.kinetic_energy(F.col("sx"), F.col("sy"), F.col("sz")))
+
+
+def case_status(seg: DataFrame, flow: DataFrame, meta: DataFrame) -> DataFrame:
+    """case_id, status, error: one row per case that any table has.
+
+    error: a table lacks the case, its dims are not three positive numbers, a voxel lies outside of them, or the mask has
+    times that the flow has not (a mask of one time holds at all of them).  skipped: mask or flow is empty.  One bad case
+    leaves the others alone.
+    """
+    dims = meta.groupBy("case_id").agg(F.first("dims").alias("dims"))
+    box = [F.min(F.least(*"ijk")).alias("low"), *[F.max(c).alias(f"top_{c}") for c in "ijk"]]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        found = df.groupBy("case_id").agg(*box, F.collect_set("t").alias("times"))
+        return found.select("case_id", F.struct("low", "top_i", "top_j", "top_k", "times").alias(name))
+
+    masked = seg.groupBy("case_id").agg(F.count_if(F.col("label") > 0).alias("voxels"))
+    rows = dims.join(side(seg, "seg"), "case_id", "full").join(side(flow, "flow"), "case_id", "full").join(masked, "case_id", "left")
+    outside = lambda n: (F.col(f"{n}.low") < 0) | (F.col(f"{n}.top_i") >= F.col("dims")[0]) | (F.col(f"{n}.top_j") >= F.col("dims")[1]) | (F.col(f"{n}.top_k") >= F.col("dims")[2])
+    bad_dims = (F.size("dims") != 3) | F.exists("dims", lambda x: x.isNull() | (x <= 0))
+    other_times = (F.size("seg.times") > 1) & (F.size(F.array_except("seg.times", "flow.times")) > 0)
+    error = (
+        F.when(F.col("dims").isNull(), "no meta").when(F.coalesce(bad_dims, F.lit(True)), "dims are not three positive numbers")
+        .when(outside("seg"), "a mask voxel lies outside the dims").when(outside("flow"), "a flow voxel lies outside the dims")
+        .when(other_times, "the mask has times that the flow has not")
+    )
+    skipped = F.when(F.coalesce("voxels", F.lit(0)) == 0, "empty mask").when(F.col("flow").isNull(), "empty flow")
+    status = F.when(error.isNotNull(), "error").when(skipped.isNotNull(), "skipped").otherwise("ok")
+    return rows.select("case_id", status.alias("status"), F.coalesce(error, skipped).alias("error"))

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written below spark.checkpoint.dir and read back: its lineage ends here, and a lost executor repeats nothing.
 
-    Only where that setting is missing, as in tests on one machine, a temporary folder takes its place.
+    Where that setting is missing, a temporary folder takes its place on a single machine; on a cluster it is an error.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rheolake-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

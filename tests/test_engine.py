@@ -37,7 +37,7 @@ def test_steps_of_a_tube(spark):
     flow = phantoms.straight_tube(spark, cases=2, size=10, length=30, radius=4.0, times=2)
     seg = flow.select("case_id", "i", "j", "k", "t", F.lit(1).alias("label"))
     meta = spark.createDataFrame([(c, [10, 10, 30]) for c in range(2)], "case_id int, dims array<int>")
-    config = EngineConfig(skeleton=SkeletonParams(), planes=PlaneParams(distance=5.0, start=4.0, end=4.0, interpolation=3, window=15), streamlines=StreamlineParams(least_seeds=10, max_steps=100))
+    config = EngineConfig(skeleton=SkeletonParams(), planes=PlaneParams(centre_only=False, distance=5.0, start=4.0, end=4.0, interpolation=3, window=15), streamlines=StreamlineParams(least_seeds=10, max_steps=100))
     engine = Engine(seg, flow, meta, config)
     ends = engine.path_ends.collect()
     assert sorted(r.case_id for r in ends) == [0, 1]
@@ -120,3 +120,80 @@ def test_paths_of_small_graphs(spark):
     assert 1 not in paths  # a ring
     assert sorted(map(sorted, paths[2].values())) == [[0, 1], [1, 2, 3], [1, 4]]
     assert sorted(map(len, paths[3].values())) == [2, 4]  # the tail, and the loop that comes back
+
+
+def slow_thin(ijk):
+    """The same rule, one voxel after the other."""
+    lo = ijk.min(0) - 1
+    box = np.zeros(ijk.max(0) - lo + 2, bool)
+    box[tuple((ijk - lo).T)] = True
+    changed = True
+    while changed:
+        changed = False
+        for s in kernels.FACES:
+            border = np.argwhere(box & ~np.roll(box, [-x for x in s], (0, 1, 2)))
+            for i, j, k in border[np.argsort((border % 2) @ (4, 2, 1), kind="stable")]:
+                around = box[i - 1 : i + 2, j - 1 : j + 2, k - 1 : k + 2]
+                if around.sum() > 2 and kernels.is_simple(around):
+                    box[i, j, k] = False
+                    changed = True
+    return np.argwhere(box) + lo
+
+
+def test_thinning_by_classes_is_thinning_one_by_one():
+    rng, known = np.random.default_rng(6), {}
+    for share in (0.3, 0.6, 0.9):
+        for _ in range(8):
+            ijk = np.argwhere(rng.random((6, 5, 7)) < share) - 2
+            assert np.array_equal(kernels.thin(ijk, known), slow_thin(ijk))
+
+
+def test_surface_smoothing_by_value(spark):
+    """Against neighbour means worked out vertex by vertex, on sides of faces."""
+    mask = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 0), (0, 1, 1, 0)], "case_id int, i int, j int, k int")
+    from rheolake.operators import voxel
+
+    loops = voxel.face_loops(voxel.boundary_faces(mask), lambda i, j, k: i * 100 + j * 10 + k)
+    edges = {(r.src, r.dst) for r in voxel.loop_edges(loops).collect()}
+    at = {r.vid: np.array([r.x, r.y, r.z]) for r in voxel.loop_vertices(loops).collect()}
+    assert len(at) == 16 and all(abs(at[a] - at[b]).sum() == 1 for a, b in edges)
+    near = {v: [b if a == v else a for a, b in edges if v in (a, b)] for v in at}
+    for _ in range(7):
+        at = {v: p + 0.01 * (np.mean([at[n] for n in near[v]], 0) - p) for v, p in at.items()}
+    got = kernels.smooth_surface(voxel.loop_vertices(loops), voxel.loop_edges(loops), 7)
+    for r in got.collect():
+        assert np.allclose([r.x, r.y, r.z], at[r.vid])
+    normals = {r.vid: np.array([r.nx, r.ny, r.nz]) for r in voxel.loop_normals(loops, got).collect()}
+    middle = np.array([1.0, 0.7, 0.5])
+    assert all(abs(np.linalg.norm(n) - 1) < 1e-9 for n in normals.values())
+    assert all(normals[v] @ (middle - at[v]) > 0 for v in (0, 1, 210, 211, 220, 221))
+
+
+def test_streamlines_bend_by_spacing_and_stop_by_metres(spark):
+    """A straight oblique flow on flat cells: the line's slope in space is the flow's; slow flow (below 1 cm/s) gives none."""
+    rows = [(0, 0, i, j, k, 30.0, 30.0, 0.0) for i in range(20) for j in range(20) for k in range(2)] + [(1, 0, i, 0, 0, 0.5, 0.0, 0.0) for i in range(9)]
+    flow = spark.createDataFrame(rows, "case_id int, t int, i int, j int, k int, vx double, vy double, vz double")
+    seeds = spark.createDataFrame([(0, 0, 10.5, 10.5, 0.5), (1, 0, 4.5, 0.5, 0.5)], "case_id int, line_id int, x double, y double, z double")
+    got = kernels.streamlines(flow, seeds, (2.0, 0.5, 1.0), max_steps=12).collect()
+    assert {r.case_id for r in got} == {0}
+    for r in got:
+        assert abs((r.x - 10.5) * 2.0 - (r.y - 10.5) * 0.5) < 1e-9
+        assert abs(math.hypot((r.x - 10.5) * 2.0, (r.y - 10.5) * 0.5) - abs(r.seq) * 0.25) < 1e-9 and abs(r.speed - 0.3 * math.sqrt(2)) < 1e-9
+
+
+def test_oblique_cuts_of_a_large_mask(spark):
+    """Cubes leave nothing out: the area of planes through a box, against all voxels."""
+    mask = spark.range(40 * 37 * 20).select(F.lit(0).alias("case_id"), (F.col("id") % 40 - 3).cast("int").alias("i"), (F.floor(F.col("id") / 40) % 37).cast("int").alias("j"), F.floor(F.col("id") / 1480).cast("int").alias("k"))
+    rng = np.random.default_rng(2)
+    heads = [(0, n, *map(float, rng.random(3) * (40, 37, 20)), *map(float, rng.normal(size=3))) for n in range(12)]
+    df = spark.createDataFrame(heads, "case_id int, plane_index int, cx double, cy double, cz double, nx double, ny double, nz double")
+    got = {r.plane_index: (r.n, r.a) for r in planes.cut_voxels(df, mask).groupBy("plane_index").agg(F.count("*").alias("n"), F.sum("area").alias("a")).collect()}
+    unit = [F.col(f"n{c}") / F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2) for c in "xyz"]
+    offset = sum(u * (F.col(f"c{c}") - F.col(p)) for u, c, p in zip(unit, "xyz", "ijk", strict=True))
+    placed = mask.join(F.broadcast(df), "case_id").select("plane_index", *[u.alias(f"u{c}") for u, c in zip(unit, "xyz", strict=True)], offset.alias("offset"))
+    area = planes.cut_area(tuple(F.col(f"u{c}") for c in "xyz"), F.col("offset"), (1.0, 1.0, 1.0))
+    every = placed.where("abs(offset) <= 2").withColumn("area", area).where("area > 0")
+    want = {r.plane_index: (r.n, r.a) for r in every.groupBy("plane_index").agg(F.count("*").alias("n"), F.sum("area").alias("a")).collect()}
+    assert got.keys() == want.keys()
+    for k in got:
+        assert abs(got[k][1] - want[k][1]) < 1e-6, (k, got[k], want[k])

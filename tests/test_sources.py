@@ -111,3 +111,23 @@ def test_snapshot_report_and_frames(spark, tmp_path):
     assert (timing.ok, timing.failed, timing["mean"], round(timing.std, 6)) == (2, 1, 3.0, 1.414214)
     frames = sinks.frame_times(spark.range(7).withColumnRenamed("id", "frame"), 2, 3).orderBy("frame")
     assert [r.t for r in frames.collect()] == [0, 0, 1, 1, 2, 2, 0]
+
+
+def test_indented_documents(spark, tmp_path):
+    import json
+
+    plane = {"plane_index": 0, "center": [1.0, 2.0, 3.0], "center_world": [2.0, 3.0, 4.0], "normal": [0.0, 0.0, 1.0], "label": 1, "path_index": 4, "distance": 5.0}
+    (tmp_path / "p.json").write_text(json.dumps({"source": "x", "origin": [1, 1, 1], "planes": [plane, plane | {"plane_index": 1}]}, indent=2))
+    (tmp_path / "q.json").write_text(json.dumps([plane], indent=2))
+    got = sinks.read_positions(spark, str(tmp_path / "p.json")).orderBy("plane_index").collect()
+    assert [(r.plane_index, r.path_id, r.center_world) for r in got] == [(0, 4, [2.0, 3.0, 4.0]), (1, 4, [2.0, 3.0, 4.0])]
+    assert sinks.read_positions(spark, str(tmp_path / "q.json")).count() == 1
+
+
+def test_status_of_cases(spark):
+    meta = spark.createDataFrame([(c, [4, 4, 4]) for c in ("good", "empty", "wide", "still")] + [("flat", [4, 4]), ("noflow", [4, 4, 4]), ("late", [4, 4, 4])], "case_id string, dims array<int>")
+    at = lambda c, i, t, label: (c, i, 0, 0, t, label)
+    seg = [at("good", 1, t, 1) for t in (0, 1)] + [at("empty", 1, 0, 0), at("wide", 4, 0, 1), at("still", 1, 0, 1), at("flat", 1, 0, 1), at("noflow", 1, 0, 1), at("alone", 1, 0, 1)] + [at("late", 1, t, 1) for t in (0, 7)]
+    flow = [(c, 1, 0, 0, t, 1.0) for c in ("good", "empty", "wide", "still", "flat", "alone", "late") for t in (0, 1)]
+    got = cases.case_status(spark.createDataFrame(seg, "case_id string, i int, j int, k int, t int, label int"), spark.createDataFrame(flow, "case_id string, i int, j int, k int, t int, vx double"), meta)
+    assert {r.case_id: r.status for r in got.collect()} == {"good": "ok", "still": "ok", "empty": "skipped", "noflow": "skipped", "wide": "error", "flat": "error", "late": "error", "alone": "error"}
