@@ -126,49 +126,67 @@ def is_simple(around: np.ndarray) -> bool:
 _BITS = 1 << np.arange(27, dtype=np.int64)
 
 
-def thin(ijk: np.ndarray, known: dict[int, bool] | None = None) -> np.ndarray:
+def _spread_tables(near: dict[int, list[int]]) -> list[np.ndarray]:
+    """For each third of a block's 27 bits: the bits near any of those set."""
+    one = np.array([sum(1 << b for b in near.get(a, ())) for a in range(27)], np.int64)
+    return [np.array([np.bitwise_or.reduce(one[k : k + 9][(v >> np.arange(9) & 1) > 0], initial=0) for v in range(512)], np.int64) for k in (0, 9, 18)]
+
+
+_SPREAD26, _SPREAD6 = _spread_tables(_NEAR26), _spread_tables(_NEAR6)
+_ROUND18, _ROUND6 = (sum(1 << n for n in x) for x in (_IN18, _FACE_PLACES))
+
+
+def _flood(seed: np.ndarray, within: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    while True:
+        more = (seed | tables[0][seed & 511] | tables[1][seed >> 9 & 511] | tables[2][seed >> 18]) & within
+        if np.array_equal(more, seed):
+            return seed
+        seed = more
+
+
+def may_go(codes: np.ndarray) -> np.ndarray:
+    """Whether the centres of 3x3x3 blocks, read as 27 bits, are simple and no ends of lines: is_simple for many at once."""
+    inside = codes & ~(1 << _CENTRE)
+    whole = _flood(inside & -inside, inside, _SPREAD26) == inside
+    outside = ~codes & _ROUND18
+    faces = outside & _ROUND6
+    open_ = (faces > 0) & (faces & ~_flood(faces & -faces, outside, _SPREAD6) == 0)
+    return whole & open_ & (np.bitwise_count(inside) > 1)
+
+
+def thin(ijk: np.ndarray) -> np.ndarray:
     """The one-voxel-wide skeleton of a set of voxels: simple border voxels go, side by side, ends of lines stay.
 
     Each side's border is taken in eight classes of even and odd places: voxels of a class do not touch each other, so
-    they go all at once and no line is eaten from its end.  known: whether the centre of a 3x3x3 block, read as 27 bits,
-    may go; it is filled on the way.
+    they go all at once and no line is eaten from its end.
     """
-    known = {} if known is None else known
     lo = ijk.min(0) - 1
     box = np.zeros(ijk.max(0) - lo + 2, bool)
     box[tuple((ijk - lo).T)] = True
     flat = box.reshape(-1)
-    around = np.array([(i * box.shape[1] + j) * box.shape[2] + k for i, j, k in _PLACES])
-
-    def may_go(code: int) -> bool:
-        block = (code & _BITS) > 0
-        return bool(block.sum() > 2) and is_simple(block)
-
+    _, sy, sz = box.shape
+    around = np.array([(i * sy + j) * sz + k for i, j, k in _PLACES])
     changed = True
     while changed:
         changed = False
-        for s in FACES:
-            border = np.flatnonzero(box & ~np.roll(box, [-x for x in s], (0, 1, 2)))
-            kind = (np.stack(np.unravel_index(border, box.shape), 1) % 2) @ (4, 2, 1)
+        for step in around[_FACE_PLACES].tolist():
+            cells = np.flatnonzero(flat)
+            border = cells[~flat[cells + step]]
+            kind = 4 * (border // (sy * sz) % 2) + 2 * (border // sz % sy % 2) + border % sz % 2
             for own in range(8):
-                cells = border[kind == own]
-                if not len(cells):
-                    continue
-                codes = (flat[cells[:, None] + around] @ _BITS).tolist()
-                for code in set(codes).difference(known):
-                    known[code] = may_go(code)
-                gone = cells[[known[c] for c in codes]]
-                flat[gone] = False
-                changed |= len(gone) > 0
+                here = border[kind == own]
+                if len(here):
+                    gone = here[may_go(flat[here[:, None] + around] @ _BITS)]
+                    flat[gone] = False
+                    changed |= len(gone) > 0
     return np.argwhere(box) + lo
 
 
 def skeletonize(components: DataFrame) -> DataFrame:
     """components(case_id, i, j, k, component): the skeleton's voxels."""
-    known: dict[int, bool] = {}  # each task fills a copy of its own
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = thin(pdf[["i", "j", "k"]].to_numpy(np.int64), known)
+        kept = thin(pdf[["i", "j", "k"]].to_numpy(np.int64))
         out = pd.DataFrame(kept.astype(np.int32), columns=["i", "j", "k"])
         return out.assign(case_id=pdf["case_id"].iloc[0], component=pdf["component"].iloc[0])[["case_id", "i", "j", "k", "component"]]
 

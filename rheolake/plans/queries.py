@@ -705,9 +705,9 @@ def _mirrored(place: str, lo: str, hi: str) -> str:
 b AS (SELECT case_id, component, min(i) AS li, max(i) AS hi, min(j) AS lj, max(j) AS hj, min(k) AS lk, max(k) AS hk FROM parts GROUP BY ALL),
 raw(d, w) AS (VALUES (-2, exp(-8.0)), (-1, exp(-2.0)), (0, 1.0), (1, exp(-2.0)), (2, exp(-8.0))), taps AS (SELECT d, w / (1 + 2 * exp(-2.0) + 2 * exp(-8.0)) AS w FROM raw),
 cells AS (SELECT b.*, x.g AS ci, y.g AS cj, z.g AS ck FROM b, range(4) AS x(g), range(4) AS y(g), range(4) AS z(g) WHERE x.g BETWEEN li AND hi AND y.g BETWEEN lj AND hj AND z.g BETWEEN lk AND hk),
-near AS (SELECT case_id, component, ci, cj, ck, p.w * q.w * r.w AS w, {_mirrored('(ci + p.d)', 'li', 'hi')} AS i, {_mirrored('(cj + q.d)', 'lj', 'hj')} AS j, {_mirrored('(ck + r.d)', 'lk', 'hk')} AS k
+around AS (SELECT case_id, component, ci, cj, ck, p.w * q.w * r.w AS w, {_mirrored('(ci + p.d)', 'li', 'hi')} AS i, {_mirrored('(cj + q.d)', 'lj', 'hj')} AS j, {_mirrored('(ck + r.d)', 'lk', 'hk')} AS k
   FROM cells, taps AS p, taps AS q, taps AS r)
-SELECT case_id, CAST(ci AS INT) AS i, CAST(cj AS INT) AS j, CAST(ck AS INT) AS k FROM near JOIN parts USING (case_id, component, i, j, k)
+SELECT case_id, CAST(ci AS INT) AS i, CAST(cj AS INT) AS j, CAST(ck AS INT) AS k FROM around JOIN parts USING (case_id, component, i, j, k)
   GROUP BY case_id, component, ci, cj, ck HAVING sum(w) > 0.5""")
 def gaussian_mask(spark, d):
     return kernels.gaussian_mask(_components(spark, d))
