@@ -11,16 +11,19 @@ from rheolake.config import EngineConfig, PlaneParams, SkeletonParams, Streamlin
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rheolake", description=__doc__)
     p.add_argument("cases", help="folder with the tables seg, flow and meta")
-    p.add_argument("--output", required=True)
-    p.add_argument("--steps", default="planes,metrics,qc", help="comma-separated step names")
+    p.add_argument("--output", "--output-dir", default="./results")
+    p.add_argument("--steps", default="", help="comma-separated step names, in place of planes, metrics, wall stress and turbulent energy")
+    p.add_argument("--reuse-planes", default="", help="saved plane positions, which cases that they name take instead of new planes")
+    p.add_argument("--skip-derived", action="store_true", help="no wall stress and turbulent energy")
+    p.add_argument("--skip-plane-metrics", action="store_true", help="no metrics of planes")
     p.add_argument("--spacing", type=float, nargs=3, default=(1.0, 1.0, 1.0))
     p.add_argument("--rr", type=float, default=1000.0)
-    p.add_argument("--by-distance", action="store_true", help="evenly spaced planes instead of one in the middle of each path")
-    p.add_argument("--distance", type=float, default=5.0)
-    p.add_argument("--start", type=float, default=5.0)
-    p.add_argument("--end", type=float, default=0.0)
-    p.add_argument("--remove-small", action="store_true")
-    p.add_argument("--min-volume", type=float, default=50.0)
+    p.add_argument("--by-distance", "--plane-by-distance", action="store_true", help="evenly spaced planes instead of one in the middle of each path")
+    p.add_argument("--distance", "--cross-section-dist", type=float, default=5.0)
+    p.add_argument("--start", "--start-dist", type=float, default=5.0)
+    p.add_argument("--end", "--end-dist", type=float, default=0.0)
+    p.add_argument("--remove-small", "--remove-small-cc", action="store_true")
+    p.add_argument("--min-volume", "--min-cc-volume", type=float, default=50.0)
     p.add_argument("--no-closing", action="store_true")
     p.add_argument("--opening", action="store_true")
     p.add_argument("--no-gaussian", action="store_true")
@@ -48,13 +51,19 @@ def config_of(a: argparse.Namespace) -> EngineConfig:
     )
 
 
+def steps_of(a: argparse.Namespace) -> list[str]:
+    if a.steps:
+        return [name.strip() for name in a.steps.split(",")]
+    return ["planes", *([] if a.skip_plane_metrics else ["metrics", "qc"]), *([] if a.skip_derived else ["wall", "tke_peak"])]
+
+
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     from pyspark.sql import functions as F
 
     from rheolake.engine import Engine
-    from rheolake.sinks import write_report
+    from rheolake.sinks import saved_planes, write_report
     from rheolake.sources.cases import case_status
 
     a = parser().parse_args(argv)
@@ -63,9 +72,11 @@ def main(argv: list[str] | None = None) -> None:
     began = time.time()
     status = case_status(read("seg"), read("flow"), read("meta"))
     good = status.where("status = 'ok'").select("case_id")
-    engine = Engine(*(read(name).join(good, "case_id", "left_semi") for name in ("seg", "flow", "meta")), config_of(a))
-    for name in a.steps.split(","):
-        engine.step(name.strip()).write.mode("overwrite").parquet(f"{a.output}/{name.strip()}")
+    engine = Engine(*(read(name).join(good, "case_id", "left_semi") for name in ("seg", "flow", "meta")), config_of(a), saved_planes(spark, a.reuse_planes) if a.reuse_planes else None)
+    for name in steps_of(a):
+        if name == "tke_peak" and "tke" not in engine.flow.columns:
+            continue  # no turbulent energy in these cases
+        engine.step(name).write.mode("overwrite").parquet(f"{a.output}/{name}")
     # all cases run together, so each has an equal share of the job's seconds
     share = (time.time() - began) / max(1, good.count())
     write_report(status.withColumn("seconds", F.when(F.col("status") == "ok", share)), f"{a.output}/report")

@@ -19,10 +19,14 @@ def lattice_number(i, j, k, side: int = 100_000):
 
 
 class Engine:
-    """seg(case_id, i, j, k, t, label), flow(case_id, i, j, k, t, vx, vy, vz [, tke]), meta(case_id, dims)."""
+    """seg(case_id, i, j, k, t, label), flow(case_id, i, j, k, t, vx, vy, vz [, tke]), meta(case_id, dims).
 
-    def __init__(self, seg: DataFrame, flow: DataFrame, meta: DataFrame, config: EngineConfig | None = None):
-        self.seg, self.meta, self.config = seg, meta, config or EngineConfig()
+    saved(case_id, plane_index, cx .. cz, nx .. nz): planes of an earlier run; cases that have some take these, put on the
+    paths of now, and make none of their own.
+    """
+
+    def __init__(self, seg: DataFrame, flow: DataFrame, meta: DataFrame, config: EngineConfig | None = None, saved: DataFrame | None = None):
+        self.seg, self.meta, self.config, self.saved = seg, meta, config or EngineConfig(), saved
         in_mask = seg.where("label > 0").select("case_id", "i", "j", "k").distinct()
         self.flow = flow.join(in_mask, ["case_id", "i", "j", "k"], "left_semi")
 
@@ -111,13 +115,20 @@ class Engine:
     def planes(self) -> DataFrame:
         p = self.config.planes
         found = polyline.centre_planes(self.paths) if p.centre_only else polyline.spaced_planes(self.paths, p.start, p.end, p.distance)
+        if self.saved is not None:
+            ask = self.saved.select("case_id", "plane_index", *[f"{n}{c}" for n in "cn" for c in "xyz"])
+            kept = polyline.reproject_planes(ask, self.paths).where("path_id IS NOT NULL")
+            found = found.join(ask.select("case_id").distinct(), "case_id", "left_anti").unionByName(kept)
         return self._kept(planes.forward_signs(self._kept(found), self.paths))
 
     @cached_property
     def series(self) -> DataFrame:
         cut = planes.cut_voxels(self.planes.select("case_id", "plane_index", *[f"{n}{c}" for n in "cn" for c in "xyz"]), self.mask.drop("voxel"), self.config.spacing)
-        own = self.planes.select("case_id", "plane_index", "label")
         branch = self.branches.withColumnRenamed("label", "branch")
+        # a plane without a label has that of the voxel at its centre
+        at = [F.floor(F.col(f"c{p}") / s).cast("int").alias(c) for p, s, c in zip("xyz", self.config.spacing, "ijk", strict=True)]
+        heads = self.planes.select("case_id", "plane_index", "label", *at).join(branch, ["case_id", "i", "j", "k"], "left")
+        own = heads.select("case_id", "plane_index", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("branch")).alias("label"))
         kept = cut.join(branch, ["case_id", "i", "j", "k"]).join(own, ["case_id", "plane_index"]).where("branch = label").drop("branch", "label")
         samples = planes.flow_samples(self._kept(kernels.nearest_region(kept)), self.flow)
         return self._kept(planes.plane_series(samples, self.planes.select("case_id", "plane_index", "forward_sign"), self.flow.select("case_id", "t").distinct()))

@@ -12,6 +12,15 @@ def remove_rows(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(gone.select(*key).distinct(), key, "left_anti")
 
 
+def append_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """more(case_id, x, y, z) behind the nodes of its case, numbered on in the order of its places."""
+    top = nodes.groupBy("case_id").agg(F.max("node_id").alias("top"))
+    number = F.row_number().over(Window.partitionBy("case_id").orderBy("x", "y", "z"))
+    new = more.select("case_id", "x", "y", "z", number.alias("number")).join(top, "case_id", "left")
+    node = (F.coalesce("top", F.lit(-1)) + F.col("number")).cast(nodes.schema["node_id"].dataType)
+    return nodes.unionByName(new.select("case_id", node.alias("node_id"), "x", "y", "z"), allowMissingColumns=True)
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes gone(case_id, node_id): the others are numbered anew without gaps, edges at gone nodes go."""
     left = remove_rows(nodes, gone, ["case_id", "node_id"])
@@ -32,6 +41,25 @@ def toggle_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return edges.join(odd, key, "left_anti").select(*key).unionByName(odd.join(edges, key, "left_anti"))
 
 
+def add_planes(planes: DataFrame, more: DataFrame) -> DataFrame:
+    """more(case_id, plane_index, cx .. nz, ...) behind the planes of its case, in its own order; see replace_planes."""
+    both = planes.withColumn("later", F.lit(0)).unionByName(more.withColumn("later", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy("case_id").orderBy("later", "plane_index")
+    return replace_planes(both.withColumn("plane_index", F.row_number().over(order)).drop("later"))
+
+
+def update_planes(planes: DataFrame, changed: DataFrame) -> DataFrame:
+    """changed(case_id, plane_index, some columns of planes): its values that are not null take the place of the plane's.
+
+    Planes that are not there are not made; normals have length one again.
+    """
+    key = ["case_id", "plane_index"]
+    new = [c for c in changed.columns if c not in key]
+    rows = planes.join(changed.select(*key, F.struct(*new).alias("new_values")), key, "left")
+    out = rows.select(*[F.coalesce(F.col(f"new_values.{c}"), F.col(c)).alias(c) if c in new else F.col(c) for c in planes.columns])
+    return out.withColumns({f"n{c}": v for c, v in zip("xyz", unit_or_x(vec("n")), strict=True)})
+
+
 def replace_planes(planes: DataFrame) -> DataFrame:
     """Planes with unit normals, defaults for what is missing (label 1, path 0, distance 0), numbered anew by case."""
     n = unit_or_x(vec("n"))

@@ -7,7 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.functions.vectors import direction_text, vec
+from rheolake.functions.vectors import direction_text, dot, minus, vec
+from rheolake.operators.nearest import may_be_nearest, point_box
 from rheolake.operators.voxel import offsets
 
 #: One of each pair of opposite steps to the 26 neighbours.
@@ -103,7 +104,7 @@ def nearest_path_labels(mask: DataFrame, samples: DataFrame, spacing=(1.0, 1.0,
     """Label (path + 1) of the path sample nearest to each voxel; the first path and sample at ties.
 
     samples(case_id, path_id, seq, x, y, z).  Voxels meet the samples of their cell and the cells around it, which
-    settles those with a sample within ``rings`` cells; the others are compared with all samples of their case.
+    settles those with a sample within ``rings`` cells; the others meet the samples of the cells that may be nearest.
     """
     size = bucket * max(spacing)
     place = lambda f: [F.floor(f(c) / size).cast("int").alias(f"b{c}") for c in "xyz"]
@@ -116,18 +117,24 @@ def nearest_path_labels(mask: DataFrame, samples: DataFrame, spacing=(1.0, 1.0,
     key = ["case_id", "i", "j", "k"]
     keyed = voxels.select("*", *place(lambda c: F.col(f"v{c}")))
     near = keyed.join(spread, ["case_id", "bx", "by", "bz"]).groupBy(*key).agg(least).where(F.col("best.d2") <= (rings * size) ** 2)
-    rest = voxels.join(near.select(*key), key, "left_anti").join(samples, "case_id").groupBy(*key).agg(least)
+    left = voxels.join(near.select(*key), key, "left_anti").select("case_id", F.struct("i", "j", "k").alias("query_id"), *[F.col(f"v{p}").alias(f"p{p}") for p in "xyz"])
+    things = samples.select("case_id", *point_box(), F.struct("path_id", "seq", "x", "y", "z").alias("thing"))
+    gap = minus(vec("thing."), vec("p"))
+    far = F.min(F.struct(dot(gap, gap).alias("d2"), "thing.path_id", "thing.seq")).alias("best")
+    rest = may_be_nearest(things, left).groupBy("case_id", "query_id").agg(far).select("case_id", "query_id.*", "best")
     return near.unionByName(rest).select(*key, (F.col("best.path_id") + 1).alias("label"))
 
 
 def pick_edge_or_node(nodes: DataFrame, edges: DataFrame, queries: DataFrame, favour: float = 0.7) -> DataFrame:
     """queries(case_id, query_id, px, py, pz): the nearest node, or the nearest edge if that is nearer than favour times it."""
-    from rheolake.functions.vectors import dot, minus, vec
-
-    gap = minus(vec("p"), vec(""))
-    near = nodes.join(queries, "case_id").groupBy("case_id", "query_id").agg(F.min(F.struct(F.sqrt(dot(gap, gap)).alias("d"), "node_id")).alias("n"))
+    spots = nodes.select("case_id", *point_box(), F.struct("node_id", "x", "y", "z").alias("thing"))
+    gap = minus(vec("p"), vec("thing."))
+    near = may_be_nearest(spots, queries).groupBy("case_id", "query_id").agg(F.min(F.struct(F.sqrt(dot(gap, gap)).alias("d"), "thing.node_id")).alias("n"))
     end = lambda c, p: nodes.select("case_id", F.col("node_id").alias(c), *[F.col(x).alias(f"{p}{x}") for x in "xyz"])
-    lines = edges.join(end("src", "a"), ["case_id", "src"]).join(end("dst", "b"), ["case_id", "dst"]).join(queries, "case_id")
+    sides = edges.join(end("src", "a"), ["case_id", "src"]).join(end("dst", "b"), ["case_id", "dst"])
+    box = [f(F.col(f"a{c}"), F.col(f"b{c}")).cast("double").alias(f"{n}_{c}") for n, f in (("lo", F.least), ("hi", F.greatest)) for c in "xyz"]
+    boxed = sides.select("case_id", *box, F.struct("src", "dst", *[f"{p}{c}" for p in "ab" for c in "xyz"]).alias("thing"))
+    lines = may_be_nearest(boxed, queries).select("case_id", "query_id", "px", "py", "pz", "thing.*")
     along = minus(vec("b"), vec("a"))
     size = dot(along, along)
     alpha = F.when(size > 1e-24, F.least(F.greatest(dot(minus(vec("p"), vec("a")), along) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)

@@ -90,6 +90,20 @@ def test_options():
         cli.config_of(cli.parser().parse_args(["in", "--output", "out", "--distance", "0"]))
 
 
+def test_steps_of_options():
+    steps = lambda *more: cli.steps_of(cli.parser().parse_args(["in", *more]))
+    assert steps() == ["planes", "metrics", "qc", "wall", "tke_peak"]
+    assert steps("--skip-derived") == ["planes", "metrics", "qc"]
+    assert steps("--skip-derived", "--skip-plane-metrics") == ["planes"]
+    assert steps("--steps", "mask, paths", "--skip-derived") == ["mask", "paths"]
+
+
+def test_saved_planes_as_columns(spark, tmp_path):
+    rows = [("c", 0, 4.0, 5.0, 6.0, 0.0, 0.0, 1.0, 1, 0, 5.0)]
+    sinks.write_positions(spark.createDataFrame(rows, "case_id string, plane_index int, cx double, cy double, cz double, nx double, ny double, nz double, label int, path_id int, distance double"), str(tmp_path / "p"))
+    assert [tuple(r) for r in sinks.saved_planes(spark, str(tmp_path / "p")).collect()] == [("c", 0, 4.0, 5.0, 6.0, 0.0, 0.0, 1.0)]
+
+
 def test_places_of_saved_planes(spark, tmp_path):
     (tmp_path / "c1").mkdir()
     (tmp_path / "planes.json").write_text("{}")
