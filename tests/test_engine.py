@@ -50,6 +50,11 @@ def test_steps_of_a_tube(spark):
     assert all(r.drift < 1e-9 for r in lines) and max(r.reach for r in lines) > 20
     wall = engine.wall.groupBy("t").agg(F.avg("wss").alias("mean")).collect()
     assert all(0 < r["mean"] < 10 for r in wall)
+    saved = engine.planes.where("case_id = 1 AND plane_index < 2")
+    again = Engine(seg, flow, meta, config, saved)
+    again.__dict__["paths"] = engine.paths  # made above
+    count = lambda df: {r.case_id: r["count"] for r in df.groupBy("case_id").count().collect()}
+    assert count(again.planes) == {0: count(engine.planes)[0], 1: 2}
     with pytest.raises(ValueError):
         engine.step("nothing")
 
