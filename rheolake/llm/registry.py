@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rheolake.llm import decontaminate, hnsw, langid, line_dedup, pii, quality, sentencepieces, simhash, token_files, url_filter
+from rheolake.llm import byte_bpe, decontaminate, hnsw, langid, line_dedup, merkle, pii, prefix_trie, quality, sentencepieces, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_quality": quality.op9_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.SQL,
         "op6_url_filter": url_filter.SQL,
         "op10_line_dedup": line_dedup.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
+        "op13_merkle": merkle.SQL,
     }
