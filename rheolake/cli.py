@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--skip-plane-metrics", action="store_true", help="no metrics of planes")
     p.add_argument("--spacing", type=float, nargs=3, default=(1.0, 1.0, 1.0))
     p.add_argument("--rr", type=float, default=1000.0)
+    p.add_argument("--brick", type=int, default=0, help="cut cases into bricks of that side, for masks that no worker can hold")
     p.add_argument("--by-distance", "--plane-by-distance", action="store_true", help="evenly spaced planes instead of one in the middle of each path")
     p.add_argument("--distance", "--cross-section-dist", type=float, default=5.0)
     p.add_argument("--start", "--start-dist", type=float, default=5.0)
@@ -44,6 +45,7 @@ def config_of(a: argparse.Namespace) -> EngineConfig:
     return EngineConfig(
         spacing=tuple(a.spacing),
         rr=a.rr,
+        brick=a.brick,
         skeleton=SkeletonParams(a.remove_small, a.min_volume, not a.no_closing, a.opening, not a.no_gaussian, a.sigma),
         planes=PlaneParams(not a.by_distance, a.distance, a.start, a.end),
         streamlines=StreamlineParams(a.seed_ratio, a.least_seeds, a.seed, a.max_steps, a.least_speed),

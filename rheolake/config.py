@@ -56,6 +56,8 @@ class WallParams:
 class EngineConfig:
     spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rr: float = 1000.0
+    #: Side in voxels of the bricks that cases are cut into; 0: a task takes a whole case's mask.  Results are the same.
+    brick: int = 0
     skeleton: SkeletonParams = field(default_factory=SkeletonParams)
     planes: PlaneParams = field(default_factory=PlaneParams)
     streamlines: StreamlineParams = field(default_factory=StreamlineParams)

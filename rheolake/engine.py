@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rheolake.config import EngineConfig
-from rheolake.operators import graph, kernels, planes, polyline, surface, voxel
+from rheolake.operators import bricks, graph, kernels, planes, polyline, rounds, surface, voxel
+from rheolake.sources.cases import mask_at_times
 from rheolake.storage import materialize
 
 
@@ -37,6 +38,29 @@ class Engine:
         """What several later steps use is written to the shared folder once, which also keeps plans small."""
         return materialize(df, "step")
 
+    def _components(self, mask: DataFrame, connectivity: int = 6) -> DataFrame:
+        side = self.config.brick
+        return bricks.connected_components(mask, connectivity, side) if side else kernels.connected_components(mask, connectivity)
+
+    def _skeletonize(self, components: DataFrame) -> DataFrame:
+        side = self.config.brick
+        if not side:
+            return kernels.skeletonize(components)
+        return bricks.skeletonize(components, side, max(1, min(6, side // (2 * bricks.FACE_HALO))))  # a halo of half a brick at most
+
+    def _streamlines(self, flow: DataFrame, seeds: DataFrame, spacing: tuple, **limits: float) -> DataFrame:
+        side = self.config.brick
+        return bricks.streamlines(flow, seeds, spacing, side=side, **limits) if side else kernels.streamlines(flow, seeds, spacing, **limits)
+
+    @property
+    def _graph_steps(self):
+        return rounds if self.config.brick else kernels
+
+    @cached_property
+    def timed_seg(self) -> DataFrame:
+        """The segmentation at each time of the flow: one of a single time holds at all of them."""
+        return mask_at_times(self.seg, self.flow.groupBy("case_id").agg((F.max("t") + 1).alias("times")))
+
     @cached_property
     def mask(self) -> DataFrame:
         """Merged over time; small components are dropped if the parameters say so.  voxel numbers lie i first."""
@@ -46,13 +70,13 @@ class Engine:
         p = self.config.skeleton
         if not p.remove_small:
             return self._kept(rows)
-        return self._kept(voxel.drop_small_components(kernels.connected_components(rows), p.min_volume, self.config.spacing).drop("component"))
+        return self._kept(voxel.drop_small_components(self._components(rows), p.min_volume, self.config.spacing).drop("component"))
 
     @cached_property
     def prepared(self) -> DataFrame:
         """The mask after closing, opening and smoothing, each component in its own box."""
         p = self.config.skeleton
-        rows = self._kept(kernels.connected_components(self.mask))
+        rows = self._kept(self._components(self.mask))
         if p.closing or p.opening:
             box = voxel.component_sizes(rows).select(F.struct("case_id", "component").alias("case_id"), *[f"{n}_{c}" for n in ("lo", "hi") for c in "ijk"])
             own = rows.select(F.struct("case_id", "component").alias("case_id"), "i", "j", "k")
@@ -67,7 +91,7 @@ class Engine:
     def skeleton(self) -> DataFrame:
         """node_id by voxel number; x, y, z are voxel numbers times the spacing."""
         numbered = self.prepared.withColumn("voxel", lattice_number("i", "j", "k"))
-        thin = kernels.skeletonize(kernels.connected_components(numbered, 26)).select("case_id", "i", "j", "k")
+        thin = self._skeletonize(self._components(numbered, 26)).select("case_id", "i", "j", "k")
         node = lattice_number("i", "j", "k")
         at = [(F.col(c) * s).alias(p) for c, s, p in zip("ijk", self.config.spacing, "xyz", strict=True)]
         return self._kept(thin.select("case_id", node.alias("node_id"), "i", "j", "k", *at))
@@ -76,11 +100,11 @@ class Engine:
     def edges(self) -> DataFrame:
         every = self._kept(graph.lattice_edges(self.skeleton))
         marked = every.join(graph.triangle_edges(every).withColumn("in_triangle", F.lit(True)), ["case_id", "src", "dst"], "left").fillna(False, ["in_triangle"])
-        return self._kept(kernels.prune_triangles(marked))
+        return self._kept(self._graph_steps.prune_triangles(marked))
 
     @cached_property
     def raw_paths(self) -> DataFrame:
-        chains = self._kept(kernels.trace_paths(self.edges))
+        chains = self._kept(self._graph_steps.trace_paths(self.edges))
         points = chains.join(self.skeleton, ["case_id", "node_id"])
         at = points.select("case_id", "path_id", "seq", "x", "y", "z", "node_id", "i", "j", "k")
         total = self.flow.groupBy("case_id", "i", "j", "k").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in "xyz"])
@@ -149,7 +173,7 @@ class Engine:
         """Wall shear stress at the smoothed surface's corners, by time: each time's own mask, and its surface's own normals."""
         p, s = self.config.wall, self.config.spacing
         keyed = lambda df: df.withColumn("case_id", F.struct("case_id", "t"))
-        mask = keyed(self.seg.where("label > 0")).select("case_id", "i", "j", "k").distinct()
+        mask = keyed(self.timed_seg.where("label > 0")).select("case_id", "i", "j", "k").distinct()
         loops = self._kept(voxel.face_loops(voxel.boundary_faces(mask), lattice_number, s))
         smooth = self._kept(kernels.smooth_surface(voxel.loop_vertices(loops), voxel.loop_edges(loops), p.smoothing))
         at = smooth.join(voxel.loop_normals(loops, smooth), ["case_id", "vid"])
@@ -171,7 +195,7 @@ class Engine:
     @cached_property
     def streamlines(self) -> DataFrame:
         p = self.config.streamlines
-        return kernels.streamlines(self.flow, self.seeds, self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
+        return self._streamlines(self.flow, self.seeds, self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
 
     @cached_property
     def plane_streamlines(self) -> DataFrame:
@@ -180,7 +204,7 @@ class Engine:
         cut = planes.cut_voxels(heads, self.mask.drop("voxel"), self.config.spacing)
         found = surface.plane_seeds(cut, p.ratio, p.seed, p.least_seeds)
         number = (F.col("plane_index").cast("long") * 1_000_000 + F.col("line_id")).alias("line_id")
-        return kernels.streamlines(self.flow, found.select("case_id", number, "x", "y", "z"), self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
+        return self._streamlines(self.flow, found.select("case_id", number, "x", "y", "z"), self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
 
     # ------------------------------------------------------------------------------------------------------------- views
 

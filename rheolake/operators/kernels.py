@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rheolake.operators.batches import map_groups
 from rheolake.operators.voxel import FACES
 
 ALL_STEPS = tuple(s for s in product((-1, 0, 1), repeat=3) if any(s))
@@ -154,44 +155,80 @@ def may_go(codes: np.ndarray) -> np.ndarray:
     return whole & open_ & (np.bitwise_count(inside) > 1)
 
 
-def thin(ijk: np.ndarray) -> np.ndarray:
-    """The one-voxel-wide skeleton of a set of voxels: simple border voxels go, side by side, ends of lines stay.
+def peel(flat: np.ndarray, shape: tuple[int, int, int], cells: np.ndarray, face: int, odd: np.ndarray | None = None) -> np.ndarray:
+    """One face's border loses what may go; the cells that are left.  flat: a box with an empty rim; cells: its filled places.
 
-    Each side's border is taken in eight classes of even and odd places: voxels of a class do not touch each other, so
-    they go all at once and no line is eaten from its end.
+    The border is taken in eight classes of even and odd places: voxels of a class do not touch each other, so they go all
+    at once and no line is eaten from its end.  odd: 4, 2, 1 for each axis along which a cell's place counts as one more.
     """
-    lo = ijk.min(0) - 1
-    box = np.zeros(ijk.max(0) - lo + 2, bool)
-    box[tuple((ijk - lo).T)] = True
-    flat = box.reshape(-1)
-    _, sy, sz = box.shape
+    _, sy, sz = shape
     around = np.array([(i * sy + j) * sz + k for i, j, k in _PLACES])
-    changed = True
-    while changed:
-        changed = False
-        for step in around[_FACE_PLACES].tolist():
-            cells = np.flatnonzero(flat)
-            border = cells[~flat[cells + step]]
-            kind = 4 * (border // (sy * sz) % 2) + 2 * (border // sz % sy % 2) + border % sz % 2
-            for own in range(8):
-                here = border[kind == own]
-                if len(here):
-                    gone = here[may_go(flat[here[:, None] + around] @ _BITS)]
-                    flat[gone] = False
-                    changed |= len(gone) > 0
-    return np.argwhere(box) + lo
+    is_border = ~flat[cells + around[_FACE_PLACES[face]]]
+    border = cells[is_border]
+    kind = 4 * (border // (sy * sz) % 2) + 2 * (border // sz % sy % 2) + border % sz % 2
+    if odd is not None:
+        kind ^= odd[is_border]
+    for own in range(8):
+        here = border[kind == own]
+        if len(here):
+            flat[here[may_go(flat[here[:, None] + around] @ _BITS)]] = False
+    return cells[flat[cells]]
+
+
+#: Most cells of a box in which groups are thinned together.
+BOX_CELLS = 4_000_000
+
+
+def thin_many(ijk: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which voxels of many sets are in their skeletons; a set is the rows from one start to the next.
+
+    Sets are laid out in one box, one after the other along the first axis, an empty layer around each.
+    """
+    kept = np.zeros(len(ijk), bool)
+    counts = np.diff(np.r_[starts, len(ijk)])
+    lo, hi = np.minimum.reduceat(ijk, starts), np.maximum.reduceat(ijk, starts)
+    size = hi - lo + 3
+    length = size[:, 0] + size[:, 0] % 2  # even, so that a place's class is that in the set's own box
+    first = 0
+    while first < len(starts):
+        last, wide, far = first + 1, size[first, 1:].copy(), length[first]
+        while last < len(starts):
+            grown = np.maximum(wide, size[last, 1:])
+            if (far + length[last]) * grown.prod() > BOX_CELLS:
+                break
+            wide, far, last = grown, far + length[last], last + 1
+        shape = (int(far), int(wide[0]), int(wide[1]))
+        rows = slice(starts[first], starts[first] + counts[first:last].sum())
+        shift = np.repeat(np.cumsum(length[first:last]) - length[first:last], counts[first:last])
+        place = ijk[rows] - np.repeat(lo[first:last] - 1, counts[first:last], axis=0)
+        cell = ((place[:, 0] + shift) * shape[1] + place[:, 1]) * shape[2] + place[:, 2]
+        flat = np.zeros(int(np.prod(shape)), bool)
+        flat[cell] = True
+        cells, before = np.sort(cell), -1
+        while len(cells) != before:
+            before = len(cells)
+            for face in range(6):
+                cells = peel(flat, shape, cells, face)
+        kept[rows] = flat[cell]
+        first = last
+    return kept
+
+
+def thin(ijk: np.ndarray) -> np.ndarray:
+    """The one-voxel-wide skeleton of a set of voxels: simple border voxels go, side by side, ends of lines stay."""
+    ijk = np.unique(ijk, axis=0)
+    return ijk[thin_many(ijk, np.zeros(1, np.int64))]
 
 
 def skeletonize(components: DataFrame) -> DataFrame:
     """components(case_id, i, j, k, component): the skeleton's voxels."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = thin(pdf[["i", "j", "k"]].to_numpy(np.int64))
-        out = pd.DataFrame(kept.astype(np.int32), columns=["i", "j", "k"])
-        return out.assign(case_id=pdf["case_id"].iloc[0], component=pdf["component"].iloc[0])[["case_id", "i", "j", "k", "component"]]
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        return pdf[thin_many(pdf[["i", "j", "k"]].to_numpy(np.int64), starts)]
 
     types = {f.name: f.dataType.simpleString() for f in components.schema}
-    return components.groupBy("case_id", "component").applyInPandas(run, f"case_id {types['case_id']}, i int, j int, k int, component {types['component']}")
+    schema = f"case_id {types['case_id']}, i int, j int, k int, component {types['component']}"
+    return map_groups(components.select("case_id", "i", "j", "k", "component").distinct(), ["case_id", "component"], run, schema)
 
 
 # ---------------------------------------------------------------------------------------------------------------- paths
@@ -343,6 +380,37 @@ def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, rel
     return rows.groupBy("case_id").cogroup(_anew(edges.select("case_id", "src", "dst")).groupBy("case_id")).applyInPandas(run, rows.schema)
 
 
+class Field:
+    """Velocities (m/s) of voxels, zero elsewhere, and fourth-order steps of equal length along them."""
+
+    def __init__(self, ijk: np.ndarray, cm_per_s: np.ndarray, cell_size: np.ndarray, step: float):
+        self.lo, self.cell_size, self.step = ijk.min(0), cell_size, step
+        self.box = np.zeros((*(ijk.max(0) - self.lo + 1), 3))
+        self.box[tuple((ijk - self.lo).T)] = cm_per_s
+
+    def at(self, p: np.ndarray) -> np.ndarray:
+        cell = np.floor(p).astype(np.int64) - self.lo
+        inside = ((cell >= 0) & (cell < self.box.shape[:3])).all(1)
+        out = np.zeros((len(p), 3))
+        out[inside] = self.box[tuple(cell[inside].T)] / 100.0
+        return out
+
+    def speed(self, p: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(self.at(p), axis=1)
+
+    def unit(self, p: np.ndarray, way: np.ndarray | float) -> np.ndarray:
+        v = self.at(p)
+        return way * v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12) / self.cell_size
+
+    def ahead(self, p: np.ndarray, way: np.ndarray | float) -> np.ndarray:
+        step = self.step
+        k1 = self.unit(p, way)
+        k2 = self.unit(p + step / 2 * k1, way)
+        k3 = self.unit(p + step / 2 * k2, way)
+        k4 = self.unit(p + step * k3, way)
+        return p + step / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
+
+
 def streamlines(flow: DataFrame, seeds: DataFrame, spacing=(1.0, 1.0, 1.0), step: float = 0.5, max_steps: int = 2000, least_speed: float = 0.01) -> DataFrame:
     """Lines of the flow(case_id, t, i, j, k, vx, vy, vz in cm/s) through seeds(case_id [, t], line_id, x, y, z), in voxel units.
 
@@ -357,36 +425,17 @@ def streamlines(flow: DataFrame, seeds: DataFrame, spacing=(1.0, 1.0, 1.0), step
         columns = ["case_id", "t", "line_id", "seq", "x", "y", "z", "speed"]
         if not len(field) or not len(pdf):
             return pd.DataFrame(columns=columns)
-        ijk = field[["i", "j", "k"]].to_numpy(np.int64)
-        lo = ijk.min(0)
-        box = np.zeros((*(ijk.max(0) - lo + 1), 3))
-        box[tuple((ijk - lo).T)] = field[["vx", "vy", "vz"]].to_numpy(float)
-
-        def at(p: np.ndarray) -> np.ndarray:
-            cell = np.floor(p).astype(np.int64) - lo
-            inside = ((cell >= 0) & (cell < box.shape[:3])).all(1)
-            out = np.zeros((len(p), 3))
-            out[inside] = box[tuple(cell[inside].T)] / 100.0
-            return out
-
-        def unit(p: np.ndarray, way: float) -> np.ndarray:
-            v = at(p)
-            return way * v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12) / cell_size
-
+        along = Field(field[["i", "j", "k"]].to_numpy(np.int64), field[["vx", "vy", "vz"]].to_numpy(float), cell_size, step)
         start = pdf[["x", "y", "z"]].to_numpy(float)
-        speed = np.linalg.norm(at(start), axis=1)
+        speed = along.speed(start)
         ids = pdf["line_id"].to_numpy()
         good = speed >= least_speed
         parts = [(ids[good], np.zeros(good.sum(), int), start[good], speed[good])]
         for way in (1.0, -1.0):
             p, own = start[good], ids[good]
             for n in range(1, max_steps + 1):
-                k1 = unit(p, way)
-                k2 = unit(p + step / 2 * k1, way)
-                k3 = unit(p + step / 2 * k2, way)
-                k4 = unit(p + step * k3, way)
-                p = p + step / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
-                s = np.linalg.norm(at(p), axis=1)
+                p = along.ahead(p, way)
+                s = along.speed(p)
                 on = s >= least_speed
                 p, own = p[on], own[on]
                 if not len(p):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rheolake.functions import axes, signal, text, vectors
-from rheolake.operators import edit, graph, kernels, planes, polyline, surface, voxel
+from rheolake.operators import bricks, edit, graph, kernels, planes, polyline, rounds, surface, voxel
 from rheolake.sources import adapters as src
 from rheolake.sources.adapters import C_SQL, E_SQL, G_SQL, L_SQL, M_SQL, V_SQL
 
@@ -168,6 +168,11 @@ def connected_components(spark, d):
     return _components(spark, d).select("case_id", "voxel", "component")
 
 
+@query(f"{_CC} SELECT case_id, voxel, component FROM comp")
+def connected_components_bricks(spark, d):
+    return bricks.connected_components(src.masks(spark, d), side=2).select("case_id", "voxel", "component")
+
+
 @query(f"{_CC} SELECT case_id, voxel, component FROM comp JOIN sizes USING (case_id, component) WHERE n * 1.5 >= 6.0")
 def small_component_filter(spark, d):
     return voxel.drop_small_components(_components(spark, d), 6.0, (1.0, 1.0, 1.5)).select("case_id", "voxel", "component")
@@ -665,18 +670,60 @@ def plane_seeds(spark, d):
 # ------------------------------------------------------------------------------------------- iterative kernels, rows only
 
 
-@query()
-def prune_triangles(spark, d):
+def _marked(spark, d) -> DataFrame:
     edges = src.node_edges(spark, d)
-    marked = edges.join(graph.triangle_edges(edges).withColumn("in_triangle", F.lit(True)), ["case_id", "src", "dst"], "left").fillna(False, ["in_triangle"])
-    return kernels.prune_triangles(marked)
+    return edges.join(graph.triangle_edges(edges).withColumn("in_triangle", F.lit(True)), ["case_id", "src", "dst"], "left").fillna(False, ["in_triangle"])
+
+
+#: A triangle's edge stays if nothing but it joins its ends among the edges outside of triangles and the later ones.
+_PRUNED = f"""WITH RECURSIVE {E_SQL}, {_TRI},
+marks AS (SELECT case_id, a AS src, b AS dst FROM tri UNION SELECT case_id, b, c FROM tri UNION SELECT case_id, a, c FROM tri),
+free AS (SELECT * FROM edges EXCEPT SELECT * FROM marks),
+links AS (
+  SELECT case_id, src, dst, src AS a, dst AS b, false AS inside FROM free UNION ALL SELECT case_id, src, dst, dst, src, false FROM free UNION ALL
+  SELECT case_id, src, dst, src, dst, true FROM marks UNION ALL SELECT case_id, src, dst, dst, src, true FROM marks),
+seen(case_id, src, dst, node) AS (
+  SELECT case_id, src, dst, src FROM marks UNION
+  SELECT s.case_id, s.src, s.dst, l.b FROM seen s JOIN links l ON l.case_id = s.case_id AND l.a = s.node
+    AND (NOT l.inside OR l.src > s.src OR (l.src = s.src AND l.dst > s.dst)))
+SELECT * FROM free UNION ALL (SELECT * FROM marks EXCEPT SELECT case_id, src, dst FROM seen WHERE node = dst)"""
+
+#: Each chain walked from both ends; the smaller start, then step, names it.
+_CHAINS = f"""WITH RECURSIVE {E_SQL},
+arcs AS (SELECT case_id, src AS a, dst AS b FROM edges UNION ALL SELECT case_id, dst, src FROM edges),
+deg AS (SELECT case_id, a AS node, count(*) AS n FROM arcs GROUP BY ALL),
+walk(case_id, start, step, behind, here, seq) AS (
+  SELECT arcs.case_id, a, b, a, b, 1 FROM arcs JOIN deg ON deg.case_id = arcs.case_id AND node = a AND n <> 2 UNION ALL
+  SELECT w.case_id, start, step, here, arcs.b, seq + 1 FROM walk w JOIN deg ON deg.case_id = w.case_id AND node = here AND n = 2
+    JOIN arcs ON arcs.case_id = w.case_id AND arcs.a = here AND arcs.b <> behind),
+kept AS (
+  SELECT w.case_id, start, step, row_number() OVER (PARTITION BY w.case_id ORDER BY start, step) - 1 AS path_id
+  FROM walk w JOIN deg ON deg.case_id = w.case_id AND node = here AND n <> 2 WHERE start < here OR (start = here AND step <= behind))
+SELECT case_id, CAST(path_id AS INT) AS path_id, CAST(seq AS INT) AS seq, node_id FROM (
+  SELECT case_id, path_id, 0 AS seq, start AS node_id FROM kept UNION ALL
+  SELECT case_id, path_id, seq, here FROM walk JOIN kept USING (case_id, start, step))"""
+
+
+@query(_PRUNED)
+def prune_triangles(spark, d):
+    return kernels.prune_triangles(_marked(spark, d))
 
 
-@query()
+@query(_PRUNED)
+def prune_triangles_rounds(spark, d):
+    return rounds.prune_triangles(_marked(spark, d))
+
+
+@query(_CHAINS)
 def trace_paths(spark, d):
     return kernels.trace_paths(src.node_edges(spark, d))
 
 
+@query(_CHAINS)
+def trace_paths_rounds(spark, d):
+    return rounds.trace_paths(src.node_edges(spark, d))
+
+
 #: Published weights of seven points and a cubic: inside, at the second and at the third place; in 42nds.
 _INSIDE, _SECOND, _THIRD = (-4, 6, 12, 14, 12, 6, -4), (8, 19, 16, 6, -4, -7, 4), (-4, 16, 19, 12, 2, -4, 1)
 
@@ -718,6 +765,11 @@ def skeletonize(spark, d):
     return kernels.skeletonize(_components(spark, d))
 
 
+@query()
+def skeletonize_bricks(spark, d):
+    return bricks.skeletonize(_components(spark, d), side=2)
+
+
 @query()
 def laplace_smooth(spark, d):
     loops = voxel.face_loops(voxel.boundary_faces(src.masks(spark, d)), lambda i, j, k: (i * 5 + j) * 5 + k)
@@ -731,11 +783,20 @@ def cut_region(spark, d):
     return rounded(kernels.nearest_region(cut).select("case_id", "i", "j", "k", "area"), "area")
 
 
-@query()
-def rk4_streamlines(spark, d):
+def _bent_flow(spark, d) -> tuple[DataFrame, DataFrame]:
     flow = src.masks(spark, d).select("case_id", F.lit(0).alias("t"), "i", "j", "k", F.lit(100.0).alias("vx"), (F.col("j") * 25.0).alias("vy"), F.lit(0.0).alias("vz"))
     seeds = surface.sample_seeds(src.masks(spark, d), 0.1, 0, 3).select("case_id", "line_id", *[(F.col(c) + 0.5).alias(p) for c, p in zip("ijk", "xyz", strict=True)])
-    return rounded(kernels.streamlines(flow, seeds, max_steps=50), "x", "y", "z", "speed")
+    return flow, seeds
+
+
+@query()
+def rk4_streamlines(spark, d):
+    return rounded(kernels.streamlines(*_bent_flow(spark, d), max_steps=50), "x", "y", "z", "speed")
+
+
+@query()
+def rk4_streamlines_bricks(spark, d):
+    return rounded(bricks.streamlines(*_bent_flow(spark, d), max_steps=50, side=2), "x", "y", "z", "speed")
 
 
 @query(f"""WITH {L_SQL}, sums AS (SELECT path_id, sum((qx - x) + 0.2 * (qy - y)) AS score, sum(sqrt(1.04) * sqrt((qx - x) ** 2 + (qy - y) ** 2 + (qz - z) ** 2)) AS scale

@@ -41,7 +41,7 @@ def flow_from_signal(raw: DataFrame, meta: DataFrame, seg: DataFrame, pad: int =
     The raw table is cut to the mask's padded box before anything else; the box is one row per case.
     """
     head = case_header(meta)
-    box = voxel.mask_bbox(seg.where("label > 0"), head, pad)
+    box = voxel.mask_bbox(seg.where("label != 0"), head, pad)
     near = voxel.crop(raw, box)
     pick = lambda ch, c: F.max(F.when(F.col("ch") == ch, F.col(c))).alias(f"{c}{ch}")
     wide = near.groupBy("case_id", "i", "j", "k", "t").agg(*[pick(ch, c) for ch in range(4) for c in ("re", "im")])
@@ -63,6 +63,30 @@ def flow_from_signal(raw: DataFrame, meta: DataFrame, seg: DataFrame, pad: int =
     return out.withColumn("tke", signal.kinetic_energy(F.col("sx"), F.col("sy"), F.col("sz")))
 
 
+def oriented_case(raw: DataFrame, seg: DataFrame, meta: DataFrame, pad: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """seg, flow and meta of raw tables, all cut to the mask's padded box and turned to the target axes; masks of one time
+    hold at all times of their signal.  Spacing follows its axis, and dims are those of the turned box."""
+    head = case_header(meta)
+    box = voxel.mask_bbox(seg.where("label != 0"), head, pad)
+    cut_dims = F.array(*[(F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1) for c in "ijk"]).alias("cut_dims")
+    frame = box.select("case_id", cut_dims).join(head.select("case_id", "spatial_order", "spacing", *[c for c in ("origin", "venc", "rr") if c in head.columns]), "case_id")
+    turned = [axes.oriented_index(F.col("spatial_order"), F.col("cut_dims"), ("i", "j", "k"), t).alias(c) for t, c in zip(axes.TARGET, "ijk", strict=True)]
+    times = raw.groupBy("case_id").agg((F.max("t") + 1).alias("times"))
+    near = voxel.crop(mask_at_times(seg, times), box).join(frame.select("case_id", "cut_dims", "spatial_order"), "case_id")
+    masks = near.select("case_id", *turned, "t", "label")
+    by_axis = lambda name: F.array(*[_of_axis(F.col("spatial_order"), F.col(name), t) for t in axes.TARGET]).alias(name if name == "spacing" else "dims")
+    others = [c for c in ("origin", "venc", "rr") if c in frame.columns]
+    return masks, flow_from_signal(raw, meta, seg, pad), frame.select("case_id", by_axis("cut_dims"), by_axis("spacing"), *others)
+
+
+def _of_axis(order, values, target: str):
+    """The value of the source axis that becomes a target axis."""
+    out = F.lit(None)
+    for n in range(3):
+        out = F.when(axes.axis_of(order[n]) == target, values[n]).otherwise(out)
+    return out
+
+
 def case_status(seg: DataFrame, flow: DataFrame, meta: DataFrame) -> DataFrame:
     """case_id, status, error: one row per case that any table has.
 

@@ -22,4 +22,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.shared_folder = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialize wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_folder)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
