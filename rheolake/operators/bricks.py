@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rheolake.operators.batches import map_groups
-from rheolake.operators.kernels import ALL_STEPS, Field, lattice_links, merge_labels, peel
+from rheolake.operators.kernels import ALL_STEPS, Field, laid_out, lattice_links, merge_labels, peel
 from rheolake.operators.rounds import component_of
 from rheolake.operators.voxel import FACES, offsets
 from rheolake.storage import discard, materialize
@@ -30,10 +30,12 @@ def brick_of(side: int) -> list:
 
 
 def in_bricks(rows: DataFrame, side: int, halo: int) -> DataFrame:
-    """rows(i, j, k, ...) once for each brick in or around which they lie."""
+    """rows(i, j, k, ...) once for each brick in or around which they lie; of those between lo_ and hi_, where rows have them."""
     for c, b in zip("ijk", BRICK, strict=True):
-        reach = F.sequence(F.floor((F.col(c) - halo) / side).cast("int"), F.floor((F.col(c) + halo) / side).cast("int"))
-        rows = rows.withColumn(b, F.explode(reach))
+        first, last = F.col(c) - halo, F.col(c) + halo
+        if f"lo_{c}" in rows.columns:
+            first, last = F.greatest(first, F.col(f"lo_{c}")), F.least(last, F.col(f"hi_{c}"))
+        rows = rows.withColumn(b, F.explode(F.sequence(F.floor(first / side).cast("int"), F.floor(last / side).cast("int"))))
     return rows
 
 
@@ -88,10 +90,10 @@ def skeletonize(components: DataFrame, side: int = SIDE, faces_a_round: int = 1)
     kinds = kinds_of(components)
     halo = FACE_HALO * faces_a_round
     own = components.select("case_id", "i", "j", "k", "component").distinct()
-    corner = own.groupBy("case_id", "component").agg(*[F.min(c).alias(f"lo_{c}") for c in "ijk"])
+    corner = own.groupBy("case_id", "component").agg(*[F.min(c).alias(f"lo_{c}") for c in "ijk"], *[F.max(c).alias(f"hi_{c}") for c in "ijk"])
     state = materialize(own.join(corner, ["case_id", "component"]), "thinned")
     left, idle, face = state.count(), 0, 0
-    schema = f"case_id {kinds['case_id']}, component {kinds['component']}, i int, j int, k int, lo_i int, lo_j int, lo_k int"
+    schema = f"case_id {kinds['case_id']}, component {kinds['component']}, i int, j int, k int, lo_i int, lo_j int, lo_k int, hi_i int, hi_j int, hi_k int"
     while left and idle < 6:
         faces = [(face + n) % 6 for n in range(faces_a_round)]
 
@@ -99,21 +101,18 @@ def skeletonize(components: DataFrame, side: int = SIDE, faces_a_round: int = 1)
             ijk, low = pdf[["i", "j", "k"]].to_numpy(np.int64), pdf[["lo_i", "lo_j", "lo_k"]].to_numpy(np.int64)
             inside = (ijk // side == pdf[BRICK].to_numpy(np.int64)).all(1)
             kept = inside.copy()
-            for a, b in zip(starts, np.r_[starts[1:], len(pdf)], strict=True):
-                if not inside[a:b].any():
-                    continue
-                origin = ijk[a:b].min(0) - 1
-                place = ijk[a:b] - origin
-                shape = tuple(int(n) for n in place.max(0) + 2)
-                cell = (place[:, 0] * shape[1] + place[:, 1]) * shape[2] + place[:, 2]
+            counts = np.diff(np.r_[starts, len(pdf)])
+            # places count from the component's corner, whatever the brick
+            odd = (np.minimum.reduceat(ijk, starts) - low[starts]) % 2 @ np.array([4, 2, 1])
+            for rows, cell, shape, sets in laid_out(ijk, starts):
                 flat = np.zeros(int(np.prod(shape)), bool)
                 flat[cell] = True
-                # places count from the component's corner, whatever the brick
-                odd = (origin - (low[a] - 1)) % 2 @ np.array([4, 2, 1])
-                cells = np.sort(cell)
+                order = np.argsort(cell)
+                kinds_, cells = np.repeat(odd[sets], counts[sets])[order], cell[order]
                 for one in faces:
-                    cells = peel(flat, shape, cells, one, np.full(len(cells), odd))
-                kept[a:b] &= flat[cell]
+                    cells = peel(flat, shape, cells, one, kinds_)
+                    kinds_ = np.repeat(odd[sets], counts[sets])[order][flat[cell[order]]]
+                kept[rows] &= flat[cell]
             return pdf[kept].drop(columns=BRICK)
 
         spread = in_bricks(state, side, halo)

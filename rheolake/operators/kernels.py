@@ -179,16 +179,16 @@ def peel(flat: np.ndarray, shape: tuple[int, int, int], cells: np.ndarray, face:
 BOX_CELLS = 4_000_000
 
 
-def thin_many(ijk: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which voxels of many sets are in their skeletons; a set is the rows from one start to the next.
+def laid_out(ijk: np.ndarray, starts: np.ndarray):
+    """Boxes with many sets of voxels, one after the other along the first axis, an empty layer around each; a set is the
+    rows from one start to the next.  Yields the rows of a box, their cells, the box's shape, and its sets' numbers.
 
-    Sets are laid out in one box, one after the other along the first axis, an empty layer around each.
+    A set takes an even number of layers, so that a cell's places are even or odd as they are in the set's own box.
     """
-    kept = np.zeros(len(ijk), bool)
     counts = np.diff(np.r_[starts, len(ijk)])
     lo, hi = np.minimum.reduceat(ijk, starts), np.maximum.reduceat(ijk, starts)
     size = hi - lo + 3
-    length = size[:, 0] + size[:, 0] % 2  # even, so that a place's class is that in the set's own box
+    length = size[:, 0] + size[:, 0] % 2
     first = 0
     while first < len(starts):
         last, wide, far = first + 1, size[first, 1:].copy(), length[first]
@@ -197,11 +197,18 @@ def thin_many(ijk: np.ndarray, starts: np.ndarray) -> np.ndarray:
             if (far + length[last]) * grown.prod() > BOX_CELLS:
                 break
             wide, far, last = grown, far + length[last], last + 1
-        shape = (int(far), int(wide[0]), int(wide[1]))
-        rows = slice(starts[first], starts[first] + counts[first:last].sum())
-        shift = np.repeat(np.cumsum(length[first:last]) - length[first:last], counts[first:last])
-        place = ijk[rows] - np.repeat(lo[first:last] - 1, counts[first:last], axis=0)
-        cell = ((place[:, 0] + shift) * shape[1] + place[:, 1]) * shape[2] + place[:, 2]
+        sets = np.arange(first, last)
+        rows = slice(starts[first], starts[first] + counts[sets].sum())
+        place = ijk[rows] - np.repeat(lo[sets] - 1, counts[sets], axis=0)
+        place[:, 0] += np.repeat(np.cumsum(length[sets]) - length[sets], counts[sets])
+        yield rows, (place[:, 0] * wide[0] + place[:, 1]) * wide[1] + place[:, 2], (int(far), int(wide[0]), int(wide[1])), sets
+        first = last
+
+
+def thin_many(ijk: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which voxels of many sets are in their skeletons (see laid_out)."""
+    kept = np.zeros(len(ijk), bool)
+    for rows, cell, shape, _ in laid_out(ijk, starts):
         flat = np.zeros(int(np.prod(shape)), bool)
         flat[cell] = True
         cells, before = np.sort(cell), -1
@@ -210,7 +217,6 @@ def thin_many(ijk: np.ndarray, starts: np.ndarray) -> np.ndarray:
             for face in range(6):
                 cells = peel(flat, shape, cells, face)
         kept[rows] = flat[cell]
-        first = last
     return kept
 
 
