@@ -1,14 +1,17 @@
-"""Approximate nearest neighbours by inner product: a navigable small-world graph per shard, shard results merged.
+"""Approximate nearest neighbours by inner product: navigable small-world graphs per shard, shard results merged.
 
-Equal vectors are one node (its smallest ids answer for it).  Vectors of one length are dealt to shards of bounded size
-by hash; each shard is built in a task as a hierarchy of graphs, stored as flat arrays: vectors, and per layer one
-row of neighbour numbers per node.  Points are added in blocks: a block searches the graph so far in step, then links to
-the found neighbours by the diversity rule, and back.  Queries search every shard, in blocks of bounded size that are
-tasks of their own; a task reads its shard's vectors, builds the graph and answers queries as they stream in.  The best of
-all shards are merged by exact double-precision inner products and ties go to smaller ids.
+Equal vectors are one node (its smallest ids answer for it).  Vectors of one dimension are put in order of length and cut
+into shards of one size; a shard is cut into bands of nearly one length (longest over shortest at most BAND), and each
+band is built once, in one task a shard, as a hierarchy of graphs in flat arrays: vectors, and per layer one row of
+neighbour numbers per node.  These are written to the shared folder.  Points are added in blocks: a block searches the
+graph so far in step, then links to the found neighbours by the diversity rule, and back.  Queries search every shard, in
+blocks of bounded size; a task reads the graphs of a shard and answers queries as they stream in, the longest band first,
+and leaves a band out where its length times the query's cannot reach the worst score that is kept.  The best of all
+shards are merged by exact double-precision inner products and ties go to smaller ids.
 
 To make the largest inner product a nearest neighbour, a coordinate is added in the index that gives all vectors of a
-shard the same length; queries get a zero there.
+band the same length; queries get a zero there.  Bands keep that coordinate small: across widely varied lengths it would
+drown the others, and searches would end in the wrong place.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part; candidates are vectors of
 the query's length; null ids take no part; of a repeated row every copy but the query's own id is a candidate once per id;
@@ -27,12 +30,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rheolake.llm.common import bound_batches, materialize, table
+from rheolake.operators.rounds import numbered
 
 NEAREST = 20
 #: Distinct vectors per shard and queries per task, about; neighbours per node (twice that in the lowest layer); breadth of searches.
 SHARD_ROWS, QUERY_ROWS = 8_192, 20_000
 LINKS, BUILD_BREADTH, QUERY_BREADTH = 16, 96, 128
 BLOCK = 128
+#: Longest over shortest vector of a band, unless it has fewer rows than a search is broad (then all of them are looked at).
+BAND = 1.1
+#: Tasks that searches are dealt to, at most; pairs of a shard and a block of queries are numbered and dealt in turn.
+MOST_TASKS = 10_000
 SEED = 7
 
 
@@ -134,11 +142,28 @@ def diverse(vectors: np.ndarray, own: np.ndarray, found: np.ndarray, most: int)
     return out
 
 
-def build(vectors: np.ndarray, links: int = LINKS, breadth: int = BUILD_BREADTH, seed: int = SEED) -> Graph:
-    """The graph of a shard's vectors [n, dim] (as they are; see the module's text for the added coordinate)."""
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """Vectors with the coordinate that makes all of them as long as the longest."""
     raw = vectors.astype(np.float32)
     norm = (raw.astype(np.float64) ** 2).sum(1)
-    v = np.c_[raw, np.sqrt(np.maximum(norm.max() - norm, 0)).astype(np.float32)]
+    return np.c_[raw, np.sqrt(np.maximum(norm.max() - norm, 0)).astype(np.float32)]
+
+
+def bands(vectors: np.ndarray, least: int, ratio: float = BAND) -> list[np.ndarray]:
+    """Row numbers by bands of length, shortest first: within the ratio, but at least so many rows."""
+    length = np.linalg.norm(vectors, axis=1)
+    order = np.argsort(length, kind="stable")
+    length, out, a = length[order], [], 0
+    while a < len(order):
+        b = max(int(np.searchsorted(length, length[a] * ratio, side="right")), a + least)
+        out.append(order[a:b])
+        a = b
+    return out
+
+
+def build(vectors: np.ndarray, links: int = LINKS, breadth: int = BUILD_BREADTH, seed: int = SEED) -> Graph:
+    """The graph of a shard's vectors [n, dim] (as they are; see the module's text for the added coordinate)."""
+    v = lifted(vectors)
     n = len(v)
     draw = np.random.default_rng(seed).random(n)
     top = np.minimum((-np.log(1 - draw) / np.log(links)).astype(np.int64), 6)
@@ -219,7 +244,7 @@ def nearest_neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries(vec_id, embedding) its k nearest rows(vec_id, embedding).
 
-    A task has one shard and one block of queries: a stated query set against all rows, in blocks.
+    A task has a shard and a block of queries at a time: a stated query set against all rows, in blocks.
     """
     spark = rows.sparkSession
     points = valid_vectors(rows).select("vec_id", "v", F.xxhash64(F.transform("v", lambda x: x + 0.0)).alias("h"))
@@ -230,66 +255,130 @@ def nearest_neighbours(
     wanted = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect() if r["dim"] in sizes}
     if not wanted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards, blocks = {d: -(-sizes[d] // shard_rows) for d in wanted}, {d: -(-n // query_rows) for d, n in wanted.items()}
-    of = lambda counts: F.coalesce(*[F.when(F.col("dim") == d, n) for d, n in counts.items()])
-    among = lambda df: df.where(F.col("dim").isin(list(wanted)))
+    dims = sorted(wanted)
+    shards, blocks = {d: -(-sizes[d] // shard_rows) for d in dims}, {d: -(-wanted[d] // query_rows) for d in dims}
+    shard_base = dict(zip(dims, np.cumsum([0, *(shards[d] for d in dims)]).tolist(), strict=False))
+    pair_base = dict(zip(dims, np.cumsum([0, *(shards[d] * blocks[d] for d in dims)]).tolist(), strict=False))
+    of = lambda counts: F.coalesce(*[F.when(F.col("dim") == d, F.lit(counts[d])) for d in dims])
+    among = lambda df: df.where(F.col("dim").isin(dims))
+    # shards of one size, in order of length
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("length")
+    placed = numbered(among(members).select(F.col("dim").alias("case_id"), length, "h", "v", "ids"), ["length", "h"], "place")
+    shard = F.floor(F.col("place") / shard_rows).cast("int").alias("shard")
+    nodes = placed.select(F.col("case_id").alias("dim"), shard, "v", "ids").withColumn("number", (of(shard_base) + F.col("shard")).cast("int"))
+    graphs = bound_batches(nodes.select("number", "dim", "shard", "v", "ids").repartitionById(sum(shards.values()), "number").sortWithinPartitions("number"))
+    graphs = materialize(graphs.mapInArrow(_builder(breadth), STORED), "graphs")
+    # a pair of shard and block has the shard's graphs, then the block's queries
+    pair = (of(pair_base) + F.col("shard") * of(blocks) + F.col("block")).cast("int").alias("pair")
     every = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
-    nodes = among(members).select("dim", F.pmod("h", of(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
+    stored = [c.split()[0] for c in STORED.split(", ")][2:]
+    loads = graphs.select("dim", "shard", every(blocks).alias("block"), *stored).select(pair, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("v"), *stored)
     block = F.pmod(F.xxhash64("query_id", "v"), of(blocks)).cast("int").alias("block")
-    copies = among(asked).select("dim", every(shards).alias("shard"), block, "query_id", "v", F.lit(None).cast("array<bigint>").alias("ids"))
-    key = ["dim", "shard", "block"]
+    asks = among(asked).select("dim", every(shards).alias("shard"), block, "query_id", "v").select(pair, "query_id", "v", *[F.lit(None).cast(graphs.schema[c].dataType).alias(c) for c in stored])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, base, ids, graph = None, [], [], None
+        here, loaded = None, []
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-            is_query = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (is_query[1:] != is_query[:-1])) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if tuple(keys[i]) != here:  # its vectors come before its queries
-                    here, base, ids, graph = tuple(keys[i]), [], [], None
+            numbers = batch.column(0).to_numpy()
+            is_query = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (is_query[1:] != is_query[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
+                if numbers[i] != here:  # its graphs come before its queries
+                    here, loaded = numbers[i], []
                 part = batch.slice(i, j - i)
-                flat = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(j - i, int(keys[i][0]))
                 if not is_query[i]:
-                    base.append(flat)
-                    ids += part.column(5).to_pylist()
-                elif base:
-                    if graph is None:
-                        base = [np.concatenate(base)]
-                        graph = build(base[0])
-                    owners = part.column(3).to_numpy()
+                    loaded += [_load(row) for row in part.to_pylist()]
+                elif loaded:
+                    flat = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
+                    owners = part.column(1).to_numpy()
+                    loaded.sort(key=lambda x: -x[3])
                     for at in range(0, len(flat), 512):
-                        yield _answers(graph, base[0], ids, flat[at : at + 512], owners[at : at + 512], k, breadth)
+                        yield _answers(loaded, flat[at : at + 512], owners[at : at + 512], k, breadth)
 
-    together = nodes.unionByName(copies).repartition(sum(shards[d] * blocks[d] for d in wanted), *key)
-    sorted_ = together.sortWithinPartitions(*key, F.col("query_id").isNotNull())
+    tasks = min(sum(shards[d] * blocks[d] for d in dims), MOST_TASKS)
+    together = loads.unionByName(asks).repartitionById(tasks, F.pmod("pair", F.lit(tasks)))
+    sorted_ = together.sortWithinPartitions("pair", F.col("query_id").isNotNull())
     found = bound_batches(sorted_).mapInArrow(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _answers(graph: Graph, base: np.ndarray, ids: list, ask: np.ndarray, owners: np.ndarray, k: int, breadth: int) -> pa.RecordBatch:
+#: A band: its vectors (doubles), the ids of each node and how many they are, the layers of links and their widths.
+STORED = "dim int, shard int, size int, vectors binary, id_counts binary, id_values binary, widths array<int>, links array<binary>"
+
+
+def _builder(breadth: int):
+    """Rows (number, dim, shard, v, ids), sorted by number, to STORED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, ids = None, [], []
+
+        def stored() -> Iterator[pa.RecordBatch]:
+            base = np.concatenate(parts)
+            for rows in bands(base, breadth):
+                own = base[rows]
+                layers = build(own).layers
+                counts = np.array([len(ids[r]) for r in rows], "<i4")
+                values = np.array([x for r in rows for x in ids[r]], "<i8")
+                columns = [[here[1]], [here[2]], [len(rows)], [own.tobytes()], [counts.tobytes()], [values.tobytes()], [[x.shape[1] for x in layers]], [[x.astype("<i4").tobytes() for x in layers]]]
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [c.split()[0] for c in STORED.split(", ")])
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(numbers[1:] != numbers[:-1]) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True) if len(numbers) else []:
+                part = batch.slice(i, j - i)
+                key = tuple(part.column(n)[0].as_py() for n in range(3))
+                if key != here:
+                    if parts:
+                        yield from stored()
+                    here, parts, ids = key, [], []
+                parts.append(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(j - i, key[1]))
+                ids += part.column(4).to_pylist()
+        if parts:
+            yield from stored()
+
+    return run
+
+
+def _load(row: dict) -> tuple[Graph, np.ndarray, list[np.ndarray], float]:
+    """A stored band: graph, vectors, ids of each node, length of the longest vector."""
+    n = row["size"]
+    base = np.frombuffer(row["vectors"], "<f8").reshape(n, -1)
+    layers = [np.frombuffer(x, "<i4").reshape(n, w).astype(np.int64) for x, w in zip(row["links"], row["widths"], strict=True)]
+    ids = np.split(np.frombuffer(row["id_values"], "<i8"), np.cumsum(np.frombuffer(row["id_counts"], "<i4"))[:-1])
+    return Graph(lifted(base), layers, np.zeros(0, np.int64)), base, ids, float(np.linalg.norm(base, axis=1).max())
+
+
+def _answers(loaded: list[tuple], ask: np.ndarray, owners: np.ndarray, k: int, breadth: int) -> pa.RecordBatch:
     """The k nearest rows of one shard: nodes by exact inner product, then their ids, without the query's own."""
-    near = graph.nearest(np.c_[ask, np.zeros(len(ask))].astype(np.float32), max(breadth, k + 1))
-    query, vec, score = [], [], []
-    for i, owner in enumerate(owners.tolist()):
-        nodes = near[i][near[i] >= 0]
-        exact = np.array([float(np.sum(base[x] * ask[i])) for x in nodes])
-        order = np.argsort(-exact, kind="stable")
-        pairs: list[tuple[float, int]] = []
-        bound = None
-        for j in order:
-            if bound is not None and exact[j] < bound:
-                break
-            pairs += [(-exact[j], x) for x in ids[nodes[j]] if x != owner]
-            if bound is None and len(pairs) >= k:
-                bound = exact[j]  # equal scores may hold smaller ids
-        for s, x in sorted(pairs)[:k]:
-            query.append(owner)
-            vec.append(x)
-            score.append(-s)
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+    queries = np.c_[ask, np.zeros(len(ask))].astype(np.float32)
+    reach = np.linalg.norm(ask, axis=1) * (1 + 1e-9)
+    kept: list[list[tuple[float, int]]] = [[] for _ in owners]
+    worst = np.full(len(ask), -np.inf)
+    for graph, base, ids, longest in loaded:  # longest first
+        open_ = np.flatnonzero(reach * longest >= worst)
+        if not len(open_):
+            break
+        near = graph.nearest(queries[open_], max(breadth, k + 1))
+        for row, i in zip(near, open_.tolist(), strict=True):
+            nodes = row[row >= 0]
+            exact = (base[nodes] * ask[i]).sum(1)
+            pairs, bound = [], None
+            for j in np.argsort(-exact, kind="stable").tolist():
+                if exact[j] < worst[i] or bound is not None and exact[j] < bound:
+                    break
+                pairs += [(-float(exact[j]), int(x)) for x in ids[nodes[j]] if x != owners[i]]
+                if bound is None and len(pairs) >= k:
+                    bound = exact[j]  # equal scores may hold smaller ids
+            kept[i] = sorted(kept[i] + pairs)[:k]
+            if len(kept[i]) == k:
+                worst[i] = -kept[i][-1][0]
+    rows = [(owner, x, -s) for owner, own in zip(owners.tolist(), kept, strict=True) for s, x in own]
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
 
 def _smallest_ids(points: DataFrame, most: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rheolake.llm import hnsw
@@ -88,3 +89,28 @@ def test_recall_in_a_shard_of_real_size():
     exact = np.take_along_axis(product, near, 1)
     got = np.take_along_axis(near, np.argsort(-exact, axis=1)[:, :21], 1)
     assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(got, want, strict=True)]) > 0.9
+
+
+@pytest.mark.parametrize("spread", [None, 0.0, 0.25, 0.5, 1.0])
+def test_recall_of_varied_lengths_in_a_shard_of_real_size(spread):
+    """Plain Gaussian vectors, and directions with lengths varied by a log-normal factor: the stored bands of one shard."""
+    rng = np.random.default_rng(8)
+    n = hnsw.SHARD_ROWS
+    v = rng.normal(size=(n, 64))
+    if spread is not None:
+        v *= np.exp(spread * rng.normal(size=(n, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    shard = pa.RecordBatch.from_arrays(
+        [pa.array([0] * n, pa.int32()), pa.array([64] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array([[i] for i in range(n)], pa.list_(pa.int64()))],
+        ["number", "dim", "shard", "v", "ids"],
+    )
+    stored = [row for batch in hnsw._builder(hnsw.QUERY_BREADTH)(iter([shard])) for row in batch.to_pylist()]
+    assert sum(row["size"] for row in stored) == n
+    loaded = sorted((hnsw._load(row) for row in stored), key=lambda x: -x[3])
+    asked = np.arange(0, n, 40)
+    got: dict[int, list[int]] = {}
+    for q, x in zip(*(c.to_pylist() for c in hnsw._answers(loaded, v[asked], asked, 20, hnsw.QUERY_BREADTH).columns[:2]), strict=True):
+        got.setdefault(q, []).append(x)
+    product = v[asked] @ v.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-product, axis=1)[:, :20]
+    assert np.mean([len(set(got[q]) & set(row.tolist())) / 20 for q, row in zip(asked.tolist(), want, strict=True)]) > 0.95
