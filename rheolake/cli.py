@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import time
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from rheolake.config import EngineConfig, PlaneParams, SkeletonParams, StreamlineParams, WallParams
 
 
@@ -59,11 +62,18 @@ def steps_of(a: argparse.Namespace) -> list[str]:
     return ["planes", *([] if a.skip_plane_metrics else ["metrics", "qc"]), *([] if a.skip_derived else ["wall", "tke_peak"])]
 
 
+def with_notes(status: DataFrame, notes: DataFrame) -> DataFrame:
+    """status with the seconds that kernels spent on each case; a case that a kernel failed on is an error, named by step."""
+    failed = F.array_join(F.sort_array(F.collect_set(F.when(F.col("error").isNotNull(), F.concat("step", F.lit(": "), "error")))), "; ")
+    own = notes.groupBy("case_id").agg(failed.alias("failed"), F.sum("seconds").alias("kernel_seconds"))
+    rows = status.join(own, "case_id", "left")
+    broken = F.coalesce(F.col("failed") != "", F.lit(False))
+    return rows.withColumns({"status": F.when(broken, "error").otherwise(F.col("status")), "error": F.when(broken, F.col("failed")).otherwise(F.col("error"))}).drop("failed")
+
+
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
-    from pyspark.sql import functions as F
-
     from rheolake.engine import Engine
     from rheolake.sinks import saved_planes, write_report
     from rheolake.sources.cases import case_status
@@ -79,9 +89,9 @@ def main(argv: list[str] | None = None) -> None:
         if name == "tke_peak" and "tke" not in engine.flow.columns:
             continue  # no turbulent energy in these cases
         engine.step(name).write.mode("overwrite").parquet(f"{a.output}/{name}")
-    # all cases run together, so each has an equal share of the job's seconds
+    # relational steps run for all cases together, so each has an equal share of the job; kernels are timed case by case
     share = (time.time() - began) / max(1, good.count())
-    write_report(status.withColumn("seconds", F.when(F.col("status") == "ok", share)), f"{a.output}/report")
+    write_report(with_notes(status.withColumn("seconds", F.when(F.col("status") == "ok", share)), engine.notes), f"{a.output}/report")
 
 
 if __name__ == "__main__":

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rheolake.config import EngineConfig
 from rheolake.operators import bricks, graph, kernels, planes, polyline, rounds, surface, voxel
+from rheolake.operators.guard import guarded, split
 from rheolake.sources.cases import mask_at_times
 from rheolake.storage import materialize
 
@@ -28,6 +31,7 @@ class Engine:
 
     def __init__(self, seg: DataFrame, flow: DataFrame, meta: DataFrame, config: EngineConfig | None = None, saved: DataFrame | None = None):
         self.seg, self.meta, self.config, self.saved = seg, meta, config or EngineConfig(), saved
+        self._notes: list[DataFrame] = []
         in_mask = seg.where("label > 0").select("case_id", "i", "j", "k").distinct()
         self.flow = flow.join(in_mask, ["case_id", "i", "j", "k"], "left_semi")
 
@@ -38,23 +42,42 @@ class Engine:
         """What several later steps use is written to the shared folder once, which also keeps plans small."""
         return materialize(df, "step")
 
-    def _components(self, mask: DataFrame, connectivity: int = 6) -> DataFrame:
-        side = self.config.brick
-        return bricks.connected_components(mask, connectivity, side) if side else kernels.connected_components(mask, connectivity)
+    def _guard(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A grouped kernel's rows, written.  Groups that raised are noted, and their cases go no further from here."""
+        with guarded():
+            found = self._kept(make())
+        rows, notes = split(found)
+        case = "case_id.case_id" if isinstance(found.schema["case_id"].dataType, StructType) else "case_id"
+        self._notes.append(notes.select(F.col(case).alias("case_id"), F.lit(step).alias("step"), "error", "seconds"))
+        bad = self._notes[-1].where("error IS NOT NULL").select("case_id").distinct()
+        if bad.isEmpty():
+            return rows
+        own = F.col("case_id.case_id" if case != "case_id" else "case_id")
+        return rows.withColumn("_case", own).join(bad.withColumnRenamed("case_id", "_case"), "_case", "left_anti").drop("_case")
 
-    def _skeletonize(self, components: DataFrame) -> DataFrame:
-        side = self.config.brick
-        if not side:
-            return kernels.skeletonize(components)
-        return bricks.skeletonize(components, side, max(1, min(6, side // (2 * bricks.FACE_HALO))))  # a halo of half a brick at most
+    @property
+    def notes(self) -> DataFrame:
+        """case_id, step, error, seconds of the groups that kernels have handled so far."""
+        found = self.meta.select("case_id", F.lit("").alias("step"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds")).where("false")
+        for one in self._notes:
+            found = found.unionByName(one)
+        return found
+
+    def _components(self, mask: DataFrame, connectivity: int = 6, step: str = "components") -> DataFrame:
+        if side := self.config.brick:
+            return self._kept(bricks.connected_components(mask, connectivity, side))
+        return self._guard(step, lambda: kernels.connected_components(mask, connectivity))
 
-    def _streamlines(self, flow: DataFrame, seeds: DataFrame, spacing: tuple, **limits: float) -> DataFrame:
-        side = self.config.brick
-        return bricks.streamlines(flow, seeds, spacing, side=side, **limits) if side else kernels.streamlines(flow, seeds, spacing, **limits)
+    def _skeletonize(self, components: DataFrame) -> DataFrame:
+        if side := self.config.brick:  # a halo of half a brick at most
+            return bricks.skeletonize(components, side, max(1, min(6, side // (2 * bricks.FACE_HALO))))
+        return self._guard("skeleton", lambda: kernels.skeletonize(components))
 
-    @property
-    def _graph_steps(self):
-        return rounds if self.config.brick else kernels
+    def _streamlines(self, step: str, flow: DataFrame, seeds: DataFrame, **limits: float) -> DataFrame:
+        spacing = self.config.spacing
+        if side := self.config.brick:
+            return bricks.streamlines(flow, seeds, spacing, side=side, **limits)
+        return self._guard(step, lambda: kernels.streamlines(flow, seeds, spacing, **limits))
 
     @cached_property
     def timed_seg(self) -> DataFrame:
@@ -76,7 +99,7 @@ class Engine:
     def prepared(self) -> DataFrame:
         """The mask after closing, opening and smoothing, each component in its own box."""
         p = self.config.skeleton
-        rows = self._kept(self._components(self.mask))
+        rows = self._components(self.mask)
         if p.closing or p.opening:
             box = voxel.component_sizes(rows).select(F.struct("case_id", "component").alias("case_id"), *[f"{n}_{c}" for n in ("lo", "hi") for c in "ijk"])
             own = rows.select(F.struct("case_id", "component").alias("case_id"), "i", "j", "k")
@@ -84,7 +107,7 @@ class Engine:
             own = voxel.open_mask(own, box) if p.opening else own
             rows = own.select("case_id.case_id", "case_id.component", "i", "j", "k")
         if p.gaussian:
-            return self._kept(kernels.gaussian_mask(rows, p.sigma).distinct())
+            return self._kept(self._guard("prepared", lambda: kernels.gaussian_mask(rows, p.sigma)).distinct())
         return self._kept(rows.select("case_id", "i", "j", "k").distinct())
 
     @cached_property
@@ -100,11 +123,13 @@ class Engine:
     def edges(self) -> DataFrame:
         every = self._kept(graph.lattice_edges(self.skeleton))
         marked = every.join(graph.triangle_edges(every).withColumn("in_triangle", F.lit(True)), ["case_id", "src", "dst"], "left").fillna(False, ["in_triangle"])
-        return self._kept(self._graph_steps.prune_triangles(marked))
+        if self.config.brick:
+            return self._kept(rounds.prune_triangles(marked))
+        return self._guard("edges", lambda: kernels.prune_triangles(marked))
 
     @cached_property
     def raw_paths(self) -> DataFrame:
-        chains = self._kept(self._graph_steps.trace_paths(self.edges))
+        chains = self._kept(rounds.trace_paths(self.edges)) if self.config.brick else self._guard("raw_paths", lambda: kernels.trace_paths(self.edges))
         points = chains.join(self.skeleton, ["case_id", "node_id"])
         at = points.select("case_id", "path_id", "seq", "x", "y", "z", "node_id", "i", "j", "k")
         total = self.flow.groupBy("case_id", "i", "j", "k").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in "xyz"])
@@ -133,7 +158,7 @@ class Engine:
     def paths(self) -> DataFrame:
         """Interpolated and smoothed."""
         p = self.config.planes
-        return self._kept(kernels.smooth_paths(polyline.interpolate(self.raw_paths, p.interpolation), p.window, p.order))
+        return self._guard("paths", lambda: kernels.smooth_paths(polyline.interpolate(self.raw_paths, p.interpolation), p.window, p.order))
 
     @cached_property
     def planes(self) -> DataFrame:
@@ -154,7 +179,7 @@ class Engine:
         heads = self.planes.select("case_id", "plane_index", "label", *at).join(branch, ["case_id", "i", "j", "k"], "left")
         own = heads.select("case_id", "plane_index", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("branch")).alias("label"))
         kept = cut.join(branch, ["case_id", "i", "j", "k"]).join(own, ["case_id", "plane_index"]).where("branch = label").drop("branch", "label")
-        samples = planes.flow_samples(self._kept(kernels.nearest_region(kept)), self.flow)
+        samples = planes.flow_samples(self._guard("series", lambda: kernels.nearest_region(kept)), self.flow)
         return self._kept(planes.plane_series(samples, self.planes.select("case_id", "plane_index", "forward_sign"), self.flow.select("case_id", "t").distinct()))
 
     @cached_property
@@ -175,7 +200,7 @@ class Engine:
         keyed = lambda df: df.withColumn("case_id", F.struct("case_id", "t"))
         mask = keyed(self.timed_seg.where("label > 0")).select("case_id", "i", "j", "k").distinct()
         loops = self._kept(voxel.face_loops(voxel.boundary_faces(mask), lattice_number, s))
-        smooth = self._kept(kernels.smooth_surface(voxel.loop_vertices(loops), voxel.loop_edges(loops), p.smoothing))
+        smooth = self._guard("wall", lambda: kernels.smooth_surface(voxel.loop_vertices(loops), voxel.loop_edges(loops), p.smoothing))
         at = smooth.join(voxel.loop_normals(loops, smooth), ["case_id", "vid"])
         found = surface.wall_shear_stress(at, keyed(self.flow).drop("t"), p.viscosity, p.inward, p.parabolic, p.no_slip, s)
         return self._kept(found.join(smooth, ["case_id", "vid"]).select("case_id.case_id", "case_id.t", "vid", "x", "y", "z", "wss"))
@@ -195,7 +220,7 @@ class Engine:
     @cached_property
     def streamlines(self) -> DataFrame:
         p = self.config.streamlines
-        return self._streamlines(self.flow, self.seeds, self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
+        return self._streamlines("streamlines", self.flow, self.seeds, max_steps=p.max_steps, least_speed=p.least_speed)
 
     @cached_property
     def plane_streamlines(self) -> DataFrame:
@@ -204,7 +229,7 @@ class Engine:
         cut = planes.cut_voxels(heads, self.mask.drop("voxel"), self.config.spacing)
         found = surface.plane_seeds(cut, p.ratio, p.seed, p.least_seeds)
         number = (F.col("plane_index").cast("long") * 1_000_000 + F.col("line_id")).alias("line_id")
-        return self._streamlines(self.flow, found.select("case_id", number, "x", "y", "z"), self.config.spacing, max_steps=p.max_steps, least_speed=p.least_speed)
+        return self._streamlines("plane_streamlines", self.flow, found.select("case_id", number, "x", "y", "z"), max_steps=p.max_steps, least_speed=p.least_speed)
 
     # ------------------------------------------------------------------------------------------------------------- views
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rheolake.operators.batches import map_groups
+from rheolake.operators.guard import apply_groups
 from rheolake.operators.voxel import FACES
 
 ALL_STEPS = tuple(s for s in product((-1, 0, 1), repeat=3) if any(s))
@@ -64,7 +65,7 @@ def connected_components(mask: DataFrame, connectivity: int = 6) -> DataFrame:
         return pdf.assign(component=pdf["voxel"].to_numpy()[label])
 
     schema = f"case_id {mask.schema['case_id'].dataType.simpleString()}, i int, j int, k int, voxel {kind}, component {kind}"
-    return mask.select("case_id", "i", "j", "k", "voxel").groupBy("case_id").applyInPandas(run, schema)
+    return apply_groups(mask.select("case_id", "i", "j", "k", "voxel"), ["case_id"], run, schema)
 
 
 def gaussian_mask(components: DataFrame, sigma: float = 0.5, threshold: float = 0.5) -> DataFrame:
@@ -86,7 +87,7 @@ def gaussian_mask(components: DataFrame, sigma: float = 0.5, threshold: float =
         return out.assign(case_id=pdf["case_id"].iloc[0])[["case_id", "i", "j", "k"]]
 
     schema = f"case_id {components.schema['case_id'].dataType.simpleString()}, i int, j int, k int"
-    return components.groupBy("case_id", "component").applyInPandas(run, schema)
+    return apply_groups(components, ["case_id", "component"], run, schema)
 
 
 # ------------------------------------------------------------------------------------------------------------- thinning
@@ -269,7 +270,7 @@ def smooth_paths(points: DataFrame, window: int = 15, order: int = 3) -> DataFra
         return pdf
 
     rows = points.select("case_id", "path_id", "seq", "x", "y", "z")
-    return rows.groupBy("case_id", "path_id").applyInPandas(run, rows.schema)
+    return apply_groups(rows, ["case_id", "path_id"], run, rows.schema)
 
 
 def prune_triangles(edges: DataFrame) -> DataFrame:
@@ -301,7 +302,7 @@ def prune_triangles(edges: DataFrame) -> DataFrame:
         return pdf[keep][["case_id", "src", "dst"]]
 
     types = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy("case_id").applyInPandas(run, f"case_id {types['case_id']}, src {types['src']}, dst {types['dst']}")
+    return apply_groups(edges, ["case_id"], run, f"case_id {types['case_id']}, src {types['src']}, dst {types['dst']}")
 
 
 def trace_paths(edges: DataFrame) -> DataFrame:
@@ -338,7 +339,7 @@ def trace_paths(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(flat, columns=["case_id", "path_id", "seq", "node_id"])
 
     types = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy("case_id").applyInPandas(run, f"case_id {types['case_id']}, path_id int, seq int, node_id {types['src']}")
+    return apply_groups(edges, ["case_id"], run, f"case_id {types['case_id']}, path_id int, seq int, node_id {types['src']}")
 
 
 # --------------------------------------------------------------------------------------------------- planes and surfaces
@@ -361,7 +362,7 @@ def nearest_region(cut: DataFrame) -> DataFrame:
         best = min(np.unique(label), key=lambda r: (distance[r], -weight[r], r))
         return pdf[label == best]
 
-    return cut.groupBy("case_id", "plane_index").applyInPandas(run, cut.schema)
+    return apply_groups(cut, ["case_id", "plane_index"], run, cut.schema)
 
 
 def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, relaxation: float = 0.01) -> DataFrame:
@@ -383,7 +384,7 @@ def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, rel
         return pdf
 
     rows = vertices.select("case_id", "vid", "x", "y", "z")
-    return rows.groupBy("case_id").cogroup(_anew(edges.select("case_id", "src", "dst")).groupBy("case_id")).applyInPandas(run, rows.schema)
+    return apply_groups(rows, ["case_id"], run, rows.schema, _anew(edges.select("case_id", "src", "dst")))
 
 
 class Field:
@@ -455,4 +456,4 @@ def streamlines(flow: DataFrame, seeds: DataFrame, spacing=(1.0, 1.0, 1.0), step
     at_times = seeds if "t" in seeds.columns else seeds.join(flow.select("case_id", "t").distinct(), "case_id")
     every = at_times.select("case_id", "t", "line_id", "x", "y", "z")
     schema = f"case_id {kinds['case_id']}, t {kinds['t']}, line_id {dict(seeds.dtypes)['line_id']}, seq int, x double, y double, z double, speed double"
-    return flow.groupBy("case_id", "t").cogroup(_anew(every).groupBy("case_id", "t")).applyInPandas(run, schema)
+    return apply_groups(flow, ["case_id", "t"], run, schema, _anew(every), keyed=True)
