@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import argparse
 import time
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rheolake.config import EngineConfig, PlaneParams, SkeletonParams, StreamlineParams, WallParams
@@ -13,7 +14,10 @@ from rheolake.config import EngineConfig, PlaneParams, SkeletonParams, Streamlin
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rheolake", description=__doc__)
-    p.add_argument("cases", help="folder with the tables seg, flow and meta")
+    p.add_argument("cases", help="folder with the tables seg, flow and meta, or with HDF5 files")
+    p.add_argument("--hdf5", action="store_true", help="read HDF5 files, whose spacing and beat count instead of the options'")
+    p.add_argument("--slabs", type=int, default=1, help="tasks that read one HDF5 file, by times")
+    p.add_argument("--hdf5-library", default="h5py", help="the module that opens HDF5 files")
     p.add_argument("--output", "--output-dir", default="./results")
     p.add_argument("--steps", default="", help="comma-separated step names, in place of planes, metrics, wall stress and turbulent energy")
     p.add_argument("--reuse-planes", default="", help="saved plane positions, which cases that they name take instead of new planes")
@@ -71,27 +75,46 @@ def with_notes(status: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(broken, "error").otherwise(F.col("status")), "error": F.when(broken, F.col("failed")).otherwise(F.col("error"))}).drop("failed")
 
 
-def main(argv: list[str] | None = None) -> None:
-    from pyspark.sql import SparkSession
+def load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """seg, flow, meta, and the status of files that could not be read (None for tables)."""
+    if not a.hdf5:
+        return *(spark.read.parquet(f"{a.cases}/{name}") for name in ("seg", "flow", "meta")), None
+    from rheolake.sources.cases import oriented_case
+    from rheolake.sources.hdf5 import read_cases
+    from rheolake.storage import materialize
+
+    read = lambda table: read_cases(spark, [a.cases], table, mode="PERMISSIVE", slabs=a.slabs, library=a.hdf5_library)
+    tables = [materialize(df, "case") for df in oriented_case(*(materialize(read(t), t) for t in ("raw_signal", "seg", "case_meta")))]
+    return *tables, read("status").where("status = 'error'").select("case_id", "status", "error")
 
+
+def main(argv: list[str] | None = None) -> None:
     from rheolake.engine import Engine
     from rheolake.sinks import saved_planes, write_report
     from rheolake.sources.cases import case_status
 
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("rheolake").getOrCreate()
-    read = lambda name: spark.read.parquet(f"{a.cases}/{name}")
     began = time.time()
-    status = case_status(read("seg"), read("flow"), read("meta"))
+    seg, flow, meta, unread = load(spark, a)
+    status = case_status(seg, flow, meta)
     good = status.where("status = 'ok'").select("case_id")
-    engine = Engine(*(read(name).join(good, "case_id", "left_semi") for name in ("seg", "flow", "meta")), config_of(a), saved_planes(spark, a.reuse_planes) if a.reuse_planes else None)
-    for name in steps_of(a):
-        if name == "tke_peak" and "tke" not in engine.flow.columns:
-            continue  # no turbulent energy in these cases
-        engine.step(name).write.mode("overwrite").parquet(f"{a.output}/{name}")
+    config, saved, notes = config_of(a), saved_planes(spark, a.reuse_planes) if a.reuse_planes else None, None
+    # an engine has one spacing: cases of equal spacing run together, and there are few of those
+    spacings = [tuple(r.spacing) for r in meta.select("spacing").distinct().collect()] if "spacing" in meta.columns else [config.spacing]
+    for n, spacing in enumerate(sorted(spacings)):
+        own = good.join(meta.where(F.col("spacing") == F.array(*map(F.lit, spacing))), "case_id", "left_semi") if "spacing" in meta.columns else good
+        engine = Engine(*(df.join(own, "case_id", "left_semi") for df in (seg, flow, meta)), replace(config, spacing=spacing), saved)
+        for name in steps_of(a):
+            if name == "tke_peak" and "tke" not in engine.flow.columns:
+                continue  # no turbulent energy in these cases
+            engine.step(name).write.mode("append" if n else "overwrite").parquet(f"{a.output}/{name}")
+        notes = engine.notes if notes is None else notes.unionByName(engine.notes)
     # relational steps run for all cases together, so each has an equal share of the job; kernels are timed case by case
     share = (time.time() - began) / max(1, good.count())
-    write_report(with_notes(status.withColumn("seconds", F.when(F.col("status") == "ok", share)), engine.notes), f"{a.output}/report")
+    status = status.withColumn("seconds", F.when(F.col("status") == "ok", share))
+    status = with_notes(status, notes) if notes is not None else status
+    write_report(status if unread is None else status.unionByName(unread, allowMissingColumns=True), f"{a.output}/report")
 
 
 if __name__ == "__main__":

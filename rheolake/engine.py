@@ -182,15 +182,22 @@ class Engine:
         samples = planes.flow_samples(self._guard("series", lambda: kernels.nearest_region(kept)), self.flow)
         return self._kept(planes.plane_series(samples, self.planes.select("case_id", "plane_index", "forward_sign"), self.flow.select("case_id", "t").distinct()))
 
+    @property
+    def beats(self):
+        """Milliseconds of a beat: each case's own where meta has them."""
+        if "rr" not in self.meta.columns:
+            return self.config.rr
+        return self.meta.select("case_id", F.coalesce("rr", F.lit(self.config.rr)).alias("rr"))
+
     @cached_property
     def metrics(self) -> DataFrame:
-        rows = planes.cycle_metrics(self.series, self.config.rr).join(self.planes.select("case_id", "plane_index", "path_id", "label", "distance"), ["case_id", "plane_index"])
+        rows = planes.cycle_metrics(self.series, self.beats).join(self.planes.select("case_id", "plane_index", "path_id", "label", "distance"), ["case_id", "plane_index"])
         path_ic = planes.path_consistency(rows)
         return planes.attach_consistency(rows, path_ic, self.forks, planes.fork_consistency(self.forks, path_ic))
 
     @cached_property
     def qc(self) -> DataFrame:
-        rows = planes.cycle_metrics(self.series, self.config.rr).join(self.planes.select("case_id", "plane_index", "path_id"), ["case_id", "plane_index"])
+        rows = planes.cycle_metrics(self.series, self.beats).join(self.planes.select("case_id", "plane_index", "path_id"), ["case_id", "plane_index"])
         return planes.fork_consistency(self.forks, planes.path_consistency(rows)).join(self.forks, ["case_id", "node"])
 
     @cached_property

@@ -115,8 +115,11 @@ def plane_series(samples: DataFrame, planes: DataFrame, times: DataFrame) -> Dat
     return out.fillna(0, ["area", "flow_signed", "flow_forward", "flow_reverse", "peak", "peak_forward", "peak_reverse"])
 
 
-def cycle_metrics(series: DataFrame, rr: float = 1000.0) -> DataFrame:
-    """One row per plane: mean flow (mL/s from cm/s times mm2), volumes per beat, peaks, mean velocities, reflux."""
+def cycle_metrics(series: DataFrame, rr: float | DataFrame = 1000.0) -> DataFrame:
+    """One row per plane: mean flow (mL/s from cm/s times mm2), volumes per beat, peaks, mean velocities, reflux.
+
+    rr: milliseconds of a beat, of all cases or as a table (case_id, rr).
+    """
     mean = lambda c: F.sum(c) / F.count("*") / 100.0
     sums = series.groupBy("case_id", "plane_index").agg(
         F.count("*").alias("times"), mean("flow_signed").alias("flow_signed"), mean("flow_forward").alias("flow_forward"), mean("flow_reverse").alias("flow_reverse"),
@@ -124,7 +127,9 @@ def cycle_metrics(series: DataFrame, rr: float = 1000.0) -> DataFrame:
         (F.sum("area") / F.count("*")).alias("area"),
         F.avg(F.when(F.col("area") > 0, F.col("flow_signed") / F.col("area")).otherwise(0.0)).alias("mean_velocity_signed"),
     )
-    beat = F.lit(rr / 1000.0)
+    beat = F.lit(rr / 1000.0) if not isinstance(rr, DataFrame) else F.col("rr") / 1000.0
+    if isinstance(rr, DataFrame):
+        sums = sums.join(rr.select("case_id", "rr"), "case_id")
     return sums.select(
         "case_id", "plane_index", "times", "area", "flow_signed", "flow_forward", "flow_reverse", "peak", "peak_forward", "peak_reverse", "mean_velocity_signed",
         (F.col("flow_signed") * beat).alias("net_signed"), F.abs(F.col("flow_signed") * beat).alias("net"),

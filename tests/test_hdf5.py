@@ -112,3 +112,28 @@ def test_static_mask_has_stress_at_all_times(spark):
     found = {r.t: r for r in wall.groupBy("t").agg(F.count("*").alias("n"), F.avg("wss").alias("mean")).collect()}
     assert set(found) == {0, 1, 2} and len({r.n for r in found.values()}) == 1
     assert all(r["mean"] > 0 and r["mean"] == pytest.approx(found[0]["mean"]) for r in found.values())
+
+
+def test_command_line_over_files(spark, tmp_path):
+    """Two tubes of different spacing and beat, and a broken file: planes, metrics and a report of all three."""
+    import json
+
+    from rheolake import cli
+
+    spark.sparkContext.addPyFile(str(Path(__file__).with_name("standin_hdf5.py")))
+    grid = np.stack(np.meshgrid(*(np.arange(n) + 0.5 for n in (8, 8, 16)), indexing="ij"), -1)
+    r2 = (grid[..., 0] - 4) ** 2 + (grid[..., 1] - 4) ** 2
+    image = np.ones((8, 8, 16, 2, 4), complex)
+    image[..., 3] = np.exp(1j * math.pi * 0.5 * np.clip(1 - r2 / 9, 0, 1))[..., None]
+    plain = {"SpatialOrder": np.array(["LR", "AP", "FH"]), "VENCOrder": np.array(["LR", "AP", "FH"]), "VENC": np.array([100.0] * 3)}
+    for name, size, beat in (("a", 1.0, 1000.0), ("b", 2.0, 500.0)):
+        write(tmp_path / f"in/{name}.h5", img_complex=image, segmask=(r2 <= 9).astype(np.int16), Resolution=np.array([size] * 3), RR=np.array(beat), **plain)
+    write(tmp_path / "in/c.h5", img_complex=image)
+    out = tmp_path / "out"
+    cli.main([str(tmp_path / "in"), "--hdf5", "--hdf5-library", "standin_hdf5", "--output", str(out), "--skip-derived"])
+    net = {r.case_id: r.net for r in spark.read.parquet(f"{out}/metrics").collect()}
+    assert set(net) == {"a", "b"} and net["b"] == pytest.approx(net["a"] * 4 / 2)  # four times the area, half the beat
+    assert net["a"] == pytest.approx(math.pi * 9 * 50 / 2 / 100, rel=0.15)
+    report = {r["case_id"]: r for f in (out / "report/cases").glob("*.json") for r in map(json.loads, f.read_text().splitlines())}
+    assert {c: r["status"] for c, r in report.items()} == {"a": "ok", "b": "ok", "c": "error"}
+    assert "segmask missing" in report["c"]["error"] and report["a"]["kernel_seconds"] > 0

@@ -145,3 +145,22 @@ def test_status_of_cases(spark):
     flow = [(c, 1, 0, 0, t, 1.0) for c in ("good", "empty", "wide", "still", "flat", "alone", "late") for t in (0, 1)]
     got = cases.case_status(spark.createDataFrame(seg, "case_id string, i int, j int, k int, t int, label int"), spark.createDataFrame(flow, "case_id string, i int, j int, k int, t int, vx double"), meta)
     assert {r.case_id: r.status for r in got.collect()} == {"good": "ok", "still": "ok", "empty": "skipped", "noflow": "skipped", "wide": "error", "flat": "error", "late": "error", "alone": "error"}
+
+
+def test_saved_planes_of_documents_without_a_case(spark, tmp_path):
+    """Indented documents that name no case, bare lists, centres in the world."""
+    import json
+
+    plane = {"plane_index": 3, "center": [1.0, 2.0, 3.0], "center_world": [11.0, 2.0, 3.0], "normal": [0, 0, 1], "label": 1, "path_index": 0, "distance": 2.5}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "plane_positions.json").write_text(json.dumps({"source": "/data/p07.v2.h5", "origin": [10, 0, 0], "planes": [plane, {"center": [4.0, 5.0, 6.0]}, {"label": 2}]}, indent=2))
+    (tmp_path / "two" / "planes.json").write_text(json.dumps([plane, plane], indent=1))
+    read = lambda *x: sorted(tuple(r) for r in sinks.saved_planes(spark, *x).collect())
+    assert read(str(tmp_path / "one")) == [("p07.v2", 1, 4.0, 5.0, 6.0, 1.0, 0.0, 0.0), ("p07.v2", 3, 1.0, 2.0, 3.0, 0.0, 0.0, 1.0)]
+    assert [r[:3] for r in read(str(tmp_path / "two"))] == [("two", 3, 11.0)] * 2
+    assert {r[0] for r in read(str(tmp_path / "one"), "mine")} == {"mine"}
+    assert {r[0] for r in read(str(tmp_path / "*"))} == {"p07.v2", "two"}
+    (tmp_path / "bad.json").write_text('{"n": 1}')
+    with pytest.raises(ValueError, match="no planes"):
+        read(str(tmp_path / "bad.json"))
