@@ -26,10 +26,14 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-STRICT_TERMS = ("porn", "porno", "xxx", "hentai", "camgirls", "warez", "keygen")
+#: Fixed word lists.  Words of query strings and shops (ref, track, click, free) are left out: any site has them.
+STRICT_TERMS = (
+    "camgirl", "camgirls", "hentai", "keygen", "milf", "porn", "porno", "pornstar", "warez", "xxx", "xxxvideos",
+)
 SOFT_TERMS = (
-    "adult", "bet", "betting", "bonus", "casino", "cheap", "click", "dating", "escort", "free", "jackpot", "loan",
-    "nude", "pills", "poker", "ref", "sex", "slots", "track", "viagra", "win",
+    "adult", "bet", "betting", "blackjack", "bonus", "casino", "cheap", "cialis", "crack", "dating", "erotic", "escort", "escorts", "fetish", "gambling",
+    "hookup", "jackpot", "lingerie", "loan", "loans", "lottery", "naked", "nude", "nudes", "payday", "pills", "poker", "replica", "roulette", "sex", "sexy",
+    "slots", "sportsbook", "stripper", "torrent", "torrents", "viagra", "win",
 )
 LIMIT = 1.0
 WEIGHTS = {**dict.fromkeys(SOFT_TERMS, LIMIT / 2), **dict.fromkeys(STRICT_TERMS, LIMIT)}

@@ -53,3 +53,28 @@ def test_edge_rows(spark):
     got = sorted((r.page_id or -1, r.verdict) for r in url_verdicts(df).collect())
     assert got == [(-1, "allow"), (1, "allow"), (2, "allow"), (3, "block"), (4, "block"), (4, "block")]
     assert url_verdicts(df.limit(0)).count() == 0
+
+
+def test_ordinary_urls_pass_and_planted_ones_do_not(spark):
+    """Query strings, tracking and shop words are harmless; strict terms, or two soft ones, are not."""
+    fine = ["https://shop.org/bread?ref=mail&track=7", "https://charity.org/free-click-here", "https://a.org/?utm_source=x&click=1&free=1", "https://essex.org/sussex/win", "https://betting.org/betting?betting", "https://lab.org/analysis/assessment"]
+    bad = ["https://a.org/casino/poker", "https://sexy.org/nude", "https://a.org/free-PORN", "https://xxx.org", "http://a.org/?q=payday+loans", "http://viagra-pills.org/"]
+    pages = spark.createDataFrame(list(enumerate(fine + bad)), "page_id long, url string")
+    found = {r.url: r.verdict for r in url_verdicts(pages).collect()}
+    assert {u for u, v in found.items() if v == "block"} == set(bad)
+
+
+def test_sql_agrees_where_terms_decide(spark):
+    """Pages of the tables with terms put into their urls, so that the method and not a rule decides."""
+    import duckdb
+
+    from rheolake.llm.url_filter import SOFT_TERMS, SQL, STRICT_TERMS
+
+    words = [*STRICT_TERMS, *SOFT_TERMS]
+    rows = [(i, f"http://site{i}.org/{words[i % len(words)]}{'-/x_'[i % 4]}{words[i * 7 % len(words)]}?{words[i * 3 % len(words)].upper()}") for i in range(400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = sorted(con.execute(f"SELECT page_id, verdict FROM ({SQL})").fetchall())
+    got = sorted((r.page_id, r.verdict) for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got == want and {v for _, v in got} == {"allow", "block"}
