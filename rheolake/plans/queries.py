@@ -542,12 +542,15 @@ def path_consistency(spark, d):
 _NET = "net AS (SELECT path_id, start_node AS s, end_node AS e, path_id % 5 AS case_id FROM ends)"
 
 
-@query(f"""WITH {M_SQL}, {_PATH_IC}, {G_SQL}, {_NET},
+_FORK_IC = f"""{M_SQL}, {_PATH_IC}, {G_SQL}, {_NET},
 io AS (SELECT case_id, e AS node, path_id, true AS ends FROM net UNION SELECT case_id, s, path_id, false FROM net),
 f AS (SELECT case_id, node FROM io GROUP BY ALL HAVING count(DISTINCT path_id) FILTER (WHERE ends) >= 1 AND (count(DISTINCT path_id) FILTER (WHERE ends) >= 2 OR count(DISTINCT path_id) FILTER (WHERE NOT ends) >= 1)),
 fl AS (SELECT io.case_id, io.node, coalesce(sum(CASE WHEN ends THEN mean END), 0.0) AS fi, coalesce(sum(CASE WHEN NOT ends THEN mean END), 0.0) AS fo
-  FROM io JOIN f USING (case_id, node) LEFT JOIN pic USING (case_id, path_id) GROUP BY ALL)
-SELECT case_id, node, {s6('fi')} AS flow_in, {s6('fo')} AS flow_out, {s6('CASE WHEN fi + fo <= 1e-12 THEN 1.0 ELSE least(greatest(1 - 2 * abs(fi - fo) / (fi + fo), 0.0), 1.0) END')} AS ic FROM fl""")
+  FROM io JOIN f USING (case_id, node) LEFT JOIN pic USING (case_id, path_id) GROUP BY ALL),
+fic AS (SELECT case_id, node, fi, fo, CASE WHEN fi + fo <= 1e-12 THEN 1.0 ELSE least(greatest(1 - 2 * abs(fi - fo) / (fi + fo), 0.0), 1.0) END AS ic FROM fl)"""
+
+
+@query(f"WITH {_FORK_IC} SELECT case_id, node, {s6('fi')} AS flow_in, {s6('fo')} AS flow_out, {s6('ic')} AS ic FROM fic")
 def fork_consistency(spark, d):
     net = src.path_ends(spark, d).withColumn("case_id", F.col("path_id") % 5)
     found = planes.fork_consistency(graph.forks(net), planes.path_consistency(_metrics(spark, d)))
@@ -834,11 +837,17 @@ def probe(spark, d):
     return voxel.probe(src.volumes(spark, d), points, ["val"]).select("case_id", "seq", "val")
 
 
-@query(f"""WITH {M_SQL}, {_PATH_IC} SELECT case_id, plane_index, {s6('coalesce(ic, 1.0)')} AS path_ic FROM heads LEFT JOIN pic USING (case_id, path_id)""")
+@query(f"""WITH {_FORK_IC},
+member AS (SELECT io.case_id, io.node, io.path_id, bool_or(ends) AS comes FROM io JOIN f USING (case_id, node) GROUP BY ALL),
+listed AS (SELECT case_id, path_id, string_agg(node || ':' || CASE WHEN comes THEN 'incoming' ELSE 'outgoing' END || ':' || CAST(round(ic * 10000) AS BIGINT), ',' ORDER BY node) AS forks
+  FROM member JOIN fic USING (case_id, node) GROUP BY ALL)
+SELECT case_id, plane_index, {s6('coalesce(pic.ic, 1.0)')} AS path_ic, coalesce(forks, '') AS fork_ic
+  FROM heads LEFT JOIN pic USING (case_id, path_id) LEFT JOIN listed USING (case_id, path_id)""")
 def attach_consistency(spark, d):
     rows = _metrics(spark, d)
     path_ic = planes.path_consistency(rows)
     net = src.path_ends(spark, d).withColumn("case_id", F.col("path_id") % 5)
     forks = graph.forks(net)
     found = planes.attach_consistency(rows, path_ic, forks, planes.fork_consistency(forks, path_ic))
-    return rounded(found.select("case_id", "plane_index", "path_ic"), "path_ic")
+    text = lambda x: F.concat_ws(":", x["node"].cast("string"), x["role"], F.round(x["ic"] * 10000).cast("long").cast("string"))
+    return rounded(found.select("case_id", "plane_index", "path_ic", F.array_join(F.transform("fork_ic", text), ",").alias("fork_ic")), "path_ic")
