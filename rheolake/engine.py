@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rheolake.config import EngineConfig
-from rheolake.operators import bricks, graph, kernels, planes, polyline, rounds, surface, voxel
+from rheolake.operators import bricks, graph, kernels, oblique, planes, polygons, polyline, rounds, surface, voxel
 from rheolake.operators.guard import guarded, split
 from rheolake.sources.cases import mask_at_times
 from rheolake.storage import materialize
@@ -32,6 +32,7 @@ class Engine:
     def __init__(self, seg: DataFrame, flow: DataFrame, meta: DataFrame, config: EngineConfig | None = None, saved: DataFrame | None = None):
         self.seg, self.meta, self.config, self.saved = seg, meta, config or EngineConfig(), saved
         self._notes: list[DataFrame] = []
+        self.whole_flow = flow
         in_mask = seg.where("label > 0").select("case_id", "i", "j", "k").distinct()
         self.flow = flow.join(in_mask, ["case_id", "i", "j", "k"], "left_semi")
 
@@ -171,15 +172,26 @@ class Engine:
         return self._kept(planes.forward_signs(self._kept(found), self.paths))
 
     @cached_property
-    def series(self) -> DataFrame:
-        cut = planes.cut_voxels(self.planes.select("case_id", "plane_index", *[f"{n}{c}" for n in "cn" for c in "xyz"]), self.mask.drop("voxel"), self.config.spacing)
+    def cut(self) -> DataFrame:
+        """What planes cut from voxels of their own branch, in the region nearest their centre: area, centroid (px, py, pz)."""
+        s = self.config.spacing
+        every = planes.cut_voxels(self.planes.select("case_id", "plane_index", "path_id", *[f"{n}{c}" for n in "cn" for c in "xyz"]), self.mask.drop("voxel"), s)
         branch = self.branches.withColumnRenamed("label", "branch")
         # a plane without a label has that of the voxel at its centre
-        at = [F.floor(F.col(f"c{p}") / s).cast("int").alias(c) for p, s, c in zip("xyz", self.config.spacing, "ijk", strict=True)]
+        at = [F.floor(F.col(f"c{p}") / e).cast("int").alias(c) for p, e, c in zip("xyz", s, "ijk", strict=True)]
         heads = self.planes.select("case_id", "plane_index", "label", *at).join(branch, ["case_id", "i", "j", "k"], "left")
         own = heads.select("case_id", "plane_index", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("branch")).alias("label"))
-        kept = cut.join(branch, ["case_id", "i", "j", "k"]).join(own, ["case_id", "plane_index"]).where("branch = label").drop("branch", "label")
-        samples = planes.flow_samples(self._guard("series", lambda: kernels.nearest_region(kept)), self.flow)
+        kept = every.join(branch, ["case_id", "i", "j", "k"]).join(own, ["case_id", "plane_index"]).where("branch = label").drop("branch", "label")
+        return self._guard("cut", lambda: kernels.nearest_region(polygons.polygons(kept, s).drop("corners")))
+
+    @property
+    def polygons(self) -> DataFrame:
+        """The cut with the corners of its polygons."""
+        return polygons.polygons(self.cut.drop("px", "py", "pz"), self.config.spacing)
+
+    @cached_property
+    def series(self) -> DataFrame:
+        samples = planes.flow_samples(self.cut, self.flow)
         return self._kept(planes.plane_series(samples, self.planes.select("case_id", "plane_index", "forward_sign"), self.flow.select("case_id", "t").distinct()))
 
     @property
@@ -212,9 +224,25 @@ class Engine:
         found = surface.wall_shear_stress(at, keyed(self.flow).drop("t"), p.viscosity, p.inward, p.parabolic, p.no_slip, s)
         return self._kept(found.join(smooth, ["case_id", "vid"]).select("case_id.case_id", "case_id.t", "vid", "x", "y", "z", "wss"))
 
+    @cached_property
+    def wss_volume(self) -> DataFrame:
+        """The surface's stress in the voxels next to its corners, by time: the largest of each; other voxels have no row."""
+        return voxel.scatter_max(self.wall.withColumnRenamed("wss", "value"), spacing=self.config.spacing, dims=self.meta)
+
+    @cached_property
+    def tke_time(self) -> DataFrame:
+        """Turbulent energy inside each time's own mask."""
+        here = self.timed_seg.where("label > 0").select("case_id", "i", "j", "k", "t").distinct()
+        return self.flow.join(here, ["case_id", "i", "j", "k", "t"], "left_semi").select("case_id", "i", "j", "k", "t", "tke")
+
     @cached_property
     def tke_peak(self) -> DataFrame:
-        return voxel.peak_over_time(self.flow, self.mask, "tke")
+        return voxel.peak_over_time(self.tke_time, self.mask, "tke")
+
+    @cached_property
+    def tke_mesh(self) -> DataFrame:
+        """The peak at the corners of the mask's voxels."""
+        return voxel.mesh_values(self.tke_peak, self.mask, self.meta, "peak")
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -230,17 +258,21 @@ class Engine:
         return self._streamlines("streamlines", self.flow, self.seeds, max_steps=p.max_steps, least_speed=p.least_speed)
 
     @cached_property
-    def plane_streamlines(self) -> DataFrame:
-        """Lines from voxels that planes cut; line_id counts through the planes of a case."""
-        p, heads = self.config.streamlines, self.planes.select("case_id", "plane_index", *[f"{n}{c}" for n in "cn" for c in "xyz"])
-        cut = planes.cut_voxels(heads, self.mask.drop("voxel"), self.config.spacing)
-        found = surface.plane_seeds(cut, p.ratio, p.seed, p.least_seeds)
+    def plane_seeds(self) -> DataFrame:
+        """Centroids of the planes' polygons, chosen anew at each time; line_id counts through the planes of a case."""
+        p = self.config.streamlines
+        found = surface.plane_seeds(self.cut, p.ratio, p.seed, p.least_seeds, self.flow.select("case_id", "t").distinct(), self.config.spacing)
         number = (F.col("plane_index").cast("long") * 1_000_000 + F.col("line_id")).alias("line_id")
-        return self._streamlines("plane_streamlines", self.flow, found.select("case_id", number, "x", "y", "z"), max_steps=p.max_steps, least_speed=p.least_speed)
+        return found.select("case_id", "t", number, "x", "y", "z")
+
+    @cached_property
+    def plane_streamlines(self) -> DataFrame:
+        p = self.config.streamlines
+        return self._streamlines("plane_streamlines", self.flow, self.plane_seeds, max_steps=p.max_steps, least_speed=p.least_speed)
 
     # ------------------------------------------------------------------------------------------------------------- views
 
-    STEPS = ("mask", "prepared", "skeleton", "edges", "raw_paths", "path_info", "forks", "branches", "paths", "planes", "series", "metrics", "qc", "wall", "tke_peak", "seeds", "streamlines", "plane_streamlines")
+    STEPS = ("mask", "prepared", "skeleton", "edges", "raw_paths", "path_info", "forks", "branches", "paths", "planes", "cut", "polygons", "series", "metrics", "qc", "wall", "wss_volume", "tke_time", "tke_peak", "tke_mesh", "seeds", "streamlines", "plane_seeds", "plane_streamlines")
 
     def step(self, name: str) -> DataFrame:
         if name not in self.STEPS:
@@ -254,3 +286,15 @@ class Engine:
             df = df.where(F.col("t") == t)
         df.createOrReplaceTempView(name)
         return df
+
+    def plane_view(self, t: int | None = None, half: int | None = None) -> DataFrame:
+        """Velocity along each plane's normal on its own grid (value, cm/s), and how much of a place is mask (inside, 0 to 1).
+
+        Flow outside of the mask is shown too.  Without t all times of the flow are.
+        """
+        grid = oblique.oblique_grid(self.planes, self.meta, half, self.config.spacing)
+        flow = self.whole_flow if t is None else self.whole_flow.where(F.col("t") == t)
+        timed = grid.join(flow.select("case_id", "t").distinct(), "case_id")
+        value = oblique.through_plane(timed, flow)
+        inside = oblique.oblique_values(grid, self.mask.select("case_id", "i", "j", "k", F.lit(1.0).alias("inside")), ["inside"])
+        return value.join(inside.select("case_id", "plane_index", "row", "col", "inside"), ["case_id", "plane_index", "row", "col"])

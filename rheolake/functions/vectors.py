@@ -21,6 +21,10 @@ def minus(a: Vec, b: Vec) -> Vec:
     return (a[0] - b[0], a[1] - b[1], a[2] - b[2])
 
 
+def cross(a: Vec, b: Vec) -> Vec:
+    return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
 def norm(a: Vec) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -45,6 +49,17 @@ def tangential(v: Vec, n: Vec) -> Vec:
     return (v[0] - d * n[0], v[1] - d * n[1], v[2] - d * n[2])
 
 
+def in_plane_frame(n: Vec) -> tuple[Vec, Vec]:
+    """Two unit vectors that span the plane of the unit normal n; with n they are right-handed.
+
+    The first is square to the normal and to y where the normal points mostly along z, else to z.
+    """
+    along_z = F.abs(n[2]) > F.greatest(F.abs(n[0]), F.abs(n[1]))
+    up = (F.lit(0.0), F.when(along_z, 1.0).otherwise(0.0), F.when(along_z, 0.0).otherwise(1.0))
+    u = softened_unit(cross(n, up))
+    return u, softened_unit(cross(n, u))
+
+
 def direction_text(a: Vec) -> Column:
     """Axis of the largest component (the first at a tie) with its sign; empty for a zero vector."""
     x, y, z = a

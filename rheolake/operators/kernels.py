@@ -348,17 +348,24 @@ def trace_paths(edges: DataFrame) -> DataFrame:
 def nearest_region(cut: DataFrame) -> DataFrame:
     """cut(case_id, plane_index, i, j, k, area, cx, cy, cz, ...): of each plane only the connected region nearest its centre.
 
-    Regions are 26-connected sets of cut voxels; nearest by centroid, then the larger area, then the first voxel.
+    Regions are 26-connected sets of cut voxels; nearest first, then the larger area, then the first voxel.  With polygons
+    (px, py, pz) a region is as near as the nearest of their centroids; without, as the middle of its voxels, by area.
     """
+    by_polygon = "px" in cut.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j", "k"], ignore_index=True)
         ijk = pdf[["i", "j", "k"]].to_numpy(np.int64)
         label = merge_labels(len(pdf), *lattice_links(ijk, ALL_STEPS))
-        area = pdf["area"].to_numpy()
+        area, centre = pdf["area"].to_numpy(), pdf[["cx", "cy", "cz"]].to_numpy()[0]
         weight = np.bincount(label, area, len(pdf))
-        middle = np.stack([np.bincount(label, area * (ijk[:, n] + 0.5), len(pdf)) for n in range(3)], 1) / np.maximum(weight, 1e-300)[:, None]
-        distance = np.linalg.norm(middle - pdf[["cx", "cy", "cz"]].to_numpy()[0], axis=1)
+        if by_polygon:  # nine decimals: what is as near, or as large, but for rounding is a tie
+            weight = weight.round(9)
+            distance = np.full(len(pdf), np.inf)
+            np.minimum.at(distance, label, np.linalg.norm(pdf[["px", "py", "pz"]].to_numpy() - centre, axis=1).round(9))
+        else:
+            middle = np.stack([np.bincount(label, area * (ijk[:, n] + 0.5), len(pdf)) for n in range(3)], 1) / np.maximum(weight, 1e-300)[:, None]
+            distance = np.linalg.norm(middle - centre, axis=1)
         best = min(np.unique(label), key=lambda r: (distance[r], -weight[r], r))
         return pdf[label == best]
 

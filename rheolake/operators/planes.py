@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rheolake.functions.vectors import dot, unit_or_x, vec
 
-_FLAT = 1e-6
+FLAT = 1e-6
 
 
 def cut_area(normal: tuple[Column, Column, Column], offset: Column, sides: tuple[Column | float, ...]) -> Column:
@@ -32,7 +32,7 @@ def cut_area(normal: tuple[Column, Column, Column], offset: Column, sides: tuple
         on = [n for n in range(3) if active[n]]
         is_this = None
         for n in range(3):
-            c = (a[n] > _FLAT) if active[n] else (a[n] <= _FLAT)
+            c = (a[n] > FLAT) if active[n] else (a[n] <= FLAT)
             is_this = c if is_this is None else is_this & c
         flat: Column = F.lit(1.0)
         for n in range(3):

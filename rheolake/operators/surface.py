@@ -55,10 +55,25 @@ def sample_seeds(mask: DataFrame, ratio: float = 0.02, seed: int = 0, least: int
     return ranked.join(sizes, whole).where(F.col("line_id") < wanted).drop("size")
 
 
-def plane_seeds(cut: DataFrame, ratio: float = 0.02, seed: int = 0, least: int = 50) -> DataFrame:
-    """Centres of some cut voxels of each plane, to start streamlines from: max(least, ceil(n ratio)) of the smallest hashes."""
-    whole = Window.partitionBy("case_id", "plane_index")
-    order = whole.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "plane_index", "i", "j", "k")), "i", "j", "k")
-    ranked = cut.withColumns({"n": F.count("*").over(whole), "line_id": F.row_number().over(order) - 1})
+#: Fixed value: what the seed is moved on by from path to path.
+PATH_STRIDE = 104729
+
+
+def plane_seeds(cut: DataFrame, ratio: float = 0.02, seed: int = 0, least: int = 50, times: DataFrame | None = None, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Places on each plane to start streamlines from, in voxels: max(least, ceil(n ratio)) of its n, by the smallest hashes.
+
+    They are the centroids (px, py, pz in mm) of the cut's polygons where it has them, else its voxels' middles.  With
+    times(case_id, t) each time has a choice of its own; the seed is moved on by the path's stride and by the time.
+    """
+    rows = cut if times is None else cut.join(times, "case_id")
+    moved = F.lit(seed)
+    if "path_id" in cut.columns:
+        moved = moved + PATH_STRIDE * F.coalesce("path_id", F.lit(0))
+    moved = moved if times is None else moved + F.col("t")
+    key = ["case_id", "plane_index", *([] if times is None else ["t"])]
+    whole = Window.partitionBy(*key)
+    order = whole.orderBy(F.md5(F.concat_ws("|", moved, "plane_index", "i", "j", "k")), "i", "j", "k")
+    ranked = rows.withColumns({"n": F.count("*").over(whole), "line_id": F.row_number().over(order) - 1})
     chosen = ranked.where(F.col("line_id") < F.greatest(F.lit(least).cast("long"), F.ceil(F.col("n") * ratio)))
-    return chosen.select("case_id", "plane_index", "line_id", *[(F.col(c) + 0.5).alias(p) for c, p in zip("ijk", "xyz", strict=True)])
+    at = [F.col(f"p{p}") / s if f"p{p}" in cut.columns else F.col(c) + 0.5 for c, p, s in zip("ijk", "xyz", spacing, strict=True)]
+    return chosen.select(*key, "line_id", *[a.alias(p) for a, p in zip(at, "xyz", strict=True)])

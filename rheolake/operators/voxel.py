@@ -176,12 +176,20 @@ def at_time(volume: DataFrame, t: int, times: int) -> DataFrame:
     return volume.where(F.col("t") == min(max(0, t), times - 1))
 
 
-def scatter_max(values: DataFrame, origin=(0.0, 0.0, 0.0), spacing=(1.0, 1.0, 1.0), dims=(1, 1, 1)) -> DataFrame:
-    """values(case_id, x, y, z, value) into voxels: the largest value of each, 0 at least."""
+def scatter_max(values: DataFrame, origin=(0.0, 0.0, 0.0), spacing=(1.0, 1.0, 1.0), dims: DataFrame | tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """values(case_id [, t], x, y, z, value) into the nearest voxels: the largest value of each, 0 at least.
+
+    dims: sizes of all volumes, or a table (case_id, dims).  Places outside go to the voxel of the border next to them;
+    voxels without a value have no row.
+    """
     from rheolake.functions.vectors import voxel_of
 
-    at = [voxel_of(F.col(p), F.lit(o), F.lit(s), n).alias(c) for p, o, s, n, c in zip("xyz", origin, spacing, dims, "ijk", strict=True)]
-    return values.select("case_id", *at, "value").groupBy(*KEY).agg(F.greatest(F.lit(0.0), F.max("value")).alias("value"))
+    per_case = isinstance(dims, DataFrame)
+    rows = values.join(dims.select("case_id", "dims"), "case_id") if per_case else values
+    sizes = [F.col("dims")[n] for n in range(3)] if per_case else list(dims)
+    at = [voxel_of(F.col(p), F.lit(o), F.lit(s), n).alias(c) for p, o, s, n, c in zip("xyz", origin, spacing, sizes, "ijk", strict=True)]
+    key = [*KEY, "t"] if "t" in values.columns else list(KEY)
+    return rows.select(*[c for c in key if c not in "ijk"], *at, "value").groupBy(*key).agg(F.greatest(F.lit(0.0), F.max("value")).alias("value"))
 
 
 def peak_over_time(volume: DataFrame, mask: DataFrame, value: str) -> DataFrame:
@@ -190,6 +198,20 @@ def peak_over_time(volume: DataFrame, mask: DataFrame, value: str) -> DataFrame:
     return mask.select(*KEY).join(peak, list(KEY), "left").withColumn("peak", F.coalesce("peak", F.lit(0.0)))
 
 
+def mesh_values(volume: DataFrame, mask: DataFrame, dims: DataFrame, value: str) -> DataFrame:
+    """Values of the volume at the corners of the mask's voxels: case_id, vi, vj, vk (lattice places) and the value.
+
+    A corner has the value of the voxel that begins there, and one on the far border that of the border's voxel; voxels
+    that the volume does not hold count as 0.  dims(case_id, dims).
+    """
+    corner = F.explode(offsets(product((0, 1), repeat=3))).alias("o")
+    places = mask.select(*KEY, corner).select("case_id", *[(F.col(c) + F.col(f"o.d{c}")).alias(f"v{c}") for c in "ijk"]).distinct()
+    cells = places.join(dims.select("case_id", "dims"), "case_id")
+    cells = cells.withColumns({c: F.least(F.col(f"v{c}"), F.col("dims")[n] - 1) for n, c in enumerate("ijk")})
+    found = cells.join(volume.select(*KEY, F.col(value).alias("value")), list(KEY), "left")
+    return found.select("case_id", "vi", "vj", "vk", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def is_static(mask: DataFrame, times: DataFrame) -> DataFrame:
     """Whether each case's mask is the same at all its times.  mask(case_id, i, j, k, t), times(case_id, times)."""
     seen = mask.groupBy(*KEY).agg(F.count_distinct("t").alias("n"))

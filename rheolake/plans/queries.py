@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rheolake.functions import axes, signal, text, vectors
-from rheolake.operators import bricks, edit, graph, kernels, planes, polyline, rounds, surface, voxel
+from rheolake.operators import bricks, edit, graph, kernels, oblique, planes, polygons, polyline, rounds, surface, voxel
 from rheolake.sources import adapters as src
 from rheolake.sources.adapters import C_SQL, E_SQL, G_SQL, L_SQL, M_SQL, V_SQL
 
@@ -851,3 +851,111 @@ def attach_consistency(spark, d):
     found = planes.attach_consistency(rows, path_ic, forks, planes.fork_consistency(forks, path_ic))
     text = lambda x: F.concat_ws(":", x["node"].cast("string"), x["role"], F.round(x["ic"] * 10000).cast("long").cast("string"))
     return rounded(found.select("case_id", "plane_index", "path_ic", F.array_join(F.transform("fork_ic", text), ",").alias("fork_ic")), "path_ic")
+
+
+# ------------------------------------------------------------------------------------------- polygons, volumes, oblique views
+
+#: A plane for each volume, by its number: 125 directions through one place.
+_TILTED = ("case_id % 5 - 2", "case_id // 5 % 5 - 2", "case_id // 25 % 5 - 2")
+_MIDDLE = (2.03, 1.91, 2.17)
+
+#: Areas and first moments as alternating sums over the corners that a plane has passed, without the polygons themselves.
+_MOMENTS = f"""raw AS (SELECT vec_id AS case_id FROM embeddings),
+tilt AS (SELECT case_id, CASE WHEN l = 0 THEN 1.0 ELSE a / l END AS nx, CASE WHEN l = 0 THEN 0.0 ELSE b / l END AS ny, CASE WHEN l = 0 THEN 0.0 ELSE c / l END AS nz FROM (
+  SELECT case_id, a, b, c, sqrt(a * a + b * b + c * c) AS l FROM (SELECT case_id, {_TILTED[0]} AS a, {_TILTED[1]} AS b, {_TILTED[2]} AS c FROM raw))),
+met AS (SELECT mask.case_id, i, j, k, nx, ny, nz, abs(nx) AS ax, abs(ny) AS ay, abs(nz) AS az, nx * ({_MIDDLE[0]} - i) + ny * ({_MIDDLE[1]} - j) + nz * ({_MIDDLE[2]} - k)
+  + greatest(-nx, 0.0) + greatest(-ny, 0.0) + greatest(-nz, 0.0) AS d, CAST(nx <> 0 AS INT) + CAST(ny <> 0 AS INT) + CAST(nz <> 0 AS INT) AS m FROM mask JOIN tilt USING (case_id)),
+passed AS (SELECT *, d - p * ax - q * ay - r * az AS reach, CASE WHEN (p + q + r) % 2 = 1 THEN -1 ELSE 1 END / (CASE WHEN m = 3 THEN 2.0 ELSE 1.0 END
+    * CASE WHEN ax > 0 THEN ax ELSE 1.0 END * CASE WHEN ay > 0 THEN ay ELSE 1.0 END * CASE WHEN az > 0 THEN az ELSE 1.0 END) AS w
+  FROM met, range(2) AS x(p), range(2) AS y(q), range(2) AS z(r) WHERE (ax > 0 OR p = 0) AND (ay > 0 OR q = 0) AND (az > 0 OR r = 0)),
+parts AS (SELECT *, w * pow(reach, m - 1) AS s, CASE WHEN ax > 0 THEN p + reach / (m * ax) ELSE 0.5 END AS ux, CASE WHEN ay > 0 THEN q + reach / (m * ay) ELSE 0.5 END AS uy,
+  CASE WHEN az > 0 THEN r + reach / (m * az) ELSE 0.5 END AS uz FROM passed WHERE reach >= 0),
+added AS (SELECT case_id, i, j, k, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz, sum(s) AS area, sum(s * ux) / sum(s) AS ux, sum(s * uy) / sum(s) AS uy, sum(s * uz) / sum(s) AS uz
+  FROM parts GROUP BY case_id, i, j, k HAVING sum(s) > 1e-9),
+poly AS (SELECT case_id, i, j, k, area, i + CASE WHEN nx < 0 THEN 1 - ux ELSE ux END AS px, j + CASE WHEN ny < 0 THEN 1 - uy ELSE uy END AS py, k + CASE WHEN nz < 0 THEN 1 - uz ELSE uz END AS pz FROM added)"""
+
+
+def _tilted(spark, d) -> DataFrame:
+    case = F.col("case_id")
+    parts = (case % 5 - 2, F.floor(case / 5) % 5 - 2, F.floor(case / 25) % 5 - 2)
+    head = src.volume_meta(spark, d).select(
+        "case_id", F.lit(0).alias("plane_index"), (case % 7).cast("int").alias("path_id"), *[F.lit(v).alias(f"c{c}") for c, v in zip("xyz", _MIDDLE, strict=True)],
+        *[v.cast("double").alias(f"n{c}") for c, v in zip("xyz", parts, strict=True)],
+    )
+    cut = planes.cut_voxels(head, src.masks(spark, d).drop("voxel")).where("area > 1e-9")
+    return polygons.polygons(cut.join(head.select("case_id", "plane_index", "path_id"), ["case_id", "plane_index"]))
+
+
+@query(f"WITH {V_SQL}, {_MOMENTS} SELECT case_id, i, j, k, {s6('area')} AS area, {s6('px')} AS px, {s6('py')} AS py, {s6('pz')} AS pz FROM poly")
+def cut_polygons(spark, d):
+    return rounded(_tilted(spark, d).select("case_id", "i", "j", "k", "area", "px", "py", "pz"), "area", "px", "py", "pz")
+
+
+@query(f"""WITH RECURSIVE {V_SQL}, {_MOMENTS}, numbered AS (SELECT *, (i * 4 + j) * 4 + k AS cell FROM poly),
+near AS (SELECT a.case_id, a.cell AS here, b.cell AS there FROM numbered a JOIN numbered b ON a.case_id = b.case_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1),
+reach(case_id, root, cell) AS (SELECT case_id, cell, cell FROM numbered UNION SELECT r.case_id, r.root, n.there FROM reach r JOIN near n ON n.case_id = r.case_id AND n.here = r.cell),
+comp AS (SELECT case_id, cell, min(root) AS region FROM reach GROUP BY ALL),
+ranked AS (SELECT case_id, region, round(min(sqrt((px - {_MIDDLE[0]}) ** 2 + (py - {_MIDDLE[1]}) ** 2 + (pz - {_MIDDLE[2]}) ** 2)), 9) AS gap, round(sum(area), 9) AS size
+  FROM comp JOIN numbered USING (case_id, cell) GROUP BY ALL),
+best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY gap, size DESC, region) = 1)
+SELECT case_id, i, j, k, {s6('area')} AS area FROM numbered JOIN comp USING (case_id, cell) JOIN best USING (case_id, region)""")
+def polygon_region(spark, d):
+    return rounded(kernels.nearest_region(_tilted(spark, d).drop("corners")).select("case_id", "i", "j", "k", "area"), "area")
+
+
+@query(f"""WITH {V_SQL}, {_MOMENTS}, r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY md5((5 + 104729 * (case_id % 7) + t) || '|0|' || i || '|' || j || '|' || k), i, j, k) - 1 AS line_id
+  FROM poly, range(3) AS times(t) WINDOW w AS (PARTITION BY case_id, t))
+SELECT case_id, CAST(t AS INT) AS t, CAST(line_id AS INT) AS line_id, {s6('px')} AS x, {s6('py')} AS y, {s6('pz')} AS z FROM r WHERE line_id < greatest(2, ceil(n * 0.25))""")
+def polygon_seeds(spark, d):
+    times = src.volume_meta(spark, d).select("case_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("t"))
+    return rounded(surface.plane_seeds(_tilted(spark, d), 0.25, 5, 2, times).drop("plane_index"), "x", "y", "z")
+
+
+@query(f"""WITH {L_SQL}, spots AS (SELECT path_id % 10 AS case_id, CAST(path_id % 3 AS INT) AS t, CAST(least(greatest(round_even((x + 0.5) / 0.25, 0), 0), 1 + path_id % 10) AS INT) AS i,
+  CAST(least(greatest(round_even((y + 0.5) / 0.25, 0), 0), 2) AS INT) AS j, CAST(least(greatest(round_even((z + 0.5) / 0.25, 0), 0), 3) AS INT) AS k, x * y AS s FROM pts)
+SELECT case_id, t, i, j, k, greatest(0.0, max(s)) AS value FROM spots GROUP BY ALL""")
+def wss_volume(spark, d):
+    rows = src.paths(spark, d).select("case_id", (F.col("path_id") % 3).cast("int").alias("t"), "x", "y", "z", (F.col("x") * F.col("y")).alias("value"))
+    dims = rows.select("case_id").distinct().withColumn("dims", F.array(F.col("case_id").cast("int") + 2, F.lit(3), F.lit(4)))
+    return voxel.scatter_max(rows, (-0.5, -0.5, -0.5), (0.25, 0.25, 0.25), dims)
+
+
+@query(f"""WITH {V_SQL}, v AS (SELECT DISTINCT case_id, i + p AS vi, j + q AS vj, k + r AS vk FROM mask, range(2) AS x(p), range(2) AS y(q), range(2) AS z(r))
+SELECT v.case_id, CAST(vi AS INT) AS vi, CAST(vj AS INT) AS vj, CAST(vk AS INT) AS vk, coalesce(val, 0.0) AS value FROM v
+  LEFT JOIN (SELECT * FROM vox WHERE val > 0) m ON m.case_id = v.case_id AND i = least(vi, 3) AND j = least(vj, 3) AND k = least(vk, 3)""")
+def tke_mesh(spark, d):
+    return voxel.mesh_values(src.volumes(spark, d).where("val > 0"), src.masks(spark, d), src.volume_meta(spark, d), "val")
+
+
+#: Each volume on a plane of its own random direction, a frame and a grid of nine by nine, straight from the definitions.
+_OBLIQUE = f"""dir AS (SELECT path_id AS case_id, x / (l + 1e-12) AS nx, y / (l + 1e-12) AS ny, z / (l + 1e-12) AS nz, 1.5 + x AS cx, 1.5 + y AS cy, 1.5 + z AS cz
+  FROM (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM pts WHERE seq = 0)),
+up AS (SELECT *, CASE WHEN abs(nz) > abs(nx) AND abs(nz) > abs(ny) THEN [0.0, 1.0, 0.0] ELSE [0.0, 0.0, 1.0] END AS h FROM dir),
+u0 AS (SELECT *, ny * h[3] - nz * h[2] AS a, nz * h[1] - nx * h[3] AS b, nx * h[2] - ny * h[1] AS c FROM up),
+u1 AS (SELECT * EXCLUDE (a, b, c), a / (sqrt(a * a + b * b + c * c) + 1e-12) AS ux, b / (sqrt(a * a + b * b + c * c) + 1e-12) AS uy, c / (sqrt(a * a + b * b + c * c) + 1e-12) AS uz FROM u0),
+v0 AS (SELECT *, ny * uz - nz * uy AS a, nz * ux - nx * uz AS b, nx * uy - ny * ux AS c FROM u1),
+v1 AS (SELECT *, a / (sqrt(a * a + b * b + c * c) + 1e-12) AS wx, b / (sqrt(a * a + b * b + c * c) + 1e-12) AS wy, c / (sqrt(a * a + b * b + c * c) + 1e-12) AS wz FROM v0),
+places AS (SELECT case_id, r.g AS row, s.g AS col, nx, ny, nz, cx + (r.g - 4) * ux + (s.g - 4) * wx AS x, cy + (r.g - 4) * uy + (s.g - 4) * wy AS y, cz + (r.g - 4) * uz + (s.g - 4) * wz AS z
+  FROM v1, range(9) AS r(g), range(9) AS s(g)),
+tent AS (SELECT case_id, row, col, sum(val * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j)) * greatest(0, 1 - abs(z - k))) AS v FROM places JOIN vox USING (case_id)
+  WHERE x BETWEEN 0 AND 3 AND y BETWEEN 0 AND 3 AND z BETWEEN 0 AND 3 GROUP BY ALL)"""
+
+
+def _oblique(spark, d) -> DataFrame:
+    first = src.paths(spark, d).where("seq = 0").select(F.col("path_id").alias("case_id"), F.lit(0).alias("plane_index"), *[(F.lit(1.5) + F.col(c)).alias(f"c{c}") for c in "xyz"], *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    return oblique.oblique_grid(first, src.volume_meta(spark, d), 4)
+
+
+@query(f"WITH {V_SQL}, {L_SQL}, {_OBLIQUE} SELECT case_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, {s6('coalesce(v, 0.0)')} AS value FROM places LEFT JOIN tent USING (case_id, row, col)")
+def oblique_slice(spark, d):
+    found = oblique.oblique_values(_oblique(spark, d), src.volumes(spark, d).select("case_id", "i", "j", "k", F.col("val").alias("value")), ["value"])
+    return rounded(found.select("case_id", "row", "col", "value"), "value")
+
+
+@query(f"""WITH {V_SQL}, {L_SQL}, {_OBLIQUE} SELECT case_id, CAST(t AS INT) AS t, CAST(row AS INT) AS row, CAST(col AS INT) AS col,
+  {s6('coalesce(v, 0.0) * (nx * (t + 1) + ny * 2 - nz * t)')} AS value FROM places CROSS JOIN range(2) AS times(t) LEFT JOIN tent USING (case_id, row, col)""")
+def through_plane_view(spark, d):
+    times = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("t")
+    flow = src.volumes(spark, d).select("case_id", "i", "j", "k", "val", times).select("case_id", "i", "j", "k", "t", (F.col("val") * (F.col("t") + 1)).alias("vx"), (F.col("val") * 2).alias("vy"), (-F.col("val") * F.col("t")).alias("vz"))
+    grid = _oblique(spark, d).select("*", times)
+    return rounded(oblique.through_plane(grid, flow).drop("plane_index"), "value")
