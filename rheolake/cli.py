@@ -22,11 +22,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--steps", default="", help="comma-separated step names, in place of planes, metrics, wall stress and turbulent energy")
     p.add_argument("--reuse-planes", default="", help="saved plane positions, which cases that they name take instead of new planes")
     p.add_argument("--skip-derived", action="store_true", help="no wall stress and turbulent energy")
+    p.add_argument("--save-pixelwise", action="store_true", help="wall stress and turbulent energy by voxel and time, with spacing and origin")
     p.add_argument("--skip-plane-metrics", action="store_true", help="no metrics of planes")
     p.add_argument("--spacing", type=float, nargs=3, default=(1.0, 1.0, 1.0))
     p.add_argument("--rr", type=float, default=1000.0)
     p.add_argument("--brick", type=int, default=0, help="cut cases into bricks of that side, for masks that no worker can hold")
     p.add_argument("--by-distance", "--plane-by-distance", action="store_true", help="evenly spaced planes instead of one in the middle of each path")
+    p.add_argument("--interpolation", type=int, default=10, help="points put between two of a path before it is smoothed")
+    p.add_argument("--window", type=int, default=150, help="points of the smoothing window")
+    p.add_argument("--order", type=int, default=2, help="order of the smoothing polynomial")
+    p.add_argument("--smoothing", type=int, default=200, help="rounds that smooth the wall's surface")
     p.add_argument("--distance", "--cross-section-dist", type=float, default=5.0)
     p.add_argument("--start", "--start-dist", type=float, default=5.0)
     p.add_argument("--end", "--end-dist", type=float, default=0.0)
@@ -54,9 +59,9 @@ def config_of(a: argparse.Namespace) -> EngineConfig:
         rr=a.rr,
         brick=a.brick,
         skeleton=SkeletonParams(a.remove_small, a.min_volume, not a.no_closing, a.opening, not a.no_gaussian, a.sigma),
-        planes=PlaneParams(not a.by_distance, a.distance, a.start, a.end),
+        planes=PlaneParams(not a.by_distance, a.distance, a.start, a.end, a.interpolation, a.window, a.order),
         streamlines=StreamlineParams(a.seed_ratio, a.least_seeds, a.seed, a.max_steps, a.least_speed),
-        wall=WallParams(a.viscosity, a.inward, not a.linear, not a.slip),
+        wall=WallParams(a.viscosity, a.inward, not a.linear, not a.slip, a.smoothing),
     )
 
 
@@ -90,7 +95,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFra
 
 def main(argv: list[str] | None = None) -> None:
     from rheolake.engine import Engine
-    from rheolake.sinks import saved_planes, write_report
+    from rheolake.sinks import saved_planes, write_pixelwise, write_report
     from rheolake.sources.cases import case_status
 
     a = parser().parse_args(argv)
@@ -106,9 +111,12 @@ def main(argv: list[str] | None = None) -> None:
         own = good.join(meta.where(F.col("spacing") == F.array(*map(F.lit, spacing))), "case_id", "left_semi") if "spacing" in meta.columns else good
         engine = Engine(*(df.join(own, "case_id", "left_semi") for df in (seg, flow, meta)), replace(config, spacing=spacing), saved)
         for name in steps_of(a):
-            if name == "tke_peak" and "tke" not in engine.flow.columns:
+            if name.startswith("tke") and "tke" not in engine.flow.columns:
                 continue  # no turbulent energy in these cases
             engine.step(name).write.mode("append" if n else "overwrite").parquet(f"{a.output}/{name}")
+        if a.save_pixelwise and not a.skip_derived:
+            tke = engine.tke_time if "tke" in engine.flow.columns else None
+            write_pixelwise(engine.wss_volume, tke, engine.meta, f"{a.output}/pixelwise", spacing, mode="append" if n else "overwrite")
         notes = engine.notes if notes is None else notes.unionByName(engine.notes)
     # relational steps run for all cases together, so each has an equal share of the job; kernels are timed case by case
     share = (time.time() - began) / max(1, good.count())
