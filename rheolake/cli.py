@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--steps", default="", help="comma-separated step names, in place of planes, metrics, wall stress and turbulent energy")
     p.add_argument("--reuse-planes", default="", help="saved plane positions, which cases that they name take instead of new planes")
     p.add_argument("--skip-derived", action="store_true", help="no wall stress and turbulent energy")
+    p.add_argument("--documents", action="store_true", help="positions and metrics of planes as JSON documents, and counts of each case")
     p.add_argument("--save-pixelwise", action="store_true", help="wall stress and turbulent energy by voxel and time, with spacing and origin")
     p.add_argument("--skip-plane-metrics", action="store_true", help="no metrics of planes")
     p.add_argument("--spacing", type=float, nargs=3, default=(1.0, 1.0, 1.0))
@@ -94,8 +95,9 @@ def load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFra
 
 
 def main(argv: list[str] | None = None) -> None:
+    from rheolake.documents import write_documents
     from rheolake.engine import Engine
-    from rheolake.sinks import saved_planes, write_pixelwise, write_report
+    from rheolake.sinks import case_summary, saved_planes, write_pixelwise, write_positions, write_report
     from rheolake.sources.cases import case_status
 
     a = parser().parse_args(argv)
@@ -114,6 +116,12 @@ def main(argv: list[str] | None = None) -> None:
             if name.startswith("tke") and "tke" not in engine.flow.columns:
                 continue  # no turbulent energy in these cases
             engine.step(name).write.mode("append" if n else "overwrite").parquet(f"{a.output}/{name}")
+        if a.documents:
+            mode = "append" if n else "overwrite"
+            write_positions(engine.planes, f"{a.output}/plane_positions", resolution=spacing, mode=mode)
+            case_summary(engine.planes, engine.skeleton, engine.edges, engine.raw_paths, engine.forks).write.mode(mode).json(f"{a.output}/summary")
+            if not a.skip_plane_metrics:
+                write_documents(engine.documents, f"{a.output}/plane_metrics", mode=mode)
         if a.save_pixelwise and not a.skip_derived:
             tke = engine.tke_time if "tke" in engine.flow.columns else None
             write_pixelwise(engine.wss_volume, tke, engine.meta, f"{a.output}/pixelwise", spacing, mode="append" if n else "overwrite")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rheolake import documents
 from rheolake.config import EngineConfig
 from rheolake.operators import bricks, graph, kernels, oblique, planes, polygons, polyline, rounds, surface, voxel
 from rheolake.operators.guard import guarded, split
@@ -212,6 +213,11 @@ class Engine:
         rows = planes.cycle_metrics(self.series, self.beats).join(self.planes.select("case_id", "plane_index", "path_id"), ["case_id", "plane_index"])
         return planes.fork_consistency(self.forks, planes.path_consistency(rows)).join(self.forks, ["case_id", "node"])
 
+    @property
+    def documents(self) -> DataFrame:
+        """One row a case: the nested metrics of its planes and the agreement of flow at its forks."""
+        return documents.plane_documents(self.planes, self.metrics, self.series, self.qc, self.path_info)
+
     @cached_property
     def wall(self) -> DataFrame:
         """Wall shear stress at the smoothed surface's corners, by time: each time's own mask, and its surface's own normals."""

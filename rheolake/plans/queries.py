@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rheolake import documents
 from rheolake.functions import axes, signal, text, vectors
 from rheolake.operators import bricks, edit, graph, kernels, oblique, planes, polygons, polyline, rounds, surface, voxel
 from rheolake.sources import adapters as src
@@ -959,3 +960,31 @@ def through_plane_view(spark, d):
     flow = src.volumes(spark, d).select("case_id", "i", "j", "k", "val", times).select("case_id", "i", "j", "k", "t", (F.col("val") * (F.col("t") + 1)).alias("vx"), (F.col("val") * 2).alias("vy"), (-F.col("val") * F.col("t")).alias("vz"))
     grid = _oblique(spark, d).select("*", times)
     return rounded(oblique.through_plane(grid, flow).drop("plane_index"), "value")
+
+
+_TIMES = ", ".join(f"max(CASE WHEN t = {t + 1} THEN {s6(v)} END) AS {name}_t{t}" for t in range(7) for name, v in (
+    ("flowrate", "way * flow_signed / 100.0"), ("meanv_fwd", "CASE WHEN area > 0 THEN flow_forward / area ELSE 0.0 END"), ("area", "CAST(area AS DOUBLE)")))
+
+
+@query(f"""WITH {_FORK_IC},
+member AS (SELECT io.case_id, io.node, io.path_id, bool_or(ends) AS comes FROM io JOIN f USING (case_id, node) GROUP BY ALL),
+first_fork AS (SELECT case_id, path_id, node AS fork0_id, CASE WHEN comes THEN 'incoming' ELSE 'outgoing' END AS fork0_role, ic AS fork0_ic
+  FROM member JOIN fic USING (case_id, node) QUALIFY row_number() OVER (PARTITION BY case_id, path_id ORDER BY node) = 1),
+lists AS (SELECT case_id, plane_index, {_TIMES} FROM (SELECT *, CASE WHEN plane_index % 2 = 0 THEN 1 ELSE -1 END AS way FROM series) GROUP BY ALL)
+SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY plane_index) - 1 AS INT) AS plane_index, CAST(path_id AS INT) AS path_index,
+  {s6('abs(flow_signed)')} AS netflow_mL_beat, {s6('CASE WHEN plane_index % 2 = 0 THEN mean_velocity_signed ELSE -mean_velocity_signed END')} AS meanv_cm_s,
+  {s6('coalesce(pic.ic, 1.0)')} AS path_ic, fork0_id, fork0_role, {s6('fork0_ic')} AS fork0_ic, CAST(plane_index AS DOUBLE) AS center_x, lists.* EXCLUDE (case_id, plane_index)
+  FROM cycle JOIN lists USING (case_id, plane_index) LEFT JOIN pic USING (case_id, path_id) LEFT JOIN first_fork USING (case_id, path_id)""")
+def metrics_table(spark, d):
+    rows, heads = _metrics(spark, d), src.plane_heads(spark, d)
+    net = src.path_ends(spark, d).withColumn("case_id", F.col("path_id") % 5)
+    forks, path_ic = graph.forks(net), planes.path_consistency(rows)
+    qc = planes.fork_consistency(forks, path_ic)
+    own = F.col("plane_index").cast("double")
+    heads = heads.select("*", F.lit(1).alias("label"), F.lit(0.0).alias("distance"), own.alias("cx"), *[F.lit(0.0).alias(c) for c in ("cy", "cz", "nx", "ny", "nz")])
+    made = documents.plane_documents(heads, planes.attach_consistency(rows, path_ic, forks, qc), _series(spark, d), qc)
+    texts = made.select(F.lit("cases/none.json").alias("file"), F.to_json(F.struct("case_id", "metrics", "qc")).alias("value"))
+    found = documents.metrics_table(documents.parse_documents(texts))
+    lists = [f"{name}_t{t}" for t in range(7) for name in ("flowrate", "meanv_fwd", "area")]
+    values = ["netflow_mL_beat", "meanv_cm_s", "path_ic", "fork0_ic", *lists]
+    return rounded(found.select("case_id", "plane_index", "path_index", "fork0_id", "fork0_role", "center_x", *values), *values)
