@@ -54,18 +54,36 @@ def lattice_links(ijk: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def group_links(ijk: np.ndarray, starts: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
+    """As lattice_links, of groups of rows that begin at starts; rows of different groups are never linked."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ijk)]))
+    lo, hi = np.minimum.reduceat(ijk, starts, axis=0), np.maximum.reduceat(ijk, starts, axis=0)
+    span = hi - lo + 3
+    if float(span[:, 0].sum()) * float(span[:, 1].max()) * float(span[:, 2].max()) < 2.0**62:
+        moved = ijk - lo[group]
+        moved[:, 0] += np.r_[0, np.cumsum(span[:-1, 0])][group]  # side by side, apart
+        return lattice_links(moved, steps)
+    ends = np.r_[starts[1:], len(ijk)]
+    parts = [[x + n for x in lattice_links(ijk[n:m], steps)] for n, m in zip(starts, ends, strict=True)]
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+
 def connected_components(mask: DataFrame, connectivity: int = 6) -> DataFrame:
-    """mask(case_id, i, j, k, voxel): adds component, the smallest voxel number that is reached by 6 or 26 neighbours."""
+    """mask(case_id, i, j, k, voxel): adds component, the smallest voxel number that is reached by 6 or 26 neighbours.
+
+    A task has whole cases, many small ones at a time.
+    """
     steps = FACES if connectivity == 6 else ALL_STEPS
     kind = mask.schema["voxel"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("voxel", ignore_index=True)
-        label = merge_labels(len(pdf), *lattice_links(pdf[["i", "j", "k"]].to_numpy(np.int64), steps))
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
+        pdf = pdf.iloc[np.lexsort((pdf["voxel"].to_numpy(), group))].reset_index(drop=True)
+        label = merge_labels(len(pdf), *group_links(pdf[["i", "j", "k"]].to_numpy(np.int64), starts, steps))
         return pdf.assign(component=pdf["voxel"].to_numpy()[label])
 
     schema = f"case_id {mask.schema['case_id'].dataType.simpleString()}, i int, j int, k int, voxel {kind}, component {kind}"
-    return apply_groups(mask.select("case_id", "i", "j", "k", "voxel"), ["case_id"], run, schema)
+    return map_groups(mask.select("case_id", "i", "j", "k", "voxel"), ["case_id"], run, schema)
 
 
 def gaussian_mask(components: DataFrame, sigma: float = 0.5, threshold: float = 0.5) -> DataFrame:
@@ -353,11 +371,13 @@ def nearest_region(cut: DataFrame) -> DataFrame:
     """
     by_polygon = "px" in cut.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "j", "k"], ignore_index=True)
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
         ijk = pdf[["i", "j", "k"]].to_numpy(np.int64)
-        label = merge_labels(len(pdf), *lattice_links(ijk, ALL_STEPS))
-        area, centre = pdf["area"].to_numpy(), pdf[["cx", "cy", "cz"]].to_numpy()[0]
+        order = np.lexsort((ijk[:, 2], ijk[:, 1], ijk[:, 0], group))
+        pdf, ijk = pdf.iloc[order].reset_index(drop=True), ijk[order]
+        label = merge_labels(len(pdf), *group_links(ijk, starts, ALL_STEPS))
+        area, centre = pdf["area"].to_numpy(), pdf[["cx", "cy", "cz"]].to_numpy()
         weight = np.bincount(label, area, len(pdf))
         if by_polygon:  # nine decimals: what is as near, or as large, but for rounding is a tie
             weight = weight.round(9)
@@ -366,10 +386,12 @@ def nearest_region(cut: DataFrame) -> DataFrame:
         else:
             middle = np.stack([np.bincount(label, area * (ijk[:, n] + 0.5), len(pdf)) for n in range(3)], 1) / np.maximum(weight, 1e-300)[:, None]
             distance = np.linalg.norm(middle - centre, axis=1)
-        best = min(np.unique(label), key=lambda r: (distance[r], -weight[r], r))
-        return pdf[label == best]
+        regions = np.unique(label)
+        ranked = regions[np.lexsort((regions, -weight[regions], distance[regions], group[regions]))]
+        best = ranked[np.unique(group[ranked], return_index=True)[1]]  # the first of each group
+        return pdf[np.isin(label, best)]
 
-    return apply_groups(cut, ["case_id", "plane_index"], run, cut.schema)
+    return map_groups(cut, ["case_id", "plane_index"], run, cut.schema)
 
 
 def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, relaxation: float = 0.01) -> DataFrame:
