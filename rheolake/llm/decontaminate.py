@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -142,12 +142,12 @@ class FMIndex:
         self.sample_no = np.cumsum(self.sampled) - 1
         self.samples = order[self.sampled]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For phrases of one length (rows): which of them occur, and their first and last row + 1."""
-        which = np.arange(len(phrases))
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        for column in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[which, column]
+    def search(self, ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the phrases of size ids at starts: which of them occur, and their first and last row + 1."""
+        which = np.arange(len(starts))
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        for place in range(size - 1, -1, -1):
+            symbol = ids[starts[which] + place]
             low = self.first[symbol] + self.ranks.rank(symbol, low)
             high = self.first[symbol] + self.ranks.rank(symbol, high)
             alive = low < high
@@ -171,32 +171,63 @@ class FMIndex:
 # --------------------------------------------------------------------------------------------------------------- phrases
 
 
+def equal_runs(ids: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of size ids; runs are equal where their numbers are.
+
+    Runs of two, four, eight ... are numbered as pairs of shorter ones, so no run is ever spelled out.
+    """
+    numbers, have = ids.astype(np.int64), 1
+    while have < size:
+        step = min(have, size - have)
+        pair = numbers[:-step] * (numbers.max() + 1) + numbers[step:]
+        numbers, have = np.unique(pair, return_inverse=True)[1], have + step
+    return numbers
+
+
 class Phrases:
-    """The windows of a benchmark (or a block of it), numbered by its vocabulary."""
+    """The windows of a benchmark (or a block of it), numbered by its vocabulary.
 
-    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WIDTH):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+    Nothing is kept by window but where one of its occurrences starts in ``ids`` and whose it is.
+    """
+
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], width: int = WIDTH):
+        names, chunks, sizes = [], [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                window = owners.setdefault(tuple(ids[i : i + width]), set())
-                if item is not None:
-                    window.add(item)
-        self.item_ids = sorted({x for xs in owners.values() for x in xs})
+            words = words_of(text)
+            if words:
+                names.append(item)
+                chunks.append(pa.array(words, pa.binary()))
+                sizes.append(len(words))
+        coded = pa.concat_arrays(chunks or [pa.array([], pa.binary())]).dictionary_encode()
+        self.vocabulary: pa.Array = coded.dictionary
+        self.ids = coded.indices.to_numpy() + np.int32(1)
+        self.item_ids = sorted({x for x in names if x is not None})
         number = {x: i for i, x in enumerate(self.item_ids)}
-        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # phrases, first owner, owners
-        for size in sorted({len(w) for w in owners}):
-            chosen = [w for w in owners if len(w) == size]
-            lists = [[number[x] for x in owners[w]] for w in chosen]
-            first = np.r_[0, np.cumsum([len(x) for x in lists])]
-            self.groups.append((np.array(chosen, np.int64), first, np.fromiter(chain.from_iterable(lists), np.int64)))
-        self.shortest = min((len(w) for w in owners), default=0)
-
-
-def number_words(words: list[bytes], phrases: Phrases) -> np.ndarray:
-    """Numbers of words in the benchmark's vocabulary, 0 for others."""
-    return np.fromiter(map(phrases.vocabulary.get, words, repeat(0)), np.int32, len(words))
+        owner = np.array([number.get(x, -1) for x in names], np.int64)
+        size = np.array(sizes, np.int64)
+        first = np.cumsum(size) - size
+        #: Words of a phrase, where phrases start in ids, first owner of each, owners.
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(np.minimum(size, width)).tolist():
+            own = np.flatnonzero(size == n if n < width else size >= n)
+            count = size[own] - n + 1
+            starts = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            _, at, window = np.unique(equal_runs(self.ids, n)[starts], return_index=True, return_inverse=True)
+            whose = np.repeat(owner[own], count)
+            pairs = np.unique((window * np.int64(len(number) + 1) + whose)[whose >= 0])
+            owned = np.bincount(pairs // (len(number) + 1), minlength=len(at))
+            self.groups.append((n, starts[at], np.r_[0, np.cumsum(owned)], (pairs % (len(number) + 1)).astype(np.int32)))
+        self.shortest = self.groups[0][0] if self.groups else 0
+
+
+def number_texts(texts: Iterable[str | None], phrases: Phrases) -> list[np.ndarray]:
+    """Numbers of each text's words in the benchmark's vocabulary, 0 for others."""
+    words = [pa.array(words_of(t), pa.binary()) for t in texts]
+    if not words:
+        return []
+    found = pc.index_in(pa.concat_arrays(words), value_set=phrases.vocabulary)
+    numbers = pc.fill_null(pc.add(found, pa.scalar(1, pa.int32())), pa.scalar(0, pa.int32())).to_numpy()
+    return np.split(numbers, np.cumsum([len(w) for w in words])[:-1])
 
 
 def find_in_shard(texts: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
@@ -221,14 +252,14 @@ def find_in_shard(texts: list[np.ndarray], phrases: Phrases) -> list[tuple[list[
     word_of = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat([b for b, _ in word_no], sizes)
     index = FMIndex(text, len(phrases.vocabulary))
     change, pairs = np.zeros(len(text) + 1, np.int64), []
-    for rows, first, owners in phrases.groups:
-        which, low, high = index.search(rows)
+    for width, starts, first, owners in phrases.groups:
+        which, low, high = index.search(phrases.ids, starts, width)
         if not len(which):
             continue
         count = high - low
         at = index.locate(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum()))
         np.add.at(change, at, 1)
-        np.add.at(change, at + rows.shape[1], -1)
+        np.add.at(change, at + width, -1)
         found = np.unique(np.stack([doc_of[at], np.repeat(which, count)], 1), axis=0)
         n_owners = first[found[:, 1] + 1] - first[found[:, 1]]
         owner = np.repeat(first[found[:, 1]] - np.cumsum(n_owners) + n_owners, n_owners) + np.arange(n_owners.sum())
@@ -286,7 +317,7 @@ def _scan(
     books = []
     for block in range(blocks):  # the driver has one block's phrases at a time
         chosen = items.where(part == block) if blocks > 1 else items
-        books.append(share(docs.sparkSession, Phrases([(r["item"], r["text"]) for r in chosen.collect()], width)))
+        books.append(share(docs.sparkSession, Phrases(((r["item"], r["text"]) for r in chosen.collect()), width)))
     rows = bound_batches(docs).select(packed(keep).alias("row"), F.col("text").alias("text"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL(LEAK_SCHEMA)])
     pair = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
@@ -295,7 +326,7 @@ def _scan(
         """Words of each, merged spans of hit words, and the items found, over all blocks."""
         count, runs, names = [0] * len(todo), [[] for _ in todo], [set() for _ in todo]
         for book in blocks_:
-            words = [number_words(words_of(texts[i]), book) for i in todo]
+            words = number_texts([texts[i] for i in todo], book)
             count = [len(w) for w in words]
             for k, (spans, numbers) in enumerate(find_in_shard(words, book)):
                 runs[k] += spans

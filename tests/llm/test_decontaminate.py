@@ -1,5 +1,8 @@
+import pickle
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -31,7 +34,7 @@ def test_suffix_array_and_index():
         index = d.FMIndex(text, symbols)
         for size in (1, 2, 3, 5):
             rows = rng.integers(1, symbols + 1, (50, size))
-            which, low, high = index.search(rows)
+            which, low, high = index.search(rows.ravel(), np.arange(len(rows)) * size, size)
             at = {int(w): sorted(index.locate(np.arange(lo, hi)).tolist()) for w, lo, hi in zip(which, low, high, strict=True)}
             for k, row in enumerate(rows):
                 want = [i for i in range(n - size + 1) if (text[i : i + size] == row).all()]
@@ -103,3 +106,35 @@ def test_clashing_columns(spark):
     got = d.remove_leaks(docs, items)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "z ", *["x"] * 8)]
     assert d.find_leaks(docs, items, keep=tuple(docs.columns)).columns == ["doc_id", "text", *names[4:], *names[:4]]
+
+
+def test_phrases_of_a_whole_block():
+    """As many random words as a block holds: each window is there once, with its owners, and little memory is taken."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(rng.integers(97, 123, 6 * 2_400_000, np.uint8).tobytes(), "S6").tolist()
+    items = [(str(k), b" ".join(letters[k * 60_000 : (k + 1) * 60_000]).decode()) for k in range(40)]
+    items += [("again", items[3][1][:7000]), (None, items[5][1][:700]), ("short", items[0][1][:20])]
+    assert sum(len(t) for _, t in items) > d.BLOCK_BYTES
+    tracemalloc.start()
+    began = time.process_time()
+    found = d.Phrases(items)
+    seconds, most = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(f"{seconds:.1f} s, {most / 1e6:.0f} MB, pickled {len(pickle.dumps(found)) / 1e6:.0f} MB")
+    assert most < 500e6
+    (n, starts, first, owners), (width, starts_10, first_10, owners_10) = found.groups
+    assert (n, len(starts), [found.item_ids[i] for i in owners]) == (3, 1, ["short"]) and width == d.WIDTH
+    want = {}
+    words = [(item, d.words_of(text)) for item, text in items]
+    for item, own in words:
+        for i in range(0, len(own) - d.WIDTH + 1, 1 if item in ("3", "again", None) else 997):
+            want.setdefault(tuple(own[i : i + d.WIDTH]), set()).update({item} - {None})
+    vocabulary = found.vocabulary.to_pylist()
+    place = {w: i + 1 for i, w in enumerate(vocabulary)}
+    assert len(place) == len(vocabulary) == len({w for _, own in words for w in own})
+    number = {found.ids[s : s + d.WIDTH].tobytes(): k for k, s in enumerate(starts_10.tolist())}
+    assert len(number) == len(starts_10)
+    for window, owner in want.items():
+        k = number[np.array([place[w] for w in window], np.int32).tobytes()]
+        assert owner <= {found.item_ids[i] for i in owners_10[first_10[k] : first_10[k + 1]]}
+    assert found.ids[starts_10[0]] and first_10[-1] == len(owners_10)
