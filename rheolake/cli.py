@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", "--output-dir", default="./results")
     p.add_argument("--steps", default="", help="comma-separated step names, in place of planes, metrics, wall stress and turbulent energy")
     p.add_argument("--reuse-planes", default="", help="saved plane positions, which cases that they name take instead of new planes")
+    p.add_argument("--move-planes", default="", help="Parquet table of case_id, plane_index and new cx .. cz, nx .. nz: planes moved after they are placed")
     p.add_argument("--skip-derived", action="store_true", help="no wall stress and turbulent energy")
     p.add_argument("--documents", action="store_true", help="positions and metrics of planes as JSON documents, and counts of each case")
     p.add_argument("--save-pixelwise", action="store_true", help="wall stress and turbulent energy by voxel and time, with spacing and origin")
@@ -109,9 +110,13 @@ def main(argv: list[str] | None = None) -> None:
     config, saved, notes = config_of(a), saved_planes(spark, a.reuse_planes) if a.reuse_planes else None, None
     # an engine has one spacing: cases of equal spacing run together, and there are few of those
     spacings = [tuple(r.spacing) for r in meta.select("spacing").distinct().collect()] if "spacing" in meta.columns else [config.spacing]
+    engines: list[Engine] = []
     for n, spacing in enumerate(sorted(spacings)):
         own = good.join(meta.where(F.col("spacing") == F.array(*map(F.lit, spacing))), "case_id", "left_semi") if "spacing" in meta.columns else good
         engine = Engine(*(df.join(own, "case_id", "left_semi") for df in (seg, flow, meta)), replace(config, spacing=spacing), saved)
+        engines.append(engine)
+        if a.move_planes:
+            engine = engine.move_planes(spark.read.parquet(a.move_planes))
         for name in steps_of(a):
             if name.startswith("tke") and "tke" not in engine.flow.columns:
                 continue  # no turbulent energy in these cases
@@ -131,6 +136,8 @@ def main(argv: list[str] | None = None) -> None:
     status = status.withColumn("seconds", F.when(F.col("status") == "ok", share))
     status = with_notes(status, notes) if notes is not None else status
     write_report(status if unread is None else status.unionByName(unread, allowMissingColumns=True), f"{a.output}/report")
+    for engine in engines:
+        engine.close()
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,10 +12,10 @@ from pyspark.sql.types import StructType
 
 from rheolake import documents
 from rheolake.config import EngineConfig
-from rheolake.operators import bricks, graph, kernels, oblique, planes, polygons, polyline, rounds, surface, voxel
+from rheolake.operators import bricks, edit, graph, kernels, oblique, planes, polygons, polyline, rounds, surface, voxel
 from rheolake.operators.guard import guarded, split
 from rheolake.sources.cases import mask_at_times
-from rheolake.storage import materialize
+from rheolake.storage import discard, materialize
 
 
 def lattice_number(i, j, k, side: int = 100_000):
@@ -23,6 +24,12 @@ def lattice_number(i, j, k, side: int = 100_000):
     return i.cast("long") + side * (j.cast("long") + side * k.cast("long"))
 
 
+#: Steps that follow from the planes: an engine whose planes moved makes them anew, and takes over all others.
+OF_PLANES = ("planes", "cut", "series", "metrics", "qc", "plane_seeds", "plane_streamlines")
+#: Cases named in a filter, which scans prune partitions and row groups by; more are joined.
+NAMED_CASES = 1_000
+
+
 class Engine:
     """seg(case_id, i, j, k, t, label), flow(case_id, i, j, k, t, vx, vy, vz [, tke]), meta(case_id, dims).
 
@@ -33,16 +40,24 @@ class Engine:
     def __init__(self, seg: DataFrame, flow: DataFrame, meta: DataFrame, config: EngineConfig | None = None, saved: DataFrame | None = None):
         self.seg, self.meta, self.config, self.saved = seg, meta, config or EngineConfig(), saved
         self._notes: list[DataFrame] = []
+        self._written: list[DataFrame] = []
+        self._moved: tuple[Engine, DataFrame, DataFrame, DataFrame] | None = None
         self.whole_flow = flow
         in_mask = seg.where("label > 0").select("case_id", "i", "j", "k").distinct()
         self.flow = flow.join(in_mask, ["case_id", "i", "j", "k"], "left_semi")
 
     # ------------------------------------------------------------------------------------------------------------- steps
 
-    @staticmethod
-    def _kept(df: DataFrame) -> DataFrame:
+    def _kept(self, df: DataFrame) -> DataFrame:
         """What several later steps use is written to the shared folder once, which also keeps plans small."""
-        return materialize(df, "step")
+        found = materialize(df, "step")
+        self._written.append(found)
+        return found
+
+    def close(self) -> None:
+        """Delete what the steps have written; no table of this engine, nor of one moved from it, may be read any more."""
+        while self._written:
+            discard(self._written.pop())
 
     def _guard(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A grouped kernel's rows, written.  Groups that raised are noted, and their cases go no further from here."""
@@ -172,28 +187,66 @@ class Engine:
             found = found.join(ask.select("case_id").distinct(), "case_id", "left_anti").unionByName(kept)
         return self._kept(planes.forward_signs(self._kept(found), self.paths))
 
-    @cached_property
-    def cut(self) -> DataFrame:
-        """What planes cut from voxels of their own branch, in the region nearest their centre: area, centroid (px, py, pz)."""
+    def _cut(self, heads: DataFrame, mask: DataFrame, branches: DataFrame) -> DataFrame:
         s = self.config.spacing
-        every = planes.cut_voxels(self.planes.select("case_id", "plane_index", "path_id", *[f"{n}{c}" for n in "cn" for c in "xyz"]), self.mask.drop("voxel"), s)
-        branch = self.branches.withColumnRenamed("label", "branch")
+        every = planes.cut_voxels(heads.select("case_id", "plane_index", "path_id", *[f"{n}{c}" for n in "cn" for c in "xyz"]), mask.drop("voxel"), s)
+        branch = branches.withColumnRenamed("label", "branch")
         # a plane without a label has that of the voxel at its centre
         at = [F.floor(F.col(f"c{p}") / e).cast("int").alias(c) for p, e, c in zip("xyz", s, "ijk", strict=True)]
-        heads = self.planes.select("case_id", "plane_index", "label", *at).join(branch, ["case_id", "i", "j", "k"], "left")
-        own = heads.select("case_id", "plane_index", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("branch")).alias("label"))
+        labelled = heads.select("case_id", "plane_index", "label", *at).join(branch, ["case_id", "i", "j", "k"], "left")
+        own = labelled.select("case_id", "plane_index", F.when(F.col("label") > 0, F.col("label")).otherwise(F.col("branch")).alias("label"))
         kept = every.join(branch, ["case_id", "i", "j", "k"]).join(own, ["case_id", "plane_index"]).where("branch = label").drop("branch", "label")
         return self._guard("cut", lambda: kernels.nearest_region(polygons.polygons(kept, s).drop("corners")))
 
+    @cached_property
+    def cut(self) -> DataFrame:
+        """What planes cut from voxels of their own branch, in the region nearest their centre: area, centroid (px, py, pz)."""
+        return self._cut(self.planes, self.mask, self.branches)
+
     @property
     def polygons(self) -> DataFrame:
         """The cut with the corners of its polygons."""
         return polygons.polygons(self.cut.drop("px", "py", "pz"), self.config.spacing)
 
+    def _series(self, heads: DataFrame, cut: DataFrame, flow: DataFrame) -> DataFrame:
+        samples = planes.flow_samples(cut, flow)
+        return self._kept(planes.plane_series(samples, heads.select("case_id", "plane_index", "forward_sign"), flow.select("case_id", "t").distinct()))
+
     @cached_property
     def series(self) -> DataFrame:
-        samples = planes.flow_samples(self.cut, self.flow)
-        return self._kept(planes.plane_series(samples, self.planes.select("case_id", "plane_index", "forward_sign"), self.flow.select("case_id", "t").distinct()))
+        return self._series(self.planes, self.cut, self.flow)
+
+    def move_planes(self, asked: DataFrame) -> Engine:
+        """An engine in which asked(case_id, plane_index, some of cx .. cz and nx .. nz) has moved planes; this one stays as it is.
+
+        Planes that move less than a tolerance (edit.moved_planes) count as unmoved.  Cuts and series are made for moved
+        planes only, from the rows of their cases; those of the others are taken over, and so is every step that
+        planes do not enter.  Consistency is a pass over the planes' cycle metrics.  Moves of moved planes take the place
+        of the former ones, so plans do not grow with the number of moves.  The rows are those of a run from the start.
+        """
+        key = ["case_id", "plane_index"]
+        base, *before = self._moved or (self,)
+        _ = base.cut, base.series
+        raw = self.planes.drop("normal_tangent_cos", "forward_sign_source", "forward_sign")
+        fresh = self._kept(edit.moved_planes(raw, asked, self.config.spacing))
+        cases = [r["case_id"] for r in fresh.select("case_id").distinct().limit(NAMED_CASES + 1).collect()]
+        if not cases:
+            return self
+        named = fresh.select("case_id").distinct()
+        own = lambda df: df.where(F.col("case_id").isin(cases)) if len(cases) <= NAMED_CASES else df.join(named, "case_id", "left_semi")
+        new = copy.copy(self)
+        new.__dict__ = {k: v for k, v in self.__dict__.items() if k not in OF_PLANES}
+        heads = self._kept(planes.forward_signs(fresh, own(self.paths)))
+        cut = self._cut(heads, own(self.mask), own(self.branches))
+        series = self._series(heads, cut, own(self.flow))
+        made = [heads.select(*base.planes.columns), cut.select(*base.cut.columns), series.select(*base.series.columns)]
+        if before:
+            made = [self._kept(edit.remove_rows(old, heads, key).unionByName(now)) for old, now in zip(before, made, strict=True)]
+        new._moved = (base, *made)
+        there = made[0].select(*key)
+        both = lambda old, now: edit.remove_rows(old, there, key).unionByName(now)
+        new.planes, new.cut, new.series = (both(old, now) for old, now in zip((base.planes, base.cut, base.series), made, strict=True))
+        return new
 
     @property
     def beats(self):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rheolake.functions.vectors import unit_or_x, vec
+from rheolake.functions.vectors import dot, minus, norm, unit_or_x, vec
 
 
 def remove_rows(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
@@ -60,6 +60,31 @@ def update_planes(planes: DataFrame, changed: DataFrame) -> DataFrame:
     return out.withColumns({f"n{c}": v for c, v in zip("xyz", unit_or_x(vec("n")), strict=True)})
 
 
+def moved_planes(planes: DataFrame, asked: DataFrame, spacing=(1.0, 1.0, 1.0), least_turn: float = 1e-5) -> DataFrame:
+    """The planes that asked(case_id, plane_index, some of cx .. cz and nx .. nz) moves, as they are then.
+
+    A centre counts as moved beyond a thousandth of the mean spacing, at least 1e-4, and a normal beyond least_turn
+    either way round; what moves less keeps its old value.  A null part is taken as unmoved, a normal without length too,
+    and planes that are not there are not made.  Of several requests for a plane all must agree, or the largest counts.
+    """
+    key = ["case_id", "plane_index"]
+    named = [c for c in ("cx", "cy", "cz", "nx", "ny", "nz") if c in asked.columns]
+    new = asked.groupBy(*key).agg(F.max(F.struct(*named)).alias("w")).select(*key, *[F.col(f"w.{c}").alias(f"w{c}") for c in named])
+    rows = planes.join(new, key)
+    want = {c: F.coalesce(F.col(f"w{c}"), F.col(c)) if c in named else F.col(c) for c in ("cx", "cy", "cz", "nx", "ny", "nz")}
+    old_c, new_c = vec("c"), tuple(want[f"c{c}"] for c in "xyz")
+    asked_n = tuple(want[f"n{c}"] for c in "xyz")
+    old_n, new_n = unit_or_x(vec("n")), unit_or_x(asked_n)
+    off = minus(new_c, old_c)
+    far = F.sqrt(dot(off, off)) > max(1e-4, sum(spacing) / 3 * 1e-3)
+    ahead, back = minus(new_n, old_n), tuple(a + b for a, b in zip(new_n, old_n, strict=True))
+    turned = (norm(asked_n) > 1e-12) & (F.sqrt(F.least(dot(ahead, ahead), dot(back, back))) > least_turn)
+    rows = rows.withColumns({"_far": F.coalesce(far, F.lit(False)), "_turned": F.coalesce(turned, F.lit(False))}).where("_far OR _turned")
+    at = {f"c{c}": F.when(F.col("_far"), v).otherwise(F.col(f"c{c}")) for c, v in zip("xyz", new_c, strict=True)}
+    along = {f"n{c}": F.when(F.col("_turned"), v).otherwise(F.col(f"n{c}")) for c, v in zip("xyz", new_n, strict=True)}
+    return rows.select(*[{**at, **along}.get(c, F.col(c)).alias(c) for c in planes.columns])
+
+
 def replace_planes(planes: DataFrame) -> DataFrame:
     """Planes with unit normals, defaults for what is missing (label 1, path 0, distance 0), numbered anew by case."""
     n = unit_or_x(vec("n"))

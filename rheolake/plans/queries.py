@@ -627,6 +627,24 @@ def plane_edits(spark, d):
     return rounded(edit.replace_planes(table).select("case_id", "plane_index", "nx", "ny", "nz", "label"), "nx", "ny", "nz")
 
 
+@query(f"""WITH {L_SQL}, p AS (SELECT case_id, path_id, x, y, z, sqrt(x * x + y * y + z * z) AS l, path_id % 4 IN (2) AS far, CASE WHEN path_id % 4 = 2 THEN 0.01 ELSE 0.0 END AS up,
+  path_id % 3 AS kind, z + 0.5 AS w, sqrt(x * x + y * y + (z + 0.5) * (z + 0.5)) AS m FROM pts WHERE seq = 0 AND abs(x) + abs(y) + abs(z) > 0),
+d AS (SELECT *, kind = 1 AND least((x / m - x / l) ** 2 + (y / m - y / l) ** 2 + (w / m - z / l) ** 2, (x / m + x / l) ** 2 + (y / m + y / l) ** 2 + (w / m + z / l) ** 2) > 1e-10 AS turned FROM p)
+SELECT case_id, path_id AS plane_index, {s6('z + up')} AS cz, {s6('CASE WHEN turned THEN x / m ELSE x / l END')} AS nx, {s6('CASE WHEN turned THEN y / m ELSE y / l END')} AS ny,
+  {s6('CASE WHEN turned THEN w / m ELSE z / l END')} AS nz FROM d WHERE far OR turned""")
+def plane_moves(spark, d):
+    """Centres that move by half the tolerance or ten times it; normals that turn, flip, or have no length."""
+    rows = src.paths(spark, d).where("seq = 0 AND abs(x) + abs(y) + abs(z) > 0")
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    heads = rows.select("case_id", F.col("path_id").alias("plane_index"), *[F.col(c).alias(f"c{c}") for c in "xyz"], *[(F.col(c) / length).alias(f"n{c}") for c in "xyz"])
+    up = F.when(F.col("path_id") % 4 == 1, 0.0005).when(F.col("path_id") % 4 == 2, 0.01).when(F.col("path_id") % 4 == 0, 0.0)
+    factor = F.when(F.col("path_id") % 3 == 0, -1.0).when(F.col("path_id") % 3 == 1, 1.0).otherwise(0.0)
+    more = F.when(F.col("path_id") % 3 == 1, 0.5).otherwise(0.0)
+    asked = rows.select("case_id", F.col("path_id").alias("plane_index"), (F.col("z") + up).alias("cz"), (F.col("x") * factor).alias("nx"), (F.col("y") * factor).alias("ny"), (F.col("z") * factor + more).alias("nz"))
+    moved = edit.moved_planes(heads, asked)
+    return rounded(moved.select("case_id", "plane_index", "cz", "nx", "ny", "nz"), "cz", "nx", "ny", "nz")
+
+
 # ------------------------------------------------------------------------------------------------------- views and picks
 
 
