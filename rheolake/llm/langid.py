@@ -39,6 +39,9 @@ from rheolake.llm.common import bound_batches, per_worker, share, table
 #: Bounds of the labelled sample: texts and characters per language; whole texts of at most so many characters come
 #: first, longer ones only where those do not suffice.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_DOC_CHARS = 400, 60_000, 2_000
+#: Longer texts do not teach (they are predicted like all others), so a sample has at most SAMPLE_CHARS + SAMPLE_TEXT_CHARS
+#: characters a language; a language of longer texts only is not learned.
+SAMPLE_TEXT_CHARS = 200_000
 BLOCK = 2_048
 #: Blocks parsed in step with each other.
 LANES = 4_096
@@ -159,24 +162,23 @@ class Model:
         begin = np.repeat(first, counts) + BLOCK * no
         length = np.minimum(begin + BLOCK, np.repeat(first + size, counts)) - begin
         order = np.argsort(-length, kind="stable")  # long blocks first, so that those still running lie in front
-        out = np.zeros((len(codes), len(self.parsers)), np.int64)
-        starts = np.zeros((len(self.parsers), len(whole)), bool)
-        ended = np.zeros((len(self.parsers), len(begin)), np.int32)
+        runs = []  # lanes that step together, their letters by step, how many still run at each step
         for k in range(0, len(order), LANES):
             lanes = order[k : k + LANES]
-            steps = int(length[lanes[0]])
-            at = begin[lanes][:, None] + np.arange(steps)[None, :]
-            grid = np.ascontiguousarray(whole[np.minimum(at, len(whole) - 1)].T)  # [step, lane]
-            running = len(lanes) - np.searchsorted(length[lanes][::-1], np.arange(steps), side="right")
-            for j, parser in enumerate(self.parsers):
+            steps = np.arange(int(length[lanes[0]]))
+            grid = np.stack([whole[np.minimum(begin[lanes] + n, len(whole) - 1)] for n in steps]) if len(steps) else np.zeros((0, len(lanes)), np.int32)
+            runs.append((lanes, grid, (len(lanes) - np.searchsorted(length[lanes][::-1], steps, side="right")).tolist()))
+        out = np.zeros((len(codes), len(self.parsers)), np.int64)
+        for j, parser in enumerate(self.parsers):  # one language's starts at a time, so memory does not grow with the languages
+            starts, ended = np.zeros(len(whole), bool), np.zeros(len(begin), np.int32)
+            for lanes, grid, running in runs:
                 state, place = np.zeros(len(lanes), np.int32), begin[lanes].copy()
-                for step, n in enumerate(running.tolist()):
-                    state[:n], starts[j, place[:n]] = parser.step(state[:n], grid[step, :n])
+                for step, n in enumerate(running):
+                    state[:n], starts[place[:n]] = parser.step(state[:n], grid[step, :n])
                     place += 1
-                ended[j, lanes] = state
-        for j, parser in enumerate(self.parsers):
-            _join_blocks(parser, whole, begin, length, no, starts[j], ended[j])
-            out[:, j] = np.add.reduceat(starts[j], first, dtype=np.int64)
+                ended[lanes] = state
+            _join_blocks(parser, whole, begin, length, no, starts, ended)
+            out[:, j] = np.add.reduceat(starts, first, dtype=np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -231,7 +233,7 @@ def teaching_rows(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("text").alias("h"), "text")
-    ranked = rows.select("lang", "h", F.length("text").alias("n")).distinct()
+    ranked = rows.select("lang", "h", F.length("text").alias("n")).where(F.col("n") <= SAMPLE_TEXT_CHARS).distinct()
     key = [F.greatest("n", F.lit(SAMPLE_DOC_CHARS)), "h", "n"]
     for part in (["lang", F.pmod("h", F.lit(16))], ["lang"]):
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*key))).where(F.col("place") <= SAMPLE_DOCS)

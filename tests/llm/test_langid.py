@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -125,3 +126,22 @@ def test_ties_repeats_and_long_texts(spark, monkeypatch):
     assert len(texts["many"]) == 5 and "nobody" not in texts
     got = {(r.doc_id, r.lang_pred) for r in li.predict(docs, texts).collect()}
     assert (7, "a") in got and (7, "b") not in got and (8, "long") in got
+
+
+def test_memory_does_not_grow_with_languages_nor_long_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    codes, most = None, []
+    for languages in (4, 80):
+        model = li.Model({f"l{k:02}": [letters(200)] for k in range(languages)})
+        codes = [model.alphabet.encode(letters(300_000))]
+        tracemalloc.start()
+        model.phrases(codes)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.2 * most[0]
+    monkeypatch.setattr(li, "SAMPLE_TEXT_CHARS", 500)
+    docs = spark.createDataFrame([(1, letters(400), "a"), (2, letters(501), "a"), (3, letters(500), "b"), (4, letters(900), "c")], "doc_id long, text string, lang string")
+    texts = li.fit(docs)
+    assert {lang: [len(t) for t in own] for lang, own in texts.items()} == {"a": [400], "b": [500]}
+    assert {r.lang_pred for r in li.predict(docs, texts).collect()} <= {"a", "b"}
