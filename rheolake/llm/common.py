@@ -7,7 +7,9 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,21 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write to the shared folder in here is deleted at the end, so results must be written elsewhere by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        discard(spark, *made)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder that driver and executors share.
 
@@ -40,7 +57,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="rheolake-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
