@@ -1,7 +1,8 @@
 """A corpus in, token pieces out: the stages of the documents' pipeline.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; run() writes every stage's
-result to the shared folder and reads it back as the next one's docs, so a lost executor repeats one stage at most.
+result to the shared folder and reads it back as the next one's docs, so a lost executor repeats one stage at most.  What
+a stage wrote besides is deleted when its result is there.
 
 Defined cases: rows with a null doc_id take part in every stage (they teach nothing, come first among lines, and are never
 dropped as near-duplicates); null and empty texts are judged like others, and texts without words are copies of each other;
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rheolake.llm import decontaminate, line_dedup, quality, sentencepieces, simhash
-from rheolake.llm.common import discard, shared_path, table
+from rheolake.llm.common import discard, scratch, shared_path, table
 
 #: Near-duplicate stage: five-word shingles; texts whose sets of them have a Jaccard similarity of LEAST link.  Groups of
 #: fingerprints that agree in 58 of 64 bits are candidates besides those of min-hashes.
@@ -65,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             discard(spark, before)
