@@ -1,6 +1,8 @@
 """The chain over the smallest tables, stage by stage, against plain versions of the operators."""
 
+import os
 import re
+from pathlib import Path
 
 import pytest
 
@@ -103,3 +105,11 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
         found = now.collect()
         assert all(r.kept == r["a.b"] == "x" and r.round_trip for r in found)
         assert bool(found) == (table is docs)
+
+
+def test_nothing_stays_but_the_result(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(os.listdir(shared))
+    found = cp.run(spark, SF)
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-sentencepieces") and found.count() > 0
