@@ -90,3 +90,79 @@ def test_scores_are_those_of_plain_formulas(spark):
         for found, want in zip((got[r[0]].content_score, got[r[0]].metadata_score, got[r[0]].quality_score), (*logits, both), strict=True):
             assert abs(found - 1 / (1 + np.exp(-np.clip(want, -40, 40)))) < 1e-6
     assert all(got[i].accepted == (i % 3 > 0) for i in range(120))
+
+
+def plain_logistic(x, y):
+    """The minimum of the ridge loss, by a general method, on features scaled by their own mean and deviation."""
+    n, mean = len(x), [sum(c) / len(x) for c in zip(*x)]
+    scale = [(sum((v - m) ** 2 for v in c) / n) ** 0.5 + 1e-3 for c, m in zip(zip(*x), mean)]
+    z = np.array([[*((v - m) / s for v, m, s in zip(r, mean, scale)), 1.0] for r in x])
+    ridge = np.array([1.0] * len(mean) + [1e-6])
+    signs, w = 2.0 * np.array(y) - 1, np.zeros(z.shape[1])
+    loss = lambda w: np.logaddexp(0, -signs * (z @ w)).sum() + (ridge * w * w).sum() / 2
+    slope = lambda w: -(z * (signs / (1 + np.exp(signs * (z @ w))))[:, None]).sum(0) + ridge * w
+    inverse, g = np.eye(len(w)), slope(w)
+    for _ in range(3000):  # BFGS with halved steps
+        step = -inverse @ g
+        size = 1.0
+        while loss(w + size * step) > loss(w) + 1e-4 * size * (g @ step) and size > 1e-12:
+            size /= 2
+        new = w + size * step
+        s, d = new - w, slope(new) - g
+        if np.abs(d).max() < 1e-13 or s @ d <= 0:
+            break
+        r, e = 1 / (d @ s), np.eye(len(w))
+        inverse = (e - r * np.outer(s, d)) @ inverse @ (e - r * np.outer(d, s)) + r * np.outer(s, s)
+        w, g = new, slope(new)
+    return lambda row: sum(a * (v - m) / s for a, v, m, s in zip(w, row, mean, scale)) + w[-1]
+
+
+def test_co_training_against_a_plain_version():
+    """Fits by another method, rounds, calibration and combination written out row by row."""
+    rng = np.random.default_rng(21)
+    truth = rng.integers(0, 2, 260)
+    parts = [(truth[:, None] * 1.2 + rng.normal(0, 1, (260, k))).astype(np.float32) for k in (3, 2)]
+    label = [int(truth[i]) if i < 90 else -1 for i in range(260)]
+    apart = [i % 3 == 0 for i in range(260)]
+    taught = [{i: label[i] for i in range(90) if not apart[i]} for _ in parts]
+    rows = [[list(map(float, r)) for r in x] for x in parts]
+    shared = 0
+    for turn in range(4):
+        views = [plain_logistic([x[i] for i in sorted(own)], [own[i] for i in sorted(own)]) for x, own in zip(rows, taught)]
+        if turn == 3:
+            break
+        for teacher, pupil in ((0, 1), (1, 0)):
+            for i in range(90, 260):
+                p = 1 / (1 + np.exp(-views[teacher](rows[teacher][i])))
+                if p >= 0.97 or p <= 0.03:
+                    taught[pupil][i] = int(p >= 0.97)
+                    shared += 1
+    held = [i for i in range(90) if apart[i]]
+    raw = [[view(r) for r in x] for view, x in zip(views, rows)]
+    fits = [plain_logistic([[z[i]] for i in held], [label[i] for i in held]) for z in raw]
+    both = [[fit([z[i]]) for fit, z in zip(fits, raw)] for i in range(260)]
+    last = plain_logistic([both[i] for i in held], [label[i] for i in held])
+    want = [*zip(*both), [last(b) for b in both]]
+    got = q.co_train(parts, np.array(label), np.array(apart)).score(parts)
+    assert shared > 50
+    for found, logits in zip(got, want, strict=True):
+        assert np.abs(found - 1 / (1 + np.exp(-np.array(logits)))).max() < 1e-4
+
+
+def test_features_against_counts_by_hand():
+    text = "ab ab c.\nab ab c.\nA longer line of this text that ends without a stop\n"
+    words = text.split()
+    raw = text.encode()
+    row = q.content_features([text])[0]
+    for byte in range(256):
+        assert abs(row[byte] ** 2 - raw.count(bytes([byte])) / len(raw)) < 1e-6
+    repeated = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    want = [np.log(1 + len(words)), (len(set(words)) / len(words)) ** 0.5, (4 / len(words)) ** 0.5, (repeated / len(words)) ** 0.5, np.log(1 + len(raw) / len(words))]
+    assert words.count("ab") == 4 and repeated == 2 and np.allclose(row[256:], want, atol=1e-6)
+    lengths = [8, 8, 51, 0]
+    assert [len(x) for x in text.split("\n")] == lengths
+    mean = sum(lengths) / 4
+    layout = [np.log(5), np.log(1 + mean), np.log(1 + (sum((n - mean) ** 2 for n in lengths) / 4) ** 0.5), 3 / 4, 3 / 4, 2 / 4]
+    got = q.metadata_features(["en"], [None], [len(text)], [text])[0]
+    assert np.allclose(got[-6:], layout, atol=1e-6) and np.allclose(got[-9:-6], [np.log(1 + len(text)), np.log(1 + len(text)) ** 2, 0], atol=1e-5)
+    assert got[:16].sum() == 1 and got[16:80].sum() == 1
