@@ -42,6 +42,7 @@ def cut_area(normal: tuple[Column, Column, Column], offset: Column, sides: tuple
             at = d / a[on[0]]
             area = F.when((at >= 0) & (at < s[on[0]]), flat).otherwise(0.0)
         else:
+            below = a[on[0]] * a[on[1]] * (a[on[2]] * 2.0 if m == 3 else 1.0)
             total: Column = F.lit(0.0)
             for chosen in product((0, 1), repeat=m):
                 reach = d
@@ -49,9 +50,8 @@ def cut_area(normal: tuple[Column, Column, Column], offset: Column, sides: tuple
                     if bit:
                         reach = reach - a[n] * s[n]
                 term = F.greatest(reach, F.lit(0.0))
-                total = total + (-1.0) ** sum(chosen) * (term if m == 2 else term * term)
-            below = a[on[0]] * a[on[1]] * (a[on[2]] * 2.0 if m == 3 else 1.0)
-            area = flat * F.greatest(total, F.lit(0.0)) / below
+                total = total + F.lit((-1.0) ** sum(chosen)) / below * (term if m == 2 else term * term)
+            area = flat * F.greatest(total, F.lit(0.0))
         out = F.when(is_this, area).otherwise(out)
     return out
 
@@ -63,7 +63,8 @@ CUBE = 16
 def cut_voxels(planes: DataFrame, mask: DataFrame, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> DataFrame:
     """Voxels that planes cut, with the area of each: planes(case_id, plane_index, cx..cz, nx..nz), mask(case_id, i, j, k).
 
-    Planes of a case meet the cubes that its voxels lie in, and the voxels of those cubes only that they reach.
+    Planes of a case meet the cubes that its voxels lie in, and the voxels of those cubes only that they reach.  Centres,
+    spacing and origin that are decimals or integers are subtracted as such, without a binary fraction's error.
     """
     n = unit_or_x(vec("n"))
     flat = planes.select("case_id", "plane_index", "cx", "cy", "cz", *[v.alias(f"n{c}") for v, c in zip(n, "xyz", strict=True)])
@@ -76,7 +77,7 @@ def cut_voxels(planes: DataFrame, mask: DataFrame, spacing=(1.0, 1.0, 1.0), orig
     low = [F.col(c) * s + o for c, s, o in zip("ijk", spacing, origin, strict=True)]
     offset = dot(vec("n"), (F.col("cx") - low[0], F.col("cy") - low[1], F.col("cz") - low[2]))
     near = placed.join(hit, place).withColumn("offset", offset).where(F.abs("offset") <= reach)
-    return near.withColumn("area", cut_area(vec("n"), F.col("offset"), spacing)).where("area > 0").drop("offset", "bi", "bj", "bk")
+    return near.withColumn("area", cut_area(vec("n"), F.col("offset"), spacing)).where("area > 0").drop("offset", "bi", "bj", "bk").withColumns({c: F.col(c).cast("double") for c in ("cx", "cy", "cz")})
 
 
 def flow_samples(cut: DataFrame, flow: DataFrame, branch: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:

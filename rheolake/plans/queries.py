@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -898,10 +899,10 @@ def _tilted(spark, d) -> DataFrame:
     case = F.col("case_id")
     parts = (case % 5 - 2, F.floor(case / 5) % 5 - 2, F.floor(case / 25) % 5 - 2)
     head = src.volume_meta(spark, d).select(
-        "case_id", F.lit(0).alias("plane_index"), (case % 7).cast("int").alias("path_id"), *[F.lit(v).alias(f"c{c}") for c, v in zip("xyz", _MIDDLE, strict=True)],
+        "case_id", F.lit(0).alias("plane_index"), (case % 7).cast("int").alias("path_id"), *[F.lit(Decimal(str(v))).alias(f"c{c}") for c, v in zip("xyz", _MIDDLE, strict=True)],
         *[v.cast("double").alias(f"n{c}") for c, v in zip("xyz", parts, strict=True)],
     )
-    cut = planes.cut_voxels(head, src.masks(spark, d).drop("voxel")).where("area > 1e-9")
+    cut = planes.cut_voxels(head, src.masks(spark, d).drop("voxel"), (1, 1, 1), (0, 0, 0)).where("area > 1e-9")
     return polygons.polygons(cut.join(head.select("case_id", "plane_index", "path_id"), ["case_id", "plane_index"]))
 
 
