@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rheolake.operators import edit, graph, polyline
+from rheolake.operators import edit, graph, nearest, polyline
 
 POINTS = "case_id int, path_id int, seq int, x double, y double, z double"
 ASKED = "case_id int, query_id int, px double, py double, pz double"
@@ -67,3 +67,30 @@ def test_edits_that_add(spark):
     moved = spark.createDataFrame([(0, 1, 7.0, 4.0), (0, 8, 7.0, 4.0)], "case_id int, plane_index int, cx double, nx double")
     at = edit.update_planes(planes, moved).orderBy("plane_index").collect()
     assert [(r.plane_index, r.cx, round(r.nx, 6), round(r.nz, 6)) for r in at] == [(0, 0.0, 0.0, 1.0), (1, 7.0, round(4 / 17**0.5, 6), round(1 / 17**0.5, 6))]
+
+
+def test_few_candidates_where_all_is_crowded(spark):
+    """Two far points stretch the box, so that a grid over it has all others in one cell."""
+    rng = np.random.default_rng(11)
+    at = np.vstack([rng.normal(0, 1, (20_000, 3)), [[1e6, 0, 0], [0, -1e6, 0]]])
+    things = spark.createDataFrame([(0, n, *map(float, p)) for n, p in enumerate(at)], "case_id int, id int, x double, y double, z double")
+    asked = spark.createDataFrame([(0, q, *map(float, p)) for q, p in enumerate(rng.normal(0, 1, (100, 3)))], ASKED)
+    found = nearest.may_be_nearest(things.select("case_id", *nearest.point_box(), things["id"].alias("thing")), asked).groupBy("query_id").count().collect()
+    assert len(found) == 100 and max(r["count"] for r in found) < 100
+
+
+def test_long_edges_against_all_of_them(spark):
+    rng = np.random.default_rng(12)
+    at = rng.normal(0, 1, (600, 3))
+    nodes = spark.createDataFrame([(0, n, *map(float, p)) for n, p in enumerate(at)], "case_id int, node_id long, x double, y double, z double")
+    ends = np.array([(n, n + 1) for n in range(599)])
+    edges = spark.createDataFrame([(0, int(a), int(b)) for a, b in ends], "case_id int, src long, dst long")
+    ask = rng.normal(0, 1, (300, 3))
+    found = graph.pick_edge_or_node(nodes, edges, spark.createDataFrame([(0, q, *map(float, p)) for q, p in enumerate(ask)], ASKED)).collect()
+    a, d = at[ends[:, 0]], at[ends[:, 1]] - at[ends[:, 0]]
+    gap = ask[:, None] - a
+    off = gap - np.clip((gap * d).sum(2) / (d * d).sum(1), 0, 1)[..., None] * d
+    line, spot = np.sqrt((off * off).sum(2)), np.sqrt(((ask[:, None] - at) ** 2).sum(2))
+    want = {q: ("edge", line[q].argmin()) if line[q].min() < 0.7 * spot[q].min() else ("node", spot[q].argmin()) for q in range(300)}
+    assert {r.query_id: (r.picked, r.src if r.picked == "edge" else r.node_id) for r in found} == want
+    assert len({k for k, _ in want.values()}) == 2
