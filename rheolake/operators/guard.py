@@ -84,10 +84,11 @@ def apply_groups(df: DataFrame, keys: list[str], run: Callable, schema: object,
 
 
 def noted_schema(schema: object):
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     base = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    return StructType([*base.fields, *StructType.fromDDL(NOTE).fields])
+    may_be_null = [StructField(f.name, f.dataType) for f in base.fields]  # as they are in a note's row
+    return StructType([*may_be_null, *StructType.fromDDL(NOTE).fields])
 
 
 def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -204,9 +204,9 @@ def fork_consistency(forks: DataFrame, paths: DataFrame) -> DataFrame:
 
 def attach_consistency(metrics: DataFrame, path_ic: DataFrame, forks: DataFrame, fork_ic: DataFrame) -> DataFrame:
     """metrics with path_ic (1 where unknown) and the forks of its path: node, role, ic.  Incoming wins over outgoing."""
-    member = forks.select("case_id", "node", "incoming", F.explode(F.array_union("incoming", "outgoing")).alias("path_id"))
-    role = F.when(F.array_contains("incoming", F.col("path_id")), "incoming").otherwise("outgoing")
-    listed = member.withColumn("role", role).join(fork_ic.select("case_id", "node", "ic"), ["case_id", "node"])
+    side = lambda name: forks.select("case_id", "node", F.explode(name).alias("path_id"), F.lit(name).alias("role"))
+    member = side("incoming").unionByName(side("outgoing")).groupBy("case_id", "node", "path_id").agg(F.min("role").alias("role"))
+    listed = member.join(fork_ic.select("case_id", "node", "ic"), ["case_id", "node"])
     per_path = listed.groupBy("case_id", "path_id").agg(F.array_sort(F.collect_list(F.struct("node", "role", "ic"))).alias("fork_ic"))
     out = metrics.join(path_ic.select("case_id", "path_id", F.col("ic").alias("path_ic")), ["case_id", "path_id"], "left").join(per_path, ["case_id", "path_id"], "left")
     empty = F.array().cast(per_path.schema["fork_ic"].dataType)
