@@ -94,3 +94,11 @@ def test_long_edges_against_all_of_them(spark):
     want = {q: ("edge", line[q].argmin()) if line[q].min() < 0.7 * spot[q].min() else ("node", spot[q].argmin()) for q in range(300)}
     assert {r.query_id: (r.picked, r.src if r.picked == "edge" else r.node_id) for r in found} == want
     assert len({k for k, _ in want.values()}) == 2
+
+
+def test_samples_of_many_cells_are_not_broadcast(spark):
+    points = spark.createDataFrame([(0, 0, n, float(n), 0.0, 0.0) for n in range(5)], POINTS)
+    cells = spark.createDataFrame([(0, n, 0, 0) for n in range(5)], "case_id int, i int, j int, k int")
+    found = graph.nearest_path_labels(cells, points)
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "bx#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins) and found.count() == 5
