@@ -92,20 +92,32 @@ def gaussian_mask(components: DataFrame, sigma: float = 0.5, threshold: float =
     taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     taps /= taps.sum()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ijk = pdf[["i", "j", "k"]].to_numpy(np.int64)
-        lo = ijk.min(0)
-        box = np.zeros(ijk.max(0) - lo + 1)
-        box[tuple((ijk - lo).T)] = 1
-        for axis in range(3):
-            padded = np.pad(box, [(radius, radius) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
-            box = sum(w * np.take(padded, np.arange(n, n + box.shape[axis]), axis) for n, w in enumerate(taps))
-        kept = np.argwhere(box > threshold) + lo
-        out = pd.DataFrame(kept.astype(np.int32), columns=["i", "j", "k"])
-        return out.assign(case_id=pdf["case_id"].iloc[0])[["case_id", "i", "j", "k"]]
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ijk, case = pdf[["i", "j", "k"]].to_numpy(np.int64), pdf["case_id"].to_numpy()
+        counts = np.diff(np.r_[starts, len(pdf)])
+        lo = np.minimum.reduceat(ijk, starts)
+        sizes, kind = np.unique(np.maximum.reduceat(ijk, starts) - lo + 1, axis=0, return_inverse=True)
+        alike, ends = np.argsort(kind.ravel(), kind="stable"), np.cumsum(np.bincount(kind.ravel(), minlength=len(sizes)))
+        found = []
+        for size, first, last in zip(sizes, np.r_[0, ends[:-1]], ends, strict=True):  # boxes of a size, side by side
+            many = max(1, BOX_CELLS // int(size.prod()))
+            for at in range(first, last, many):
+                own = alike[at : min(at + many, last)]
+                number = np.repeat(np.arange(len(own)), counts[own])
+                rows = np.arange(len(number)) + np.repeat(starts[own] - np.cumsum(counts[own]) + counts[own], counts[own])
+                box = np.zeros((len(own), *size))
+                box[(number, *(ijk[rows] - lo[own][number]).T)] = 1
+                for axis in (1, 2, 3):
+                    padded = np.pad(box, [(radius, radius) if a == axis else (0, 0) for a in range(4)], mode="symmetric")
+                    box = sum(w * np.take(padded, np.arange(n, n + box.shape[axis]), axis) for n, w in enumerate(taps))
+                kept = np.argwhere(box > threshold)
+                group = own[kept[:, 0]]
+                place = (kept[:, 1:] + lo[group]).astype(np.int32)
+                found.append(pd.DataFrame({"case_id": case[starts[group]]} | {c: place[:, n] for n, c in enumerate("ijk")}))
+        return pd.concat(found, ignore_index=True)
 
     schema = f"case_id {components.schema['case_id'].dataType.simpleString()}, i int, j int, k int"
-    return apply_groups(components, ["case_id", "component"], run, schema)
+    return map_groups(components.select("case_id", "component", "i", "j", "k"), ["case_id", "component"], run, schema)
 
 
 # ------------------------------------------------------------------------------------------------------------- thinning

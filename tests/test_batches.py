@@ -56,3 +56,35 @@ def test_components_of_many_cases_are_those_of_each(spark):
             for p, v in own.items():
                 assert got[c, v] == min(own[x] for x in reach[p])
     assert kernels.connected_components(df.where(F.lit(False))).count() == 0
+
+
+def many_a_call(df):
+    """One kernel call for many groups: no function of Spark's that is called group by group."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "MapInPandas" in plan and "FlatMap" not in plan
+
+
+def test_smoothed_masks_of_many_components_are_those_of_each(spark):
+    rng = np.random.default_rng(10)
+    cells = [(c, *map(int, p + c), int(p[0] > 2) + 10) for c in range(40) for p in np.argwhere(rng.random(rng.integers(2, 7, 3)) < 0.6)]
+    got = kernels.gaussian_mask(spark.createDataFrame(cells, "case_id int, i int, j int, k int, component long"))
+    taps = np.exp(-2.0 * np.arange(-2, 3) ** 2)
+    taps /= taps.sum()
+    want = []
+    for c in range(40):
+        for own in (10, 11):
+            ijk = np.array([v[1:4] for v in cells if v[0] == c and v[4] == own])
+            if not len(ijk):
+                continue
+            lo, size = ijk.min(0), np.ptp(ijk, axis=0) + 1
+            box = np.zeros(size)
+            box[tuple((ijk - lo).T)] = 1
+            for axis in range(3):
+                n = size[axis]
+                at = np.arange(n)[:, None] + np.arange(-2, 3)
+                at = at % (2 * n)
+                at = np.where(at < n, at, 2 * n - 1 - at)  # mirrored
+                box = np.moveaxis((np.moveaxis(box, axis, 0)[at] * taps[None, :, None, None]).sum(1), 0, axis)
+            want += [(c, *map(int, p)) for p in np.argwhere(box > 0.5) + lo]
+    assert sorted((r.case_id, r.i, r.j, r.k) for r in got.collect()) == sorted(want) and want
+    assert many_a_call(got)
