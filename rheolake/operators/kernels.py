@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.operators.batches import map_groups
+from rheolake.operators.batches import beside, map_groups
 from rheolake.operators.guard import apply_groups
 from rheolake.operators.voxel import FACES
 
@@ -409,23 +409,30 @@ def nearest_region(cut: DataFrame) -> DataFrame:
 def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, relaxation: float = 0.01) -> DataFrame:
     """vertices(case_id, vid, x, y, z) moved towards the mean of their neighbours over edges(case_id, src, dst)."""
 
-    def run(pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vid", ignore_index=True)
-        at = {v: n for n, v in enumerate(pdf["vid"])}
-        a = links["src"].map(at).to_numpy(np.int64)
-        b = links["dst"].map(at).to_numpy(np.int64)
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
+        is_edge = pdf["_second"].to_numpy(bool)
+        ids, number = np.unique(pdf[["vid", "dst"]].to_numpy(), return_inverse=True)
+        number = group[:, None] * len(ids) + number.reshape(-1, 2)  # a case's own numbers
+        rows = np.flatnonzero(~is_edge)
+        rows = rows[np.argsort(number[rows, 0], kind="stable")]
+        own, ends = number[rows, 0], np.unique(number[is_edge], axis=0)
+        a, b = (np.searchsorted(own, e, "right") - 1 for e in ends.T)
+        if len(ends) and (not len(own) or (own[a] != ends[:, 0]).any() or (own[b] != ends[:, 1]).any()):
+            raise ValueError("an edge ends where no vertex is")
         a, b = np.r_[a, b], np.r_[b, a]
-        count = np.bincount(a, minlength=len(pdf))
-        p = pdf[["x", "y", "z"]].to_numpy(float)
+        count = np.bincount(a, minlength=len(rows))
+        out = pdf[["case_id", "vid", "x", "y", "z"]].iloc[rows].reset_index(drop=True)
+        p = out[["x", "y", "z"]].to_numpy(float)
         free = count > 0
         for _ in range(rounds):
-            mean = np.stack([np.bincount(a, p[b, n], len(pdf)) for n in range(3)], 1)[free] / count[free, None]
+            mean = np.stack([np.bincount(a, p[b, n], len(p)) for n in range(3)], 1)[free] / count[free, None]
             p[free] += relaxation * (mean - p[free])
-        pdf[["x", "y", "z"]] = p
-        return pdf
+        out[["x", "y", "z"]] = p
+        return out
 
-    rows = vertices.select("case_id", "vid", "x", "y", "z")
-    return apply_groups(rows, ["case_id"], run, rows.schema, _anew(edges.select("case_id", "src", "dst")))
+    rows = vertices.select("case_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return map_groups(beside(rows, edges.select("case_id", F.col("src").alias("vid"), "dst")), ["case_id"], run, rows.schema)
 
 
 class Field:

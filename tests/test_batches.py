@@ -88,3 +88,19 @@ def test_smoothed_masks_of_many_components_are_those_of_each(spark):
             want += [(c, *map(int, p)) for p in np.argwhere(box > 0.5) + lo]
     assert sorted((r.case_id, r.i, r.j, r.k) for r in got.collect()) == sorted(want) and want
     assert many_a_call(got)
+
+
+def test_smoothed_surfaces_of_many_cases_are_those_of_each(spark):
+    rng = np.random.default_rng(11)
+    sizes = rng.integers(2, 12, 30)
+    spots = [(c, 10**17 + 3 * n, *map(float, rng.normal(0, 1, 3))) for c, m in enumerate(sizes) for n in range(m)]  # the same numbers in each
+    links = sorted({(c, *sorted(map(int, 10**17 + 3 * rng.choice(m, 2, False)))) for c, m in enumerate(sizes) for _ in range(m)})
+    vertices, edges = spark.createDataFrame(spots, "case_id int, vid long, x double, y double, z double"), spark.createDataFrame(links, "case_id int, src long, dst long")
+    got = kernels.smooth_surface(vertices, edges, 20, 0.1)
+    p = {(c, v): np.array(x) for c, v, *x in spots}
+    near = {key: [(c, b if key[1] == a else a) for c, a, b in links if c == key[0] and key[1] in (a, b)] for key in p}
+    for _ in range(20):
+        p = {key: x + 0.1 * (np.mean([p[q] for q in near[key]], axis=0) - x) if near[key] else x for key, x in p.items()}
+    found = {(r.case_id, r.vid): (r.x, r.y, r.z) for r in got.collect()}
+    assert found.keys() == p.keys() and all(np.allclose(found[k], p[k], atol=1e-12) for k in p)
+    assert many_a_call(got)
