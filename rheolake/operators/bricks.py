@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rheolake.operators.batches import map_groups
-from rheolake.operators.kernels import ALL_STEPS, Field, laid_out, lattice_links, merge_labels, peel
+from rheolake.operators.batches import beside, map_groups
+from rheolake.operators.kernels import ALL_STEPS, LINE_ROWS, fields, laid_out, lattice_links, merge_labels, peel
 from rheolake.operators.rounds import component_of
 from rheolake.operators.voxel import FACES, offsets
 from rheolake.storage import discard, materialize
@@ -146,47 +146,46 @@ def streamlines(
     schema = f"case_id {kinds['case_id']}, t {kinds['t']}, line_id {kinds['line_id']}, seq int, x double, y double, z double, speed double, bi int, bj int, bk int, going boolean"
     columns = [c.split()[0] for c in schema.split(", ")]
 
-    def run(own, cells: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(cells) or not len(pdf):
-            return pd.DataFrame(columns=columns)
-        along = Field(cells[["i", "j", "k"]].to_numpy(np.int64), cells[["vx", "vy", "vz"]].to_numpy(float), cell_size, size)
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         parts = []
+        places, bricks = pdf[["x", "y", "z"]].to_numpy(float), pdf[BRICK].to_numpy(np.int64)
+        seqs = pdf["seq"].to_numpy(np.int64)
 
-        def note(line, seq, p, speed, going):
+        def note(row, seq, p, speed, going):
             brick = np.floor(p).astype(np.int64) // side
-            parts.append(pd.DataFrame({"line_id": line, "seq": seq, "speed": speed, "going": going} | {c: p[:, n] for n, c in enumerate("xyz")} | {b: brick[:, n] for n, b in enumerate(BRICK)}))
-
-        here = np.array(own[2:], np.int64)
-        line, seq, p = pdf["line_id"].to_numpy(), pdf["seq"].to_numpy(np.int64), pdf[["x", "y", "z"]].to_numpy(float)
-        fresh = seq == 0
-        speed = along.speed(p[fresh])
-        good = speed >= least_speed
-        seed_line, seed_p = line[fresh][good], p[fresh][good]
-        note(seed_line, np.zeros(len(seed_line), np.int64), seed_p, speed[good], False)
-        # a seed goes both ways; a point that came from another brick goes on its way
-        line = np.r_[line[~fresh], seed_line, seed_line]
-        way = np.r_[np.sign(seq[~fresh]), np.ones(len(seed_line), np.int64), -np.ones(len(seed_line), np.int64)]
-        done = np.r_[np.abs(seq[~fresh]), np.zeros(2 * len(seed_line), np.int64)]
-        p = np.concatenate([p[~fresh], seed_p, seed_p])
-        on = done < max_steps
-        line, way, done, p = line[on], way[on], done[on], p[on]
-        while len(p):
-            p = along.ahead(p, way[:, None])
-            done = done + 1
-            speed = along.speed(p)
-            on = speed >= least_speed
-            line, way, done, p, speed = line[on], way[on], done[on], p[on], speed[on]
-            leaves = (np.floor(p).astype(np.int64) // side != here).any(1) & (done < max_steps)
-            note(line, way * done, p, speed, leaves)
-            on = ~leaves & (done < max_steps)
-            line, way, done, p = line[on], way[on], done[on], p[on]
-        out = pd.concat(parts, ignore_index=True)
-        return out.assign(case_id=own[0], t=own[1])[columns]
+            named = pdf[["case_id", "t", "line_id"]].iloc[row].reset_index(drop=True)
+            parts.append(named.assign(seq=seq, speed=speed, going=going, **{c: p[:, n] for n, c in enumerate("xyz")}, **{b: brick[:, n] for n, b in enumerate(BRICK)})[columns])
+
+        for along, rows, group in fields(pdf, starts, cell_size, size):
+            seq, p = seqs[rows], places[rows]
+            fresh = seq == 0
+            speed = along.speed(p[fresh], group[fresh])
+            good = speed >= least_speed
+            seed, seed_group = rows[fresh][good], group[fresh][good]
+            note(seed, np.zeros(len(seed), np.int64), places[seed], speed[good], False)
+            # a seed goes both ways; a point that came from another brick goes on its way
+            row, own = np.r_[rows[~fresh], seed, seed], np.r_[group[~fresh], seed_group, seed_group]
+            way = np.r_[np.sign(seq[~fresh]), np.ones(len(seed), np.int64), -np.ones(len(seed), np.int64)]
+            done = np.r_[np.abs(seq[~fresh]), np.zeros(2 * len(seed), np.int64)]
+            p = places[row]
+            on = done < max_steps
+            row, own, way, done, p = row[on], own[on], way[on], done[on], p[on]
+            while len(p):
+                p = along.ahead(p, way[:, None], own)
+                done = done + 1
+                speed = along.speed(p, own)
+                on = speed >= least_speed
+                row, own, way, done, p, speed = row[on], own[on], way[on], done[on], p[on], speed[on]
+                leaves = (np.floor(p).astype(np.int64) // side != bricks[row]).any(1) & (done < max_steps)
+                note(row, way * done, p, speed, leaves)
+                on = ~leaves & (done < max_steps)
+                row, own, way, done, p = row[on], own[on], way[on], done[on], p[on]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
 
     found = None
     while not live.isEmpty():
         asked = field.join(live.select(key).distinct(), key, "left_semi")
-        part = materialize(asked.groupBy(*key).cogroup(live.groupBy(*key)).applyInPandas(run, schema), "lines")
+        part = materialize(map_groups(beside(asked, live), key, run, schema, LINE_ROWS), "lines")
         rows = part.drop("going", *BRICK)
         found = rows if found is None else found.unionByName(rows)
         before, live = live, materialize(part.where("going").drop("going", "speed"), "points")

@@ -5,6 +5,7 @@ Only voxels of a mask, points of a path or edges of a graph travel, so a group i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -19,11 +20,6 @@ from rheolake.operators.voxel import FACES
 ALL_STEPS = tuple(s for s in product((-1, 0, 1), repeat=3) if any(s))
 
 
-def _anew(df: DataFrame) -> DataFrame:
-    """df with columns of its own, so that it can meet a table it was made from."""
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def merge_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest number that each of n nodes reaches over edges (a, b): hooking and pointer jumping."""
     label = np.arange(n)
@@ -436,72 +432,109 @@ def smooth_surface(vertices: DataFrame, edges: DataFrame, rounds: int = 200, rel
 
 
 class Field:
-    """Velocities (m/s) of voxels, zero elsewhere, and fourth-order steps of equal length along them."""
-
-    def __init__(self, ijk: np.ndarray, cm_per_s: np.ndarray, cell_size: np.ndarray, step: float):
-        self.lo, self.cell_size, self.step = ijk.min(0), cell_size, step
-        self.box = np.zeros((*(ijk.max(0) - self.lo + 1), 3))
-        self.box[tuple((ijk - self.lo).T)] = cm_per_s
-
-    def at(self, p: np.ndarray) -> np.ndarray:
-        cell = np.floor(p).astype(np.int64) - self.lo
-        inside = ((cell >= 0) & (cell < self.box.shape[:3])).all(1)
+    """Velocities (m/s) of voxels, zero elsewhere, and fourth-order steps of equal length along them; of many groups of voxels,
+    the rows from one start to the next, whose number each point names."""
+
+    def __init__(self, ijk: np.ndarray, cm_per_s: np.ndarray, cell_size: np.ndarray, step: float, starts: np.ndarray):
+        self.lo, self.cell_size, self.step = np.minimum.reduceat(ijk, starts), cell_size, step
+        self.size = np.maximum.reduceat(ijk, starts) - self.lo + 1
+        cells = self.size.prod(1)
+        self.first = np.cumsum(cells) - cells
+        self.box = np.zeros((cells.sum(), 3))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ijk)]))
+        self.box[self.number(ijk - self.lo[group], group)] = cm_per_s
+
+    def number(self, cell: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return self.first[group] + (cell[:, 0] * self.size[group, 1] + cell[:, 1]) * self.size[group, 2] + cell[:, 2]
+
+    def at(self, p: np.ndarray, group: np.ndarray) -> np.ndarray:
+        cell = np.floor(p).astype(np.int64) - self.lo[group]
+        inside = ((cell >= 0) & (cell < self.size[group])).all(1)
         out = np.zeros((len(p), 3))
-        out[inside] = self.box[tuple(cell[inside].T)] / 100.0
+        out[inside] = self.box[self.number(cell[inside], group[inside])] / 100.0
         return out
 
-    def speed(self, p: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(self.at(p), axis=1)
+    def speed(self, p: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(self.at(p, group), axis=1)
 
-    def unit(self, p: np.ndarray, way: np.ndarray | float) -> np.ndarray:
-        v = self.at(p)
+    def unit(self, p: np.ndarray, way: np.ndarray | float, group: np.ndarray) -> np.ndarray:
+        v = self.at(p, group)
         return way * v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12) / self.cell_size
 
-    def ahead(self, p: np.ndarray, way: np.ndarray | float) -> np.ndarray:
+    def ahead(self, p: np.ndarray, way: np.ndarray | float, group: np.ndarray) -> np.ndarray:
         step = self.step
-        k1 = self.unit(p, way)
-        k2 = self.unit(p + step / 2 * k1, way)
-        k3 = self.unit(p + step / 2 * k2, way)
-        k4 = self.unit(p + step * k3, way)
+        k1 = self.unit(p, way, group)
+        k2 = self.unit(p + step / 2 * k1, way, group)
+        k3 = self.unit(p + step / 2 * k2, way, group)
+        k4 = self.unit(p + step * k3, way, group)
         return p + step / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
 
 
+#: Rows after which lines are followed: a row may begin a long one.
+LINE_ROWS = 20_000
+
+
+def fields(pdf: pd.DataFrame, starts: np.ndarray, cell_size: np.ndarray, step: float) -> Iterator[tuple[Field, np.ndarray, np.ndarray]]:
+    """The fields of groups of voxels and points (see beside) that have both, BOX_CELLS cells at a time, with the rows of
+    their points and the points' groups in the field."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
+    is_point = pdf["_second"].to_numpy(bool)
+    both = np.intersect1d(group[~is_point], group[is_point])
+    if not len(both):
+        return
+    of = np.full(len(starts), -1)
+    of[both] = np.arange(len(both))
+    voxels, points = (np.flatnonzero(kind & (of[group] >= 0)) for kind in (~is_point, is_point))
+    ijk, speeds = pdf[["i", "j", "k"]].to_numpy(np.int64)[voxels], pdf[["vx", "vy", "vz"]].to_numpy(float)[voxels]
+    begin, ask = (np.searchsorted(of[group[rows]], np.arange(len(both) + 1)) for rows in (voxels, points))
+    cells = (np.maximum.reduceat(ijk, begin[:-1]) - np.minimum.reduceat(ijk, begin[:-1]) + 1).prod(1)
+    first = 0
+    while first < len(both):
+        last, held = first + 1, cells[first]
+        while last < len(both) and held + cells[last] <= BOX_CELLS:
+            held, last = held + cells[last], last + 1
+        own, asked = slice(begin[first], begin[last]), points[ask[first] : ask[last]]
+        yield Field(ijk[own], speeds[own], cell_size, step, begin[first:last] - begin[first]), asked, of[group[asked]] - first
+        first = last
+
+
 def streamlines(flow: DataFrame, seeds: DataFrame, spacing=(1.0, 1.0, 1.0), step: float = 0.5, max_steps: int = 2000, least_speed: float = 0.01) -> DataFrame:
     """Lines of the flow(case_id, t, i, j, k, vx, vy, vz in cm/s) through seeds(case_id [, t], line_id, x, y, z), in voxel units.
 
     Fourth-order steps of equal length in space (``step`` times the least spacing), both ways from the seed (seq counts from
     it, negative upstream), until the flow is slower than least_speed (m/s, like speed), the line leaves the mask, or the
-    steps run out.  A task has one case and time.
+    steps run out.  A case and time is in one task, which follows many small ones at a time.
     """
     cell_size = np.array(spacing, float)
     step = step * cell_size.min()
 
-    def run(key, field: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         columns = ["case_id", "t", "line_id", "seq", "x", "y", "z", "speed"]
-        if not len(field) or not len(pdf):
+        places, parts = pdf[["x", "y", "z"]].to_numpy(float), []
+        for along, rows, group in fields(pdf, starts, cell_size, step):
+            speed = along.speed(places[rows], group)
+            good = speed >= least_speed
+            rows, group = rows[good], group[good]
+            parts.append((rows, np.zeros(len(rows), int), places[rows], speed[good]))
+            for way in (1.0, -1.0):
+                p, row, own = places[rows], rows, group
+                for n in range(1, max_steps + 1):
+                    p = along.ahead(p, way, own)
+                    s = along.speed(p, own)
+                    on = s >= least_speed
+                    p, row, own = p[on], row[on], own[on]
+                    if not len(p):
+                        break
+                    parts.append((row, np.full(len(p), int(way) * n), p, s[on]))
+        if not parts:
             return pd.DataFrame(columns=columns)
-        along = Field(field[["i", "j", "k"]].to_numpy(np.int64), field[["vx", "vy", "vz"]].to_numpy(float), cell_size, step)
-        start = pdf[["x", "y", "z"]].to_numpy(float)
-        speed = along.speed(start)
-        ids = pdf["line_id"].to_numpy()
-        good = speed >= least_speed
-        parts = [(ids[good], np.zeros(good.sum(), int), start[good], speed[good])]
-        for way in (1.0, -1.0):
-            p, own = start[good], ids[good]
-            for n in range(1, max_steps + 1):
-                p = along.ahead(p, way)
-                s = along.speed(p)
-                on = s >= least_speed
-                p, own = p[on], own[on]
-                if not len(p):
-                    break
-                parts.append((own, np.full(len(p), int(way) * n), p, s[on]))
-        line, seq, p, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-        out = pd.DataFrame({"case_id": key[0], "t": key[1], "line_id": line, "seq": seq, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "speed": s})
-        return out.sort_values(["line_id", "seq"])[columns]
+        row, seq, p, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((seq, row))
+        named = pdf[["case_id", "t", "line_id"]].iloc[row[order]].reset_index(drop=True)
+        return named.assign(seq=seq[order], x=p[order, 0], y=p[order, 1], z=p[order, 2], speed=s[order])[columns]
 
     kinds = {f.name: f.dataType.simpleString() for f in flow.schema}
     at_times = seeds if "t" in seeds.columns else seeds.join(flow.select("case_id", "t").distinct(), "case_id")
-    every = at_times.select("case_id", "t", "line_id", "x", "y", "z")
+    every = at_times.select("case_id", "t", "line_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
     schema = f"case_id {kinds['case_id']}, t {kinds['t']}, line_id {dict(seeds.dtypes)['line_id']}, seq int, x double, y double, z double, speed double"
-    return apply_groups(flow, ["case_id", "t"], run, schema, _anew(every), keyed=True)
+    return map_groups(beside(flow.select("case_id", "t", "i", "j", "k", "vx", "vy", "vz"), every), ["case_id", "t"], run, schema, LINE_ROWS)

@@ -104,3 +104,34 @@ def test_smoothed_surfaces_of_many_cases_are_those_of_each(spark):
     found = {(r.case_id, r.vid): (r.x, r.y, r.z) for r in got.collect()}
     assert found.keys() == p.keys() and all(np.allclose(found[k], p[k], atol=1e-12) for k in p)
     assert many_a_call(got)
+
+
+def test_lines_of_many_cases_are_those_of_each(spark):
+    rng = np.random.default_rng(12)
+    flow = [(c, 0, *map(int, p), *map(float, rng.normal(20, 40, 3))) for c in range(12) for p in np.argwhere(rng.random((5, 4, 3)) < 0.9) + c]
+    seeds = [(c, n, *map(float, rng.uniform(0, 3, 3) + c)) for c in range(1, 14) for n in range(4)]  # case 0 without seeds, 12 and 13 without flow
+    got = kernels.streamlines(
+        spark.createDataFrame(flow, "case_id int, t int, i int, j int, k int, vx double, vy double, vz double"),
+        spark.createDataFrame(seeds, "case_id int, line_id int, x double, y double, z double"), max_steps=15,
+    )
+    field = {(c, i, j, k): np.array(v) / 100 for c, _, i, j, k, *v in flow}
+    want = {}
+    for c, line, *p in seeds:
+        at = lambda p: field.get((c, *map(int, np.floor(p))), np.zeros(3))  # noqa: B023, E731
+        unit = lambda p, way: way * at(p) / (np.linalg.norm(at(p)) + 1e-12)  # noqa: B023, E731
+        if np.linalg.norm(at(p)) < 0.01:
+            continue
+        want[c, line, 0] = np.array(p)
+        for way in (1, -1):
+            q = np.array(p)
+            for n in range(1, 16):
+                a = unit(q, way)
+                b = unit(q + 0.25 * a, way)
+                d = unit(q + 0.25 * b, way)
+                q = q + 0.5 / 6 * (a + 2 * b + 2 * d + unit(q + 0.5 * d, way))
+                if np.linalg.norm(at(q)) < 0.01:
+                    break
+                want[c, line, way * n] = q
+    found = {(r.case_id, r.line_id, r.seq): (r.x, r.y, r.z) for r in got.collect()}
+    assert found.keys() == want.keys() and all(np.allclose(found[k], want[k], atol=1e-9) for k in want)
+    assert many_a_call(got)

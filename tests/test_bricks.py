@@ -124,3 +124,17 @@ def test_engine_by_bricks(spark):
     for step, columns in (("skeleton", ("case_id", "i", "j", "k")), ("edges", ("case_id", "src", "dst")), ("raw_paths", ("case_id", "path_id", "seq", "node_id"))):
         want = rows_of(whole.step(step), *columns)
         assert want and rows_of(cut.step(step), *columns) == want
+
+
+def test_brick_lines_are_followed_many_a_call(spark, monkeypatch):
+    """Bricks are small and many: none has a call of its own."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    flow = spark.createDataFrame([(c, 0, i, j, 0, 60.0, 10.0 * (j + c), 0.0) for c in range(5) for i in range(6) for j in range(5)], "case_id int, t int, i int, j int, k int, vx double, vy double, vz double")
+    seeds = spark.createDataFrame([(c, 0, 0.5, 1.5, 0.5) for c in range(5)], "case_id int, line_id int, x double, y double, z double")
+    columns = ["case_id", "t", "line_id", "seq", "x", "y", "z", "speed"]
+    want = rows_of(kernels.streamlines(flow, seeds, max_steps=40), *columns)
+    monkeypatch.setattr(Frame, "groupBy", lambda *_: pytest.fail("a call for each brick"))
+    found = bricks.streamlines(flow, seeds, max_steps=40, side=2)
+    monkeypatch.undo()
+    assert rows_of(found, *columns) == want and len(want) > 20
