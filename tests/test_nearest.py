@@ -102,3 +102,14 @@ def test_samples_of_many_cells_are_not_broadcast(spark):
     found = graph.nearest_path_labels(cells, points)
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "bx#" in line]
     assert joins and all("SortMergeJoin" in line for line in joins) and found.count() == 5
+
+
+def test_pieces_of_edges_are_kept_without_boxes(spark, monkeypatch):
+    """A piece is its edge and a number; its box, which would more than double what is shuffled and written, is made when needed."""
+    kept, real = {}, nearest.materialize
+    monkeypatch.setattr(nearest, "materialize", lambda df, name: kept.setdefault(name, []).append(df.columns) or real(df, name))
+    nodes = spark.createDataFrame([(0, n, float(n % 7), float(n % 5), 0.0) for n in range(60)], "case_id int, node_id long, x double, y double, z double")
+    edges = spark.createDataFrame([(0, n, n + 1) for n in range(59)], "case_id int, src long, dst long")
+    asked = spark.createDataFrame([(0, 0, 0.5, 0.5, 0.0)], ASKED)
+    assert [(r.picked, r.src) for r in graph.pick_edge_or_node(nodes, edges, asked).collect()] == [("edge", 0)]
+    assert [c for c in kept["things"][-1] if c.startswith(("lo_", "hi_"))] == []
