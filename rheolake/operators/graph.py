@@ -210,6 +210,7 @@ def pick_edge_or_node(nodes: DataFrame, edges: DataFrame, queries: DataFrame, fa
     sides = edges.join(end("src", "a"), ["case_id", "src"]).join(end("dst", "b"), ["case_id", "dst"])
     ends = [f"{p}{c}" for p in "ab" for c in "xyz"]
     once = sides.where(finite(ends)).groupBy("case_id", *ends).agg(F.min(F.struct("src", "dst")).alias("e"))  # the first of those between the same places
+    once = materialize(once, "edges")  # read for the sizes of cases and for the pieces
     # long edges lie in boxes that hold much else, so they are found by their pieces
     wide = once.groupBy("case_id").agg(F.greatest(*[F.max(F.greatest(f"a{c}", f"b{c}")) - F.min(F.least(f"a{c}", f"b{c}")) for c in "xyz"]).alias("wide"))
     length = F.sqrt(dot(minus(vec("b"), vec("a")), minus(vec("b"), vec("a"))))
