@@ -113,3 +113,23 @@ def test_pieces_of_edges_are_kept_without_boxes(spark, monkeypatch):
     asked = spark.createDataFrame([(0, 0, 0.5, 0.5, 0.0)], ASKED)
     assert [(r.picked, r.src) for r in graph.pick_edge_or_node(nodes, edges, asked).collect()] == [("edge", 0)]
     assert [c for c in kept["things"][-1] if c.startswith(("lo_", "hi_"))] == []
+
+
+@pytest.mark.parametrize("kind", ["cloud", "lattice", "one place"])
+def test_near_edges(spark, kind, monkeypatch):
+    monkeypatch.setattr(graph, "AT_ONCE", 500)
+    rng = np.random.default_rng(11)
+    at = {"cloud": rng.normal(0, 2, (300, 3)), "lattice": rng.permutation(np.argwhere(np.ones((6, 6, 6))) - 3.0), "one place": np.full((60, 3), -2.0)}[kind]
+    rows = [(n % 2, 1000 - n, *map(float, p)) for n, p in enumerate(at)]
+    odd = [(0, 1, float("inf"), 0.0, 0.0), (0, 2, float("inf"), 0.0, 0.0), (0, 3, float("nan"), 0.0, 0.0), (0, 4, None, 0.0, 0.0), (0, 5, 1e30, 0.0, 0.0), (0, 6, 1e30, 0.5, 0.0)]
+    found = graph.near_edges(spark.createDataFrame(rows + odd, "case_id int, node_id long, x double, y double, z double"), 1.0)
+    near = {(a[0], *sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and sum((p - q) ** 2 for p, q in zip(a[2:], b[2:], strict=True)) <= 1.0}
+    assert found.dtypes == [("case_id", "int"), ("src", "bigint"), ("dst", "bigint")]
+    assert sorted(map(tuple, found.collect())) == sorted(near | {(0, 5, 6)})
+
+
+def test_near_edges_shuffle_few_copies(spark):
+    points = [(0, n, *map(float, p)) for n, p in enumerate(np.random.default_rng(3).normal(0, 2, (1000, 3)))]
+    met = graph.meetings(spark.createDataFrame(points, "case_id int, node_id long, x double, y double, z double"), 1.0)
+    assert met.where("at_home").count() == 1000
+    assert met.count() < 5 * 1000
