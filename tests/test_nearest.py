@@ -133,3 +133,19 @@ def test_near_edges_shuffle_few_copies(spark):
     met = graph.meetings(spark.createDataFrame(points, "case_id int, node_id long, x double, y double, z double"), 1.0)
     assert met.where("at_home").count() == 1000
     assert met.count() < 5 * 1000
+
+
+def test_near_edges_make_small_files(spark, tmp_path):
+    """Ends of pairs repeat each other: a byte a row and less where points are dense, far from the two ids of 8 bytes."""
+    points = [(0, 7 * n % 6007, *map(float, p)) for n, p in enumerate(np.random.default_rng(5).random((6000, 3)))]
+    found = graph.near_edges(spark.createDataFrame(points, "case_id int, node_id long, x double, y double, z double"), 0.5)
+    found.write.parquet(f"file://{tmp_path}/pairs")
+    rows, size = found.count(), sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert rows > 4_000_000 and size < rows
+
+
+def test_near_edges_of_one_number(spark):
+    """Two places of one node make no pair with each other, and one each with another node."""
+    points = [(0, 5, 0.1, 0.1, 0.1), (0, 5, 0.2, 0.1, 0.1), (0, 5, -0.1, 0.1, 0.1), (0, 3, 0.15, 0.1, 0.1)]
+    found = graph.near_edges(spark.createDataFrame(points, "case_id int, node_id long, x double, y double, z double"), 1.0)
+    assert sorted(map(tuple, found.collect())) == [(0, 3, 5)] * 3
